@@ -1,0 +1,203 @@
+"""O-77..O-79, O-83: the auto and manual cleaning plans and their step log.
+
+Each data-dependent decision is one fit (an aggregate job whose small result
+comes back to the driver); everything else is a lazy select / filter / drop.
+The frame is persisted after each de-duplication (the shuffle later fits
+would otherwise recompute); persisted data is recomputed from a deterministic
+lineage if an executor is lost.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabclean.operators.dedupe import deduplicate
+from tabclean.operators.encode import encode_categoricals
+from tabclean.operators.fit import fit
+from tabclean.operators.impute import missing_cleanup
+from tabclean.operators.kinds import NUMERIC, TEXT, columns_of, q
+from tabclean.operators.normalize import normalize_raw
+from tabclean.operators.outliers import remove_outliers
+from tabclean.operators.profile import profile
+from tabclean.operators.rows import (apply_filters, auto_drop_candidates, drop_columns,
+                                     drop_sparse_rows, min_non_missing)
+from tabclean.operators.scale import scale_columns, scale_numeric
+from tabclean.operators.types import bool_to_int, coerce_numeric, convert_datetimes
+from tabclean.plans.request import CleanRequest
+
+LOG_SCHEMA = "step_no int, name string, details string"
+
+
+@dataclass
+class CleanResult:
+    df: DataFrame
+    steps: list = field(default_factory=list)
+    persisted: list = field(default_factory=list)
+
+    def log_df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(i + 1, n, d) for i, (n, d) in enumerate(self.steps)], LOG_SCHEMA)
+
+    def release(self) -> None:
+        for d in self.persisted:
+            d.unpersist()
+        self.persisted.clear()
+
+
+class _Run:
+    """State of one cleaning run: the frame, its known row count and the log."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.rows: int | None = None
+        self.steps: list = []
+        self.persisted: list = []
+
+    def log(self, name: str, details: str) -> None:
+        self.steps.append((name, details))
+
+    def count(self) -> int:
+        if self.rows is None:
+            self.rows = self.df.count()
+        return self.rows
+
+    def persist(self) -> None:
+        self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.persisted.append(self.df)
+
+    def set(self, df: DataFrame, rows: int | None = None) -> None:
+        self.df, self.rows = df, rows
+
+    # -- steps shared by both plans ---------------------------------------
+    def coerce(self) -> None:
+        conv = coerce_numeric(self.df)
+        self.df = conv.df
+        if conv.converted:
+            self.log("coerce_numeric_like_columns",
+                     f"Converted numeric-like text columns: {', '.join(conv.converted)}")
+
+    def dedupe(self, step_name: str) -> None:
+        before = self.count()
+        self.set(deduplicate(self.df))
+        self.persist()
+        removed = before - self.count()
+        if removed:
+            self.log(step_name, f"Removed {removed} duplicate rows.")
+
+    def fill(self, numeric: str, text: str, constant: str, prefix: str) -> None:
+        res = missing_cleanup(self.df, numeric, text, constant, prefix)
+        self.df = res.df
+        self.steps.extend(res.steps)
+
+    def convert_dates(self) -> None:
+        conv = convert_datetimes(self.df)
+        self.df = conv.df
+        if conv.converted:
+            self.log("convert_datetimes", f"Converted to datetime: {', '.join(conv.converted)}")
+
+
+def auto_clean(run: _Run) -> None:
+    """O-77: coerce -> drop ids / sparse columns -> dedupe -> fill -> dates -> fill -> dedupe."""
+    run.coerce()
+    prof = profile(run.df, "auto", light=True)
+    run.rows = prof.rows
+    candidates = auto_drop_candidates(prof)
+    if candidates:
+        run.df = drop_columns(run.df, candidates)
+        run.log("drop_columns", f"Dropped columns: {', '.join(candidates)}")
+    run.dedupe("remove_duplicates")
+    run.fill("median", "mode", "unknown", "auto")
+    run.convert_dates()
+    run.fill("median", "mode", "unknown", "post_datetime_auto")
+    run.dedupe("remove_duplicates_final")
+
+
+def manual_clean(run: _Run, request: CleanRequest) -> None:
+    """O-78: the manual recipe, in the reference's order."""
+    m = request.manual
+    encoded_outputs: list[str] = []
+    run.coerce()
+    if m.drop_columns:
+        run.df = drop_columns(run.df, list(m.drop_columns))
+        run.log("drop_columns", f"Dropped columns: {', '.join(m.drop_columns)}")
+    if m.remove_duplicates:
+        run.dedupe("remove_duplicates")
+    if m.drop_missing_rows_threshold is not None:
+        before = run.count()
+        run.set(drop_sparse_rows(run.df, float(m.drop_missing_rows_threshold)))
+        run.log("drop_sparse_rows", f"Removed {before - run.count()} sparse rows.")
+    numeric_columns = columns_of(run.df, NUMERIC)
+    if m.fill_numeric_strategy != "none":
+        run.fill(m.fill_numeric_strategy, "none", m.text_constant, "manual_numeric")
+    if m.fill_text_strategy != "none":
+        run.fill("none", m.fill_text_strategy, m.text_constant, "manual_text")
+    if m.convert_datetimes:
+        run.convert_dates()
+        run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, "post_datetime_manual")
+    if m.filter_rules:
+        before = run.count()
+        run.set(apply_filters(run.df, list(m.filter_rules)))
+        run.log("filter_rows", f"Filtered {before - run.count()} rows using manual rules.")
+    if m.remove_outliers and numeric_columns:
+        before = run.count()
+        run.set(remove_outliers(run.df, numeric_columns, float(m.outlier_zscore_threshold)))
+        run.log("remove_outliers", f"Removed {before - run.count()} rows outside z-score threshold.")
+    if m.encode_categoricals:
+        cols = [c for c in columns_of(run.df, TEXT) if c != m.target_column]
+        df, encoded_outputs, details = encode_categoricals(run.df, cols)
+        run.df = df
+        if details:
+            run.log("encode_categoricals", details)
+    if m.scale_numeric:
+        cols = scale_columns(run.df, m.target_column, encoded_outputs)
+        if cols:
+            run.df = scale_numeric(run.df, cols)
+            run.log("scale_numeric", f"Scaled columns: {', '.join(cols)}")
+    if m.remove_duplicates:
+        run.dedupe("remove_duplicates_final")
+    run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, "residual_manual")
+
+
+def finalize(run: _Run) -> None:
+    """O-79: drop fully empty rows, then empty columns, then booleans to 0/1.
+
+    One aggregate gives both the non-empty row count and each column's
+    value count (an empty row adds no value to any column). With no row left
+    the schema is kept (D-10).
+    """
+    cols = run.df.columns
+    if cols:
+        any_value = F.lit(False)
+        for c in cols:
+            any_value = any_value | F.col(q(c)).isNotNull()
+        exprs = {("", "rows"): F.count(F.lit(1)), ("", "nonempty"): F.count_if(any_value)}
+        for c in cols:
+            exprs[(c, "nn")] = F.count(F.col(q(c)))
+        stats = fit(run.df, exprs)
+        rows, nonempty = stats[("", "rows")], stats[("", "nonempty")]
+        if nonempty != rows:
+            run.set(run.df.na.drop(how="all"), nonempty)
+            run.log("drop_empty_rows", f"Removed {rows - nonempty} fully empty rows.")
+        empty = [c for c in cols if stats[(c, "nn")] == 0] if nonempty > 0 else []
+        if empty:
+            run.df = run.df.drop(*empty)
+            run.log("drop_empty_columns", f"Dropped empty columns: {', '.join(empty)}")
+    conv = bool_to_int(run.df)
+    if conv.converted:
+        run.df = conv.df
+        run.log("normalize_boolean_columns", f"Converted boolean columns to 0/1: {', '.join(conv.converted)}")
+
+
+def clean(df: DataFrame, request: CleanRequest | None = None) -> CleanResult:
+    """Run a recipe on a DataFrame; returns the lazy cleaned frame and the log."""
+    request = (request or CleanRequest()).validate()
+    run = _Run(normalize_raw(df))
+    if request.mode == "auto":
+        auto_clean(run)
+    else:
+        manual_clean(run, request)
+    finalize(run)
+    return CleanResult(run.df, run.steps, run.persisted)
