@@ -387,5 +387,9 @@ def oracle_queries() -> dict[str, str]:
                     "from events order by event_id limit 100 offset 100"),
         "prompt_flags": prompt_flags_sql(),
         "suggest_plan": suggest_plan_sql(),
+        "csv_roundtrip": (f"with {DIRTY_ORDERS} select o_orderkey, {sig('price')} as price, prio, "
+                          f"{ts('odate')} as odate, cust_txt from d"),
+        "encoding_latin1": "select doc_id, lang, source, text, 'cp1252' as encoding from documents",
+        "encoding_utf8": "select doc_id, lang, source, text, 'utf-8' as encoding from documents",
     }
     return out

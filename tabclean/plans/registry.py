@@ -23,6 +23,9 @@ from tabclean.operators.types import coerce_numeric, convert_datetimes, infer_ty
 from tabclean.plans.pipeline import _Run, clean, finalize
 from tabclean.plans.request import CleanRequest, ManualOptions
 from tabclean.plans.suggest import prompt_flags, suggest_plans
+from tabclean.session import scratch_dir
+from tabclean.sources.batch import clean_files
+from tabclean.sources.csv import detect_encodings, read_csv, source_manifest, write_csv
 from tabclean.sources.preview import preview
 from tabclean.sources.tables import dirty, table
 
@@ -275,6 +278,60 @@ def suggest_plan(spark, sf):
     return suggest_plans(conv, "text", prof).drop("text", "role")
 
 
+# -- files ---------------------------------------------------------------------
+
+def csv_roundtrip(spark, sf):
+    """dirty_orders written as CSV part files, then read back with pandas-like types."""
+    out = scratch_dir(spark, "csv")
+    write_csv(dirty(spark, sf, "dirty_orders"), out)
+    return render(read_csv(spark, out))
+
+
+def _documents_roundtrip(spark, sf, encoding):
+    out = scratch_dir(spark, "enc")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    (docs.write.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out))
+    found = {r["encoding"] for r in detect_encodings(spark, out).collect()}
+    back = read_csv(spark, out)
+    return back.withColumn("encoding", F.lit(",".join(sorted(found))))
+
+
+def encoding_latin1(spark, sf):
+    return _documents_roundtrip(spark, sf, "ISO-8859-1")
+
+
+def encoding_utf8(spark, sf):
+    return _documents_roundtrip(spark, sf, "UTF-8")
+
+
+def manifest(spark, sf):
+    out = scratch_dir(spark, "manifest")
+    write_csv(table(spark, sf, "orders"), out)
+    return source_manifest(spark, out).select("suffix", "length", "accepted", "reason")
+
+
+def clean_each(spark, sf):
+    src, out = scratch_dir(spark, "each-in"), scratch_dir(spark, "each-out")
+    write_csv(dirty(spark, sf, "dirty_orders").repartition(2, "o_orderkey"), src)
+    return clean_files(spark, src, CleanRequest(), out).select("accepted", "reason", "steps")
+
+
+def replay(spark, sf):
+    from tabclean.streaming.replay import replay_stream, text_schema
+    src, out = scratch_dir(spark, "replay-in"), scratch_dir(spark, "replay-out")
+    write_csv(dirty(spark, sf, "dirty_orders").repartition(2, "o_orderkey"), src)
+    replay_stream(spark, src, CleanRequest(), out, text_schema(spark, src))
+    return spark.read.option("header", True).csv(f"{out}/rows")
+
+
+def report(spark, sf):
+    from tabclean.plans.report import report_df
+    raw = dirty(spark, sf, "dirty_orders")
+    res = clean(raw)
+    return report_df(spark, "dirty_orders", profile(raw, "dirty_orders"), profile(res.df, "cleaned"), res.steps)
+
+
 QUERIES = {
     "normalize_text": normalize_text,
     "infer_ratio": infer_ratio,
@@ -312,4 +369,11 @@ QUERIES = {
     "preview": preview_events,
     "prompt_flags": prompt_flags_conversations,
     "suggest_plan": suggest_plan,
+    "csv_roundtrip": csv_roundtrip,
+    "encoding_latin1": encoding_latin1,
+    "encoding_utf8": encoding_utf8,
+    "manifest": manifest,
+    "clean_each": clean_each,
+    "replay": replay,
+    "report": report,
 }

@@ -61,3 +61,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running tabclean on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabclean-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tabclean-{label}-{uuid.uuid4().hex}"
