@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from tabclean.functions.text import strip_text
 
-# Fixed layouts, tried in this order (Spark datetime patterns).
+# Fixed layouts, tried in this order (Spark datetime patterns), each with a
+# cheap shape test that accepts everything the layout can parse. A failed
+# parse costs an exception inside the parser, so the shape test keeps text
+# that cannot be a date (most text) away from it.
 DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "MM/dd/yyyy",
-    "MMM d, yyyy",
-    "yyyyMMdd",
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"),
+    ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
 )
 
 
 def to_datetime(c: Column) -> Column:
     """First layout that parses the stripped text, else NULL (a zone-less timestamp)."""
     stripped = strip_text(c)
-    parsed = F.coalesce(*[F.try_to_timestamp(stripped, F.lit(fmt)) for fmt in DATE_FORMATS])
+    parsed = F.coalesce(*[F.when(stripped.rlike(shape), F.try_to_timestamp(stripped, F.lit(fmt)))
+                          for fmt, shape in DATE_FORMATS])
     return parsed.cast("timestamp_ntz")

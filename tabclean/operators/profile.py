@@ -171,43 +171,99 @@ def _profile_view(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _value_key(c, data_type):
-    """Injective string key for counting distinct values, plus a numeric sort key."""
+# Value slots of the long value-count table: text, integral, fractional, time.
+_SLOTS = ("s", "i", "d", "t")
+INT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _slot_of(data_type) -> str:
     kind = kind_of(data_type)
-    if kind == NUMERIC:
-        x = F.when(c == 0, F.lit(0)).otherwise(c) if is_fractional(data_type) else c
-        return x.cast("string"), c.cast("double")
-    if kind == BOOLEAN:
-        return F.when(c, F.lit("True")).when(~c, F.lit("False")), c.cast("double")
+    if kind == BOOLEAN or isinstance(data_type, INT_TYPES):
+        return "i"
+    if kind == NUMERIC and is_fractional(data_type):
+        return "d"
     if kind == DATETIME:
-        ts = c.cast("timestamp")
-        whole = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-        frac = F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(frac), F.lit(None).cast("double")
-    return c.cast("string"), F.lit(None).cast("double")
+        return "t"
+    return "s"
+
+
+def _slot_values(c, data_type) -> dict:
+    """Typed value of a column in its slot: numbers and times are grouped as
+    numbers and times (no text conversion per row); -0.0 counts as 0.0."""
+    slot = _slot_of(data_type)
+    vals = {"s": F.lit(None).cast("string"), "i": F.lit(None).cast("bigint"),
+            "d": F.lit(None).cast("double"), "t": F.lit(None).cast("timestamp_ntz")}
+    if slot == "i":
+        vals["i"] = c.cast("bigint")
+    elif slot == "d":
+        vals["d"] = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
+    elif slot == "t":
+        vals["t"] = c.cast("timestamp_ntz")
+    else:
+        vals["s"] = c.cast("string")
+    return vals
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    """Long value counts ``(idx, key, num, n)`` of every column, one shuffle."""
+    """Long value counts ``(idx, s, i, d, t, n)`` of every column, ONE shuffle.
+
+    Map-side partial aggregation collapses repeated values before the
+    exchange, so a value holding a third of the rows is one row per task.
+    """
     structs = []
     for i, f in enumerate(df.schema.fields):
-        key, num = _value_key(F.col(q(f.name)), f.dataType)
-        structs.append(F.struct(F.lit(i).alias("idx"), key.alias("key"), num.alias("num")))
+        vals = _slot_values(F.col(q(f.name)), f.dataType)
+        structs.append(F.struct(F.lit(i).alias("idx"), *[vals[k].alias(k) for k in _SLOTS]))
     long = df.select(F.inline(F.array(*structs)))
-    return long.groupBy("idx", "key", "num").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("idx", *_SLOTS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _present():
+    return F.col("s").isNotNull() | F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull()
 
 
 def top_values(counts: DataFrame, k: int = TOP_K) -> DataFrame:
     """Top k values per column: count descending, then value ascending, missing last."""
-    w = Window.partitionBy("idx").orderBy(F.desc("n"), F.asc_nulls_last("num"), F.asc_nulls_last("key"))
+    w = Window.partitionBy("idx").orderBy(F.desc("n"), *[F.asc_nulls_last(x) for x in ("i", "d", "t", "s")])
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def distinct_stats(counts: DataFrame) -> DataFrame:
     """Per column: distinct non-missing values and whether a missing value occurs."""
     return counts.groupBy("idx").agg(
-        F.count("key").alias("distinct"),
-        F.max(F.col("key").isNull().cast("int")).alias("has_missing"))
+        F.count_if(_present()).alias("distinct"),
+        F.max((~_present()).cast("int")).alias("has_missing"),
+        F.sum("n").alias("rows"))
+
+
+def display_value(schema: T.StructType):
+    """Text of a top value as the reference prints it (after the top-k, few rows)."""
+    from tabclean.functions.textform import double_text
+    code = F.element_at(F.array(*[F.lit(
+        "b" if kind_of(f.dataType) == BOOLEAN else _slot_of(f.dataType)) for f in schema.fields]), F.col("idx") + 1)
+    t = F.col("t").cast("timestamp")
+    time_text = F.when(F.date_format(t, "SSSSSS") == "000000", F.date_format(t, "yyyy-MM-dd HH:mm:ss")) \
+                 .otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return (F.when(code == "b", F.when(F.col("i") == 1, F.lit("True")).when(F.col("i") == 0, F.lit("False")))
+            .when(code == "i", F.col("i").cast("string"))
+            .when(code == "d", F.when(F.col("d").isNotNull(), double_text(F.col("d"))))
+            .when(code == "t", time_text)
+            .otherwise(F.col("s")))
+
+
+def column_value_summary(view: DataFrame, with_top: bool = True) -> DataFrame:
+    """Distinct counts and (optionally) top values of all columns in one action:
+    both branches read the same value-count exchange, which Spark reuses."""
+    counts = value_counts(view)
+    dist = distinct_stats(counts).select(
+        "idx", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("value"),
+        F.col("rows").alias("n"), "distinct", "has_missing")
+    if not with_top:
+        return dist
+    top = top_values(counts).select(
+        "idx", "rank", display_value(view.schema).alias("value"), "n",
+        F.lit(None).cast("bigint").alias("distinct"), F.lit(None).cast("int").alias("has_missing"))
+    return dist.unionByName(top)
 
 
 def duplicate_rows(df: DataFrame) -> int:
@@ -225,11 +281,6 @@ def _adjusted_skew(g1, n):
     return g1 * math.sqrt(n * (n - 1)) / (n - 2)
 
 
-def _py_number_text(num: float) -> str | None:
-    """Shortest round-trip text of a double, as Python prints it."""
-    return None if num is None else repr(float(num))
-
-
 def profile(df: DataFrame, file_name: str = "dataset", light: bool = False) -> DatasetProfile:
     """O-45: whole profile of a DataFrame (three jobs, see module doc).
 
@@ -263,12 +314,12 @@ def profile(df: DataFrame, file_name: str = "dataset", light: bool = False) -> D
     rows = int(stats[("", "rows")] or 0)
 
     # F2
-    counts = value_counts(view)
-    dist = {r["idx"]: (int(r["distinct"]), bool(r["has_missing"])) for r in distinct_stats(counts).collect()}
-    tops: dict[int, list] = {}
-    if not light:
-        for r in top_values(counts).orderBy("idx", "rank").collect():
-            tops.setdefault(r["idx"], []).append((r["key"], r["num"], int(r["n"])))
+    dist, tops = {}, {}
+    for r in column_value_summary(view, with_top=not light).collect():
+        if r["rank"] == 0:
+            dist[r["idx"]] = (int(r["distinct"]), bool(r["has_missing"]))
+        else:
+            tops.setdefault(r["idx"], []).append((r["rank"], r["value"], int(r["n"])))
 
     # F3
     dups = 0 if light else duplicate_rows(view)
@@ -288,11 +339,7 @@ def profile(df: DataFrame, file_name: str = "dataset", light: bool = False) -> D
         unique_ratio = distinct / max(rows, 1)
         duplicate_count = rows - distinct - (1 if has_missing else 0)
         possible_id = unique_ratio > ID_UNIQUE_RATIO and missing_ratio < ID_MISSING_RATIO and inferred in ("numeric", "text")
-        top = []
-        for key, num, n in tops.get(i, []):
-            if key is not None and kind == NUMERIC and is_fractional(f.dataType):
-                key = _py_number_text(num)
-            top.append((key, n))
+        top = [(v, n) for _, v, n in sorted(tops.get(i, []), key=lambda x: x[0])]
         summary = None
         hint = HINT_LIMITED
         if inferred == "numeric":

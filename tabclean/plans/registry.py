@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabclean.functions.textform import double_text
 from tabclean.operators.encode import encode_categoricals, label_encode
 from tabclean.operators.impute import missing_cleanup
 from tabclean.operators.kinds import DATETIME, is_fractional, kind_of, q
 from tabclean.operators.normalize import normalize_raw
 from tabclean.operators.outliers import remove_outliers
-from tabclean.operators.profile import _profile_view, profile, top_values, value_counts
+from tabclean.operators.profile import _profile_view, display_value, profile, top_values, value_counts
 from tabclean.operators.rows import FilterRule, apply_filters, drop_sparse_rows
 from tabclean.operators.scale import scale_columns, scale_numeric
 from tabclean.operators.types import coerce_numeric, convert_datetimes, infer_types
@@ -125,12 +124,9 @@ def profile_lineitem(spark, sf):
 def _top_values(df):
     view = _profile_view(df)
     names = F.array(*[F.lit(f.name) for f in view.schema.fields])
-    frac = F.array(*[F.lit(is_fractional(f.dataType)) for f in view.schema.fields])
     top = top_values(value_counts(view))
-    value = F.when(F.element_at(frac, F.col("idx") + 1) & F.col("key").isNotNull(),
-                   double_text(F.col("num"))).otherwise(F.col("key"))
     return top.select(F.element_at(names, F.col("idx") + 1).alias("name"), F.col("rank").cast("int").alias("rank"),
-                      value.alias("value"), F.col("n").alias("count"))
+                      display_value(view.schema).alias("value"), F.col("n").alias("count"))
 
 
 def top_values_orders(spark, sf):
