@@ -34,7 +34,12 @@ def clean_files(spark: SparkSession, paths, request: CleanRequest, out_dir: str)
         if not f["accepted"]:
             results.append((f["path"], f["name"], False, f["reason"], None, 0))
             continue
-        res = clean(read_csv(spark, f["path"]), request)
+        try:
+            df = read_csv(spark, f["path"])
+        except ValueError as e:  # unreadable file: reported, the others go on
+            results.append((f["path"], f["name"], False, str(e), None, 0))
+            continue
+        res = clean(df, request)
         out = f"{out_dir.rstrip('/')}/{f['name']}"
         write_csv(res.df, out)
         res.release()

@@ -1,7 +1,7 @@
 """O-01..O-07: CSV files in and out.
 
-* ``source_manifest`` lists files (path, name, size, time) without reading
-  their content, with the reason a file is not accepted.
+* ``source_manifest`` lists files (path, name, size, time) from file-system
+  metadata, without reading content, with the reason a file is not accepted.
 * ``detect_encodings`` reads every file as lines, in parallel, and decides per
   file: valid UTF-8 -> utf-8; else bytes undefined in cp1252 -> latin1;
   else cp1252 (the order utf-8, utf-8-sig, cp1252, latin1 of the reference).
@@ -58,10 +58,33 @@ def _name_of(path_col):
     return F.element_at(F.split(path_col, "/"), -1)
 
 
+def list_files(spark: SparkSession, paths) -> DataFrame:
+    """``path, length, modificationTime`` of every file under ``paths``.
+
+    Metadata only, from the Hadoop file system (as Spark's own file index
+    lists files when it plans a scan); a file scan would skip empty files.
+    Hidden files (``.x``, ``_x``) are left out, as Spark's readers do.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for p in [paths] if isinstance(paths, str) else list(paths):
+        hpath = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hpath.getFileSystem(conf)
+        it = fs.listFiles(hpath, True)
+        while it.hasNext():
+            st = it.next()
+            name = st.getPath().getName()
+            if name.startswith(".") or name.startswith("_"):
+                continue
+            rows.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
+    df = spark.createDataFrame(rows, "path string, length bigint, mtime_ms bigint")
+    return df.select("path", "length", F.timestamp_millis("mtime_ms").alias("modificationTime"))
+
+
 def source_manifest(spark: SparkSession, paths) -> DataFrame:
     """O-03: ``path, name, length, modificationTime, suffix, accepted, reason``."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(paths).select("path", "length", "modificationTime"))
+    files = list_files(spark, paths)
     name = _name_of(F.col("path"))
     suffix = F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
     reason = (F.when(~suffix.isin(*SUPPORTED_SUFFIXES), F.lit(REASON_SUFFIX))
@@ -178,7 +201,13 @@ def printable(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """O-07: a folder of part files with a header row; no coalesce to one task."""
+    """O-07: a folder of part files with a header row; no coalesce to one task.
+
+    A frame with no column left (every column dropped) gives an empty folder.
+    """
+    if not df.columns:
+        df.sparkSession.createDataFrame([], "value string").write.mode(mode).text(path)
+        return
     (printable(df).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("nullValue", "").option("emptyValue", '""').csv(path))
