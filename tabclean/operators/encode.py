@@ -21,7 +21,8 @@ from tabclean.operators.rank import dense_ranks
 
 ONE_HOT_MAX_VALUES = 20
 ONE_HOT_MAX_RATIO = 0.2
-BROADCAST_LABELS_MAX = 200_000
+BROADCAST_LABELS_MAX = 200_000              # distinct values of a broadcast label table
+BROADCAST_LABELS_BYTES = 64 * 1024 * 1024   # and their total text size
 
 
 @dataclass
@@ -29,6 +30,7 @@ class EncodingPlan:
     one_hot: dict = field(default_factory=dict)     # column -> sorted values
     label: list = field(default_factory=list)
     distinct: dict = field(default_factory=dict)
+    bytes: dict = field(default_factory=dict)
     rows: int = 0
 
 
@@ -44,18 +46,21 @@ def choose_encoding(df: DataFrame, columns: list[str]) -> EncodingPlan:
         return EncodingPlan()
     counts = _long_counts(df, columns)
     per_col = counts.groupBy("idx").agg(
-        F.count("v").alias("distinct"), F.sum("n").alias("rows"))
+        F.count("v").alias("distinct"), F.sum("n").alias("rows"), F.sum(F.octet_length("v")).alias("bytes"))
     w = Window.partitionBy("idx").orderBy("v")
     first = (counts.filter(F.col("v").isNotNull())
              .withColumn("r", F.row_number().over(w)).filter(F.col("r") <= ONE_HOT_MAX_VALUES + 1))
-    stats = per_col.select("idx", "distinct", "rows", F.lit(None).cast("string").alias("v"), F.lit(0).alias("r"))
+    stats = per_col.select("idx", "distinct", "rows", "bytes", F.lit(None).cast("string").alias("v"),
+                           F.lit(0).alias("r"))
     both = stats.unionByName(first.select("idx", F.lit(None).cast("bigint").alias("distinct"),
-                                          F.lit(None).cast("bigint").alias("rows"), "v", "r"))
+                                          F.lit(None).cast("bigint").alias("rows"),
+                                          F.lit(None).cast("bigint").alias("bytes"), "v", "r"))
     plan = EncodingPlan()
     values: dict[int, list] = {}
     for r in both.collect():
         if r["r"] == 0:
             plan.distinct[columns[r["idx"]]] = int(r["distinct"])
+            plan.bytes[columns[r["idx"]]] = int(r["bytes"] or 0)
             plan.rows = max(plan.rows, int(r["rows"]))
         else:
             values.setdefault(r["idx"], []).append((r["r"], r["v"]))
@@ -81,22 +86,28 @@ def one_hot(df: DataFrame, encoded: dict) -> tuple[DataFrame, list[str]]:
 
 
 def label_encode(df: DataFrame, columns: list[str], distinct: dict | None = None,
-                 rows: int | None = None) -> DataFrame:
-    """O-74: code = position among the sorted distinct values, missing = -1."""
+                 rows: int | None = None, sizes: dict | None = None) -> DataFrame:
+    """O-74: code = position among the sorted distinct values, missing = -1.
+
+    ``distinct`` / ``sizes`` (value count and text bytes per column, from the
+    encoding fit) decide whether a label table is small enough to broadcast.
+    """
     if not columns:
         return df
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = _long_counts(df, columns).filter(F.col("v").isNotNull())
-    ranks = dense_ranks(counts.select("idx", "v"), "idx", "v")
-    ranks = ranks.join(counts, ["idx", "v"]).persist()
+    ranks = dense_ranks(counts, "idx", "v")  # keeps n: the count of every value
     order = df.columns
     out = df
     for i, c in enumerate(columns):
         labels = ranks.filter(F.col("idx") == i).select(F.col("v").alias("_v"), F.col("rank").alias("_code"), "n")
         n_distinct = distinct.get(c) if distinct else None
+        n_bytes = sizes.get(c) if sizes else None
         cond = F.col(q(c)) == F.col("_v")
-        if n_distinct is not None and n_distinct <= BROADCAST_LABELS_MAX:
+        small = (n_distinct is not None and n_bytes is not None
+                 and n_distinct <= BROADCAST_LABELS_MAX and n_bytes <= BROADCAST_LABELS_BYTES)
+        if small:
             out = out.join(F.broadcast(labels.drop("n")), cond, "left")
         else:
             if rows is None:
@@ -128,7 +139,7 @@ def encode_categoricals(df: DataFrame, columns: list[str]) -> tuple[DataFrame, l
         out, names = one_hot(out, plan.one_hot)
         outputs.extend(names)
     if plan.label:
-        out = label_encode(out, plan.label, plan.distinct, plan.rows)
+        out = label_encode(out, plan.label, plan.distinct, plan.rows, plan.bytes)
         outputs.extend(plan.label)
     parts = []
     if plan.one_hot:

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabclean.functions import to_number
 from tabclean.functions.numbers import NUMBER_PATTERN
 from tabclean.functions.textform import text_form
 from tabclean.operators.fit import fit
-from tabclean.operators.kinds import BOOLEAN, DATETIME, NUMERIC, TEXT, kind_of, q
+from tabclean.operators.kinds import BOOLEAN, DATETIME, NUMERIC, TEXT, is_fractional, kind_of, q
 
 FILTER_OPERATORS = ("equals", "not_equals", "greater_than", "less_than", "contains")
 AUTO_DROP_MISSING = 0.85
@@ -91,8 +92,19 @@ def _datetime_layout(df: DataFrame, name: str) -> tuple[bool, bool]:
     return stats["not_midnight"] == 0, stats["fraction"] > 0
 
 
+def _is_integral(data_type) -> bool:
+    return kind_of(data_type) == BOOLEAN or (kind_of(data_type) == NUMERIC and not is_fractional(data_type)
+                                              and not isinstance(data_type, T.DecimalType))
+
+
 def filter_condition(df: DataFrame, rule: FilterRule):
-    """Condition of one rule, or None when the column is unknown (rule skipped)."""
+    """Condition of one rule, or None when the column is unknown (rule skipped).
+
+    The rule value is a literal, so the driver picks an equivalent form on the
+    bare column wherever one exists (``col = v``, ``col > floor(v)``,
+    ``col IS NULL OR col <> v``): such forms reach the parquet scan as pushed
+    filters. A NULL condition drops the row, as False does.
+    """
     if rule.column not in df.columns:
         return None
     dtype = df.schema[rule.column].dataType
@@ -101,19 +113,34 @@ def filter_condition(df: DataFrame, rule: FilterRule):
     op = rule.operator
     if op in ("equals", "not_equals") and kind in (NUMERIC, BOOLEAN):
         v = _number_value(rule.value)
-        x = c.cast("double")
+        if v is not None and _is_integral(dtype):
+            target = c.cast("int") if kind == BOOLEAN else c
+            hit = (target == F.lit(int(v))) if float(v).is_integer() else F.lit(False)
+        elif v is not None:
+            hit = c == F.lit(v)
         if op == "equals":
-            return F.lit(False) if v is None else (x == F.lit(v))
-        return F.lit(True) if v is None else ~x.eqNullSafe(F.lit(v))
+            return F.lit(False) if v is None else hit
+        return F.lit(True) if v is None else (c.isNull() | ~hit)
     if op in ("greater_than", "less_than"):
         v = float(rule.value)
+        if math.isnan(v):
+            return F.lit(False)
+        gt = op == "greater_than"
         if kind == DATETIME:
-            x = (F.unix_micros(c.cast("timestamp")) * 1000).cast("double")
-        elif kind == TEXT:
+            return _ns_compare(c, dtype, v, gt)
+        if kind == TEXT:
             x = to_number(c)
-        else:
-            x = c.cast("double")
-        return (x > F.lit(v)) if op == "greater_than" else (x < F.lit(v))
+            return (x > F.lit(v)) if gt else (x < F.lit(v))
+        if _is_integral(dtype) and not math.isinf(v):
+            target = c.cast("int") if kind == BOOLEAN else c
+            return (target > F.lit(math.floor(v))) if gt else (target < F.lit(math.ceil(v)))
+        return (c > F.lit(v)) if gt else (c < F.lit(v))
+    if kind == TEXT and op in ("equals", "not_equals"):
+        v = str(rule.value)
+        hit = (c.isNull() | (c == F.lit(v))) if v == "nan" else (c == F.lit(v))
+        if op == "equals":
+            return hit
+        return (c.isNotNull() & (c != F.lit(v))) if v == "nan" else (c.isNull() | (c != F.lit(v)))
     dates_only, with_fraction = _datetime_layout(df, rule.column) if kind == DATETIME else (False, False)
     text = text_form(c, dtype, dates_only, with_fraction)
     if op == "equals":
@@ -125,6 +152,19 @@ def filter_condition(df: DataFrame, rule: FilterRule):
     raise ValueError(f"unknown filter operator: {op}")
 
 
+def _ns_compare(c, dtype, v: float, gt: bool):
+    """Datetime against a number of nanoseconds since the epoch (the reference
+    compares the int64 view). The bound becomes a timestamp literal of the
+    column's own type, so the comparison stays pushable."""
+    if math.isinf(v):
+        return c.isNotNull() if (v < 0) == gt else F.lit(False)
+    if isinstance(dtype, T.DateType):
+        c, dtype = c.cast("timestamp_ntz"), T.TimestampNTZType()
+    micros = math.floor(v / 1000) if gt else math.ceil(v / 1000)  # x_ns > v <=> x_us > floor(v/1000)
+    bound = F.timestamp_micros(F.lit(micros)).cast(dtype)
+    return (c > bound) if gt else (c < bound)
+
+
 def apply_filters(df: DataFrame, rules: list[FilterRule]) -> DataFrame:
     """O-60: rules are conjunctive; one filter that Catalyst pushes toward the scan."""
     cond = None
@@ -133,6 +173,5 @@ def apply_filters(df: DataFrame, rules: list[FilterRule]) -> DataFrame:
         c = filter_condition(df, rule)
         if c is None:
             continue
-        c = F.coalesce(c, F.lit(False))
         cond = c if cond is None else (cond & c)
     return df if cond is None else df.filter(cond)

@@ -129,3 +129,14 @@ def test_filters_on_missing_values(spark):
     assert apply_filters(df, [FilterRule("nope", "equals", "1")]).count() == 3
     with pytest.raises(ValueError):
         apply_filters(df, [FilterRule("x", "less_than", "abc")])
+
+
+def test_label_encoding_hot_value_split(spark):
+    """A value holding a third of the rows goes through the broadcast side of the split join."""
+    rows = [(i, "hot") for i in range(40)] + [(100 + i, f"v{i:03d}") for i in range(80)] + [(999, None)]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(5)
+    got = dict((r["k"], r["t"]) for r in label_encode(df, ["t"]).collect())
+    assert len(got) == len(rows)
+    assert {got[i] for i in range(40)} == {0}  # "hot" sorts before "v000"
+    assert [got[100 + i] for i in range(80)] == list(range(1, 81))
+    assert got[999] == -1
