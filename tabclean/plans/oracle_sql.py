@@ -271,6 +271,38 @@ def compare_sql() -> str:
             f"((select count(*) from a2) - (select count(*) from (select distinct * from a2)))::bigint")
 
 
+AFTER_AUTO_COLS = [("price", "double"), ("prio", "text"), ("odate", "datetime"), ("cust_txt", "double")]
+
+
+def compare_columns_sql() -> str:
+    after = prof_cte("a2", AFTER_AUTO_COLS).replace("prof0 as", "after0 as").replace("prof as", "after as") \
+        .replace("from prof0", "from after0")
+    return (f"with {auto_clean_ctes()}, {prof_cte('d', ORDERS_COLS)}, {after} "
+            f"select coalesce(b.name, a.name) as name, b.t as type_before, {pyround('b.mr')} as missing_before, "
+            f"a.t as type_after, {pyround('a.mr')} as missing_after "
+            f"from prof b full outer join after a on a.name = b.name")
+
+
+def execution_log_sql() -> str:
+    steps = [
+        ("coerce_numeric_like_columns", "'Converted numeric-like text columns: cust_txt'", "true"),
+        ("drop_columns", "'Dropped columns: o_orderkey'", "true"),
+        ("remove_duplicates", "'Removed ' || ((select count(*) from d) - (select count(*) from a1)) || ' duplicate rows.'",
+         "(select count(*) from d) > (select count(*) from a1)"),
+        ("auto_numeric", "'Applied median strategy to numeric columns: ' || (select concat_ws(', ', "
+         "case when count(price) < count(*) then 'price' end, case when count(cust_txt) < count(*) then 'cust_txt' end) "
+         "from a1)", "(select count(price) < count(*) or count(cust_txt) < count(*) from a1)"),
+        ("auto_datetime", "'Filled datetime missing values in: odate'", "(select count(odate) < count(*) from a1)"),
+        ("auto_text", "'Applied mode strategy to text columns: prio'", "(select count(prio) < count(*) from a1)"),
+        ("remove_duplicates_final", "'Removed ' || ((select count(*) from a1) - (select count(*) from a2)) || "
+         "' duplicate rows.'", "(select count(*) from a1) > (select count(*) from a2)"),
+    ]
+    parts = " union all ".join(f"select {i} as k, {lit(n)} as name, {d} as details where {w}"
+                               for i, (n, d, w) in enumerate(steps))
+    return (f"with {auto_clean_ctes()}, steps as ({parts}) "
+            f"select (row_number() over (order by k))::int as step_no, name, details from steps")
+
+
 def _flags_sql(text: str) -> str:
     out = []
     for name, words in FLAG_WORDS.items():
@@ -383,6 +415,8 @@ def oracle_queries() -> dict[str, str]:
         "auto_clean": auto_clean_sql(),
         "manual_clean": manual_clean_sql(),
         "compare": compare_sql(),
+        "compare_columns": compare_columns_sql(),
+        "execution_log": execution_log_sql(),
         "preview": ("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, user_id, event_type, value, props "
                     "from events order by event_id limit 100 offset 100"),
         "prompt_flags": prompt_flags_sql(),

@@ -258,6 +258,18 @@ def compare(spark, sf):
     return compare_summaries(spark, before, after)
 
 
+def compare_columns_query(spark, sf):
+    from tabclean.plans.compare import compare_columns
+    raw = dirty(spark, sf, "dirty_orders")
+    before = profile(raw, "dirty_orders", light=True)
+    after = profile(clean(raw).df, "cleaned_dirty_orders", light=True)
+    return compare_columns(spark, before, after)
+
+
+def execution_log(spark, sf):
+    return clean(dirty(spark, sf, "dirty_orders")).log_df(spark)
+
+
 def preview_events(spark, sf):
     page = preview(table(spark, sf, "events"), ["event_id"], page=2, size=100)
     return page.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
@@ -362,6 +374,8 @@ QUERIES = {
     "auto_clean": auto_clean,
     "manual_clean": manual_clean,
     "compare": compare,
+    "compare_columns": compare_columns_query,
+    "execution_log": execution_log,
     "preview": preview_events,
     "prompt_flags": prompt_flags_conversations,
     "suggest_plan": suggest_plan,
