@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,25 +24,30 @@ class FileResult:
     steps: int
 
 
-def clean_files(spark: SparkSession, paths, request: CleanRequest, out_dir: str) -> DataFrame:
-    """Each accepted, de-duplicated CSV file is one distributed cleaning job.
-
-    The driver loops over files (the unit a user uploads), never over rows.
+def _clean_one(spark: SparkSession, f, request: CleanRequest, out_dir: str) -> tuple:
+    if not f["accepted"]:
+        return (f["path"], f["name"], False, f["reason"], None, 0)
+    try:
+        df = read_csv(spark, f["path"])
+    except ValueError as e:  # unreadable file: reported, the others go on
+        return (f["path"], f["name"], False, str(e), None, 0)
+    res = clean(df, request)
+    out = f"{out_dir.rstrip('/')}/{f['name']}"
+    write_csv(res.df, out)
+    res.release()
+    return (f["path"], f["name"], True, None, out, len(res.steps))
+
+
+def clean_files(spark: SparkSession, paths, request: CleanRequest, out_dir: str,
+                max_parallel: int = 4) -> DataFrame:
+    """Each accepted, de-duplicated CSV file is cleaned by its own distributed jobs.
+
+    The driver iterates over files (the unit a user uploads), never over rows;
+    up to ``max_parallel`` files are in flight at once (Spark runs jobs from
+    several driver threads side by side), so many small files still fill the
+    cluster. Each output folder is named after its input file.
     """
-    manifest = dedupe_sources(source_manifest(spark, paths))
-    results = []
-    for f in manifest.orderBy("path").collect():
-        if not f["accepted"]:
-            results.append((f["path"], f["name"], False, f["reason"], None, 0))
-            continue
-        try:
-            df = read_csv(spark, f["path"])
-        except ValueError as e:  # unreadable file: reported, the others go on
-            results.append((f["path"], f["name"], False, str(e), None, 0))
-            continue
-        res = clean(df, request)
-        out = f"{out_dir.rstrip('/')}/{f['name']}"
-        write_csv(res.df, out)
-        res.release()
-        results.append((f["path"], f["name"], True, None, out, len(res.steps)))
+    manifest = dedupe_sources(source_manifest(spark, paths)).orderBy("path").collect()
+    with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
+        results = list(pool.map(lambda f: _clean_one(spark, f, request, out_dir), manifest))
     return spark.createDataFrame(results, RESULT_SCHEMA)

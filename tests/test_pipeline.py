@@ -81,3 +81,27 @@ def test_prompt_flags_substrings(spark):
     assert got[0]["flag_id"] and not got[0]["flag_date"]
     assert got[1]["flag_id"] and got[1]["flag_date"]
     assert got[2]["flag_scale"] and not got[2]["flag_id"]
+
+
+def test_report_lines(spark):
+    from tabclean.operators.profile import profile
+    from tabclean.plans.report import report_df
+    raw = dirty(spark, SF_SMALL, "dirty_orders")
+    res = clean(raw)
+    rows = report_df(spark, "dirty_orders", profile(raw), profile(res.df), res.steps).orderBy("line_no").collect()
+    text = [r["text"] for r in rows]
+    assert text[0] == "Data Cleaning Report" and text[1] == "Dataset: dirty_orders"
+    assert text[3] == f"Rows before: {raw.count()}" and text[4] == f"Rows after: {res.df.count()}"
+    assert "Applied steps:" in text
+    assert "- drop_columns: Dropped columns: o_orderkey" in text
+
+
+def test_suggest_plan_default_branch(spark):
+    from tabclean.operators.profile import profile
+    from tabclean.plans.suggest import suggest_plans
+    prompts = spark.createDataFrame([(1, "make it nice"), (2, "drop the identifier please")], "k int, text string")
+    prof = profile(dirty(spark, SF_SMALL, "dirty_orders"), light=True)
+    got = {r["k"]: r for r in suggest_plans(prompts, "text", prof).collect()}
+    assert got[1]["drop_columns"] == "o_orderkey" and got[1]["reasons"].startswith("Applied a safe default plan")
+    assert got[2]["drop_columns"] == "o_orderkey"
+    assert got[2]["reasons"] == "Flagged likely identifier columns: o_orderkey."
