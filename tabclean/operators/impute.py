@@ -20,6 +20,10 @@ from tabclean.operators.rank import exact_medians
 
 NUMERIC_STRATEGIES = ("mean", "median", "zero", "none")
 TEXT_STRATEGIES = ("mode", "constant", "none")
+# A column whose distinct-value sketch is at most this goes through Spark's
+# exact percentile_disc, whose buffer holds one entry per distinct value;
+# larger columns use the distributed rank (no buffer grows with the data).
+MEDIAN_MAP_MAX = 200_000
 
 
 @dataclass
@@ -29,14 +33,41 @@ class FillResult:
     values: dict = field(default_factory=dict)
 
 
-def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact median of each column, all columns in one distributed rank."""
+def column_medians(df: DataFrame, columns: list[str], counts: dict | None = None,
+                   sketches: dict | None = None) -> dict[str, float | None]:
+    """Exact median of each column: the midpoint of the two middle values.
+
+    ``counts`` (non-missing values) and ``sketches`` (approximate distinct
+    values) come from the caller's fit, or from one aggregate here. Columns
+    with a bounded number of distinct values get both middle values from one
+    ``percentile_disc`` aggregate; the rest share one distributed rank.
+    """
     if not columns:
         return {}
-    structs = [F.struct(F.lit(i).alias("idx"), F.col(q(c)).cast("double").alias("v")) for i, c in enumerate(columns)]
-    long = df.select(F.inline(F.array(*structs)))
-    med = exact_medians(long, "idx", "v")
-    return {c: med.get(i) for i, c in enumerate(columns)}
+    if counts is None or sketches is None:
+        stats = fit(df, {**{(c, "nn"): F.count(F.col(q(c))) for c in columns},
+                         **{(c, "hll"): F.approx_count_distinct(F.col(q(c))) for c in columns}})
+        counts = {c: stats[(c, "nn")] for c in columns}
+        sketches = {c: stats[(c, "hll")] for c in columns}
+    out: dict[str, float | None] = {c: None for c in columns if not counts.get(c)}
+    small = [c for c in columns if counts.get(c) and sketches.get(c, MEDIAN_MAP_MAX + 1) <= MEDIAN_MAP_MAX]
+    large = [c for c in columns if counts.get(c) and c not in small]
+    if small:
+        exprs = {}
+        for c in small:
+            upper = 0.5 + 0.5 / counts[c]   # rank n/2 + 1 when n is even, the middle when odd
+            exprs[(c, "a")] = F.expr(f"percentile_disc(0.5) within group (order by double({q(c)}))")
+            exprs[(c, "b")] = F.expr(f"percentile_disc({upper!r}) within group (order by double({q(c)}))")
+        got = fit(df, exprs)
+        for c in small:
+            a, b = got[(c, "a")], got[(c, "b")]
+            out[c] = None if a is None or b is None else (float(a) + float(b)) / 2
+    if large:
+        structs = [F.struct(F.lit(i).alias("idx"), F.col(q(c)).cast("double").alias("v")) for i, c in enumerate(large)]
+        long = df.select(F.inline(F.array(*structs)))
+        med = exact_medians(long, "idx", "v")
+        out.update({c: med.get(i) for i, c in enumerate(large)})
+    return out
 
 
 def column_modes(df: DataFrame, text_cols: list[str], datetime_cols: list[str]) -> dict:
@@ -73,6 +104,9 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
     if numeric_strategy == "mean":
         for c in numeric_cols:
             exprs[(c, "mean")] = F.avg(F.col(q(c)))
+    if numeric_strategy == "median":
+        for c in numeric_cols:
+            exprs[(c, "hll")] = F.approx_count_distinct(F.col(q(c)))
     stats = fit(df, exprs)
     rows = stats[("", "rows")]
 
@@ -83,7 +117,8 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
     if numeric_strategy != "none":
         filled = [c for c in numeric_cols if gaps(c)]
         if numeric_strategy == "median":
-            fills = column_medians(df, filled)
+            fills = column_medians(df, filled, {c: stats[(c, "nn")] for c in filled},
+                                   {c: stats[(c, "hll")] for c in filled})
         elif numeric_strategy == "mean":
             fills = {c: stats[(c, "mean")] for c in filled}
         else:

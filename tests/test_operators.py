@@ -140,3 +140,13 @@ def test_label_encoding_hot_value_split(spark):
     assert {got[i] for i in range(40)} == {0}  # "hot" sorts before "v000"
     assert [got[100 + i] for i in range(80)] == list(range(1, 81))
     assert got[999] == -1
+
+
+def test_median_both_paths_agree(spark):
+    import statistics
+    from tabclean.operators import impute
+    vals = [float((i * 7919) % 1013) / 8 for i in range(3001)] + [None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
+    small = impute.column_medians(df, ["x"])
+    large = impute.column_medians(df, ["x"], {"x": 3001}, {"x": impute.MEDIAN_MAP_MAX + 1})
+    assert small["x"] == large["x"] == statistics.median([v for v in vals if v is not None])
