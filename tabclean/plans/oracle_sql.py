@@ -85,6 +85,7 @@ LINEITEM_COLS = [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int
                  ("l_shipdate", "datetime")]
 CUSTOMER_COLS = [("c_custkey", "int"), ("c_name", "text"), ("c_nationkey", "int"), ("c_acctbal", "double"),
                  ("c_mktsegment", "text")]
+DOCUMENTS_COLS = [("doc_id", "int"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "int")]
 EVENTS_COLS = [("event_id", "int"), ("ts", "datetime"), ("user_id", "int"), ("event_type", "text"),
                ("value", "double"), ("props", "text")]
 
@@ -311,7 +312,7 @@ def _flags_sql(text: str) -> str:
 
 
 def prompt_flags_sql() -> str:
-    return f"select conv_id, turn, {_flags_sql('text')} from conversations where role = 'user'"
+    return f"select conv_id, turn, role, {_flags_sql('coalesce(text, ' + lit('') + ')')} from conversations"
 
 
 def suggest_plan_sql() -> str:
@@ -329,9 +330,9 @@ def suggest_plan_sql() -> str:
         f"ids as (select coalesce(string_agg(name, ', ' order by ordinal), '') as ids, count(*) as n_ids "
         f"from prof where possible_id), "
         f"hm as (select string_agg(name, ', ' order by ordinal) as hm from prof where {pyround('mr')} >= 0.8), "
-        f"fl as (select conv_id, turn, {_flags_sql('coalesce(text, ' + lit('') + ')')} from conversations where role = 'user'), "
+        f"fl as (select conv_id, turn, role, {_flags_sql('coalesce(text, ' + lit('') + ')')} from conversations), "
         f"r as (select fl.*, ids.*, concat_ws(' | ', {reasons}) as given from fl, ids) "
-        f"select conv_id, turn, case when flag_id or given = '' then ids else '' end as drop_columns, "
+        f"select conv_id, turn, role, case when flag_id or given = '' then ids else '' end as drop_columns, "
         f"'median' as fill_numeric_strategy, 'mode' as fill_text_strategy, true as remove_duplicates, "
         f"flag_outlier as remove_outliers, flag_encode as encode_categoricals, flag_scale as scale_numeric, "
         f"true as convert_datetimes, case when given = '' then coalesce('Columns with very high missing values "
@@ -366,7 +367,9 @@ def oracle_queries() -> dict[str, str]:
                           f"from n, r"),
         "profile_orders": profile_sql(f"{DIRTY_ORDERS}, ", "d", ORDERS_COLS),
         "profile_lineitem": profile_sql("", "lineitem", LINEITEM_COLS),
+        "profile_documents": profile_sql("", "documents", DOCUMENTS_COLS),
         "top_values_orders": top_values_sql(f"{DIRTY_ORDERS}, ", "d", ORDERS_COLS),
+        "top_values_documents": top_values_sql("", "documents", DOCUMENTS_COLS),
         "top_values_events": top_values_sql("", "events", EVENTS_COLS),
         "summary_orders": summary_sql(f"{DIRTY_ORDERS}, ", "d", ORDERS_COLS),
         "summary_customer": summary_sql("", "customer", CUSTOMER_COLS),

@@ -129,6 +129,14 @@ def _top_values(df):
                       display_value(view.schema).alias("value"), F.col("n").alias("count"))
 
 
+def profile_documents(spark, sf):
+    return _profile_columns(spark, table(spark, sf, "documents"), "documents")
+
+
+def top_values_documents(spark, sf):
+    return _top_values(table(spark, sf, "documents"))
+
+
 def top_values_orders(spark, sf):
     return _top_values(dirty(spark, sf, "dirty_orders"))
 
@@ -276,14 +284,15 @@ def preview_events(spark, sf):
 
 
 def prompt_flags_conversations(spark, sf):
-    conv = table(spark, sf, "conversations")
-    return prompt_flags(conv.filter(F.col("role") == "user"), "text").drop("text", "role")
+    """Flags of every conversation turn (whole texts)."""
+    return prompt_flags(table(spark, sf, "conversations"), "text").drop("text")
 
 
 def suggest_plan(spark, sf):
-    conv = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    """A suggested plan for dirty_orders from every conversation turn."""
+    conv = table(spark, sf, "conversations")
     prof = profile(dirty(spark, sf, "dirty_orders"), "dirty_orders", light=True)
-    return suggest_plans(conv, "text", prof).drop("text", "role")
+    return suggest_plans(conv, "text", prof).drop("text")
 
 
 # -- files ---------------------------------------------------------------------
@@ -347,7 +356,9 @@ QUERIES = {
     "convert_dates": convert_dates,
     "profile_orders": profile_orders,
     "profile_lineitem": profile_lineitem,
+    "profile_documents": profile_documents,
     "top_values_orders": top_values_orders,
+    "top_values_documents": top_values_documents,
     "top_values_events": top_values_events,
     "summary_orders": summary_orders,
     "summary_customer": summary_customer,
