@@ -28,7 +28,12 @@ def text_schema(spark: SparkSession, sample_path: str) -> T.StructType:
 
 def replay_stream(spark: SparkSession, in_dir: str, request: CleanRequest, out_dir: str,
                   schema: T.StructType, checkpoint: str | None = None) -> dict:
-    """Clean every file in ``in_dir`` (available now) with ``request``; returns counts."""
+    """Clean every file in ``in_dir`` (available now) with ``request``; returns counts.
+
+    Each batch overwrites its own ``rows/batch=<id>`` and ``log/batch_id=<id>``
+    folders, so a retried batch (lost executor, restarted query) rewrites the
+    same output instead of adding a second copy.
+    """
     request = request.validate()
     checkpoint = checkpoint or scratch_dir(spark, "replay-checkpoint")
     stream = (spark.readStream.schema(schema).option("header", True).option("multiLine", True)
@@ -42,9 +47,9 @@ def replay_stream(spark: SparkSession, in_dir: str, request: CleanRequest, out_d
             res = clean(df, request)
             printable(res.df).write.mode("overwrite").option("header", True).csv(
                 f"{out_dir.rstrip('/')}/rows/batch={batch_id}")
-            spark.createDataFrame([(batch_id, path, i + 1, n, d) for i, (n, d) in enumerate(res.steps)],
-                                  "batch_id long, source string, step_no int, name string, details string") \
-                .write.mode("append").parquet(f"{out_dir.rstrip('/')}/log")
+            spark.createDataFrame([(path, i + 1, n, d) for i, (n, d) in enumerate(res.steps)],
+                                  "source string, step_no int, name string, details string") \
+                .write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/log/batch_id={batch_id}")
             res.release()
 
     query = (stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
