@@ -284,7 +284,7 @@ def compare_columns_sql() -> str:
             f"from prof b full outer join after a on a.name = b.name")
 
 
-def execution_log_sql() -> str:
+def _auto_steps_cte() -> str:
     steps = [
         ("coerce_numeric_like_columns", "'Converted numeric-like text columns: cust_txt'", "true"),
         ("drop_columns", "'Dropped columns: o_orderkey'", "true"),
@@ -300,8 +300,38 @@ def execution_log_sql() -> str:
     ]
     parts = " union all ".join(f"select {i} as k, {lit(n)} as name, {d} as details where {w}"
                                for i, (n, d, w) in enumerate(steps))
-    return (f"with {auto_clean_ctes()}, steps as ({parts}) "
-            f"select (row_number() over (order by k))::int as step_no, name, details from steps")
+    return (f"steps0 as ({parts}), steps as (select (row_number() over (order by k))::int as step_no, "
+            f"name, details from steps0)")
+
+
+def execution_log_sql() -> str:
+    return f"with {auto_clean_ctes()}, {_auto_steps_cte()} select step_no, name, details from steps"
+
+
+def report_sql() -> str:
+    after = prof_cte("a2", AFTER_AUTO_COLS).replace("prof0 as", "after0 as").replace("prof as", "after as") \
+        .replace("from prof0", "from after0")
+    miss_d = "count(*) * 5 - count(o_orderkey) - count(price) - count(prio) - count(odate) - count(cust_txt)"
+    miss_a = "count(*) * 4 - count(price) - count(prio) - count(odate) - count(cust_txt)"
+    id_text = lit(P.SUGGEST_ID.split("{name}")[0]) + " || name || " + lit(P.SUGGEST_ID.split("{name}")[1])
+    miss_text = lit(P.SUGGEST_MISSING.split("{name}")[0]) + " || name || " + lit(P.SUGGEST_MISSING.split("{name}")[1])
+    sugg = (f"sugg as (select row_number() over (order by ordinal, rule) as position, s from ("
+            f"select ordinal, 1 as rule, {id_text} as s from after where possible_id union all "
+            f"select ordinal, 2, {miss_text} from after where {pyround('mr')} > 0.6) t)")
+    fixed = [("header", "'Data Cleaning Report'"), ("header", "'Dataset: dirty_orders'"), ("header", "''"),
+             ("counts", "'Rows before: ' || (select count(*) from d)"),
+             ("counts", "'Rows after: ' || (select count(*) from a2)"),
+             ("counts", "'Columns before: 5'"), ("counts", "'Columns after: 4'"),
+             ("counts", f"'Missing cells before: ' || (select {miss_d} from d)"),
+             ("counts", f"'Missing cells after: ' || (select {miss_a} from a2)"),
+             ("counts", "''"), ("steps", "'Applied steps:'")]
+    lines = [f"select {i} as k, '{sec}' as section, {txt} as text" for i, (sec, txt) in enumerate(fixed)]
+    lines.append("select 100 + step_no, 'steps', '- ' || name || ': ' || details from steps")
+    lines.append("select 10000, 'steps', ''")
+    lines.append("select 10001, 'suggestions', 'Smart suggestions after cleaning:'")
+    lines.append("select 20000 + position, 'suggestions', '- ' || s from sugg where position <= 8")
+    return (f"with {auto_clean_ctes()}, {_auto_steps_cte()}, {after}, {sugg}, lines as ({' union all '.join(lines)}) "
+            f"select section, (row_number() over (order by k))::int as line_no, text from lines")
 
 
 def _flags_sql(text: str) -> str:
@@ -420,6 +450,7 @@ def oracle_queries() -> dict[str, str]:
         "compare": compare_sql(),
         "compare_columns": compare_columns_sql(),
         "execution_log": execution_log_sql(),
+        "report": report_sql(),
         "preview": ("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, user_id, event_type, value, props "
                     "from events order by event_id limit 100 offset 100"),
         "prompt_flags": prompt_flags_sql(),
