@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tabclean.operators.kinds import q
 from tabclean.operators.rank import dense_ranks
+from tabclean.plans.steps import detail
 
 ONE_HOT_MAX_VALUES = 20
 ONE_HOT_MAX_RATIO = 0.2
@@ -131,7 +132,7 @@ def label_encode(df: DataFrame, columns: list[str], distinct: dict | None = None
 def encode_categoricals(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str], str]:
     """O-75: returns the frame, the encoder-output columns and the log details."""
     if not columns:
-        return df, [], "No text columns available for encoding."
+        return df, [], detail("encode_none")
     plan = choose_encoding(df, columns)
     outputs: list[str] = []
     out = df
@@ -143,7 +144,7 @@ def encode_categoricals(df: DataFrame, columns: list[str]) -> tuple[DataFrame, l
         outputs.extend(plan.label)
     parts = []
     if plan.one_hot:
-        parts.append(f"One-hot encoded: {', '.join(plan.one_hot)}")
+        parts.append(detail("encode_one_hot", list(plan.one_hot)))
     if plan.label:
-        parts.append(f"Label encoded for speed: {', '.join(plan.label)}")
+        parts.append(detail("encode_label", plan.label))
     return out, outputs, ". ".join(parts)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabclean.operators.fit import fit
 from tabclean.operators.kinds import DATETIME, NUMERIC, TEXT, columns_of, q
 from tabclean.operators.rank import exact_medians
+from tabclean.plans.steps import FILL_SUFFIXES, detail
 
 NUMERIC_STRATEGIES = ("mean", "median", "zero", "none")
 TEXT_STRATEGIES = ("mode", "constant", "none")
@@ -130,8 +131,8 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
             x = F.col(q(c)).cast("double")
             updates[c] = x if v is None else F.coalesce(x, F.lit(v))
         if filled:
-            steps.append((f"{step_prefix}_numeric",
-                          f"Applied {numeric_strategy} strategy to numeric columns: {', '.join(filled)}"))
+            steps.append((step_prefix + FILL_SUFFIXES["numeric"],
+                          detail("fill_numeric", filled, strategy=numeric_strategy)))
 
     dt_gaps = [c for c in datetime_cols if gaps(c) and stats[(c, "nn")] > 0]
     text_gaps = [c for c in text_cols if gaps(c)] if text_strategy != "none" else []
@@ -148,7 +149,7 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
         updates[c] = F.coalesce(F.col(q(c)), F.lit(v).cast("timestamp_ntz").cast(dtype))
         filled_dt.append(c)
     if filled_dt:
-        steps.append((f"{step_prefix}_datetime", f"Filled datetime missing values in: {', '.join(filled_dt)}"))
+        steps.append((step_prefix + FILL_SUFFIXES["datetime"], detail("fill_datetime", filled_dt)))
 
     if text_gaps:
         for c in text_gaps:
@@ -157,8 +158,7 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
                 v = text_constant
             values[c] = v
             updates[c] = F.coalesce(F.col(q(c)), F.lit(v))
-        steps.append((f"{step_prefix}_text",
-                      f"Applied {text_strategy} strategy to text columns: {', '.join(text_gaps)}"))
+        steps.append((step_prefix + FILL_SUFFIXES["text"], detail("fill_text", text_gaps, strategy=text_strategy)))
 
     out = df.withColumns(updates) if updates else df
     return FillResult(out, steps, values)

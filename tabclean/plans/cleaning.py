@@ -28,6 +28,7 @@ from tabclean.operators.rows import (apply_filters, auto_drop_candidates, drop_c
 from tabclean.operators.scale import scale_columns, scale_numeric
 from tabclean.operators.types import bool_to_int, coerce_numeric, convert_datetimes
 from tabclean.plans.request import CleanRequest
+from tabclean.plans.steps import FILL_PREFIXES, detail
 
 LOG_SCHEMA = "step_no int, name string, details string"
 
@@ -77,7 +78,7 @@ class _Run:
         self.df = conv.df
         if conv.converted:
             self.log("coerce_numeric_like_columns",
-                     f"Converted numeric-like text columns: {', '.join(conv.converted)}")
+                     detail("coerce_numeric_like_columns", conv.converted))
 
     def dedupe(self, step_name: str) -> None:
         before = self.count()
@@ -85,7 +86,7 @@ class _Run:
         self.persist()
         removed = before - self.count()
         if removed:
-            self.log(step_name, f"Removed {removed} duplicate rows.")
+            self.log(step_name, detail("remove_duplicates", n=removed))
 
     def fill(self, numeric: str, text: str, constant: str, prefix: str) -> None:
         res = missing_cleanup(self.df, numeric, text, constant, prefix)
@@ -96,7 +97,7 @@ class _Run:
         conv = convert_datetimes(self.df)
         self.df = conv.df
         if conv.converted:
-            self.log("convert_datetimes", f"Converted to datetime: {', '.join(conv.converted)}")
+            self.log("convert_datetimes", detail("convert_datetimes", conv.converted))
 
 
 def auto_clean(run: _Run) -> None:
@@ -107,11 +108,11 @@ def auto_clean(run: _Run) -> None:
     candidates = auto_drop_candidates(prof)
     if candidates:
         run.df = drop_columns(run.df, candidates)
-        run.log("drop_columns", f"Dropped columns: {', '.join(candidates)}")
+        run.log("drop_columns", detail("drop_columns", candidates))
     run.dedupe("remove_duplicates")
-    run.fill("median", "mode", "unknown", "auto")
+    run.fill("median", "mode", "unknown", FILL_PREFIXES[0])
     run.convert_dates()
-    run.fill("median", "mode", "unknown", "post_datetime_auto")
+    run.fill("median", "mode", "unknown", FILL_PREFIXES[1])
     run.dedupe("remove_duplicates_final")
 
 
@@ -122,29 +123,29 @@ def manual_clean(run: _Run, request: CleanRequest) -> None:
     run.coerce()
     if m.drop_columns:
         run.df = drop_columns(run.df, list(m.drop_columns))
-        run.log("drop_columns", f"Dropped columns: {', '.join(m.drop_columns)}")
+        run.log("drop_columns", detail("drop_columns", m.drop_columns))
     if m.remove_duplicates:
         run.dedupe("remove_duplicates")
     if m.drop_missing_rows_threshold is not None:
         before = run.count()
         run.set(drop_sparse_rows(run.df, float(m.drop_missing_rows_threshold)))
-        run.log("drop_sparse_rows", f"Removed {before - run.count()} sparse rows.")
+        run.log("drop_sparse_rows", detail("drop_sparse_rows", n=before - run.count()))
     numeric_columns = columns_of(run.df, NUMERIC)
     if m.fill_numeric_strategy != "none":
-        run.fill(m.fill_numeric_strategy, "none", m.text_constant, "manual_numeric")
+        run.fill(m.fill_numeric_strategy, "none", m.text_constant, FILL_PREFIXES[2])
     if m.fill_text_strategy != "none":
-        run.fill("none", m.fill_text_strategy, m.text_constant, "manual_text")
+        run.fill("none", m.fill_text_strategy, m.text_constant, FILL_PREFIXES[3])
     if m.convert_datetimes:
         run.convert_dates()
-        run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, "post_datetime_manual")
+        run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, FILL_PREFIXES[4])
     if m.filter_rules:
         before = run.count()
         run.set(apply_filters(run.df, list(m.filter_rules)))
-        run.log("filter_rows", f"Filtered {before - run.count()} rows using manual rules.")
+        run.log("filter_rows", detail("filter_rows", n=before - run.count()))
     if m.remove_outliers and numeric_columns:
         before = run.count()
         run.set(remove_outliers(run.df, numeric_columns, float(m.outlier_zscore_threshold)))
-        run.log("remove_outliers", f"Removed {before - run.count()} rows outside z-score threshold.")
+        run.log("remove_outliers", detail("remove_outliers", n=before - run.count()))
     if m.encode_categoricals:
         cols = [c for c in columns_of(run.df, TEXT) if c != m.target_column]
         df, encoded_outputs, details = encode_categoricals(run.df, cols)
@@ -155,10 +156,10 @@ def manual_clean(run: _Run, request: CleanRequest) -> None:
         cols = scale_columns(run.df, m.target_column, encoded_outputs)
         if cols:
             run.df = scale_numeric(run.df, cols)
-            run.log("scale_numeric", f"Scaled columns: {', '.join(cols)}")
+            run.log("scale_numeric", detail("scale_numeric", cols))
     if m.remove_duplicates:
         run.dedupe("remove_duplicates_final")
-    run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, "residual_manual")
+    run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, FILL_PREFIXES[5])
 
 
 def finalize(run: _Run) -> None:
@@ -180,15 +181,15 @@ def finalize(run: _Run) -> None:
         rows, nonempty = stats[("", "rows")], stats[("", "nonempty")]
         if nonempty != rows:
             run.set(run.df.na.drop(how="all"), nonempty)
-            run.log("drop_empty_rows", f"Removed {rows - nonempty} fully empty rows.")
+            run.log("drop_empty_rows", detail("drop_empty_rows", n=rows - nonempty))
         empty = [c for c in cols if stats[(c, "nn")] == 0] if nonempty > 0 else []
         if empty:
             run.df = run.df.drop(*empty)
-            run.log("drop_empty_columns", f"Dropped empty columns: {', '.join(empty)}")
+            run.log("drop_empty_columns", detail("drop_empty_columns", empty))
     conv = bool_to_int(run.df)
     if conv.converted:
         run.df = conv.df
-        run.log("normalize_boolean_columns", f"Converted boolean columns to 0/1: {', '.join(conv.converted)}")
+        run.log("normalize_boolean_columns", detail("normalize_boolean_columns", conv.converted))
 
 
 def clean(df: DataFrame, request: CleanRequest | None = None) -> CleanResult:

@@ -19,7 +19,7 @@ from tabclean.operators.profile import _profile_view, display_value, profile, to
 from tabclean.operators.rows import FilterRule, apply_filters, drop_sparse_rows
 from tabclean.operators.scale import scale_columns, scale_numeric
 from tabclean.operators.types import coerce_numeric, convert_datetimes, infer_types
-from tabclean.plans.pipeline import _Run, clean, finalize
+from tabclean.plans.cleaning import _Run, clean, finalize
 from tabclean.plans.request import CleanRequest, ManualOptions
 from tabclean.plans.suggest import prompt_flags, suggest_plans
 from tabclean.session import scratch_dir

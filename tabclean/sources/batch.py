@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabclean.plans.pipeline import clean
+from tabclean.plans.cleaning import clean
 from tabclean.plans.request import CleanRequest
 from tabclean.sources.csv import dedupe_sources, read_csv, source_manifest, write_csv
 

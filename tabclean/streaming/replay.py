@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabclean.plans.pipeline import clean
+from tabclean.plans.cleaning import clean
 from tabclean.plans.request import CleanRequest
 from tabclean.sources.csv import csv_markers_to_null, infer_csv_types, printable, trim_header
 from tabclean.session import scratch_dir

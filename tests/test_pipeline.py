@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tabclean.plans.pipeline import clean
+from tabclean.plans.cleaning import clean
 from tabclean.plans.request import CleanRequest, ManualOptions
 from tabclean.plans.suggest import prompt_flags
 from tabclean.operators.rows import FilterRule
