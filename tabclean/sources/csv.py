@@ -26,6 +26,7 @@ from tabclean.functions.textform import double_text
 from tabclean.operators.fit import fit
 from tabclean.operators.kinds import NUMERIC, is_fractional, kind_of, q
 from tabclean.sources.preview import serialize
+from tabclean.sources.tables import widen
 
 SUPPORTED_SUFFIXES = (".csv", ".xlsx", ".xls")
 READABLE_SUFFIXES = (".csv",)
@@ -190,7 +191,7 @@ def read_csv(spark: SparkSession, paths, encoding: str | None = None, infer_type
             df = df.unionByName(other, allowMissingColumns=True)
     else:
         df = _spark_read(spark, paths, encoding, multi_line)
-    df = csv_markers_to_null(trim_header(df))
+    df = csv_markers_to_null(trim_header(widen(df)))
     return infer_csv_types(df) if infer_types else df
 
 

@@ -57,6 +57,25 @@ def duckdb_sql_of(name: str) -> str:
     return DIRTY_SQL[name].replace("{S}", "varchar")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a narrow input over every core of the cluster.
+
+    A scan with fewer partitions than the cluster's default parallelism (a
+    multi-line CSV file is read by one task) would run every fused
+    expression and partial aggregate of the first stage in that many tasks.
+    Such an input is round-robined into ``defaultParallelism`` partitions. A
+    wide input (any real table at scale: one task per file split) is returned
+    unchanged, so no shuffle is added where the scan is already parallel.
+    Filters and column pruning still reach the scan below the exchange.
+    """
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # a Connect session: the server plans the scan
+        return df
+    return df.repartition(target) if current < target else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -64,3 +64,48 @@ def test_boolean_and_id_columns(spark):
 def test_whole_row_duplicates_count_null_equal(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "a"), (2, "a"), (2, "a")], "x int, y string")
     assert profile(df).duplicate_rows == 3
+
+
+def test_column_stats_on_a_wide_table_match_brute_force(spark):
+    """F1 is one grouped aggregate whatever the width: 300 columns of mixed kinds."""
+    import random
+
+    from tabclean.operators.profile import _profile_view, column_stats
+
+    rnd = random.Random(7)
+    width, n = 300, 40
+    schema = ", ".join(f"c{i} {'double' if i % 3 else 'string'}" for i in range(width))
+    data = []
+    for _ in range(n):
+        row = []
+        for i in range(width):
+            if rnd.random() < 0.2:
+                row.append(None)
+            elif i % 3:
+                row.append(float(rnd.randint(-50, 50)))
+            else:
+                row.append(rnd.choice(["7", " 8.5 ", "x", "2024-01-02", "abc"]))
+        data.append(tuple(row))
+    df = spark.createDataFrame(data, schema)
+    stats = column_stats(_profile_view(df))
+    assert stats[("", "rows")] == n
+    for i in range(width):
+        vals = [r[i] for r in data]
+        present = [v for v in vals if v is not None]
+        assert stats[(f"c{i}", "nn")] == len(present)
+        if i % 3:
+            assert stats[(f"c{i}", "min")] == min(present) and stats[(f"c{i}", "max")] == max(present)
+            assert math.isclose(stats[(f"c{i}", "mean")], sum(present) / len(present))
+        else:
+            assert stats[(f"c{i}", "num")] == sum(1 for v in present if v.strip() in ("7", "8.5"))
+            assert stats[(f"c{i}", "dt")] == sum(1 for v in present if v == "2024-01-02")
+
+
+def test_widen_only_spreads_narrow_inputs(spark):
+    from tabclean.sources.tables import widen
+
+    cores = spark.sparkContext.defaultParallelism
+    narrow = spark.range(100).coalesce(1)
+    assert widen(narrow).rdd.getNumPartitions() == cores
+    wide = spark.range(0, 100, 1, cores * 2)
+    assert widen(wide) is wide
