@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabclean.functions import to_datetime, to_number
 from tabclean.functions.numbers import is_integer_text
-from tabclean.operators.fit import fit
+from tabclean.operators.fit import count_by_column
 from tabclean.operators.kinds import BOOLEAN, DATETIME, NUMERIC, TEXT, columns_of, kind_of, q
 
 NUMERIC_COERCE_RATIO = 0.9      # cleaner: share of non-missing values that parse, >=
@@ -30,14 +30,10 @@ def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> Conversio
     row holds an integer, else double (an integer column with gaps is double).
     """
     text_cols = columns if columns is not None else columns_of(df, TEXT)
-    exprs = {}
-    for name in text_cols:
-        c = F.col(q(name))
-        exprs[(name, "nn")] = F.count(c)
-        exprs[(name, "num")] = F.count(to_number(c))
-        exprs[(name, "int")] = F.count_if(is_integer_text(c))
-    stats = fit(df, {**exprs, ("", "rows"): F.count(F.lit(1))})
-    rows = stats[("", "rows")] if stats else 0
+    if not text_cols:
+        return Conversion(df, [])
+    stats = count_by_column(df, text_cols, {"num": lambda s: to_number(s).isNotNull(), "int": is_integer_text})
+    rows = stats[("", "rows")]
     converted, targets = [], {}
     for name in text_cols:
         nn, num, ints = stats[(name, "nn")], stats[(name, "num")], stats[(name, "int")]
@@ -56,12 +52,9 @@ def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> Conversio
 def convert_datetimes(df: DataFrame, columns: list[str] | None = None) -> Conversion:
     """Text columns where > 80% of non-missing values parse as dates become timestamps."""
     text_cols = columns if columns is not None else columns_of(df, TEXT)
-    exprs = {}
-    for name in text_cols:
-        c = F.col(q(name))
-        exprs[(name, "nn")] = F.count(c)
-        exprs[(name, "dt")] = F.count(to_datetime(c))
-    stats = fit(df, exprs)
+    if not text_cols:
+        return Conversion(df, [])
+    stats = count_by_column(df, text_cols, {"dt": lambda s: to_datetime(s).isNotNull()})
     converted = [
         n for n in text_cols
         if stats[(n, "nn")] > 0 and stats[(n, "dt")] / stats[(n, "nn")] > DATETIME_CONVERT_RATIO
@@ -96,14 +89,8 @@ def infer_type(kind: str, non_missing: int, parsed_dates: int, parsed_numbers: i
 
 def infer_types(df: DataFrame) -> DataFrame:
     """O-20 as a table: column, non-missing count, parse counts, inferred type."""
-    exprs = {}
-    for f in df.schema.fields:
-        c = F.col(q(f.name))
-        exprs[(f.name, "nn")] = F.count(c)
-        if kind_of(f.dataType) == TEXT:
-            exprs[(f.name, "dt")] = F.count(to_datetime(c))
-            exprs[(f.name, "num")] = F.count(to_number(c))
-    stats = fit(df, exprs)
+    stats = count_by_column(df, df.columns, {"dt": lambda s: to_datetime(s).isNotNull(),
+                                             "num": lambda s: to_number(s).isNotNull()})
     rows = []
     for i, f in enumerate(df.schema.fields):
         kind = kind_of(f.dataType)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tabclean.functions.numbers import INTEGER_PATTERN, NUMBER_PATTERN, finite_or_null
 from tabclean.functions.text import CSV_NULL_MARKERS, strip_text
 from tabclean.functions.textform import double_text
-from tabclean.operators.fit import fit
+from tabclean.operators.fit import count_by_column
 from tabclean.operators.kinds import NUMERIC, is_fractional, kind_of, q
 from tabclean.sources.preview import serialize
 from tabclean.sources.tables import widen
@@ -145,14 +145,10 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
     boolean, else text. One aggregate for all columns."""
     if not df.columns:
         return df
-    exprs = {("", "rows"): F.count(F.lit(1))}
-    for c in df.columns:
-        s = strip_text(F.col(q(c)))
-        exprs[(c, "nn")] = F.count(F.col(q(c)))
-        exprs[(c, "int")] = F.count_if(s.rlike(INTEGER_PATTERN))
-        exprs[(c, "num")] = F.count_if(s.rlike(NUMBER_PATTERN))
-        exprs[(c, "bool")] = F.count_if(F.col(q(c)).isin(*TRUE_TEXT, *FALSE_TEXT))
-    stats = fit(df, exprs)
+    stats = count_by_column(df, df.columns, {
+        "int": lambda v: strip_text(v).rlike(INTEGER_PATTERN),
+        "num": lambda v: strip_text(v).rlike(NUMBER_PATTERN),
+        "bool": lambda v: v.isin(*TRUE_TEXT, *FALSE_TEXT)})
     rows = stats[("", "rows")]
     cols = []
     for c in df.columns:

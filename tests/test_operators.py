@@ -150,3 +150,31 @@ def test_median_both_paths_agree(spark):
     small = impute.column_medians(df, ["x"])
     large = impute.column_medians(df, ["x"], {"x": 3001}, {"x": impute.MEDIAN_MAP_MAX + 1})
     assert small["x"] == large["x"] == statistics.median([v for v in vals if v is not None])
+
+
+def test_count_by_column_wide_text_table(spark):
+    """Type fits over 500 text columns: one grouped job, counts equal brute force."""
+    import random
+
+    from tabclean.functions import to_number
+    from tabclean.functions.numbers import is_integer_text
+    from tabclean.operators.fit import count_by_column
+    from tabclean.operators.types import coerce_numeric
+
+    rnd = random.Random(3)
+    width = 500
+    cols = [f"t{i}" for i in range(width)]
+    pool = ["1", " 2 ", "3.5", "x", None, "1e3"]
+    data = [tuple(rnd.choice(pool) for _ in cols) for _ in range(30)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols))
+    stats = count_by_column(df, cols, {"num": lambda s: to_number(s).isNotNull(), "int": is_integer_text})
+    assert stats[("", "rows")] == 30
+    for i, c in enumerate(cols):
+        vals = [r[i] for r in data if r[i] is not None]
+        assert stats[(c, "nn")] == len(vals)
+        assert stats[(c, "num")] == sum(1 for v in vals if v != "x")
+        assert stats[(c, "int")] == sum(1 for v in vals if v.strip() in ("1", "2"))
+    conv = coerce_numeric(df)
+    expect = [c for i, c in enumerate(cols)
+              if (vals := [r[i] for r in data if r[i] is not None]) and sum(v != "x" for v in vals) / len(vals) >= 0.9]
+    assert conv.converted == expect
