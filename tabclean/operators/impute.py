@@ -24,7 +24,10 @@ TEXT_STRATEGIES = ("mode", "constant", "none")
 # A column whose distinct-value sketch is at most this goes through Spark's
 # exact percentile_disc, whose buffer holds one entry per distinct value;
 # larger columns use the distributed rank (no buffer grows with the data).
+# The buffers of all columns meet in the one final task of the aggregate, so
+# their sum is bounded too; columns beyond it take the rank path.
 MEDIAN_MAP_MAX = 200_000
+MEDIAN_MAP_TOTAL = 1_000_000
 
 
 @dataclass
@@ -51,7 +54,12 @@ def column_medians(df: DataFrame, columns: list[str], counts: dict | None = None
         counts = {c: stats[(c, "nn")] for c in columns}
         sketches = {c: stats[(c, "hll")] for c in columns}
     out: dict[str, float | None] = {c: None for c in columns if not counts.get(c)}
-    small = [c for c in columns if counts.get(c) and sketches.get(c, MEDIAN_MAP_MAX + 1) <= MEDIAN_MAP_MAX]
+    small, budget = [], MEDIAN_MAP_TOTAL
+    for c in sorted((c for c in columns if counts.get(c)), key=lambda c: sketches.get(c, MEDIAN_MAP_MAX + 1)):
+        size = sketches.get(c, MEDIAN_MAP_MAX + 1)
+        if size <= MEDIAN_MAP_MAX and size <= budget:
+            small.append(c)
+            budget -= size
     large = [c for c in columns if counts.get(c) and c not in small]
     if small:
         exprs = {}

@@ -178,3 +178,23 @@ def test_count_by_column_wide_text_table(spark):
     expect = [c for i, c in enumerate(cols)
               if (vals := [r[i] for r in data if r[i] is not None]) and sum(v != "x" for v in vals) / len(vals) >= 0.9]
     assert conv.converted == expect
+
+
+def test_median_total_budget_sends_the_rest_to_the_rank_path(spark, monkeypatch):
+    import statistics
+    from tabclean.operators import impute
+    rows = [(float(i % 17), float((i * 31) % 101), float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    monkeypatch.setattr(impute, "MEDIAN_MAP_TOTAL", 120)   # a and b fit, c does not
+    seen = {}
+    real = impute.exact_medians
+
+    def spy(long, group, value, partitions=None):
+        out = real(long, group, value, partitions)
+        seen["rank_groups"] = sorted(out)
+        return out
+    monkeypatch.setattr(impute, "exact_medians", spy)
+    got = impute.column_medians(df, ["a", "b", "c"], {"a": 500, "b": 500, "c": 500}, {"a": 17, "b": 101, "c": 500})
+    assert seen["rank_groups"] == [0]            # only c went through the rank
+    for i, c in enumerate("abc"):
+        assert got[c] == statistics.median([r[i] for r in rows])
