@@ -1,6 +1,6 @@
 """O-30..O-45: column and dataset profile.
 
-Three data passes, each one job:
+Three data passes, each one job (submitted together):
 
 * F1 - one aggregate by column index over unpivoted values: row count,
   non-missing counts, parse counts of text columns, mean / sample std / min /
@@ -19,6 +19,7 @@ Only per-column summaries come back to the driver (bounded by the schema).
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -291,23 +292,25 @@ def profile(df: DataFrame, file_name: str = "dataset", light: bool = False) -> D
     view = _profile_view(df)
     fields = view.schema.fields
 
-    # F1
-    stats = column_stats(view, light)
+    # F1, F2 and F3 do not depend on each other: they are submitted together
+    # from driver threads, so the scheduler can run their stages side by side
+    # (each job's partitioning, and so its result, is the same as alone).
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        f1 = pool.submit(column_stats, view, light)
+        f2 = pool.submit(lambda: column_value_summary(view, with_top=not light).collect())
+        f3 = pool.submit(lambda: 0 if light else duplicate_rows(view))
+        stats, summary, dups = f1.result(), f2.result(), f3.result()
     if not fields:
         stats[("", "rows")] = view.count()
     rows = int(stats[("", "rows")] or 0)
 
-    # F2
     dist, tops = {}, {}
-    for r in column_value_summary(view, with_top=not light).collect():
+    for r in summary:
         if r["rank"] == 0:
             dist[r["idx"]] = (int(r["distinct"]), bool(r["has_missing"]))
         else:
             tops.setdefault(r["idx"], []).append((r["rank"], r["value"], int(r["n"])))
 
-    # F3
-    dups = 0 if light else duplicate_rows(view)
-
     columns = []
     missing_cells = 0
     for i, f in enumerate(fields):
