@@ -9,6 +9,7 @@ Fitted values go back into the plan as literals (no join).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -123,11 +124,21 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
         return stats[(c, "nn")] < rows
 
     steps, values, updates = [], {}, {}
+    filled = [c for c in numeric_cols if gaps(c)] if numeric_strategy != "none" else []
+    dt_gaps = [c for c in datetime_cols if gaps(c) and stats[(c, "nn")] > 0]
+    text_gaps = [c for c in text_cols if gaps(c)] if text_strategy != "none" else []
+    mode_text = text_gaps if text_strategy == "mode" else []
+    # The median and mode jobs do not depend on each other: submitted together.
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        medians = pool.submit(column_medians, df, filled, {c: stats[(c, "nn")] for c in filled},
+                              {c: stats[(c, "hll")] for c in filled}) if numeric_strategy == "median" else None
+        modes = pool.submit(column_modes, df, mode_text, dt_gaps) if (mode_text or dt_gaps) else None
+        medians = medians.result() if medians else {}
+        modes = modes.result() if modes else {}
+
     if numeric_strategy != "none":
-        filled = [c for c in numeric_cols if gaps(c)]
         if numeric_strategy == "median":
-            fills = column_medians(df, filled, {c: stats[(c, "nn")] for c in filled},
-                                   {c: stats[(c, "hll")] for c in filled})
+            fills = medians
         elif numeric_strategy == "mean":
             fills = {c: stats[(c, "mean")] for c in filled}
         else:
@@ -142,11 +153,6 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
             steps.append((step_prefix + FILL_SUFFIXES["numeric"],
                           detail("fill_numeric", filled, strategy=numeric_strategy)))
 
-    dt_gaps = [c for c in datetime_cols if gaps(c) and stats[(c, "nn")] > 0]
-    text_gaps = [c for c in text_cols if gaps(c)] if text_strategy != "none" else []
-    mode_text = text_gaps if text_strategy == "mode" else []
-    modes = column_modes(df, mode_text, dt_gaps) if (mode_text or dt_gaps) else {}
-
     filled_dt = []
     for c in dt_gaps:
         v = modes.get(c)
