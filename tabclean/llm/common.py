@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabclean.session import scratch_dir
@@ -133,3 +133,33 @@ def _coded(parts: pa.Array):
 
 def no_nulls(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "")
+
+
+def file_system(uri: str):
+    """The Arrow file system of a folder that Spark names, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def running_totals(rows: DataFrame, order: str, weight: str, fan: int = 1024) -> DataFrame:
+    """Add ``before``: the sum of ``weight`` over all rows of smaller ``order`` (whole numbers from 0).
+
+    Two levels, so that no task gets more than ``fan`` rows or one row a group.
+    """
+    g = (F.col(order) / F.lit(fan)).cast("bigint")
+    inner = Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = rows.withColumn("_g", g)
+    groups = grouped.groupBy("_g").agg(F.sum(weight).alias("_w")).select("_g", F.coalesce(F.sum("_w").over(outer), F.lit(0)).alias("_before"))
+    return (grouped.withColumn("_in", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+            .join(groups, "_g").withColumn("before", F.col("_in") + F.col("_before")).drop("_g", "_in", "_before"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabclean.llm import ann, common, exact_dedup, ring
+from tabclean.llm import ann, common, exact_dedup, langid, ngram_lm, packing, records, ring, simhash, sp_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,26 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, sf_dir, "documents"), common.remainder_of_id("doc_id", 7) == 2)
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = common.remainder_of_id("doc_id", 3) == 1
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs, model).select("doc_id", (common.remainder_of_id("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = records.write_records(_table(spark, sf_dir, "documents"), common.vocabulary("byte_bpe_50k.json"), end_id=2)
+    return records.read_back(manifest)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(_table(spark, sf_dir, "documents"), shards=8)
 
@@ -27,10 +47,24 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_bpe.digests(_table(spark, sf_dir, "documents"), common.vocabulary("piece_bpe_32k.model"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), common.vocabulary("word_bpe_49k.json"), length=2048, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
+    "op5_token_records": op5_token_records,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
