@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabclean.llm import ann, common, exact_dedup, langid, ngram_lm, packing, records, ring, simhash, sp_bpe
+from tabclean.llm import ann, common, exact_dedup, langid, ngram_lm, packing, records, ring, simhash, sp_bpe, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = common.remainder_of_id("doc_id", 3) == 1
     model = langid.fit(docs, ~held_out)
-    return langid.identify(docs, model).select("doc_id", (common.remainder_of_id("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,13 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = common.remainder_of_id("doc_id", 5) == 0
+    scorer = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.digests(_table(spark, sf_dir, "documents"), common.vocabulary("piece_bpe_32k.model"))
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_records": op5_token_records,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
+    "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
 }

@@ -276,3 +276,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = look_up(rooted, members, "_root", "_size", hot_limit(rows.count()))
     out = look_up(rows, placed.select("_fp", "component_id", "_n"), "_fp", "_n", hot_limit(rows.count()))
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                     distance: int = MAX_DISTANCE, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+    """The documents that have the smallest id of their component; all columns kept.
+
+    Rows with a null id are kept: there is no id to tell them by.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, distance, segments, block)
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")
