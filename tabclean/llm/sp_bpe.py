@@ -143,10 +143,13 @@ class AgendaCodec:
 
     def decode(self, ids: list[int]) -> str:
         text = self.spell(ids)
-        return text[1:] if text.startswith(" ") else text
+        first = self.surface[ids[0]] if ids else None
+        return text[1:] if isinstance(first, str) and first.startswith(" ") else text
 
     def check(self, words: list[str], found: list[list[int]]) -> None:
         """Raise unless the library gives the same ids, and the same text for them."""
+        if not words:
+            return
         if self.library.encode(words, num_threads=1) != found:
             bad = next(w for w, ids in zip(words, found) if self.library.encode(w) != ids)
             raise ValueError(f"ids differ from the library for {bad!r}")
