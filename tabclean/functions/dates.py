@@ -10,13 +10,27 @@ from tabclean.functions.text import strip_text
 # Fixed layouts, tried in this order (Spark datetime patterns), each with a
 # cheap shape test that accepts everything the layout can parse. A failed
 # parse costs an exception inside the parser, so the shape test keeps text
-# that cannot be a date (most text) away from it.
+# that cannot be a date (most text) away from it. With both readings possible
+# the month comes first; a first number above 12 can only be a day.
+_CLOCK = "[ HH:mm[:ss[.SSSSSS]]]"
+_CLOCK_SHAPE = r"( \d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 DATE_FORMATS = (
     ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"),
-    ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"),
+    ("yyyy-MM-dd'T'HH:mm[:ss[.SSSSSS]][XXX]", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"),
+    ("yyyy-MM-dd HH:mm[:ss[.SSSSSS]][XXX]", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}"),
     ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    (f"M/d/yyyy{_CLOCK}", r"^\d{1,2}/\d{1,2}/\d{4}" + _CLOCK_SHAPE),
+    (f"d/M/yyyy{_CLOCK}", r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}" + _CLOCK_SHAPE),
+    (f"M-d-yyyy{_CLOCK}", r"^\d{1,2}-\d{1,2}-\d{4}" + _CLOCK_SHAPE),
+    (f"d-M-yyyy{_CLOCK}", r"^(1[3-9]|2\d|3[01])-\d{1,2}-\d{4}" + _CLOCK_SHAPE),
+    (f"yyyy/M/d{_CLOCK}", r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK_SHAPE),
+    (f"yyyy.M.d{_CLOCK}", r"^\d{4}\.\d{1,2}\.\d{1,2}" + _CLOCK_SHAPE),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
     ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"),
+    ("MMM d yyyy", r"^[A-Za-z]{3} \d{1,2} \d{4}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]{3,9} \d{4}$"),
     ("yyyyMMdd", r"^\d{8}$"),
 )
 

@@ -28,5 +28,10 @@ def to_number(c: Column) -> Column:
     return finite_or_null(parsed)
 
 
-def is_integer_text(c: Column) -> Column:
-    return strip_text(c).rlike(INTEGER_PATTERN)
+UNSIGNED_64 = "decimal(20,0)"
+
+
+def to_integer(c: Column, data_type: str) -> Column:
+    """Parse integer text straight to ``data_type`` (every digit kept); anything else gives NULL."""
+    stripped = strip_text(c)
+    return F.when(stripped.rlike(INTEGER_PATTERN), stripped.try_cast(data_type))

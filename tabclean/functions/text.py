@@ -18,8 +18,6 @@ CSV_NULL_MARKERS = (
 # Python's str.strip() whitespace, derived by its own rule (str.isspace):
 # Unicode White_Space plus the information separators U+001C..U+001F.
 WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
-_WS = r"[\s\x{1C}-\x{1F}]"
-_BLANK = rf"(?U)^{_WS}*$"
 
 
 def strip_text(c: Column) -> Column:
@@ -31,10 +29,6 @@ def strip_text(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
-def is_blank(c: Column) -> Column:
-    return c.rlike(_BLANK)
-
-
 def normalized_text(c: Column) -> Column:
     """Stripped text, or NULL when it is blank or a missing marker."""
     stripped = strip_text(c)

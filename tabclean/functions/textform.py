@@ -15,14 +15,24 @@ from tabclean.operators.kinds import BOOLEAN, DATETIME, NUMERIC, kind_of, is_fra
 
 
 def double_text(x: Column) -> Column:
-    """Python's repr of a double: plain decimals in [1e-4, 1e16), else 1.5e-05 / 1e+16."""
-    plain = F.regexp_replace(F.regexp_replace(
-        x.try_cast(T.DecimalType(38, 17)).cast("string"), r"0+$", ""), r"\.$", ".0")
+    """Python's repr of a double: plain decimals in [1e-4, 1e16), else 1.5e-05 / 1e+16.
+
+    Java prints digits that read back as the same number (the shortest ones
+    from Java 19 on), as 1.5E-4 or 1.5E7 outside [1e-3, 1e7);
+    the plain form moves the point in that text, so no digit is lost.
+    """
     sci = x.cast("string")                      # Java form, e.g. 1.5E-5
+    power = F.regexp_extract(sci, r"E(-?[0-9]+)$", 1).try_cast("int")
+    sign = F.when(sci.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(sci, r"^-?([0-9.]+)E", 1), r"\.", ""), r"(?<=.)0+$", "")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0"))
+    large = F.concat(sign, F.substr(whole, F.lit(1), power + 1), F.lit("."),
+                     F.when(F.length(whole) > power + 1, F.substr(whole, power + 2)).otherwise(F.lit("0")))
+    plain = F.when(power.isNull(), sci).when(power < 0, small).otherwise(large)
     mant = F.regexp_replace(F.regexp_extract(sci, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    exp = F.regexp_extract(sci, r"E(-?[0-9]+)$", 1).cast("int")
-    sci_py = F.concat(mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-                      F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    sci_py = F.concat(mant, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                      F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
     a = F.abs(x)
     use_plain = (x == 0) | ((a >= F.lit(1e-4)) & (a < F.lit(1e16)))
     return (F.when(F.isnan(x), F.lit("nan"))

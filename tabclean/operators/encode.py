@@ -3,10 +3,7 @@
 Cardinalities come from one long value-count shuffle. One-hot columns hold at
 most 20 values, so their sorted values are a bounded collect. Label codes are
 dense ranks from the distributed rank (no single-task window), joined back
-per column: a label table whose distinct count is under a checked bound is
-broadcast; otherwise values that alone exceed an average partition ("hot",
-at most one per partition by counting) are split off and joined by broadcast,
-and the rest goes through a sort-merge join.
+per column by digest (see ``label_encode``).
 """
 
 from __future__ import annotations
@@ -22,8 +19,7 @@ from tabclean.plans.steps import detail
 
 ONE_HOT_MAX_VALUES = 20
 ONE_HOT_MAX_RATIO = 0.2
-BROADCAST_LABELS_MAX = 200_000              # distinct values of a broadcast label table
-BROADCAST_LABELS_BYTES = 64 * 1024 * 1024   # and their total text size
+BROADCAST_LABELS_MAX = 200_000   # distinct values of a broadcast label table
 
 
 @dataclass
@@ -31,7 +27,6 @@ class EncodingPlan:
     one_hot: dict = field(default_factory=dict)     # column -> sorted values
     label: list = field(default_factory=list)
     distinct: dict = field(default_factory=dict)
-    bytes: dict = field(default_factory=dict)
     rows: int = 0
 
 
@@ -47,21 +42,19 @@ def choose_encoding(df: DataFrame, columns: list[str]) -> EncodingPlan:
         return EncodingPlan()
     counts = _long_counts(df, columns)
     per_col = counts.groupBy("idx").agg(
-        F.count("v").alias("distinct"), F.sum("n").alias("rows"), F.sum(F.octet_length("v")).alias("bytes"))
+        F.count("v").alias("distinct"), F.sum("n").alias("rows"))
     w = Window.partitionBy("idx").orderBy("v")
     first = (counts.filter(F.col("v").isNotNull())
              .withColumn("r", F.row_number().over(w)).filter(F.col("r") <= ONE_HOT_MAX_VALUES + 1))
-    stats = per_col.select("idx", "distinct", "rows", "bytes", F.lit(None).cast("string").alias("v"),
+    stats = per_col.select("idx", "distinct", "rows", F.lit(None).cast("string").alias("v"),
                            F.lit(0).alias("r"))
     both = stats.unionByName(first.select("idx", F.lit(None).cast("bigint").alias("distinct"),
-                                          F.lit(None).cast("bigint").alias("rows"),
-                                          F.lit(None).cast("bigint").alias("bytes"), "v", "r"))
+                                          F.lit(None).cast("bigint").alias("rows"), "v", "r"))
     plan = EncodingPlan()
     values: dict[int, list] = {}
     for r in both.collect():
         if r["r"] == 0:
             plan.distinct[columns[r["idx"]]] = int(r["distinct"])
-            plan.bytes[columns[r["idx"]]] = int(r["bytes"] or 0)
             plan.rows = max(plan.rows, int(r["rows"]))
         else:
             values.setdefault(r["idx"], []).append((r["r"], r["v"]))
@@ -74,58 +67,69 @@ def choose_encoding(df: DataFrame, columns: list[str]) -> EncodingPlan:
     return plan
 
 
-def one_hot(df: DataFrame, encoded: dict) -> tuple[DataFrame, list[str]]:
-    """O-73: ``{col}_{value}`` 0/1 columns appended at the end, source dropped."""
-    keep = [F.col(q(c)) for c in df.columns if c not in encoded]
-    dummies, names = [], []
+def one_hot(df: DataFrame, encoded: dict) -> tuple[DataFrame, list[str], dict]:
+    """O-73: ``{col}_{value}`` 0/1 columns appended at the end, source dropped.
+
+    A name that is taken already gets the next free number (``a_x_2``). Returns
+    the frame, the new names and what was renamed.
+    """
+    keep = [c for c in df.columns if c not in encoded]
+    taken, dummies, names, renamed = set(keep), [], [], {}
     for c, vals in encoded.items():
         for v in vals:
-            name = f"{c}_{v}"
+            name, k = f"{c}_{v}", 2
+            while name in taken:
+                name, k = f"{c}_{v}_{k}", k + 1
+            if k > 2:
+                renamed[f"{c}={v}"] = name
+            taken.add(name)
             dummies.append(F.when(F.col(q(c)) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(name))
             names.append(name)
-    return df.select(*keep, *dummies), names
+    return df.select(*[F.col(q(c)) for c in keep], *dummies), names, renamed
+
+
+def _digest(v):
+    """16 bytes that stand for a value in joins and shuffles."""
+    return F.unhex(F.md5(v.cast("binary")))
 
 
 def label_encode(df: DataFrame, columns: list[str], distinct: dict | None = None,
-                 rows: int | None = None, sizes: dict | None = None) -> DataFrame:
+                 rows: int | None = None, counts: DataFrame | None = None,
+                 broadcast_max: int = BROADCAST_LABELS_MAX) -> DataFrame:
     """O-74: code = position among the sorted distinct values, missing = -1.
 
-    ``distinct`` / ``sizes`` (value count and text bytes per column, from the
-    encoding fit) decide whether a label table is small enough to broadcast.
+    The values are ranked once and then stood for by 16-byte digests. Each
+    column adds joins to one and the same branch, so the input is scanned once
+    whatever the number of columns. A label table of at most
+    ``broadcast_max`` values (24 bytes each) is broadcast. Of a larger one, the
+    values that alone exceed an average partition (at most one a partition) are
+    broadcast; the rows they and the missing values leave without a key get
+    keys of their own that match nothing, so no key is hot in the join of the rest.
     """
     if not columns:
         return df
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = _long_counts(df, columns).filter(F.col("v").isNotNull())
+    partitions = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = (_long_counts(df, columns) if counts is None else counts).filter(F.col("v").isNotNull())
     ranks = dense_ranks(counts, "idx", "v")  # keeps n: the count of every value
-    order = df.columns
+    ranks = ranks.select("idx", _digest(F.col("v")).alias("_d"), F.col("rank").cast("int").alias("_code"), "n")
+    if distinct is None or rows is None:
+        sizes = {r["idx"]: r for r in ranks.groupBy("idx").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()}
+        distinct = {c: sizes[i]["k"] if i in sizes else 0 for i, c in enumerate(columns)}
+        rows = max([r["n"] for r in sizes.values()], default=0)
     out = df
     for i, c in enumerate(columns):
-        labels = ranks.filter(F.col("idx") == i).select(F.col("v").alias("_v"), F.col("rank").alias("_code"), "n")
-        n_distinct = distinct.get(c) if distinct else None
-        n_bytes = sizes.get(c) if sizes else None
-        cond = F.col(q(c)) == F.col("_v")
-        small = (n_distinct is not None and n_bytes is not None
-                 and n_distinct <= BROADCAST_LABELS_MAX and n_bytes <= BROADCAST_LABELS_BYTES)
-        if small:
-            out = out.join(F.broadcast(labels.drop("n")), cond, "left")
+        labels = ranks.filter(F.col("idx") == i).drop("idx")
+        out = out.withColumn("_k", _digest(F.col(q(c)).cast("string")))
+        if distinct.get(c, 0) <= broadcast_max:
+            out = out.join(F.broadcast(labels.select(F.col("_d").alias("_k"), "_code")), "_k", "left")
         else:
-            if rows is None:
-                rows = df.count()
-            hot_floor = max(1, rows // max(partitions, 1))
-            hot = [r["_v"] for r in labels.filter(F.col("n") > hot_floor).select("_v").collect()]
-            cold_labels = labels.drop("n")
-            if hot:
-                hot_labels = labels.filter(F.col("_v").isin(hot)).drop("n")
-                hot_rows = out.filter(F.col(q(c)).isin(hot)).join(F.broadcast(hot_labels), cond, "inner")
-                cold_rows = out.filter(~F.col(q(c)).isin(hot) | F.col(q(c)).isNull())
-                cold_labels = cold_labels.filter(~F.col("_v").isin(hot))
-                out = hot_rows.unionByName(cold_rows.join(cold_labels, cond, "left"))
-            else:
-                out = out.join(cold_labels, cond, "left")
-        out = out.withColumn(c, F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_v", "_code")
-        out = out.select(*[F.col(q(x)) for x in order])
+            hot = labels.filter(F.col("n") > max(1, rows // partitions))
+            out = out.join(F.broadcast(hot.select(F.col("_d").alias("_k"), F.col("_code").alias("_hot"))), "_k", "left")
+            alone = F.concat(F.lit(b"-"), F.unhex(F.md5(F.monotonically_increasing_id().cast("string").cast("binary"))))  # 17 bytes
+            out = out.withColumn("_k", F.when(F.col("_k").isNull() | F.col("_hot").isNotNull(), alone).otherwise(F.col("_k")))
+            out = out.join(labels.select(F.col("_d").alias("_k"), "_code"), "_k", "left")
+            out = out.withColumn("_code", F.coalesce("_hot", "_code"))
+        out = out.withColumn(c, F.coalesce(F.col("_code"), F.lit(-1))).select(*[F.col(q(x)) for x in df.columns])
     return out
 
 
@@ -135,16 +139,18 @@ def encode_categoricals(df: DataFrame, columns: list[str]) -> tuple[DataFrame, l
         return df, [], detail("encode_none")
     plan = choose_encoding(df, columns)
     outputs: list[str] = []
-    out = df
+    out, renamed = df, {}
     if plan.one_hot:
-        out, names = one_hot(out, plan.one_hot)
+        out, names, renamed = one_hot(out, plan.one_hot)
         outputs.extend(names)
     if plan.label:
-        out = label_encode(out, plan.label, plan.distinct, plan.rows, plan.bytes)
+        out = label_encode(out, plan.label, plan.distinct, plan.rows)
         outputs.extend(plan.label)
     parts = []
     if plan.one_hot:
         parts.append(detail("encode_one_hot", list(plan.one_hot)))
     if plan.label:
         parts.append(detail("encode_label", plan.label))
+    if renamed:
+        parts.append(detail("encode_renamed", [f"{v} as {name}" for v, name in renamed.items()]))
     return out, outputs, ". ".join(parts)

@@ -19,6 +19,35 @@ def fit(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return {k: row[a] for k, a in zip(keys, aliases)}
 
 
+WIDE = 64  # columns up to which one aggregate per column is planned; more go by index
+
+
+def moments(df: DataFrame, numbers: dict[str, Column], wide: int = WIDE) -> dict:
+    """Count, mean and population std of named number expressions, in ONE job.
+
+    Up to ``wide`` columns these are plain aggregates. Beyond, the values are
+    unpivoted to ``(idx, x)`` and aggregated by index, so that the generated
+    code does not grow with the schema; partial aggregation leaves one row per
+    column and task. Both give the same results.
+
+    Returns ``{name: (non-missing, mean, std)}``.
+    """
+    from pyspark.sql import functions as F
+
+    names = list(numbers)
+    if not names:
+        return {}
+    if len(names) <= wide:
+        got = fit(df, {(n, k): f(numbers[n]) for n in names
+                       for k, f in (("nn", F.count), ("mean", F.avg), ("std", F.stddev_pop))})
+        return {n: (got[(n, "nn")], got[(n, "mean")], got[(n, "std")]) for n in names}
+    structs = [F.struct(F.lit(i).alias("idx"), numbers[n].cast("double").alias("x")) for i, n in enumerate(names)]
+    long = df.select(F.inline(F.array(*structs))).filter("x is not null")
+    found = {r["idx"]: (r["nn"], r["mean"], r["std"]) for r in long.groupBy("idx").agg(
+        F.count("x").alias("nn"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).collect()}
+    return {n: found.get(i, (0, None, None)) for i, n in enumerate(names)}
+
+
 def count_by_column(df: DataFrame, columns: list[str], conditions: dict) -> dict:
     """Per-column counts of rows meeting each condition, in ONE job.
 

@@ -15,20 +15,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabclean.operators.fit import fit
+from tabclean.operators.fit import count_by_column, moments
 from tabclean.operators.kinds import DATETIME, NUMERIC, TEXT, columns_of, q
 from tabclean.operators.rank import exact_medians
-from tabclean.plans.steps import FILL_SUFFIXES, detail
+from tabclean.plans.steps import detail
 
 NUMERIC_STRATEGIES = ("mean", "median", "zero", "none")
 TEXT_STRATEGIES = ("mode", "constant", "none")
-# A column whose distinct-value sketch is at most this goes through Spark's
-# exact percentile_disc, whose buffer holds one entry per distinct value;
-# larger columns use the distributed rank (no buffer grows with the data).
-# The buffers of all columns meet in the one final task of the aggregate, so
-# their sum is bounded too; columns beyond it take the rank path.
-MEDIAN_MAP_MAX = 200_000
-MEDIAN_MAP_TOTAL = 1_000_000
 
 
 @dataclass
@@ -38,46 +31,13 @@ class FillResult:
     values: dict = field(default_factory=dict)
 
 
-def column_medians(df: DataFrame, columns: list[str], counts: dict | None = None,
-                   sketches: dict | None = None) -> dict[str, float | None]:
-    """Exact median of each column: the midpoint of the two middle values.
-
-    ``counts`` (non-missing values) and ``sketches`` (approximate distinct
-    values) come from the caller's fit, or from one aggregate here. Columns
-    with a bounded number of distinct values get both middle values from one
-    ``percentile_disc`` aggregate; the rest share one distributed rank.
-    """
+def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact median of each column (the midpoint of the two middle values), from one distributed rank."""
     if not columns:
         return {}
-    if counts is None or sketches is None:
-        stats = fit(df, {**{(c, "nn"): F.count(F.col(q(c))) for c in columns},
-                         **{(c, "hll"): F.approx_count_distinct(F.col(q(c))) for c in columns}})
-        counts = {c: stats[(c, "nn")] for c in columns}
-        sketches = {c: stats[(c, "hll")] for c in columns}
-    out: dict[str, float | None] = {c: None for c in columns if not counts.get(c)}
-    small, budget = [], MEDIAN_MAP_TOTAL
-    for c in sorted((c for c in columns if counts.get(c)), key=lambda c: sketches.get(c, MEDIAN_MAP_MAX + 1)):
-        size = sketches.get(c, MEDIAN_MAP_MAX + 1)
-        if size <= MEDIAN_MAP_MAX and size <= budget:
-            small.append(c)
-            budget -= size
-    large = [c for c in columns if counts.get(c) and c not in small]
-    if small:
-        exprs = {}
-        for c in small:
-            upper = 0.5 + 0.5 / counts[c]   # rank n/2 + 1 when n is even, the middle when odd
-            exprs[(c, "a")] = F.expr(f"percentile_disc(0.5) within group (order by double({q(c)}))")
-            exprs[(c, "b")] = F.expr(f"percentile_disc({upper!r}) within group (order by double({q(c)}))")
-        got = fit(df, exprs)
-        for c in small:
-            a, b = got[(c, "a")], got[(c, "b")]
-            out[c] = None if a is None or b is None else (float(a) + float(b)) / 2
-    if large:
-        structs = [F.struct(F.lit(i).alias("idx"), F.col(q(c)).cast("double").alias("v")) for i, c in enumerate(large)]
-        long = df.select(F.inline(F.array(*structs)))
-        med = exact_medians(long, "idx", "v")
-        out.update({c: med.get(i) for i, c in enumerate(large)})
-    return out
+    structs = [F.struct(F.lit(i).alias("idx"), F.col(q(c)).cast("double").alias("v")) for i, c in enumerate(columns)]
+    medians = exact_medians(df.select(F.inline(F.array(*structs))), "idx", "v")
+    return {c: medians.get(i) for i, c in enumerate(columns)}
 
 
 def column_modes(df: DataFrame, text_cols: list[str], datetime_cols: list[str]) -> dict:
@@ -108,16 +68,7 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
     numeric_cols = columns_of(df, NUMERIC)
     datetime_cols = columns_of(df, DATETIME)
     text_cols = columns_of(df, TEXT)
-    exprs = {("", "rows"): F.count(F.lit(1))}
-    for c in numeric_cols + datetime_cols + text_cols:
-        exprs[(c, "nn")] = F.count(F.col(q(c)))
-    if numeric_strategy == "mean":
-        for c in numeric_cols:
-            exprs[(c, "mean")] = F.avg(F.col(q(c)))
-    if numeric_strategy == "median":
-        for c in numeric_cols:
-            exprs[(c, "hll")] = F.approx_count_distinct(F.col(q(c)))
-    stats = fit(df, exprs)
+    stats = count_by_column(df, numeric_cols + datetime_cols + text_cols, {})
     rows = stats[("", "rows")]
 
     def gaps(c):
@@ -130,8 +81,7 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
     mode_text = text_gaps if text_strategy == "mode" else []
     # The median and mode jobs do not depend on each other: submitted together.
     with ThreadPoolExecutor(max_workers=2) as pool:
-        medians = pool.submit(column_medians, df, filled, {c: stats[(c, "nn")] for c in filled},
-                              {c: stats[(c, "hll")] for c in filled}) if numeric_strategy == "median" else None
+        medians = pool.submit(column_medians, df, filled) if numeric_strategy == "median" else None
         modes = pool.submit(column_modes, df, mode_text, dt_gaps) if (mode_text or dt_gaps) else None
         medians = medians.result() if medians else {}
         modes = modes.result() if modes else {}
@@ -140,7 +90,7 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
         if numeric_strategy == "median":
             fills = medians
         elif numeric_strategy == "mean":
-            fills = {c: stats[(c, "mean")] for c in filled}
+            fills = {c: mean for c, (_, mean, _) in moments(df, {c: F.col(q(c)) for c in filled}).items()}
         else:
             fills = {c: 0.0 for c in filled}
         for c in filled:
@@ -150,7 +100,7 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
             x = F.col(q(c)).cast("double")
             updates[c] = x if v is None else F.coalesce(x, F.lit(v))
         if filled:
-            steps.append((step_prefix + FILL_SUFFIXES["numeric"],
+            steps.append((step_prefix + "_numeric",
                           detail("fill_numeric", filled, strategy=numeric_strategy)))
 
     filled_dt = []
@@ -163,7 +113,7 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
         updates[c] = F.coalesce(F.col(q(c)), F.lit(v).cast("timestamp_ntz").cast(dtype))
         filled_dt.append(c)
     if filled_dt:
-        steps.append((step_prefix + FILL_SUFFIXES["datetime"], detail("fill_datetime", filled_dt)))
+        steps.append((step_prefix + "_datetime", detail("fill_datetime", filled_dt)))
 
     if text_gaps:
         for c in text_gaps:
@@ -172,7 +122,7 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
                 v = text_constant
             values[c] = v
             updates[c] = F.coalesce(F.col(q(c)), F.lit(v))
-        steps.append((step_prefix + FILL_SUFFIXES["text"], detail("fill_text", text_gaps, strategy=text_strategy)))
+        steps.append((step_prefix + "_text", detail("fill_text", text_gaps, strategy=text_strategy)))
 
     out = df.withColumns(updates) if updates else df
     return FillResult(out, steps, values)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabclean.functions import to_number
-from tabclean.operators.fit import fit
+from tabclean.operators.fit import moments
 from tabclean.operators.kinds import TEXT, kind_of, q
 
 
@@ -24,20 +24,15 @@ def zscore_condition(df: DataFrame, numeric_columns: list[str], threshold: float
     cols = [c for c in numeric_columns if c in df.columns]
     if not cols:
         return None
-    exprs = {}
-    for c in cols:
-        x = _as_number(df, c)
-        exprs[(c, "mean")] = F.avg(x)
-        exprs[(c, "std")] = F.stddev_pop(x)
-    stats = fit(df, exprs)
-    cond = F.lit(True)
-    for c in cols:
-        mean, std = stats[(c, "mean")], stats[(c, "std")]
+    near = []
+    for c, (_, mean, std) in moments(df, {c: _as_number(df, c) for c in cols}).items():
         if mean is None or std is None or std == 0:
             continue
         z = F.abs((_as_number(df, c) - F.lit(mean)) / F.lit(std))
-        cond = cond & (z.isNull() | (z <= F.lit(float(threshold))))
-    return cond
+        near.append(z.isNull() | (z <= F.lit(float(threshold))))
+    if not near:
+        return None
+    return near[0] if len(near) == 1 else F.least(*near)  # flat: false is least
 
 
 def remove_outliers(df: DataFrame, numeric_columns: list[str], threshold: float = 3.0) -> DataFrame:

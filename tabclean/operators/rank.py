@@ -62,31 +62,20 @@ def exact_medians(values: DataFrame, group: str, value: str, partitions: int | N
 
     ``values`` holds one row per observation ``(group, value)``; NULL values are
     ignored. Values are first counted (map-side combine absorbs a hot value),
-    then ranked; only the <= 2 middle rows per group reach the driver.
+    then ranked; only the <= 2 middle rows per group reach the driver. The ranks
+    are whole numbers: ``(n - 1) // 2`` and ``n // 2``.
     """
     counts = (values.filter(F.col(value).isNotNull())
               .groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")))
     cum, sizes = prefix_sums(counts, group, value, "_n", partitions)
     if not sizes:
         return {}
-    cond = None
-    for g, n in sizes.items():
-        lo, hi = (n - 1) // 2, n // 2
-        c = (F.col(group) == F.lit(g)) & (
-            ((F.col("_cum") - F.col("_n") <= lo) & (F.lit(lo) < F.col("_cum")))
-            | ((F.col("_cum") - F.col("_n") <= hi) & (F.lit(hi) < F.col("_cum"))))
-        cond = c if cond is None else cond | c
-    middle = cum.filter(cond).select(group, value, "_cum", "_n").collect()
-    out = {}
-    for g, n in sizes.items():
-        lo, hi = (n - 1) // 2, n // 2
-        rows = [r for r in middle if r[group] == g]
-
-        def at(k):
-            for r in rows:
-                if r["_cum"] - r["_n"] <= k < r["_cum"]:
-                    return float(r[value])
-            return None
-        a, b = at(lo), at(hi)
-        out[g] = (a + b) / 2 if a is not None and b is not None else None
-    return out
+    wanted = values.sparkSession.createDataFrame(  # one row a group
+        [(g, (n - 1) // 2, n // 2) for g, n in sizes.items()],
+        f"`{group}` {dict(values.dtypes)[group]}, _lo bigint, _hi bigint")
+    holds = lambda k: (F.col("_cum") - F.col("_n") <= F.col(k)) & (F.col(k) < F.col("_cum"))
+    middle = (cum.join(F.broadcast(wanted), group).select(group, value, holds("_lo").alias("_a"), holds("_hi").alias("_b"))
+              .filter("_a or _b").collect())
+    low = {r[group]: float(r[value]) for r in middle if r["_a"]}
+    high = {r[group]: float(r[value]) for r in middle if r["_b"]}
+    return {g: (low[g] + high[g]) / 2 for g in sizes}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from dataclasses import dataclass
 
@@ -28,9 +29,24 @@ class FilterRule:
     def validate(self) -> None:
         if self.operator not in FILTER_OPERATORS:
             raise ValueError(f"unknown filter operator: {self.operator}")
-        if self.operator in ("greater_than", "less_than"):
+        if self.operator in ("greater_than", "less_than") and not self.is_empty() and _timestamp_value(self.value) is None:
             float(self.value)  # raises ValueError like the reference does
 
+    def is_empty(self) -> bool:
+        """A rule without column or value asks for nothing."""
+        return not str(self.column).strip() or not str(self.value).strip()
+
+
+def _timestamp_value(value: str) -> dt.datetime | None:
+    """The value as an ISO date or timestamp in UTC, if it is one."""
+    try:
+        found = dt.datetime.fromisoformat(str(value).strip())
+    except ValueError:
+        return None
+    if str(value).strip().isdigit():
+        return None  # 20240105 is a number
+    return found.astimezone(dt.timezone.utc).replace(tzinfo=None) if found.tzinfo else found
+
 
 def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """O-50: unknown names are ignored."""
@@ -38,9 +54,10 @@ def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*present) if present else df
 
 
-def auto_drop_candidates(profile) -> list[str]:
-    """O-51: possible ids and columns with rounded missing ratio >= 0.85."""
-    return [c.name for c in profile.columns if c.possible_id or c.missing_ratio >= AUTO_DROP_MISSING]
+def auto_drop_candidates(profile, keep: tuple[str, ...] = ()) -> list[str]:
+    """O-51: possible ids and columns with rounded missing ratio >= 0.85, but those in ``keep``."""
+    return [c.name for c in profile.columns
+            if (c.possible_id or c.missing_ratio >= AUTO_DROP_MISSING) and c.name not in keep]
 
 
 def min_non_missing(n_columns: int, threshold: float) -> int:
@@ -63,14 +80,6 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all")
 
 
-def empty_columns(df: DataFrame, rows: int | None = None) -> list[str]:
-    """O-54 fit: columns with no value (one aggregate)."""
-    if not df.columns:
-        return []
-    stats = fit(df, {c: F.count(F.col(q(c))) for c in df.columns})
-    return [c for c in df.columns if stats[c] == 0]
-
-
 def _number_value(value: str):
     """The reference coerces the rule value with to_numeric; NaN when it is not a number."""
     import re
@@ -122,7 +131,12 @@ def filter_condition(df: DataFrame, rule: FilterRule):
             return F.lit(False) if v is None else hit
         return F.lit(True) if v is None else (c.isNull() | ~hit)
     if op in ("greater_than", "less_than"):
-        v = float(rule.value)
+        moment = _timestamp_value(rule.value)
+        if moment is not None and kind == DATETIME:
+            bound = F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz").cast("timestamp" if isinstance(dtype, T.TimestampType) else "timestamp_ntz")
+            x = c.cast("timestamp_ntz") if isinstance(dtype, T.DateType) else c
+            return (x > bound) if op == "greater_than" else (x < bound)
+        v = float(rule.value)  # an ISO value on another kind of column raises
         if math.isnan(v):
             return F.lit(False)
         gt = op == "greater_than"
@@ -166,11 +180,17 @@ def _ns_compare(c, dtype, v: float, gt: bool):
 
 
 def apply_filters(df: DataFrame, rules: list[FilterRule]) -> DataFrame:
-    """O-60: rules are conjunctive; one filter that Catalyst pushes toward the scan."""
+    """O-60: rules are conjunctive; one filter that Catalyst pushes toward the scan.
+
+    Rules without column or value are dropped. A rule that compares a datetime
+    as text takes the layout of the rows that the rules before it have left.
+    """
     cond = None
     for rule in rules:
+        if rule.is_empty():
+            continue
         rule.validate()
-        c = filter_condition(df, rule)
+        c = filter_condition(df if cond is None else df.filter(cond), rule)
         if c is None:
             continue
         cond = c if cond is None else (cond & c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabclean.operators.fit import fit
+from tabclean.operators.fit import moments
 from tabclean.operators.kinds import NUMERIC, columns_of, q
 
 
@@ -17,14 +17,8 @@ def scale_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / std_pop; missing stays missing. One aggregate, one projection."""
     if not columns:
         return df
-    exprs = {}
-    for c in columns:
-        exprs[(c, "mean")] = F.avg(F.col(q(c)))
-        exprs[(c, "std")] = F.stddev_pop(F.col(q(c)))
-    stats = fit(df, exprs)
     updates = {}
-    for c in columns:
-        mean, std = stats[(c, "mean")], stats[(c, "std")]
+    for c, (_, mean, std) in moments(df, {c: F.col(q(c)) for c in columns}).items():
         if mean is None:
             updates[c] = F.col(q(c)).cast("double")
             continue

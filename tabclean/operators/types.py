@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabclean.functions import to_datetime, to_number
-from tabclean.functions.numbers import is_integer_text
+from tabclean.functions.numbers import UNSIGNED_64, to_integer
 from tabclean.operators.fit import count_by_column
 from tabclean.operators.kinds import BOOLEAN, DATETIME, NUMERIC, TEXT, columns_of, kind_of, q
 
@@ -26,23 +26,37 @@ class Conversion:
 def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> Conversion:
     """Text columns where >= 90% of non-missing values are numbers become numbers.
 
-    Values that do not parse become NULL. The new column is bigint when every
-    row holds an integer, else double (an integer column with gaps is double).
+    Values that do not parse become NULL. When every row holds an integer, the
+    digits are kept: bigint if all fit, else decimal(20,0) if all are unsigned
+    64-bit numbers; otherwise the new column is double (an integer column with
+    gaps is double). A boolean column with gaps becomes 0/1 as double, so that
+    its gaps are filled like those of any number.
     """
-    text_cols = columns if columns is not None else columns_of(df, TEXT)
-    if not text_cols:
+    given = columns if columns is not None else df.columns
+    text_cols = [c for c in columns_of(df, TEXT) if c in given]
+    bool_cols = [c for c in columns_of(df, BOOLEAN) if c in given]
+    if not text_cols + bool_cols:
         return Conversion(df, [])
-    stats = count_by_column(df, text_cols, {"num": lambda s: to_number(s).isNotNull(), "int": is_integer_text})
+    stats = count_by_column(df, text_cols + bool_cols, {
+        "num": lambda s: to_number(s).isNotNull(), "int": lambda s: to_integer(s, "bigint").isNotNull(),
+        "u64": lambda s: to_integer(s, UNSIGNED_64).between(0, F.lit(str(2**64 - 1)).cast(UNSIGNED_64))})
     rows = stats[("", "rows")]
     converted, targets = [], {}
-    for name in text_cols:
-        nn, num, ints = stats[(name, "nn")], stats[(name, "num")], stats[(name, "int")]
+    for name in df.columns:
+        if name in bool_cols and 0 < stats[(name, "nn")] < rows:
+            targets[name] = F.col(q(name)).cast("int").cast("double")
+            converted.append(name)
+        if name not in text_cols:
+            continue
+        nn, num = stats[(name, "nn")], stats[(name, "num")]
         if nn == 0 or num / nn < NUMERIC_COERCE_RATIO:
             continue
-        parsed = to_number(F.col(q(name)))
-        if num == rows and ints == rows:
-            parsed = parsed.cast("bigint")
-        targets[name] = parsed
+        if stats[(name, "int")] == rows:
+            targets[name] = to_integer(F.col(q(name)), "bigint")
+        elif stats[(name, "u64")] == rows:
+            targets[name] = to_integer(F.col(q(name)), UNSIGNED_64)
+        else:
+            targets[name] = to_number(F.col(q(name)))
         converted.append(name)
     if not converted:
         return Conversion(df, [])

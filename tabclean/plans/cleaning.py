@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tabclean.operators.dedupe import deduplicate
 from tabclean.operators.encode import encode_categoricals
-from tabclean.operators.fit import fit
+from tabclean.operators.fit import count_by_column, fit
 from tabclean.operators.impute import missing_cleanup
 from tabclean.operators.kinds import NUMERIC, TEXT, columns_of, q
 from tabclean.operators.normalize import normalize_raw
@@ -28,7 +28,7 @@ from tabclean.operators.rows import (apply_filters, auto_drop_candidates, drop_c
 from tabclean.operators.scale import scale_columns, scale_numeric
 from tabclean.operators.types import bool_to_int, coerce_numeric, convert_datetimes
 from tabclean.plans.request import CleanRequest
-from tabclean.plans.steps import FILL_PREFIXES, detail
+from tabclean.plans.steps import detail
 
 LOG_SCHEMA = "step_no int, name string, details string"
 
@@ -66,9 +66,14 @@ class _Run:
         return self.rows
 
     def persist(self) -> None:
+        """Keep the frame; the caller's next count fills it, then the copy before it goes."""
         self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
         self.persisted.append(self.df)
 
+    def release_earlier(self) -> None:
+        while len(self.persisted) > 1:
+            self.persisted.pop(0).unpersist()
+
     def set(self, df: DataFrame, rows: int | None = None) -> None:
         self.df, self.rows = df, rows
 
@@ -85,6 +90,7 @@ class _Run:
         self.set(deduplicate(self.df))
         self.persist()
         removed = before - self.count()
+        self.release_earlier()
         if removed:
             self.log(step_name, detail("remove_duplicates", n=removed))
 
@@ -100,19 +106,19 @@ class _Run:
             self.log("convert_datetimes", detail("convert_datetimes", conv.converted))
 
 
-def auto_clean(run: _Run) -> None:
-    """O-77: coerce -> drop ids / sparse columns -> dedupe -> fill -> dates -> fill -> dedupe."""
+def auto_clean(run: _Run, keep: tuple[str, ...] = ()) -> None:
+    """O-77: coerce -> drop ids / sparse columns (but ``keep``) -> dedupe -> fill -> dates -> fill -> dedupe."""
     run.coerce()
     prof = profile(run.df, "auto", light=True)
     run.rows = prof.rows
-    candidates = auto_drop_candidates(prof)
+    candidates = auto_drop_candidates(prof, keep)
     if candidates:
         run.df = drop_columns(run.df, candidates)
         run.log("drop_columns", detail("drop_columns", candidates))
     run.dedupe("remove_duplicates")
-    run.fill("median", "mode", "unknown", FILL_PREFIXES[0])
+    run.fill("median", "mode", "unknown", "auto")
     run.convert_dates()
-    run.fill("median", "mode", "unknown", FILL_PREFIXES[1])
+    run.fill("median", "mode", "unknown", "post_datetime_auto")
     run.dedupe("remove_duplicates_final")
 
 
@@ -132,12 +138,12 @@ def manual_clean(run: _Run, request: CleanRequest) -> None:
         run.log("drop_sparse_rows", detail("drop_sparse_rows", n=before - run.count()))
     numeric_columns = columns_of(run.df, NUMERIC)
     if m.fill_numeric_strategy != "none":
-        run.fill(m.fill_numeric_strategy, "none", m.text_constant, FILL_PREFIXES[2])
+        run.fill(m.fill_numeric_strategy, "none", m.text_constant, "manual_numeric")
     if m.fill_text_strategy != "none":
-        run.fill("none", m.fill_text_strategy, m.text_constant, FILL_PREFIXES[3])
+        run.fill("none", m.fill_text_strategy, m.text_constant, "manual_text")
     if m.convert_datetimes:
         run.convert_dates()
-        run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, FILL_PREFIXES[4])
+        run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, "post_datetime_manual")
     if m.filter_rules:
         before = run.count()
         run.set(apply_filters(run.df, list(m.filter_rules)))
@@ -159,26 +165,23 @@ def manual_clean(run: _Run, request: CleanRequest) -> None:
             run.log("scale_numeric", detail("scale_numeric", cols))
     if m.remove_duplicates:
         run.dedupe("remove_duplicates_final")
-    run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, FILL_PREFIXES[5])
+    run.fill(m.fill_numeric_strategy, m.fill_text_strategy, m.text_constant, "residual_manual")
 
 
 def finalize(run: _Run) -> None:
     """O-79: drop fully empty rows, then empty columns, then booleans to 0/1.
 
-    One aggregate gives both the non-empty row count and each column's
-    value count (an empty row adds no value to any column). With no row left
-    the schema is kept (D-10).
+    One aggregate by column index gives each column's value count; the rows
+    that hold any value are counted only where every column has gaps. With no
+    row left the schema is kept (D-10).
     """
     cols = run.df.columns
     if cols:
-        any_value = F.lit(False)
-        for c in cols:
-            any_value = any_value | F.col(q(c)).isNotNull()
-        exprs = {("", "rows"): F.count(F.lit(1)), ("", "nonempty"): F.count_if(any_value)}
-        for c in cols:
-            exprs[(c, "nn")] = F.count(F.col(q(c)))
-        stats = fit(run.df, exprs)
-        rows, nonempty = stats[("", "rows")], stats[("", "nonempty")]
+        stats = count_by_column(run.df, cols, {})
+        rows = nonempty = stats[("", "rows")]
+        if all(stats[(c, "nn")] < rows for c in cols):  # a full column leaves no empty row
+            marks = [F.when(F.col(q(c)).isNotNull(), F.lit(True)) for c in cols]
+            nonempty = fit(run.df, {"n": F.count(F.coalesce(*marks))})["n"]
         if nonempty != rows:
             run.set(run.df.na.drop(how="all"), nonempty)
             run.log("drop_empty_rows", detail("drop_empty_rows", n=rows - nonempty))
@@ -197,7 +200,7 @@ def clean(df: DataFrame, request: CleanRequest | None = None) -> CleanResult:
     request = (request or CleanRequest()).validate()
     run = _Run(normalize_raw(df))
     if request.mode == "auto":
-        auto_clean(run)
+        auto_clean(run, tuple(request.keep_columns))
     else:
         manual_clean(run, request)
     finalize(run)

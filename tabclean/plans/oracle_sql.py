@@ -9,11 +9,13 @@ written out for the given data; every statistic is computed by the SQL.
 from __future__ import annotations
 
 from tabclean.functions.text import MISSING_MARKERS
-from tabclean.plans.registry import FILTER_RULES, PROMPT  # noqa: F401  (kept in step)
+from tabclean.plans.registry import FILTER_RULES
 from tabclean.plans.suggest import (FLAG_WORDS, REASON_DATE, REASON_DEFAULT, REASON_DUPLICATE, REASON_ENCODE,
                                     REASON_MISSING, REASON_OUTLIER, REASON_SCALE)
 from tabclean.operators import profile as P
-from tabclean.sources.tables import duckdb_sql_of
+from tabclean.sources.csv import REASON_SUFFIX
+from tabclean.sources.tables import (BIG_ORDERS_SQL, BOOLEAN_ORDERS_SQL, EXACT_ORDERS_SQL, INF_EVENTS_SQL, NAMED_ORDERS_SQL,
+                                     ODD_ORDERS_SQL, SKEWED_ORDERS_SQL, WIDE_COLUMNS, WIDE_PART_SQL, duckdb_sql_of, duckdb_text)
 
 DUCK_DATE_FORMATS = ("%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%d %H:%M:%S",
                      "%Y-%m-%d %H:%M:%S.%f", "%m/%d/%Y", "%b %d, %Y", "%Y%m%d")
@@ -212,6 +214,8 @@ def filter_sql(name: str) -> str:
         "filter_contains": f"regexp_matches({text('prio')}, 'URG|na')",
         "filter_contains_num": rf"regexp_matches({text('cast(price as varchar)')}, '\.5')",
         "filter_date": "coalesce(strftime(odate, '%Y-%m-%d'), 'NaT') = '1996-01-02'",
+        "filter_date_gt": "odate > timestamp '1996-01-02' and odate < timestamp '1997-06-30'",
+        "filter_empty_rules": "price < 300000.0",
         "filter_all": (f"regexp_matches({text('prio')}, 'HIGH|URG') and price > 1000.0 "
                        f"and cust_txt is distinct from 605.0"),
     }
@@ -261,6 +265,47 @@ def manual_clean_sql() -> str:
         f"select * from m8")
 
 
+def auto_keep_sql() -> str:
+    """As auto_clean, but o_orderkey is kept, so copies are told by it too."""
+    return (f"with {DIRTY_ORDERS}, {DN}, a1 as (select distinct o_orderkey, price, prio, odate, cust_txt from dn), "
+            f"a2 as (select distinct o_orderkey, coalesce(price, (select median(price) from a1)) as price, "
+            f"coalesce(prio, {_mode('prio', 'a1')}) as prio, coalesce(odate, {_mode('odate', 'a1')}) as odate, "
+            f"coalesce(cust_txt, (select median(cust_txt) from a1)) as cust_txt from a1) "
+            f"select o_orderkey, {sig('price')} as price, prio, {ts('odate')} as odate, {sig('cust_txt')} as cust_txt from a2")
+
+
+def manual_label_sql() -> str:
+    """Which columns are ids, one-hot or label-encoded is decided by the statistics, in SQL."""
+    ids = "(select count(distinct price)::double / count(price) > 0.95 and count(price)::double / count(*) > 0.95 from d)"
+    return (f"with d as ({duckdb_text(NAMED_ORDERS_SQL)}), m1 as (select distinct case when {ids} then null else price end as price, "
+            f"cust, prio from d), "
+            f"m2 as (select coalesce(price, (select median(price) from m1)) as price, coalesce(cust, {_mode('cust', 'm1')}) as cust, "
+            f"coalesce(prio, {_mode('prio', 'm1')}) as prio from m1), "
+            f"m3 as (select price, (dense_rank() over (order by cust) - 1)::int as cust, {_one_hot_cols('prio', PRIO_VALUES[:5])} from m2) "
+            f"select distinct {sig('price')} as price, * exclude (price) from m3")
+
+
+def half_sql(query: str) -> str:
+    """The halves of dirty_orders by o_orderkey, each cleaned by the manual recipe of HALF_OPTIONS on its own.
+
+    A CSV file holds the dates as text, so a missing one first becomes the
+    constant, which is no date, then the mode.
+    """
+    by = lambda c: f"(select mode_{c} from st where st.half = h1.half)"
+    return (f"with {DIRTY_ORDERS}, {DN}, h1 as (select distinct o_orderkey % 2 as half, o_orderkey, price, prio, odate, cust_txt from dn), "
+            f"md as (select half, odate as mode_odate from (select half, odate, row_number() over (partition by half order by count(*) desc, odate) as r "
+            f"from h1 where odate is not null group by half, odate) where r = 1), "
+            f"av as (select half, avg(price) as mode_price, avg(cust_txt) as mode_cust_txt from h1 group by half), "
+            f"st as (select * from md join av using (half)), "
+            f"h2 as (select half, o_orderkey, coalesce(price, {by('price')}) as price, coalesce(prio, 'unknown') as prio, "
+            f"coalesce(odate, {by('odate')}) as odate, coalesce(cust_txt, {by('cust_txt')}) as cust_txt from h1), "
+            f"h3 as (select distinct * from h2), "
+            # steps: coercion, copies (if any), numeric fill, text fill, date conversion, date fill
+            f"n0 as (select o_orderkey % 2 as half, count(*) as n from dn group by 1), "
+            f"n1 as (select half, count(*) as n from h1 group by 1), "
+            f"steps as (select half, 5 + (n0.n > n1.n)::int as steps from n0 join n1 using (half)) {query}")
+
+
 def compare_sql() -> str:
     cnt = "count(*) * 5 - count(o_orderkey) - count(price) - count(prio) - count(odate) - count(cust_txt)"
     return (f"with {auto_clean_ctes()} "
@@ -390,7 +435,39 @@ def oracle_queries() -> dict[str, str]:
         "normalize_text": (f"with {DIRTY_ORDERS} select o_orderkey, {sig('price')} as price, {norm('prio')} as prio, "
                            f"{ts('odate')} as odate, {norm('cust_txt')} as cust_txt from d"),
         "infer_ratio": infer_sql(),
-        "coerce_numeric": f"with {DIRTY_ORDERS}, {DN} select o_orderkey, {sig('cust_txt')} as cust_txt from dn",
+        "coerce_numeric": f"with {DIRTY_ORDERS}, {DN} select {DN_OUT} from dn",
+        "coerce_bigint": (f"select o_orderkey, big::bigint as big, u64, 'bigint,bigint,decimal(20,0)' as types "
+                          f"from ({duckdb_text(BIG_ORDERS_SQL)})"),
+        "inf_to_null": (f"select event_id, {sig('case when isfinite(value) then value end')} as value from ({INF_EVENTS_SQL})"),
+        "bool_to_int": "select o_orderkey, (o_orderstatus = 'F')::int as done, (o_totalprice > 100000)::int as large from orders",
+        "convert_dates_wide": (f"select o_orderkey, {ts('case when o_orderkey % 10 in (2, 3, 7) then date_trunc(' + lit('day') + ', o_orderdate) + interval 630 minute else date_trunc(' + lit('day') + ', o_orderdate) end')} as d_txt from orders"),
+        "fill_median_odd": (f"with d as ({ODD_ORDERS_SQL}) select o_orderkey, "
+                            f"{sig('coalesce(price, (select median(price) from d))')} as price from d"),
+        "fill_boolean": (f"with d as (select o_orderkey, done::int::double as done from ({BOOLEAN_ORDERS_SQL})) select o_orderkey, "
+                         f"coalesce(done, (select median(done) from d)) as done from d"),
+        "one_hot_collision": (f"select o_orderkey, o_custkey, {sig('o_totalprice')} as {qi('o_orderstatus_F')}, {ts('o_orderdate')} as o_orderdate, "
+                              f"o_orderpriority, case when o_orderstatus = 'F' then 1 else 0 end as {qi('o_orderstatus_F_2')}, "
+                              f"{_one_hot_cols('o_orderstatus', ['O', 'P'])} from orders"),
+        "label_encode_skewed": "select o_orderkey, " + ", ".join(
+            f"(case when {c} is null then -1 else dense_rank() over (order by {c} nulls last) - 1 end)::int as {c}" for c in "abc")
+            + f" from ({duckdb_text(SKEWED_ORDERS_SQL)})",
+        "wide_clean": (f"with w as ({WIDE_PART_SQL}) select p_partkey, " + ", ".join(
+            f"{sig(f'coalesce(c{i}::double, (select avg(c{i}) from w))')} as c{i}" for i in range(WIDE_COLUMNS)) + " from w"),
+        "auto_keep": auto_keep_sql(),
+        "manual_label": manual_label_sql(),
+        "pages": " union all ".join(f"select '{t}' as name, greatest(1, ceil(count(*) / 100.0))::bigint as pages from {t}"
+                                    for t in ("events", "documents", "orders")),
+        "csv_exact": EXACT_ORDERS_SQL,
+        "csv_headers": "select o_orderkey, o_orderpriority, o_custkey from orders",
+        "trim_header": "select o_orderkey, o_orderpriority from orders",
+        "dedupe_sources": ("with f as (select 'in/' || lpad(event_id::varchar, 12, '0') as path, event_type as name, user_id % 50 as length, "
+                           "date_trunc('day', ts) as t from events) select min(path) as path, name, length, "
+                           f"{ts('t')} as {qi('modificationTime')} from f group by name, length, t"),
+        "manifest": ("select '.csv' as suffix, true as accepted, null::varchar as reason, count(distinct o_orderpriority) as files from orders "
+                     f"union all select '.txt', false, {lit(REASON_SUFFIX)}, count(distinct o_orderstatus) from orders"),
+        "clean_each": half_sql("select true as accepted, null::varchar as reason, s.steps::int as steps, count(*) as rows "
+                               "from h3 join steps s using (half) group by half, s.steps"),
+        "replay": half_sql(f"select o_orderkey, {sig('price')} as price, prio, {ts('odate')} as odate, {sig('cust_txt')} as cust_txt from h3"),
         "convert_dates": (f"with {dates}, n as (select o_orderkey, {norm('d_txt')} as d_txt from d), "
                           f"r as (select count({date('d_txt')})::double / count(d_txt) as ratio from n) "
                           f"select o_orderkey, case when r.ratio > 0.8 then {ts(date('d_txt'))} else d_txt end as d_txt "
@@ -431,20 +508,20 @@ def oracle_queries() -> dict[str, str]:
         "fill_mode": fill_sql("none", "mode"),
         "fill_constant": fill_sql("none", "constant"),
         "fill_datetime": fill_sql("none", "none"),
-        "outliers": (f"with s as (select {ev_stats} from events) select event_id, {sig('value')} as value "
+        "outliers": (f"with s as (select {ev_stats} from events) select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, user_id, event_type, {sig('value')} as value, props "
                      f"from events, s where {z('event_id')} and {z('user_id')} and {z('value')}"),
-        "one_hot": (f"select o_orderkey, {_one_hot_cols('o_orderstatus', ['F', 'O', 'P'])}, "
+        "one_hot": (f"select o_orderkey, o_custkey, {sig('o_totalprice')} as o_totalprice, {ts('o_orderdate')} as o_orderdate, {_one_hot_cols('o_orderstatus', ['F', 'O', 'P'])}, "
                     f"{_one_hot_cols('o_orderpriority', PRIO_VALUES[:5])} from orders"),
-        "one_hot_source": (f"select doc_id, {_one_hot_cols('lang', ['de', 'en', 'es', 'fr'])}, "
+        "one_hot_source": (f"select doc_id, text, n_chars, {_one_hot_cols('lang', ['de', 'en', 'es', 'fr'])}, "
                            f"{_one_hot_cols('source', sources)} from documents"),
-        "label_encode": ("select p_partkey, (dense_rank() over (order by p_name) - 1)::int as p_name, "
+        "label_encode": (f"select p_partkey, p_size, {sig('p_retailprice')} as p_retailprice, (dense_rank() over (order by p_name) - 1)::int as p_name, "
                          "(dense_rank() over (order by p_brand) - 1)::int as p_brand, "
                          f"{_one_hot_cols('p_type', ['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'])} "
                          "from part"),
-        "label_encode_text": "select doc_id, (dense_rank() over (order by text) - 1)::int as text from documents",
-        "scale_part": f"select p_partkey, {_scale('p_size', 'part')}, {_scale('p_retailprice', 'part')} from part",
-        "scale_lineitem": ("select l_orderkey, " + ", ".join(_scale(c, "lineitem") for c in (
-            "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " from lineitem"),
+        "label_encode_text": "select doc_id, (dense_rank() over (order by text) - 1)::int as text, lang, source, n_chars from documents",
+        "scale_part": f"select p_partkey, p_name, p_brand, p_type, {_scale('p_size', 'part')}, {_scale('p_retailprice', 'part')} from part",
+        "scale_lineitem": (f"select l_orderkey, l_returnflag, l_linestatus, {ts('l_shipdate')} as l_shipdate, " + ", ".join(_scale(c, "lineitem") for c in (
+            "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " from lineitem"),
         "auto_clean": auto_clean_sql(),
         "manual_clean": manual_clean_sql(),
         "compare": compare_sql(),
@@ -457,7 +534,7 @@ def oracle_queries() -> dict[str, str]:
         "suggest_plan": suggest_plan_sql(),
         "csv_roundtrip": (f"with {DIRTY_ORDERS} select o_orderkey, {sig('price')} as price, prio, "
                           f"{ts('odate')} as odate, cust_txt from d"),
-        "encoding_latin1": "select doc_id, lang, source, text, 'cp1252' as encoding from documents",
-        "encoding_utf8": "select doc_id, lang, source, text, 'utf-8' as encoding from documents",
+        "encoding_latin1": "select doc_id, lang, source, n_chars, text, 'cp1252' as encoding from documents",
+        "encoding_utf8": "select doc_id, lang, source, n_chars, text, 'utf-8' as encoding from documents",
     }
     return out

@@ -18,15 +18,18 @@ from tabclean.operators.outliers import remove_outliers
 from tabclean.operators.profile import _profile_view, display_value, profile, top_values, value_counts
 from tabclean.operators.rows import FilterRule, apply_filters, drop_sparse_rows
 from tabclean.operators.scale import scale_columns, scale_numeric
-from tabclean.operators.types import coerce_numeric, convert_datetimes, infer_types
+from tabclean.operators.types import bool_to_int, coerce_numeric, convert_datetimes, infer_types
 from tabclean.plans.cleaning import _Run, clean, finalize
 from tabclean.plans.request import CleanRequest, ManualOptions
-from tabclean.plans.suggest import prompt_flags, suggest_plans
+from tabclean.plans.suggest import prompt_flags, request_of, suggest_plans
 from tabclean.session import scratch_dir
 from tabclean.sources.batch import clean_files
-from tabclean.sources.csv import detect_encodings, read_csv, source_manifest, write_csv
-from tabclean.sources.preview import preview
-from tabclean.sources.tables import dirty, table
+from tabclean.sources.csv import dedupe_sources, detect_encodings, read_csv, source_manifest, write_csv
+from tabclean.sources.presets import list_presets, load_request, save_preset
+from tabclean.sources.preview import page_count, preview
+from tabclean.sources.tables import (BIG_ORDERS_SQL, BOOLEAN_ORDERS_SQL, EXACT_ORDERS_SQL, INF_EVENTS_SQL, NAMED_ORDERS_SQL,
+                                     ODD_ORDERS_SQL, SKEWED_ORDERS_SQL, WIDE_DATES_SQL, WIDE_PART_SQL, dirty, register,
+                                     spark_text, table)
 
 SIG_FORMAT = "%.9e"   # compared doubles keep 10 significant digits
 
@@ -47,13 +50,13 @@ FILTER_RULES = {
     "filter_contains": [FilterRule("prio", "contains", "URG|na")],
     "filter_contains_num": [FilterRule("price", "contains", r"\.5")],
     "filter_date": [FilterRule("odate", "equals", "1996-01-02")],
+    "filter_date_gt": [FilterRule("odate", "greater_than", "1996-01-02T00:00:00"), FilterRule("odate", "less_than", "1997-06-30")],
+    "filter_empty_rules": [FilterRule("prio", "equals", ""), FilterRule("", "equals", "x"),
+                           FilterRule("price", "greater_than", " "), FilterRule("price", "less_than", "300000")],
     "filter_all": [FilterRule("prio", "contains", "HIGH|URG"), FilterRule("price", "greater_than", "1000"),
                    FilterRule("cust_txt", "not_equals", "605"), FilterRule("nope", "equals", "x")],
 }
 
-PROMPT = "Please remove the id column, fill missing values and drop duplicate rows"
-
-
 def sig(c):
     """A double to 9 decimals, then 10 significant digits (summation order does not show)."""
     return F.when(c.isNotNull(), F.format_string(SIG_FORMAT, F.round(c, 9) + F.lit(0.0)).cast("double"))
@@ -92,7 +95,31 @@ def infer_ratio(spark, sf):
 
 
 def coerce_numbers(spark, sf):
-    return render(_orders_clean_input(spark, sf).select("o_orderkey", "cust_txt"))
+    return render(_orders_clean_input(spark, sf))
+
+
+def coerce_bigint(spark, sf):
+    """Integers beyond 2^53 and unsigned 64-bit ones keep their digits."""
+    register(spark, sf, ("orders",))
+    df = coerce_numeric(spark.sql(spark_text(BIG_ORDERS_SQL))).df
+    return df.select("o_orderkey", F.col("big").cast("bigint").alias("big"), F.col("u64").cast("string").alias("u64"),
+                     F.concat_ws(",", *[F.lit(t) for _, t in df.dtypes]).alias("types"))
+
+
+def inf_to_null(spark, sf):
+    register(spark, sf, ("events",))
+    return render(normalize_raw(spark.sql(INF_EVENTS_SQL)))
+
+
+def bool_to_int_orders(spark, sf):
+    register(spark, sf, ("orders",))
+    return bool_to_int(spark.sql("select o_orderkey, o_orderstatus = 'F' as done, o_totalprice > 100000 as large from orders")).df
+
+
+def convert_dates_wide(spark, sf):
+    """The spreadsheet layouts, month first unless the first number can only be a day."""
+    register(spark, sf, ("orders",))
+    return render(convert_datetimes(spark.sql(WIDE_DATES_SQL)).df)
 
 
 def convert_dates(spark, sf):
@@ -200,53 +227,77 @@ def dedupe(spark, sf):
 
 # -- fills, outliers -----------------------------------------------------------
 
-def _fill(numeric, text, constant="unknown", cols=None):
+def _fill(numeric, text, constant="unknown"):
     def run(spark, sf):
-        df = _orders_clean_input(spark, sf)
-        if cols:
-            df = df.select(*cols)
-        return render(missing_cleanup(df, numeric, text, constant, "q").df)
+        return render(missing_cleanup(_orders_clean_input(spark, sf), numeric, text, constant, "q").df)
     return run
 
 
+def fill_median_odd(spark, sf):
+    """An odd number of present values, whose median is one of them."""
+    register(spark, sf, ("orders",))
+    return render(missing_cleanup(spark.sql(ODD_ORDERS_SQL), "median", "none").df)
+
+
+def fill_boolean(spark, sf):
+    register(spark, sf, ("orders",))
+    flags = coerce_numeric(spark.sql(BOOLEAN_ORDERS_SQL)).df
+    return render(missing_cleanup(flags, "median", "mode").df)
+
+
 def outliers(spark, sf):
     ev = table(spark, sf, "events")
-    return render(remove_outliers(ev, ["event_id", "user_id", "value"], 3.0).select("event_id", "value"))
+    return render(remove_outliers(ev, ["event_id", "user_id", "value"], 3.0))
 
 
 # -- encoding, scaling ---------------------------------------------------------
 
 def one_hot(spark, sf):
-    df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return encode_categoricals(df, ["o_orderstatus", "o_orderpriority"])[0]
+    return render(encode_categoricals(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"])[0])
 
 
 def one_hot_source(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    return encode_categoricals(df, ["lang", "source"])[0]
+    return encode_categoricals(table(spark, sf, "documents"), ["lang", "source"])[0]
+
+
+def one_hot_collision(spark, sf):
+    """A dummy column whose name is taken."""
+    df = table(spark, sf, "orders").withColumnRenamed("o_totalprice", "o_orderstatus_F")
+    return render(encode_categoricals(df, ["o_orderstatus"])[0])
 
 
 def label_encode_part(spark, sf):
-    df = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return encode_categoricals(df, ["p_name", "p_brand", "p_type"])[0]
+    return render(encode_categoricals(table(spark, sf, "part"), ["p_name", "p_brand", "p_type"])[0])
 
 
 def label_encode_text(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "text")
-    return label_encode(df, ["text"])
+    return label_encode(table(spark, sf, "documents"), ["text"])
+
+
+def label_encode_skewed(spark, sf):
+    """Three text columns with missing values, one value in half of the rows; no label table is broadcast."""
+    register(spark, sf, ("orders",))
+    return label_encode(spark.sql(spark_text(SKEWED_ORDERS_SQL)), ["a", "b", "c"], broadcast_max=0)
 
 
 def scale_part(spark, sf):
-    df = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    df = table(spark, sf, "part")
     return render(scale_numeric(df, scale_columns(df, target="p_partkey")))
 
 
 def scale_lineitem(spark, sf):
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
-                                             "l_discount", "l_tax")
+    df = table(spark, sf, "lineitem")
     return render(scale_numeric(df, scale_columns(df, target="l_orderkey")))
 
 
+def wide_clean(spark, sf):
+    """A table of 300 columns through the manual recipe."""
+    register(spark, sf, ("part",))
+    req = CleanRequest(mode="manual", manual=ManualOptions(
+        remove_duplicates=False, fill_numeric_strategy="mean", fill_text_strategy="none", convert_datetimes=False))
+    return render(clean(spark.sql(WIDE_PART_SQL), req).df)
+
+
 # -- plans ---------------------------------------------------------------------
 
 def auto_clean(spark, sf):
@@ -258,6 +309,20 @@ def manual_clean(spark, sf):
     return render(clean(dirty(spark, sf, "dirty_orders"), req).df)
 
 
+def auto_keep(spark, sf):
+    """Auto mode with the id column opted out of dropping."""
+    return render(clean(dirty(spark, sf, "dirty_orders"), CleanRequest(keep_columns=["o_orderkey"])).df)
+
+
+def manual_label(spark, sf):
+    """The request a prompt suggests, with encoding: drops the id, fills by median and mode, label-encodes."""
+    register(spark, sf, ("orders",))
+    raw = spark.sql(spark_text(NAMED_ORDERS_SQL))
+    prompt = spark.sql("select 'Remove the id, fill missing values, drop duplicate rows and encode' as text")
+    row = suggest_plans(prompt, "text", profile(raw, "orders", light=True)).first()
+    return render(clean(raw, request_of(row)).df)
+
+
 def compare(spark, sf):
     from tabclean.plans.compare import compare_summaries
     raw = dirty(spark, sf, "dirty_orders")
@@ -283,6 +348,12 @@ def preview_events(spark, sf):
     return page.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+def pages(spark, sf):
+    """The number of preview pages of each table."""
+    rows = [(name, page_count(table(spark, sf, name))) for name in ("events", "documents", "orders")]
+    return spark.createDataFrame(rows, "name string, pages bigint")
+
+
 def prompt_flags_conversations(spark, sf):
     """Flags of every conversation turn (whole texts)."""
     return prompt_flags(table(spark, sf, "conversations"), "text").drop("text")
@@ -292,7 +363,8 @@ def suggest_plan(spark, sf):
     """A suggested plan for dirty_orders from every conversation turn."""
     conv = table(spark, sf, "conversations")
     prof = profile(dirty(spark, sf, "dirty_orders"), "dirty_orders", light=True)
-    return suggest_plans(conv, "text", prof).drop("text")
+    plans = suggest_plans(conv, "text", prof).drop("text")
+    return plans.withColumn("drop_columns", F.array_join("drop_columns", ", "))
 
 
 # -- files ---------------------------------------------------------------------
@@ -306,7 +378,7 @@ def csv_roundtrip(spark, sf):
 
 def _documents_roundtrip(spark, sf, encoding):
     out = scratch_dir(spark, "enc")
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    docs = table(spark, sf, "documents")
     (docs.write.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out))
     found = {r["encoding"] for r in detect_encodings(spark, out).collect()}
@@ -322,24 +394,77 @@ def encoding_utf8(spark, sf):
     return _documents_roundtrip(spark, sf, "UTF-8")
 
 
+def csv_exact(spark, sf):
+    """Doubles of many digits survive writing and reading."""
+    out = scratch_dir(spark, "exact")
+    register(spark, sf, ("orders",))
+    write_csv(spark.sql(EXACT_ORDERS_SQL), out)
+    return read_csv(spark, out)
+
+
+def csv_headers(spark, sf):
+    """Two folders whose files have the same columns in another order."""
+    out = scratch_dir(spark, "headers")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    write_csv(orders.filter("o_orderkey % 2 = 0"), f"{out}/even")
+    write_csv(orders.filter("o_orderkey % 2 = 1").select("o_custkey", "o_orderpriority", "o_orderkey"), f"{out}/odd")
+    return read_csv(spark, [f"{out}/even", f"{out}/odd"]).select("o_orderkey", "o_orderpriority", "o_custkey")
+
+
+def trim_header_orders(spark, sf):
+    """Header names with spaces around them."""
+    out = scratch_dir(spark, "trim")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority").toDF(" o_orderkey ", "o_orderpriority  ")
+    write_csv(orders, out)
+    return read_csv(spark, out)
+
+
 def manifest(spark, sf):
+    """Files by suffix and reason: a CSV file a priority, a text file a status."""
     out = scratch_dir(spark, "manifest")
-    write_csv(table(spark, sf, "orders"), out)
-    return source_manifest(spark, out).select("suffix", "length", "accepted", "reason")
+    orders = table(spark, sf, "orders")
+    orders.repartition("o_orderpriority").write.partitionBy("o_orderpriority").option("header", True).csv(f"{out}/csv")
+    (orders.select("o_orderstatus", F.col("o_orderkey").cast("string").alias("value")).repartition("o_orderstatus")
+     .write.partitionBy("o_orderstatus").text(f"{out}/txt"))
+    return source_manifest(spark, out).groupBy("suffix", "accepted", "reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+def dedupe_sources_events(spark, sf):
+    """A manifest made of events: files of equal name, size and time count once."""
+    files = table(spark, sf, "events").select(
+        F.concat(F.lit("in/"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("path"), F.col("event_type").alias("name"),
+        (F.col("user_id") % 50).alias("length"), F.date_trunc("day", "ts").alias("modificationTime"))
+    return render(dedupe_sources(files))
+
+
+# Each half of the table as one CSV file, as a user uploads it.
+HALF_OPTIONS = ManualOptions(fill_numeric_strategy="mean", fill_text_strategy="constant", text_constant="unknown")
+
+
+def _write_halves(spark, sf, folder):
+    for half in (0, 1):
+        write_csv(dirty(spark, sf, "dirty_orders").filter(F.col("o_orderkey") % 2 == half).coalesce(1), f"{folder}/half{half}")
 
 
 def clean_each(spark, sf):
     src, out = scratch_dir(spark, "each-in"), scratch_dir(spark, "each-out")
-    write_csv(dirty(spark, sf, "dirty_orders").repartition(2, "o_orderkey"), src)
-    return clean_files(spark, src, CleanRequest(), out).select("accepted", "reason", "steps")
+    _write_halves(spark, sf, src)
+    done = clean_files(spark, src, CleanRequest(mode="manual", manual=HALF_OPTIONS), out).collect()
+    rows = [(r["accepted"], r["reason"], r["steps"], spark.read.option("header", True).csv(r["output"]).count()) for r in done]
+    return spark.createDataFrame(rows, "accepted boolean, reason string, steps int, rows bigint")
 
 
 def replay(spark, sf):
-    from tabclean.streaming.replay import replay_stream, text_schema
-    src, out = scratch_dir(spark, "replay-in"), scratch_dir(spark, "replay-out")
-    write_csv(dirty(spark, sf, "dirty_orders").repartition(2, "o_orderkey"), src)
-    replay_stream(spark, src, CleanRequest(), out, text_schema(spark, src))
-    return spark.read.option("header", True).csv(f"{out}/rows")
+    """A saved preset, listed, loaded and replayed on two new files."""
+    from tabclean.streaming.replay import replay_stream
+    src, out, store = (scratch_dir(spark, f"replay-{x}") for x in ("in", "out", "presets"))
+    save_preset(spark, store, "halves", CleanRequest(mode="manual", manual=HALF_OPTIONS))
+    preset = list_presets(spark, store).filter("name = 'halves'").first()
+    _write_halves(spark, sf, src)
+    replay_stream(spark, src, load_request(preset), out)
+    rows = spark.read.option("header", True).csv(f"{out}/rows/*")
+    return render(rows.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("price").cast("double").alias("price"), "prio",
+                              F.col("odate").cast("timestamp_ntz").alias("odate"), F.col("cust_txt").cast("double").alias("cust_txt")))
 
 
 def report(spark, sf):
@@ -353,7 +478,11 @@ QUERIES = {
     "normalize_text": normalize_text,
     "infer_ratio": infer_ratio,
     "coerce_numeric": coerce_numbers,
+    "coerce_bigint": coerce_bigint,
+    "inf_to_null": inf_to_null,
+    "bool_to_int": bool_to_int_orders,
     "convert_dates": convert_dates,
+    "convert_dates_wide": convert_dates_wide,
     "profile_orders": profile_orders,
     "profile_lineitem": profile_lineitem,
     "profile_documents": profile_documents,
@@ -375,22 +504,34 @@ QUERIES = {
     "fill_mode": _fill("none", "mode"),
     "fill_constant": _fill("none", "constant", "unknown"),
     "fill_datetime": _fill("none", "none"),
+    "fill_median_odd": fill_median_odd,
+    "fill_boolean": fill_boolean,
     "outliers": outliers,
     "one_hot": one_hot,
     "one_hot_source": one_hot_source,
+    "one_hot_collision": one_hot_collision,
     "label_encode": label_encode_part,
+    "label_encode_skewed": label_encode_skewed,
     "label_encode_text": label_encode_text,
     "scale_part": scale_part,
     "scale_lineitem": scale_lineitem,
+    "wide_clean": wide_clean,
     "auto_clean": auto_clean,
+    "auto_keep": auto_keep,
+    "manual_label": manual_label,
     "manual_clean": manual_clean,
     "compare": compare,
     "compare_columns": compare_columns_query,
     "execution_log": execution_log,
     "preview": preview_events,
+    "pages": pages,
     "prompt_flags": prompt_flags_conversations,
     "suggest_plan": suggest_plan,
     "csv_roundtrip": csv_roundtrip,
+    "csv_exact": csv_exact,
+    "csv_headers": csv_headers,
+    "trim_header": trim_header_orders,
+    "dedupe_sources": dedupe_sources_events,
     "encoding_latin1": encoding_latin1,
     "encoding_utf8": encoding_utf8,
     "manifest": manifest,

@@ -7,7 +7,7 @@ Serialised as JSON for presets; the Spark schema of that JSON is
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from tabclean.operators.rows import FilterRule
 MODES = ("auto", "manual")
 
 
+# The field names, defaults and choices are the request contract.
 @dataclass
 class ManualOptions:
     drop_columns: list = field(default_factory=list)
@@ -39,6 +40,7 @@ class CleanRequest:
     mode: str = "auto"
     manual: ManualOptions = field(default_factory=ManualOptions)
     ai_instructions: str | None = None
+    keep_columns: list = field(default_factory=list)  # auto mode: never dropped as an id or as sparse
 
     def validate(self) -> "CleanRequest":
         if self.mode not in MODES:
@@ -64,32 +66,34 @@ class CleanRequest:
         manual["filter_rules"] = rules
         known = {k: v for k, v in manual.items() if k in ManualOptions.__dataclass_fields__}
         return CleanRequest(mode=data.get("mode", "auto"), manual=ManualOptions(**known),
-                            ai_instructions=data.get("ai_instructions")).validate()
+                            ai_instructions=data.get("ai_instructions"),
+                            keep_columns=list(data.get("keep_columns") or [])).validate()
 
     @staticmethod
     def from_json(text: str) -> "CleanRequest":
         return CleanRequest.from_dict(json.loads(text))
 
 
-REQUEST_SCHEMA = T.StructType([
-    T.StructField("mode", T.StringType()),
-    T.StructField("ai_instructions", T.StringType()),
-    T.StructField("manual", T.StructType([
-        T.StructField("drop_columns", T.ArrayType(T.StringType())),
-        T.StructField("target_column", T.StringType()),
-        T.StructField("remove_duplicates", T.BooleanType()),
-        T.StructField("drop_missing_rows_threshold", T.DoubleType()),
-        T.StructField("fill_numeric_strategy", T.StringType()),
-        T.StructField("fill_text_strategy", T.StringType()),
-        T.StructField("text_constant", T.StringType()),
-        T.StructField("convert_datetimes", T.BooleanType()),
-        T.StructField("encode_categoricals", T.BooleanType()),
-        T.StructField("remove_outliers", T.BooleanType()),
-        T.StructField("outlier_zscore_threshold", T.DoubleType()),
-        T.StructField("scale_numeric", T.BooleanType()),
-        T.StructField("filter_rules", T.ArrayType(T.StructType([
-            T.StructField("column", T.StringType()),
-            T.StructField("operator", T.StringType()),
-            T.StructField("value", T.StringType())]))),
-    ])),
-])
+_ELEMENTS = {  # what the lists hold
+    "drop_columns": T.StringType(), "keep_columns": T.StringType(),
+    "filter_rules": T.StructType([T.StructField(f.name, T.StringType()) for f in fields(FilterRule)]),
+}
+_TYPES = {"str": T.StringType(), "bool": T.BooleanType(), "float": T.DoubleType()}
+
+
+def _schema(kind: type) -> T.StructType:
+    """The Spark schema of a dataclass of the request."""
+    out = []
+    for f in fields(kind):
+        name = f.type.split(" ")[0]
+        if name == "list":
+            data_type = T.ArrayType(_ELEMENTS[f.name])
+        elif name == "ManualOptions":
+            data_type = _schema(ManualOptions)
+        else:
+            data_type = _TYPES[name]
+        out.append(T.StructField(f.name, data_type))
+    return T.StructType(out)
+
+
+REQUEST_SCHEMA = _schema(CleanRequest)

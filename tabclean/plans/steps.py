@@ -21,16 +21,15 @@ STEP_TEXT = {
     "encode_none": "No text columns available for encoding.",
     "encode_one_hot": "One-hot encoded: {cols}",
     "encode_label": "Label encoded for speed: {cols}",
+    "encode_renamed": "Renamed, as the name was taken: {cols}",  # own wording
     "scale_numeric": "Scaled columns: {cols}",
     "drop_empty_rows": "Removed {n} fully empty rows.",
     "drop_empty_columns": "Dropped empty columns: {cols}",
     "normalize_boolean_columns": "Converted boolean columns to 0/1: {cols}",
 }
-# Prefixes of the fill steps, by position in the recipes.
-FILL_PREFIXES = ("auto", "post_datetime_auto", "manual_numeric", "manual_text", "post_datetime_manual",
-                 "residual_manual")
-# Suffixes of the fill step names.
-FILL_SUFFIXES = {"numeric": "_numeric", "datetime": "_datetime", "text": "_text"}
+# A fill step is named by the place in the recipe that asks for it
+# (auto, post_datetime_auto, manual_numeric, manual_text, post_datetime_manual,
+# residual_manual) followed by what it fills (_numeric, _datetime, _text).
 
 
 def detail(key: str, cols=None, **kw) -> str:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabclean.plans.request import CleanRequest, ManualOptions
+
 # Fixed values (must equal the reference's behaviour): flag -> lower-case substrings.
 FLAG_WORDS = {
     "flag_id": ("id", "identifier"),
@@ -66,9 +68,10 @@ def suggest_plans(df: DataFrame, text_col: str, profile) -> DataFrame:
     default = [REASON_HIGH_MISSING.format(cols=", ".join(high_missing))] if high_missing else []
     default.append(REASON_DEFAULT)
     no_reason = given == ""
-    ids_text = F.lit(", ".join(ids))
+    ids_list = F.array(*[F.lit(c) for c in ids]).cast("array<string>")
+    none = F.array().cast("array<string>")
     out = flagged.withColumns({
-        "drop_columns": F.when(f("flag_id") | no_reason, ids_text).otherwise(F.lit("")),
+        "drop_columns": F.when(f("flag_id") | no_reason, ids_list).otherwise(none),
         "fill_numeric_strategy": F.lit("median"),
         "fill_text_strategy": F.lit("mode"),
         "remove_duplicates": F.lit(True),
@@ -79,3 +82,12 @@ def suggest_plans(df: DataFrame, text_col: str, profile) -> DataFrame:
         "reasons": F.when(no_reason, F.lit(" | ".join(default))).otherwise(given),
     })
     return out.drop(*FLAG_WORDS)
+
+
+def request_of(row) -> CleanRequest:
+    """The manual request that a row of ``suggest_plans`` asks for."""
+    return CleanRequest(mode="manual", manual=ManualOptions(
+        drop_columns=list(row["drop_columns"]), remove_duplicates=row["remove_duplicates"],
+        fill_numeric_strategy=row["fill_numeric_strategy"], fill_text_strategy=row["fill_text_strategy"],
+        remove_outliers=row["remove_outliers"], encode_categoricals=row["encode_categoricals"],
+        scale_numeric=row["scale_numeric"], convert_datetimes=row["convert_datetimes"])).validate()

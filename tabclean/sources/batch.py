@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from tabclean.plans.cleaning import clean
@@ -14,28 +15,30 @@ from tabclean.sources.csv import dedupe_sources, read_csv, source_manifest, writ
 RESULT_SCHEMA = "path string, name string, accepted boolean, reason string, output string, steps int"
 
 
-@dataclass
-class FileResult:
-    path: str
-    name: str
-    accepted: bool
-    reason: str | None
-    output: str | None
-    steps: int
+def output_name(path: str) -> str:
+    """Folder of a file's output: its name, and a digest of its whole path (two folders may hold one name)."""
+    return f"{path.rstrip('/').rsplit('/', 1)[-1]}-{hashlib.sha256(path.encode()).hexdigest()[:12]}"
+
+
+def clean_file(spark: SparkSession, path: str, request: CleanRequest, out: str) -> list[tuple[str, str]]:
+    """Read, clean and write one file; returns the step log."""
+    res = clean(read_csv(spark, path), request)
+    try:
+        write_csv(res.df, out, mode="overwrite")
+    finally:
+        res.release()
+    return res.steps
 
 
 def _clean_one(spark: SparkSession, f, request: CleanRequest, out_dir: str) -> tuple:
     if not f["accepted"]:
         return (f["path"], f["name"], False, f["reason"], None, 0)
+    out = f"{out_dir.rstrip('/')}/{output_name(f['path'])}"
     try:
-        df = read_csv(spark, f["path"])
-    except ValueError as e:  # unreadable file: reported, the others go on
-        return (f["path"], f["name"], False, str(e), None, 0)
-    res = clean(df, request)
-    out = f"{out_dir.rstrip('/')}/{f['name']}"
-    write_csv(res.df, out)
-    res.release()
-    return (f["path"], f["name"], True, None, out, len(res.steps))
+        steps = clean_file(spark, f["path"], request, out)
+    except (ValueError, PySparkException) as e:  # this file is reported, the others go on
+        return (f["path"], f["name"], False, str(e)[:1000], None, 0)
+    return (f["path"], f["name"], True, None, out, len(steps))
 
 
 def clean_files(spark: SparkSession, paths, request: CleanRequest, out_dir: str,
@@ -45,7 +48,7 @@ def clean_files(spark: SparkSession, paths, request: CleanRequest, out_dir: str,
     The driver iterates over files (the unit a user uploads), never over rows;
     up to ``max_parallel`` files are in flight at once (Spark runs jobs from
     several driver threads side by side), so many small files still fill the
-    cluster. Each output folder is named after its input file.
+    cluster. Each output folder is named after its input file and its path.
     """
     manifest = dedupe_sources(source_manifest(spark, paths)).orderBy("path").collect()
     with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:

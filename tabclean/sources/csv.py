@@ -5,8 +5,8 @@
 * ``detect_encodings`` reads every file as lines, in parallel, and decides per
   file: valid UTF-8 -> utf-8; else bytes undefined in cp1252 -> latin1;
   else cp1252 (the order utf-8, utf-8-sig, cp1252, latin1 of the reference).
-* ``read_csv`` reads one source (a file or folder of parts with one header):
-  all values as text, the CSV missing markers as NULL, trimmed header names,
+* ``read_csv`` reads one source (a file or a folder of parts, matched by
+  header names): all values as text, the CSV missing markers as NULL, trimmed header names,
   then the column types a pandas CSV reader would give (one aggregate).
 * ``write_csv`` writes a folder of part files with a header, no index, and
   numbers / timestamps printed as Python prints them.
@@ -14,17 +14,15 @@
 
 from __future__ import annotations
 
-import os
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabclean.functions.numbers import INTEGER_PATTERN, NUMBER_PATTERN, finite_or_null
+from tabclean.functions.numbers import INTEGER_PATTERN, NUMBER_PATTERN, UNSIGNED_64, finite_or_null, to_integer
 from tabclean.functions.text import CSV_NULL_MARKERS, strip_text
 from tabclean.functions.textform import double_text
 from tabclean.operators.fit import count_by_column
-from tabclean.operators.kinds import NUMERIC, is_fractional, kind_of, q
+from tabclean.operators.kinds import BOOLEAN, NUMERIC, is_fractional, kind_of, q
 from tabclean.sources.preview import serialize
 from tabclean.sources.tables import widen
 
@@ -102,27 +100,63 @@ def dedupe_sources(manifest: DataFrame) -> DataFrame:
     return manifest.join(first, keys + ["path"], "left_semi")
 
 
-def detect_encodings(spark: SparkSession, paths) -> DataFrame:
-    """O-02: ``path, encoding`` for every file, from one distributed line scan."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+def _scan_files(spark: SparkSession, paths) -> DataFrame:
+    """``path, encoding, header`` of every file, from one distributed line scan.
+
+    ``header`` is the first line with content, as latin1 decodes it; NULL where
+    that line leaves a quote open (a header over several lines).
+    """
+    raw = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"))
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     undefined = "[" + "".join(f"\\x{{{b:02X}}}" for b in CP1252_UNDEFINED) + "]"
-    per_file = lines.groupBy("path").agg(
+    per_file = raw.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(latin.rlike(undefined)).alias("undefined"))
+        F.bool_or(latin.rlike(undefined)).alias("undefined"),
+        F.min_by(latin, F.when(F.length("value") > 0, F.col("at"))).alias("header"))
     enc = F.when(F.col("utf8"), F.lit("utf-8")).when(F.col("undefined"), F.lit("latin1")).otherwise(F.lit("cp1252"))
-    return per_file.select("path", enc.alias("encoding"))
+    quotes = F.length("header") - F.length(F.replace("header", F.lit('"'), F.lit("")))
+    return per_file.select("path", enc.alias("encoding"), F.when(quotes % 2 == 0, F.col("header")).alias("header"))
+
+
+def detect_encodings(spark: SparkSession, paths) -> DataFrame:
+    """O-02: ``path, encoding`` for every file."""
+    return _scan_files(spark, paths).select("path", "encoding")
+
+
+# Columns of the reader itself: a field beyond the header, and the file of a row.
+_SURPLUS, _FILE = "__surplus_field", "__source_file"
 
 
 def _spark_read(spark: SparkSession, paths, encoding: str, multi_line: bool = True) -> DataFrame:
+    """Files of one encoding and one header, all values as text, plus surplus field and file.
+
+    A row with fewer fields than the header gets NULLs, as in the reference's
+    reader; a row with more has a value in the surplus field (an empty one
+    there loses nothing and is ignored).
+    """
     java_enc = "UTF-8" if encoding.startswith("utf") else "ISO-8859-1"
-    df = (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
-          .option("escape", '"').option("inferSchema", False).option("encoding", java_enc)
-          .option("mode", "PERMISSIVE").csv(paths))
+    reader = (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
+              .option("escape", '"').option("inferSchema", False).option("encoding", java_enc)
+              .option("mode", "PERMISSIVE"))
+    names = reader.csv(paths[0] if isinstance(paths, list) else paths).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
+    df = reader.schema(schema).option("enforceSchema", True).csv(paths)
+    file = F.col("_metadata.file_path").alias(_FILE)
     if encoding == "cp1252":
-        df = df.select(*[F.translate(F.col(q(c)), CP1252_FROM, CP1252_TO).alias(c.translate(
-            str.maketrans(CP1252_FROM, CP1252_TO))) for c in df.columns])
-    return df
+        return df.select(*[F.translate(F.col(q(c)), CP1252_FROM, CP1252_TO).alias(c.translate(
+            str.maketrans(CP1252_FROM, CP1252_TO))) for c in df.columns], file)
+    return df.select(*[F.col(q(c)) for c in df.columns], file)
+
+
+def _refuse_surplus(df: DataFrame) -> DataFrame:
+    """Raise where a row has more fields than its file's header, naming the file and the row."""
+    row = F.concat_ws(",", *[F.col(q(c)) for c in df.columns if c != _FILE])
+    first = df.filter(F.col(_SURPLUS).isNotNull()).select(F.col(_FILE).alias("file"), row.alias("row")).orderBy("file").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0]['file']}: a row has more fields than the header: {first[0]['row'][:200]}")
+    return df.drop(_SURPLUS, _FILE)
 
 
 def trim_header(df: DataFrame) -> DataFrame:
@@ -134,19 +168,22 @@ def trim_header(df: DataFrame) -> DataFrame:
 
 
 def csv_markers_to_null(df: DataFrame) -> DataFrame:
-    """Cells equal to a CSV missing marker (exact case) become NULL."""
+    """Cells equal to a CSV missing marker (exact case) or empty become NULL."""
     return df.select(*[F.when(F.col(q(c)).isin(*CSV_NULL_MARKERS), F.lit(None).cast("string"))
                        .otherwise(F.col(q(c))).alias(c) for c in df.columns])
 
 
 def infer_csv_types(df: DataFrame) -> DataFrame:
-    """Types a pandas CSV reader gives: every value an integer -> bigint (double
-    with gaps), every value a number -> double, every value True/False ->
-    boolean, else text. One aggregate for all columns."""
+    """Types a pandas CSV reader gives: every value an integer -> bigint or, for
+    unsigned 64-bit numbers, decimal(20,0) (double with gaps; text beyond 64
+    bits), every value a number -> double, every value True/False -> boolean,
+    else text. One aggregate for all columns."""
     if not df.columns:
         return df
     stats = count_by_column(df, df.columns, {
-        "int": lambda v: strip_text(v).rlike(INTEGER_PATTERN),
+        "int": lambda v: to_integer(v, "bigint").isNotNull(),
+        "u64": lambda v: to_integer(v, UNSIGNED_64).between(0, F.lit(str(2**64 - 1)).cast(UNSIGNED_64)),
+        "digits": lambda v: strip_text(v).rlike(INTEGER_PATTERN),
         "num": lambda v: strip_text(v).rlike(NUMBER_PATTERN),
         "bool": lambda v: v.isin(*TRUE_TEXT, *FALSE_TEXT)})
     rows = stats[("", "rows")]
@@ -156,6 +193,10 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
         s = strip_text(F.col(q(c)))
         if nn and stats[(c, "int")] == nn and nn == rows:
             e = s.try_cast("bigint")
+        elif nn and stats[(c, "u64")] == nn and nn == rows:
+            e = s.try_cast(UNSIGNED_64)
+        elif nn == rows and nn and stats[(c, "digits")] == nn:
+            e = F.col(q(c))  # integers beyond 64 bits stay text, with all their digits
         elif nn and stats[(c, "num")] == nn:
             e = finite_or_null(s.try_cast("double"))
         elif nn and stats[(c, "bool")] == nn:
@@ -171,23 +212,26 @@ def read_csv(spark: SparkSession, paths, encoding: str | None = None, infer_type
              multi_line: bool = True) -> DataFrame:
     """O-01 (+ O-02, O-04): one CSV source as a DataFrame.
 
+    The files of a folder are read by header (and encoding) and matched by
+    column name, so the order of the columns may differ between files. A row
+    with more fields than its header is refused with its file.
+
     ``multi_line`` keeps quoted newlines inside a value (as the reference's
     reader does) but reads each file in one task; turn it off for large
     files without quoted newlines so Spark splits them.
     """
-    if encoding is None:
-        groups = {}
-        for r in detect_encodings(spark, paths).collect():
-            groups.setdefault(r["encoding"], []).append(r["path"])
-        if not groups:
-            raise ValueError("Uploaded file is empty")
-        frames = [_spark_read(spark, files, enc, multi_line) for enc, files in sorted(groups.items())]
-        df = frames[0]
-        for other in frames[1:]:
-            df = df.unionByName(other, allowMissingColumns=True)
-    else:
-        df = _spark_read(spark, paths, encoding, multi_line)
-    df = csv_markers_to_null(trim_header(widen(df)))
+    groups: dict[tuple, list[str]] = {}
+    for r in _scan_files(spark, paths).collect():
+        own = r["header"] if r["header"] is not None else r["path"]
+        groups.setdefault((encoding or r["encoding"], own), []).append(r["path"])
+    if not groups:
+        raise ValueError("Uploaded file is empty")
+    df = None
+    for (enc, _), files in sorted(groups.items()):
+        part = trim_header(_spark_read(spark, sorted(files), enc, multi_line))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    df = _refuse_surplus(df)
+    df = csv_markers_to_null(widen(df))
     return infer_csv_types(df) if infer_types else df
 
 
@@ -199,6 +243,8 @@ def printable(df: DataFrame) -> DataFrame:
         c = F.col(q(f.name))
         if kind_of(f.dataType) == NUMERIC and is_fractional(f.dataType):
             c = F.when(c.isNotNull(), double_text(c))
+        elif kind_of(f.dataType) == BOOLEAN:
+            c = F.when(c, F.lit("True")).when(~c, F.lit("False"))
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -214,7 +260,3 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     (printable(df).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("nullValue", "").option("emptyValue", '""').csv(path))
-
-
-def name_of(path: str) -> str:
-    return os.path.basename(re.sub(r"/+$", "", path))

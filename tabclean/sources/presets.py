@@ -32,9 +32,9 @@ def save_preset(spark: SparkSession, store: str, name: str, request: CleanReques
 
 
 def list_presets(spark: SparkSession, store: str) -> DataFrame:
-    """Newest first; an unreadable or missing store lists nothing."""
+    """Newest first; a missing store lists nothing, and an unreadable file in it is passed over."""
     try:
-        raw = spark.read.schema(PRESET_SCHEMA).parquet(store)
+        raw = spark.read.schema(PRESET_SCHEMA).option("ignoreCorruptFiles", True).parquet(store)
         raw.schema  # noqa: B018  (forces the path check)
     except AnalysisException:
         return spark.createDataFrame([], PRESET_SCHEMA + ", parsed " + REQUEST_SCHEMA.simpleString())

@@ -46,6 +46,63 @@ select case when p_partkey % 5 > 0 then p_name end as a,
   cast(null as {S}) as e from part
 """
 
+# An odd number of present prices, and one row without.
+ODD_ORDERS_SQL = """
+select o_orderkey, o_totalprice as price from orders
+union all select -1, 1.5 from (select count(*) as n from orders) t where n % 2 = 0
+union all select -2, null
+"""
+
+BOOLEAN_ORDERS_SQL = """
+select o_orderkey, case when o_orderkey % 7 <> 0 then o_orderstatus = 'F' end as done from orders
+"""
+
+BIG_ORDERS_SQL = """
+select o_orderkey, cast(o_orderkey + 9007199254740992 as {S}) as big,
+  cast(cast(18446744073709000000 as decimal(20,0)) + cast(o_orderkey as decimal(20,0)) as {S}) as u64 from orders
+"""
+
+INF_EVENTS_SQL = """
+select event_id, case when event_id % 5 = 0 then cast('Infinity' as double) when event_id % 5 = 1 then cast('-Infinity' as double)
+  when event_id % 5 = 2 then cast('NaN' as double) else value end as value from events
+"""
+
+SKEWED_ORDERS_SQL = """
+select o_orderkey, case when o_orderkey % 3 > 0 then o_orderpriority end as a,
+  case when o_orderkey % 2 = 0 then 'hot' when o_orderkey % 9 > 0 then cast(o_custkey as {S}) end as b,
+  case when o_orderkey % 5 > 0 then cast(o_orderkey as {S}) end as c from orders
+"""
+
+NAMED_ORDERS_SQL = """
+select o_orderkey, case when o_orderkey % 10 > 0 then o_totalprice end as price,
+  case when o_orderkey % 11 > 0 then 'Customer ' || cast(o_custkey % 1000 as {S}) end as cust,
+  case when o_orderkey % 7 > 0 then o_orderpriority end as prio from orders
+"""
+
+EXACT_ORDERS_SQL = """
+select o_orderkey, o_totalprice / 7e6 as small, o_totalprice * 1.1 as mid, o_totalprice * 7e9 / 3 as large from orders
+"""
+
+# Spark only: the oracle knows the date that every text stands for.
+WIDE_DATES_SQL = """
+select o_orderkey, case o_orderkey % 10
+    when 0 then date_format(o_orderdate, 'M/d/yyyy')
+    when 1 then date_format(o_orderdate, 'yyyy/MM/dd')
+    when 2 then date_format(o_orderdate, 'yyyy-MM-dd') || ' 10:30'
+    when 3 then date_format(o_orderdate, 'MM/dd/yyyy') || ' 10:30'
+    when 4 then date_format(o_orderdate, 'd MMM yyyy')
+    when 5 then date_format(o_orderdate, 'MMMM d, yyyy')
+    when 6 then case when day(o_orderdate) > 12 then date_format(o_orderdate, 'dd/MM/yyyy') else date_format(o_orderdate, 'MM/dd/yyyy') end
+    when 7 then date_format(o_orderdate, 'yyyy-MM-dd') || ' 10:30:00+00:00'
+    when 8 then date_format(o_orderdate, 'MMM d yyyy')
+    else date_format(o_orderdate, 'yyyy.MM.dd') end as d_txt
+from orders
+"""
+
+WIDE_COLUMNS = 300
+WIDE_PART_SQL = "select p_partkey, " + ", ".join(
+    f"case when (p_partkey + {i}) % 4 > 0 then p_size + {i} end as c{i}" for i in range(WIDE_COLUMNS)) + " from part"
+
 DIRTY_SQL = {"dirty_orders": DIRTY_ORDERS_SQL, "dirty_dates": DIRTY_DATES_SQL, "dirty_sparse": DIRTY_SPARSE_SQL}
 
 
@@ -53,6 +110,14 @@ def spark_sql_of(name: str) -> str:
     return DIRTY_SQL[name].replace("{S}", "string")
 
 
+def spark_text(sql: str) -> str:
+    return sql.replace("{S}", "string")
+
+
+def duckdb_text(sql: str) -> str:
+    return sql.replace("{S}", "varchar")
+
+
 def duckdb_sql_of(name: str) -> str:
     return DIRTY_SQL[name].replace("{S}", "varchar")
 

@@ -1,56 +1,46 @@
 """O-82: apply a preset to new CSV files with Structured Streaming.
 
-``readStream.csv`` with one file per trigger, so every micro-batch is one
-file and its statistics are fitted on that file alone (a preset stores
-options, not statistics). ``foreachBatch`` runs the batch plan and writes
-the cleaned rows and the step log; the stream's checkpoint records which
-files are done, so a restarted job (or a lost executor) does not clean a
-file twice. Stateless per batch: no watermark or state store is needed.
+The stream carries paths only (the binary-file source reads no content when
+none is asked for). ``foreachBatch`` cleans each new file with the batch
+reader, so encoding, header, quoting and statistics are those of that file
+alone (a preset stores options, not statistics). Output and log are kept by
+file: a retried batch (lost executor, restarted query) rewrites the same
+folders, and the stream's checkpoint records which files are done. Stateless
+per batch: no watermark or state store is needed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabclean.plans.cleaning import clean
 from tabclean.plans.request import CleanRequest
-from tabclean.sources.csv import csv_markers_to_null, infer_csv_types, printable, trim_header
 from tabclean.session import scratch_dir
+from tabclean.sources.batch import clean_file, output_name
 
-
-def text_schema(spark: SparkSession, sample_path: str) -> T.StructType:
-    """All-text schema from the header of one file (streams need a fixed schema)."""
-    cols = spark.read.option("header", True).option("multiLine", True).csv(sample_path).columns
-    return T.StructType([T.StructField(c, T.StringType()) for c in cols])
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def replay_stream(spark: SparkSession, in_dir: str, request: CleanRequest, out_dir: str,
-                  schema: T.StructType, checkpoint: str | None = None) -> dict:
-    """Clean every file in ``in_dir`` (available now) with ``request``; returns counts.
+                  checkpoint: str | None = None, files_per_batch: int = 16) -> dict:
+    """Clean every CSV file under ``in_dir`` (available now) with ``request``.
 
-    Each batch overwrites its own ``rows/batch=<id>`` and ``log/batch_id=<id>``
-    folders, so a retried batch (lost executor, restarted query) rewrites the
-    same output instead of adding a second copy.
+    Rows go to ``rows/<file>`` and the step log to ``log/source=<file>`` under
+    ``out_dir``; returns the number of batches and the checkpoint folder.
     """
     request = request.validate()
     checkpoint = checkpoint or scratch_dir(spark, "replay-checkpoint")
-    stream = (spark.readStream.schema(schema).option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", 1)
-              .csv(in_dir).withColumn("_file", F.col("_metadata.file_path")))
+    out_dir = out_dir.rstrip("/")
+    stream = (spark.readStream.schema(FILE_SCHEMA).format("binaryFile").option("pathGlobFilter", "*.csv")
+              .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+              .load(in_dir).select("path"))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        files = [r["_file"] for r in batch.select("_file").distinct().collect()]
-        for path in files:  # one file per trigger; the loop guards a multi-file batch
-            df = infer_csv_types(csv_markers_to_null(trim_header(batch.filter(F.col("_file") == path).drop("_file"))))
-            res = clean(df, request)
-            printable(res.df).write.mode("overwrite").option("header", True).csv(
-                f"{out_dir.rstrip('/')}/rows/batch={batch_id}")
-            spark.createDataFrame([(path, i + 1, n, d) for i, (n, d) in enumerate(res.steps)],
-                                  "source string, step_no int, name string, details string") \
-                .write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/log/batch_id={batch_id}")
-            res.release()
+        for row in batch.collect():  # at most files_per_batch paths
+            name = output_name(row["path"])
+            steps = clean_file(spark, row["path"], request, f"{out_dir}/rows/{name}")
+            log = [(batch_id, row["path"], i + 1, n, d) for i, (n, d) in enumerate(steps)]
+            spark.createDataFrame(log, "batch_id bigint, path string, step_no int, name string, details string") \
+                .write.mode("overwrite").parquet(f"{out_dir}/log/source={name}")
 
     query = (stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

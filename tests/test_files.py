@@ -8,7 +8,7 @@ import pytest
 from tabclean.plans.request import CleanRequest
 from tabclean.sources.batch import clean_files
 from tabclean.sources.csv import dedupe_sources, detect_encodings, read_csv, source_manifest, write_csv
-from tabclean.streaming.replay import replay_stream, text_schema
+from tabclean.streaming.replay import replay_stream
 
 
 def _write(path, data: bytes):
@@ -88,16 +88,60 @@ def test_clean_files_each_alone(spark, files, tmp_dir):
     assert by["empty.csv"]["reason"] == "Uploaded file is empty"
 
 
-def test_replay_stream_one_file_per_batch(spark, tmp_dir):
+def test_replay_stream_each_file_alone(spark, tmp_dir):
+    """Own encoding, own order of columns, own statistics, own output folder."""
     src = tmp_dir + "/in"
-    os.makedirs(src)
-    _write(f"{src}/f1.csv", b"a,b\n1,x\n1,x\n,y\n")
-    _write(f"{src}/f2.csv", b"a,b\n5,z\n5,z\n7,\n")
+    _write(f"{src}/a/f.csv", b"a,b\n1,x\n1,x\n,y\n")
+    _write(f"{src}/b/f.csv", 'b,a\n"caf\u00e9 \u20ac, ""q""",5\n"caf\u00e9 \u20ac, ""q""",5\n,7\n'.encode("cp1252"))
     out = tmp_dir + "/out"
-    info = replay_stream(spark, src, CleanRequest(), out, text_schema(spark, f"{src}/f1.csv"))
+    info = replay_stream(spark, src, CleanRequest(), out, files_per_batch=1)
     assert info["batches"] >= 2
     log = spark.read.parquet(f"{out}/log")
-    assert log.select("batch_id").distinct().count() == 2
-    rows = sorted(tuple(r) for r in spark.read.option("header", True).csv(f"{out}/rows").select("a", "b").collect())
-    # each file is fitted alone: f1's median fill is 1.0 (a float column), f2 stays integral
-    assert rows == [("1.0", "x"), ("1.0", "y"), ("5", "z"), ("7", "z")]
+    assert log.select("path").distinct().count() == 2
+    rows = sorted(tuple(r) for f in os.listdir(f"{out}/rows") for r in read_csv(spark, f"{out}/rows/{f}", infer_types=False).select("a", "b").collect())
+    # each file is fitted alone: the first one's median fill is 1.0 (a float column), the other stays integral
+    assert rows == [("1.0", "x"), ("1.0", "y"), ("5", "caf\u00e9 \u20ac, \"q\""), ("7", "caf\u00e9 \u20ac, \"q\"")]
+    assert replay_stream(spark, src, CleanRequest(), out, checkpoint=info["checkpoint"])["batches"] == 0 or \
+        spark.read.parquet(f"{out}/log").count() == log.count()
+
+
+def test_headers_are_matched_by_name(spark, tmp_dir):
+    _write(f"{tmp_dir}/h/one.csv", b"a,b\n1,x\n")
+    _write(f"{tmp_dir}/h/two.csv", b"b,a\ny,2\n")
+    assert sorted((r["a"], r["b"]) for r in read_csv(spark, f"{tmp_dir}/h").collect()) == [(1, "x"), (2, "y")]
+
+
+def test_ragged_rows(spark, tmp_dir):
+    _write(f"{tmp_dir}/long.csv", b"a,b\n1,2\n3,4,5\n")
+    with pytest.raises(ValueError, match="long.csv"):
+        read_csv(spark, f"{tmp_dir}/long.csv")
+    _write(f"{tmp_dir}/short.csv", b"a,b\n1\n2,3\n")
+    assert sorted((tuple(r) for r in read_csv(spark, f"{tmp_dir}/short.csv").collect()), key=repr) == [(1, None), (2, 3.0)]
+
+
+def test_long_integers_are_not_lost(spark, tmp_dir):
+    _write(f"{tmp_dir}/big.csv", b"a,b,c\n12345678901234567890,99999999999999999999999,1\n1,2,\n")
+    df = read_csv(spark, f"{tmp_dir}/big.csv")
+    assert [t for _, t in df.dtypes] == ["decimal(20,0)", "string", "double"]
+    assert sorted((int(r["a"]), r["b"]) for r in df.collect()) == [(1, "2"), (12345678901234567890, "99999999999999999999999")]
+
+
+def test_one_name_in_two_folders(spark, tmp_dir):
+    _write(f"{tmp_dir}/in/a/x.csv", b"k\n1\n2\n")
+    _write(f"{tmp_dir}/in/b/x.csv", b"k\n3\n4\n5\n")
+    done = clean_files(spark, f"{tmp_dir}/in", CleanRequest(), f"{tmp_dir}/out").collect()
+    assert all(r["accepted"] for r in done) and len({r["output"] for r in done}) == 2
+
+
+def test_booleans_are_written_as_python_prints_them(spark, tmp_dir):
+    write_csv(spark.createDataFrame([(True,), (False,)], "b boolean"), f"{tmp_dir}/bool")
+    assert sorted(r["b"] for r in spark.read.option("header", True).csv(f"{tmp_dir}/bool").collect()) == ["False", "True"]
+
+
+def test_corrupt_preset_file(spark, tmp_dir):
+    from tabclean.sources.presets import list_presets, load_request, save_preset
+    store = f"{tmp_dir}/presets"
+    save_preset(spark, store, " mine ", CleanRequest(keep_columns=["k"]))
+    _write(f"{store}/part-bad.parquet", b"not parquet")
+    rows = list_presets(spark, store).collect()
+    assert [r["name"] for r in rows] == ["mine"] and load_request(rows[0]).keep_columns == ["k"]

@@ -142,14 +142,123 @@ def test_label_encoding_hot_value_split(spark):
     assert got[999] == -1
 
 
-def test_median_both_paths_agree(spark):
+def test_median_of_every_count(spark):
+    """All counts from 1 to 300, and 10,001: one column each, against the standard library."""
+    import random
     import statistics
-    from tabclean.operators import impute
-    vals = [float((i * 7919) % 1013) / 8 for i in range(3001)] + [None]
-    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
-    small = impute.column_medians(df, ["x"])
-    large = impute.column_medians(df, ["x"], {"x": 3001}, {"x": impute.MEDIAN_MAP_MAX + 1})
-    assert small["x"] == large["x"] == statistics.median([v for v in vals if v is not None])
+    rnd = random.Random(9)
+    sizes = [*range(1, 301)]
+    values = {f"c{n}": [rnd.choice([rnd.random(), float(rnd.randint(0, 5))]) for _ in range(n)] for n in sizes}
+    rows = [tuple(v[i] if i < len(v) else None for v in values.values()) for i in range(max(sizes))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in values))
+    assert column_medians(df, list(values)) == {c: statistics.median(v) for c, v in values.items()}
+    big = [float((i * 7919) % 10007) / 8 for i in range(10_001)]
+    df = spark.createDataFrame([(v,) for v in big] + [(None,)], "x double").repartition(5)
+    assert column_medians(df, ["x"]) == {"x": statistics.median(big)}
+    assert column_medians(spark.createDataFrame([(None,)], "x double"), ["x"]) == {"x": None}
+
+
+def test_moments_by_index_equal_plain_ones(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from tabclean.operators.fit import moments
+    df = spark.createDataFrame([(1.0, None, 5), (2.5, None, 7), (None, None, 9)], "a double, b double, c int")
+    exprs = {c: F.col(c) for c in df.columns}
+    plain, by_index = moments(df, exprs), moments(df, exprs, wide=0)
+    assert plain["b"][0] == by_index["b"][0] == 0
+    for c in "ac":
+        assert all(math.isclose(x, y) for x, y in zip(plain[c], by_index[c]))
+
+
+def test_big_integers_keep_their_digits(spark):
+    from tabclean.operators.types import coerce_numeric
+    rows = [("9007199254740993", "18446744073709551615", "99999999999999999999"), ("9007199254740992", " 1 ", "2")]
+    got = coerce_numeric(spark.createDataFrame(rows, "a string, b string, c string")).df
+    assert [t for _, t in got.dtypes] == ["bigint", "decimal(20,0)", "double"]
+    assert sorted((r["a"], int(r["b"])) for r in got.collect()) == [(9007199254740992, 1), (9007199254740993, 18446744073709551615)]
+
+
+def test_boolean_with_gaps_is_filled(spark):
+    from tabclean.plans.cleaning import clean
+    from tabclean.plans.request import CleanRequest
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 3 > 0) for i in range(40)], "k int, b boolean")
+    out = clean(df, CleanRequest(keep_columns=["k"]))
+    assert out.df.filter("b is null").count() == 0 and dict(out.df.dtypes)["b"] == "double"
+    assert out.df.columns == ["k", "b"]
+
+
+def test_one_hot_name_that_is_taken(spark):
+    from tabclean.operators.encode import encode_categoricals
+    df = spark.createDataFrame([("x", 7, 1) if i % 2 else ("y", 8, 2) for i in range(40)], "a string, a_x int, a_y_2 int")
+    out, names, details = encode_categoricals(df, ["a"])
+    assert out.columns == ["a_x", "a_y_2", "a_x_2", "a_y"] and names == ["a_x_2", "a_y"] and "a_x_2" in details
+    assert {tuple(r) for r in out.collect()} == {(7, 1, 1, 0), (8, 2, 0, 1)}
+
+
+def test_label_encode_scans_do_not_grow(spark, tmp_dir):
+    """One scan of the input for 1 and for 8 columns, hot and missing values included."""
+    from tabclean.operators.encode import label_encode
+    names = [f"t{i}" for i in range(8)]
+    rows = [tuple(None if (i + k) % 3 == 0 else "hot" if (i + k) % 3 == 1 else f"v{i:03d}" for k in range(8)) for i in range(90)]
+    path = f"{tmp_dir}/t"
+    spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).write.parquet(path)
+    df = spark.read.parquet(path)
+    scans = []
+    for cols in (names[:1], names):
+        out = label_encode(df, cols, broadcast_max=0)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        scans.append(plan.count("Relation ["))
+        for k, c in enumerate(cols):
+            order = sorted({r[k] for r in rows if r[k] is not None})
+            want = sorted(-1 if r[k] is None else order.index(r[k]) for r in rows)
+            assert sorted(r[c] for r in out.select(c).collect()) == want
+    assert scans[0] == scans[1] == 1
+
+
+def test_filter_rules_empty_iso_and_layout(spark):
+    import datetime as dt
+
+    from tabclean.operators.rows import FilterRule, apply_filters
+    rows = [(1, dt.datetime(2024, 1, 5)), (2, dt.datetime(2024, 1, 6)), (3, dt.datetime(2024, 1, 7, 10, 30))]
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz")
+    keys = lambda *rules: sorted(r["k"] for r in apply_filters(df, list(rules)).collect())
+    assert keys(FilterRule("k", "equals", ""), FilterRule("k", "greater_than", " "), FilterRule("", "equals", "1")) == [1, 2, 3]
+    assert keys(FilterRule("t", "greater_than", "2024-01-05T12:00:00")) == [2, 3]
+    assert keys(FilterRule("t", "less_than", "2024-01-06")) == [1]
+    # with the third row gone the column prints as dates only
+    assert keys(FilterRule("k", "less_than", "3"), FilterRule("t", "equals", "2024-01-05")) == [1]
+    assert keys(FilterRule("t", "equals", "2024-01-05")) == []
+    with pytest.raises(ValueError):
+        keys(FilterRule("k", "greater_than", "2024-01-05"))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("1/5/2024", "2024-01-05 00:00:00"), ("2024/01/05", "2024-01-05 00:00:00"), ("2024-01-05 10:30", "2024-01-05 10:30:00"),
+    ("01/05/2024 10:30", "2024-01-05 10:30:00"), ("5 Jan 2024", "2024-01-05 00:00:00"), ("January 5, 2024", "2024-01-05 00:00:00"),
+    ("13/01/2024", "2024-01-13 00:00:00"), ("2024-01-05 10:30:00+00:00", "2024-01-05 10:30:00"), ("2024.01.05", "2024-01-05 00:00:00"),
+    ("2024-1-5", "2024-01-05 00:00:00"), ("13/13/2024", None), ("2024", None), ("10:30", None)])
+def test_date_layouts(spark, text, want):
+    from pyspark.sql import functions as F
+
+    from tabclean.functions import to_datetime
+    got = spark.createDataFrame([(text,)], "t string").select(F.date_format(to_datetime(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("d"))
+    assert got.first()["d"] == want
+
+
+def test_text_of_doubles_is_pythons(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tabclean.functions.textform import double_text
+    rnd = random.Random(2)
+    values = [0.0, -0.0, 1.0, 0.012345678901234567, 1e-4, 9.9e-5, 1e7, 1e15, 123456789012345.6, 1e16, 1.5e300, -2.5e-7, 100.0, 12345678.9]
+    values += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-8, 18) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", double_text(F.col("x")).alias("t")).collect()
+    assert all(float(r["t"]) == r["x"] for r in rows)
+    assert [r["t"] for r in rows[:14]] == [repr(v) for v in values[:14]]
 
 
 def test_count_by_column_wide_text_table(spark):
@@ -157,7 +266,7 @@ def test_count_by_column_wide_text_table(spark):
     import random
 
     from tabclean.functions import to_number
-    from tabclean.functions.numbers import is_integer_text
+    from tabclean.functions.numbers import to_integer
     from tabclean.operators.fit import count_by_column
     from tabclean.operators.types import coerce_numeric
 
@@ -167,7 +276,7 @@ def test_count_by_column_wide_text_table(spark):
     pool = ["1", " 2 ", "3.5", "x", None, "1e3"]
     data = [tuple(rnd.choice(pool) for _ in cols) for _ in range(30)]
     df = spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols))
-    stats = count_by_column(df, cols, {"num": lambda s: to_number(s).isNotNull(), "int": is_integer_text})
+    stats = count_by_column(df, cols, {"num": lambda s: to_number(s).isNotNull(), "int": lambda s: to_integer(s, "bigint").isNotNull()})
     assert stats[("", "rows")] == 30
     for i, c in enumerate(cols):
         vals = [r[i] for r in data if r[i] is not None]
@@ -178,23 +287,3 @@ def test_count_by_column_wide_text_table(spark):
     expect = [c for i, c in enumerate(cols)
               if (vals := [r[i] for r in data if r[i] is not None]) and sum(v != "x" for v in vals) / len(vals) >= 0.9]
     assert conv.converted == expect
-
-
-def test_median_total_budget_sends_the_rest_to_the_rank_path(spark, monkeypatch):
-    import statistics
-    from tabclean.operators import impute
-    rows = [(float(i % 17), float((i * 31) % 101), float(i)) for i in range(500)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    monkeypatch.setattr(impute, "MEDIAN_MAP_TOTAL", 120)   # a and b fit, c does not
-    seen = {}
-    real = impute.exact_medians
-
-    def spy(long, group, value, partitions=None):
-        out = real(long, group, value, partitions)
-        seen["rank_groups"] = sorted(out)
-        return out
-    monkeypatch.setattr(impute, "exact_medians", spy)
-    got = impute.column_medians(df, ["a", "b", "c"], {"a": 500, "b": 500, "c": 500}, {"a": 17, "b": 101, "c": 500})
-    assert seen["rank_groups"] == [0]            # only c went through the rank
-    for i, c in enumerate("abc"):
-        assert got[c] == statistics.median([r[i] for r in rows])

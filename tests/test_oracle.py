@@ -44,6 +44,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert _canon(df.columns, [tuple(r) for r in df.collect()]) == _canon(d_cols, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF_SMALL).count() >= 0
+def test_every_query_of_the_reference_has_an_oracle():
+    """Only those of the optional subpackage may be checked otherwise (by their own tests)."""
+    from tabclean.plans.registry import QUERIES as OWN
+    assert set(OWN) <= set(SQL)
