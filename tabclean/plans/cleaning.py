@@ -180,8 +180,8 @@ def finalize(run: _Run) -> None:
         stats = count_by_column(run.df, cols, {})
         rows = nonempty = stats[("", "rows")]
         if all(stats[(c, "nn")] < rows for c in cols):  # a full column leaves no empty row
-            marks = [F.when(F.col(q(c)).isNotNull(), F.lit(True)) for c in cols]
-            nonempty = fit(run.df, {"n": F.count(F.coalesce(*marks))})["n"]
+            marks = ", ".join(f"if({q(c)} is not null, 1, null)" for c in cols)
+            nonempty = fit(run.df, {"n": F.expr(f"count(coalesce({marks}))")})["n"] if len(cols) > 1 else stats[(cols[0], "nn")]
         if nonempty != rows:
             run.set(run.df.na.drop(how="all"), nonempty)
             run.log("drop_empty_rows", detail("drop_empty_rows", n=rows - nonempty))

