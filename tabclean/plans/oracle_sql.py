@@ -300,10 +300,12 @@ def half_sql(query: str) -> str:
             f"h2 as (select half, o_orderkey, coalesce(price, {by('price')}) as price, coalesce(prio, 'unknown') as prio, "
             f"coalesce(odate, {by('odate')}) as odate, coalesce(cust_txt, {by('cust_txt')}) as cust_txt from h1), "
             f"h3 as (select distinct * from h2), "
-            # steps: coercion, copies (if any), numeric fill, text fill, date conversion, date fill
-            f"n0 as (select o_orderkey % 2 as half, count(*) as n from dn group by 1), "
+            # steps: coercion (where a marker made the column text), copies, numeric fill (where there are
+            # gaps), then text fill, date conversion and date fill
+            f"n0 as (select o_orderkey % 2 as half, count(*) as n, (count(cust_txt) < count(*))::int as marked, "
+            f"(count(price) < count(*) or count(cust_txt) < count(*))::int as gaps from dn group by 1), "
             f"n1 as (select half, count(*) as n from h1 group by 1), "
-            f"steps as (select half, 5 + (n0.n > n1.n)::int as steps from n0 join n1 using (half)) {query}")
+            f"steps as (select half, 3 + n0.marked + n0.gaps + (n0.n > n1.n)::int as steps from n0 join n1 using (half)) {query}")
 
 
 def compare_sql() -> str:
