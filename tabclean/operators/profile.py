@@ -32,6 +32,8 @@ from tabclean.operators.kinds import BOOLEAN, DATETIME, NUMERIC, OTHER, TEXT, is
 from tabclean.operators.types import infer_type
 
 TOP_K = 5
+# How many of them are given by default; None gives all.
+MOST_CANDIDATES, MOST_SUGGESTIONS = 5, 8
 ID_UNIQUE_RATIO = 0.95
 ID_MISSING_RATIO = 0.05
 LOW_CARDINALITY_TEXT = 10
@@ -122,23 +124,17 @@ class DatasetProfile:
     def count_type(self, t: str) -> int:
         return sum(1 for c in self.columns if c.inferred_type == t)
 
-    def target_candidates(self) -> list[str]:
-        """O-43: first 5 non-id numeric/text/boolean columns with rounded missing < 0.4."""
-        out = [c.name for c in self.columns
-               if not c.possible_id and c.inferred_type in ("numeric", "text", "boolean") and c.missing_ratio < 0.4]
-        return out[:5]
-
-    def suggestions(self) -> list[str]:
-        """O-44: per column id / high missing / mixed, first 8 overall."""
-        out = []
-        for c in self.columns:
-            if c.possible_id:
-                out.append(SUGGEST_ID.format(name=c.name))
-            if c.missing_ratio > 0.6:
-                out.append(SUGGEST_MISSING.format(name=c.name))
-            if c.inferred_type == "mixed":
-                out.append(SUGGEST_MIXED.format(name=c.name))
-        return out[:8]
+    def target_candidates(self, most: int | None = MOST_CANDIDATES) -> list[str]:
+        """O-43: the first non-id numeric/text/boolean columns with rounded missing < 0.4 (None: all)."""
+        fits = (c.name for c in self.columns
+                if not c.possible_id and c.inferred_type in ("numeric", "text", "boolean") and c.missing_ratio < 0.4)
+        return list(fits)[:most]
+
+    def suggestions(self, most: int | None = MOST_SUGGESTIONS) -> list[str]:
+        """O-44: the first texts, by column, of the rules that hold (None: all)."""
+        rules = ((SUGGEST_ID, lambda c: c.possible_id), (SUGGEST_MISSING, lambda c: c.missing_ratio > 0.6),
+                 (SUGGEST_MIXED, lambda c: c.inferred_type == "mixed"))
+        return [text.format(name=c.name) for c in self.columns for text, holds in rules if holds(c)][:most]
 
     def by_name(self) -> dict[str, ColumnProfile]:
         return {c.name: c for c in self.columns}

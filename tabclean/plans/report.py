@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed texts of the report, here and in report_lines.
 REPORT_TITLE = "Data Cleaning Report"
 REPORT_SCHEMA = "section string, line_no int, text string"
 
@@ -22,7 +23,7 @@ def report_lines(dataset: str, before, after, steps: list) -> list[tuple[str, st
     ]
     lines += [("steps", f"- {name}: {details}") for name, details in steps]
     lines += [("steps", ""), ("suggestions", "Smart suggestions after cleaning:")]
-    lines += [("suggestions", f"- {s}") for s in after.suggestions()[:8]]
+    lines += [("suggestions", f"- {s}") for s in after.suggestions()]
     return lines
 
 

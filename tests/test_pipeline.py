@@ -144,3 +144,15 @@ def test_suggest_plan_default_branch(spark):
     assert got[1]["drop_columns"] == ["o_orderkey"] and got[1]["reasons"].startswith("Applied a safe default plan")
     assert got[2]["drop_columns"] == ["o_orderkey"]
     assert got[2]["reasons"] == "Flagged likely identifier columns: o_orderkey."
+
+
+def test_report_is_written(spark, tmp_dir):
+    from tabclean.operators.profile import profile
+    from tabclean.plans.report import report_df, write_report
+    prof = profile(dirty(spark, SF_SMALL, "dirty_orders"), light=True)
+    rows = report_df(spark, "orders", prof, prof, [("a", "b")])
+    write_report(rows, f"{tmp_dir}/json")
+    write_report(rows, f"{tmp_dir}/text", "text")
+    assert spark.read.json(f"{tmp_dir}/json").count() == rows.count()
+    assert any(r["value"] == "- a: b" for r in spark.read.text(f"{tmp_dir}/text").collect())
+    assert len(prof.suggestions(None)) >= len(prof.suggestions(0)) == 0
