@@ -47,6 +47,7 @@ BUCKET_WORDS = 1 << 20
 END, START = 0, 1
 BLOCKS = "block bigint, ids array<bigint>, held binary, bounds binary, words binary, codes binary, n_tokens bigint, n_texts bigint"
 SENT = "bucket int, block bigint, data binary"
+COUNTED = SENT + ", v bigint, n bigint"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -197,7 +198,7 @@ def _send_words(buckets: int):
 
 
 def _count_words(key: tuple, group: pa.Table) -> pa.Table:
-    """Counts of a bucket's words over all blocks, returned to every block; block -1 gets V and N."""
+    """Counts of a bucket's words over all blocks, returned to every block; the first row has its V and N."""
     bucket = key[0].as_py()
     words, counts, sizes = [], [], []
     for blob in group.column("data").to_pylist():
@@ -211,8 +212,10 @@ def _count_words(key: tuple, group: pa.Table) -> pa.Table:
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     out = [(bucket, block, pack(_small(total[codes[a:b]])))
            for block, a, b in zip(group.column("block").to_pylist(), cuts, cuts[1:])]
-    out.append((bucket, -1, pack(np.array([(total > 0).sum(), total.sum()], np.int64))))
-    return pa.Table.from_batches([_sent(out)])
+    table = pa.Table.from_batches([_sent(out)])
+    for name, value in (("v", (total > 0).sum()), ("n", total.sum())):
+        table = table.append_column(name, pa.array([int(value), *[0] * (len(out) - 1)], pa.int64()))
+    return table
 
 
 def _send_pairs(buckets: int):
@@ -340,17 +343,14 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     columns = [c for c in blocks.columns if c in ("block", "ids", "held", "bounds", "words", "codes")]
 
     sent = blocks.select(columns).mapInArrow(_send_words(max(1, buckets // 4)), SENT)
-    words = stored(sent.groupBy("bucket").applyInArrow(_count_words, SENT), "lm-words")
-    v = n = 0
-    for row in words.filter("block = -1").select("data").toLocalIterator():  # 16 bytes a bucket
-        part = unpack(bytes(row["data"]))[0]
-        v, n = v + int(part[0]), n + int(part[1])
+    words = stored(sent.groupBy("bucket").applyInArrow(_count_words, COUNTED), "lm-words")
+    seen = words.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     ends = size["texts"] or 0
-    n, v = n + ends, v + (ends > 0)
+    n, v = (seen["n"] or 0) + ends, (seen["v"] or 0) + (ends > 0)  # the end is a token too
 
     sent = blocks.select(columns).mapInArrow(_send_pairs(buckets), SENT)
     pairs = sent.groupBy("bucket").applyInArrow(_count_pairs, SENT)
-    back = words.filter("block >= 0").withColumn("kind", F.lit(0)).unionByName(pairs.withColumn("kind", F.lit(1)))
+    back = words.drop("v", "n").withColumn("kind", F.lit(0)).unionByName(pairs.withColumn("kind", F.lit(1)))
     scored = (blocks.select(columns).groupBy("block").cogroup(back.groupBy("block"))
               .applyInArrow(_score((n, v, ends, ends)), SCORES))
     return scored.withColumnRenamed("_id", id_col)
