@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 
 from tabclean.llm.common import WIDE_SPACE, no_nulls, ragged_take, split_on
 
-MOST_CACHED = 600_000
+MOST_CACHED = 250_000
 SIMPLE = "ɐ"  # characters below are the same in every Unicode version in use
 
 # Fixed: the patterns of the two vocabularies.

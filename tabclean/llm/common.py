@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -131,6 +132,16 @@ def _coded(parts: pa.Array):
     return flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist(), bounds - bounds[0]
 
 
+SLICE_ROWS = 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows: arrays over tokens are many times their text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def no_nulls(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "")
 

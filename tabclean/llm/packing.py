@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabclean.llm.chunks import encoder
-from tabclean.llm.common import stored
+from tabclean.llm.common import slices, stored
 from tabclean.operators.rank import prefix_sums
 
 LENGTH = 2048
@@ -86,7 +86,7 @@ def cells_of(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _tokenise(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, spaced=False)
-        for batch in batches:
+        for batch in slices(batches):
             ids, bounds = encode.encode(batch.column(2))
             keys = hilbert_keys(cells_of(ids, bounds))
             n = np.diff(bounds)
@@ -103,7 +103,7 @@ def _tokenise(vocabulary: str, end_id: int):
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["_ids"], f"<u{row['_width']}").astype("<u4")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tabclean.llm.chunks import encoder
-from tabclean.llm.common import file_system, running_totals, stored
+from tabclean.llm.common import file_system, running_totals, slices, stored
 from tabclean.session import scratch_dir
 
 # Fixed values of the format.
@@ -77,7 +77,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int):
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         encode, kind = encoder(vocabulary, spaced=True), np.dtype(f"<u{width}")
         entries, tokens, offset, out = [], 0, 0, None
-        for batch in batches:
+        for batch in slices(batches):
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}.records")

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabclean.llm.common import no_nulls, split_on, stored
+from tabclean.llm.common import no_nulls, slices, split_on, stored
 
 MAX_ROWS = 8000
 MAX_SENTENCES = 6000
 LEAST_SUPPORT = 6
 LEAST_SHARE = 0.9
 LONGEST_TRAINING = 200
-MOST_CACHED = 600_000
+MOST_CACHED = 150_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _ENDS = (".", "!", "?", ".\"", ".)")
 BIAS = "bias"
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 x = held.value.summary(no_nulls(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "a", "b"])
@@ -336,7 +336,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = shared.value.score(no_nulls(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["_id", "score", "predicted"])
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
@@ -349,7 +349,7 @@ def tag(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str =
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [[dict(zip(("begin", "end", "p"), s)) for s in doc] for doc in shared.value.spans(no_nulls(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["_id", "spans"])
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
@@ -362,6 +362,6 @@ def drop_toxic(docs: DataFrame, scorer: Scorer, text_col: str = "text", least: f
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.score(no_nulls(batch.column(at))) < least))
     return docs.mapInArrow(run, docs.schema)
