@@ -20,18 +20,20 @@ that sorts first. Rows with a null language are never learned from.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from array import array
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabclean.llm.common import no_nulls
+from tabclean.llm.common import no_nulls, slices
 
 MAX_ROWS = 4000
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
+MOST_CACHED = 100_000
 ORDERS = 4
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,23 +42,25 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Model:
     """Log frequencies of words and character n-grams, one column a language."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], orders: int = ORDERS):
-        """``counts``: for each word its count by language."""
-        self.langs = sorted({lang for by in counts.values() for lang in by})
-        self.orders = orders
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(at))) for _ in range(orders)]
-        words: dict[str, np.ndarray] = {}
-        for word, by in counts.items():
-            row = np.zeros(len(at))
-            for lang, n in by.items():
-                row[at[lang]] += n
-            words[word] = row
-            for n in range(1, orders + 1):
-                for gram in self.ngrams(word, n):
-                    grams[n - 1][gram] = grams[n - 1][gram] + row
-        self.words = self.logs(words)
-        self.grams = [self.logs(dict(g)) for g in grams]
+    def __init__(self, counts: Iterable[tuple[str, str, int]], orders: int = ORDERS):
+        """``counts``: (word, language, count)."""
+        words: dict[str, int] = {}
+        langs: dict[str, int] = {}
+        cells = [(words.setdefault(w, len(words)), langs.setdefault(lang, len(langs)), n) for w, lang, n in counts]
+        self.langs, self.orders = sorted(langs), orders
+        place = {langs[lang]: i for i, lang in enumerate(self.langs)}
+        table = np.zeros((len(words), len(langs)))
+        for w, lang, n in cells:
+            table[w, place[lang]] += n
+        self.words = words, self.logs(table)
+        self.grams = []
+        for n in range(1, orders + 1):
+            index: dict[str, int] = {}
+            grams = array("q", (index.setdefault(g, len(index)) for w in words for g in self.ngrams(w, n)))
+            gram, word = np.array(grams, np.int64), np.repeat(np.arange(len(words)), [len(self.ngrams(w, n)) for w in words])
+            sums = np.stack([np.bincount(gram, weights=table[word, k], minlength=len(index)) for k in range(len(langs))], axis=1) \
+                if langs else np.zeros((0, 0))
+            self.grams.append((index, self.logs(sums)))
 
     @staticmethod
     def ngrams(word: str, n: int) -> list[str]:
@@ -64,13 +68,9 @@ class Model:
         return [padded[i:i + n] for i in range(len(padded) - n + 1)]
 
     @staticmethod
-    def logs(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-        """Row number of each entry, and the logs of their smoothed shares in each language."""
-        if not counts:
-            return {}, np.zeros((0, 0))
-        table = np.stack(list(counts.values()))
-        share = (table + 0.5) / (table.sum(axis=0) + 0.5 * (len(table) + 1))
-        return {entry: i for i, entry in enumerate(counts)}, np.log(share)
+    def logs(table: np.ndarray) -> np.ndarray:
+        """Logs of the smoothed shares of the entries (rows) in each language (columns)."""
+        return np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * (len(table) + 1)))
 
     def score(self, word: str) -> np.ndarray | None:
         index, table = self.words
@@ -138,9 +138,9 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """Fit on labelled rows where ``train`` holds, from a bounded sample of them."""
     labelled = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counted = word_counts(sample_rows(labelled, id_col, max_rows), text_col, lang_col)
-    words = counted.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    kept = words.orderBy(F.desc("all"), "word").limit(max_words).collect()
-    return Model({r["word"]: r["by"] for r in kept}, orders)
+    most = counted.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(max_words).select("word")
+    kept = counted.join(most, "word").toArrow()  # at most max_words words, a row a language
+    return Model(sorted(zip(*[kept.column(c).to_pylist() for c in ("word", "lang", "n")])), orders)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,8 +149,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
-            if len(seen) > 300_000:
+        for batch in slices(batches):
+            if len(seen) > MOST_CACHED:
                 seen.clear()
             langs, scores = predict(shared.value, no_nulls(batch.column(1)).to_pylist(), seen)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
@@ -166,8 +166,8 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
-            if len(seen) > 300_000:
+        for batch in slices(batches):
+            if len(seen) > MOST_CACHED:
                 seen.clear()
             langs, scores = predict(shared.value, no_nulls(batch.column(at)).to_pylist(), seen)
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in zip(langs, scores)], pa.bool_()))

@@ -93,9 +93,9 @@ def test_language_held_out(spark):
 
 
 def test_language_backoff():
-    model = langid.Model({"haus": {"de": 5}, "house": {"en": 5}, "schule": {"de": 3}, "school": {"en": 3}})
+    model = langid.Model([("haus", "de", 5), ("house", "en", 5), ("schule", "de", 3), ("school", "en", 3)])
     assert langid.predict(model, ["haus", "Schulung", "12 ...", "", "schooling"], {}) [0] == ["de", "de", "und", "und", "en"]
-    assert langid.predict(langid.Model({}), ["haus"], {}) == (["und"], [0.0])
+    assert langid.predict(langid.Model([]), ["haus"], {}) == (["und"], [0.0])
 
 
 def test_language_edges(odd_docs, odd_texts, no_docs):
