@@ -9,8 +9,10 @@ of the words add up, and a softmax over the languages gives the result.
 
 The model is fit on a bounded sample of labelled rows (``max_rows``, the
 smallest hashes of the ids, so it does not depend on the order of the rows) and
-keeps at most ``max_words`` words, so its broadcast has a proven bound.
-Every text is scored whole.
+keeps its ``max_words`` most frequent words. The n-grams are counted in Spark
+from every word of the sample, so a word beyond ``max_words`` backs off to n-grams
+that training has seen. The broadcast is bounded by ``max_words`` and by the
+distinct n-grams of the sampled rows. Every text is scored whole.
 
 Edge cases: a null text, or one without a letter, gets ``und`` and score 0.
 Without any labelled row every text gets ``und``. Ties go to the language
@@ -20,7 +22,6 @@ that sorts first. Rows with a null language are never learned from.
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabclean.llm.common import no_nulls, slices
+from tabclean.llm.common import no_nulls, slices, stored
 
 MAX_ROWS = 4000
-MAX_WORDS = 100_000
+MAX_WORDS = 200_000
 MOST_CACHED = 100_000
 ORDERS = 4
 UNKNOWN = "und"
@@ -42,31 +43,41 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Model:
     """Log frequencies of words and character n-grams, one column a language."""
 
-    def __init__(self, counts: Iterable[tuple[str, str, int]], orders: int = ORDERS):
-        """``counts``: (word, language, count)."""
-        words: dict[str, int] = {}
-        langs: dict[str, int] = {}
-        cells = [(words.setdefault(w, len(words)), langs.setdefault(lang, len(langs)), n) for w, lang, n in counts]
-        self.langs, self.orders = sorted(langs), orders
-        place = {langs[lang]: i for i, lang in enumerate(self.langs)}
-        table = np.zeros((len(words), len(langs)))
-        for w, lang, n in cells:
-            table[w, place[lang]] += n
-        self.words = words, self.logs(table)
-        self.grams = []
-        for n in range(1, orders + 1):
-            index: dict[str, int] = {}
-            grams = array("q", (index.setdefault(g, len(index)) for w in words for g in self.ngrams(w, n)))
-            gram, word = np.array(grams, np.int64), np.repeat(np.arange(len(words)), [len(self.ngrams(w, n)) for w in words])
-            sums = np.stack([np.bincount(gram, weights=table[word, k], minlength=len(index)) for k in range(len(langs))], axis=1) \
-                if langs else np.zeros((0, 0))
-            self.grams.append((index, self.logs(sums)))
+    def __init__(self, counts: Iterable[tuple[str, str, int]], orders: int = ORDERS, grams: Iterable[tuple[str, str, int]] | None = None):
+        """``counts``: (word, language, count); ``grams``: the same of n-grams, by default those of the words given."""
+        counts, self.orders = list(counts), orders
+        if grams is None:
+            found: Counter = Counter()
+            for word, lang, n in counts:
+                for gram in self.all_ngrams(word, orders):
+                    found[gram, lang] += n
+            grams = [(gram, lang, n) for (gram, lang), n in found.items()]
+        by_order: list[list] = [[] for _ in range(orders)]
+        for cell in grams:
+            by_order[len(cell[0]) - 1].append(cell)
+        self.langs = sorted({lang for cells in (counts, *by_order) for _, lang, _ in cells})
+        self.words = self.table(counts)
+        self.grams = [self.table(cells) for cells in by_order]
+
+    def table(self, cells: list[tuple[str, str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        """Row number of each entry, and the logs of their smoothed shares in each language."""
+        index: dict[str, int] = {}
+        place = {lang: i for i, lang in enumerate(self.langs)}
+        rows = np.fromiter((index.setdefault(entry, len(index)) for entry, _, _ in cells), np.int64, len(cells))
+        cols = np.fromiter((place[lang] for _, lang, _ in cells), np.int64, len(cells))
+        sums = np.zeros((len(index), len(self.langs)))
+        np.add.at(sums, (rows, cols), np.fromiter((n for _, _, n in cells), float, len(cells)))
+        return index, self.logs(sums)
 
     @staticmethod
     def ngrams(word: str, n: int) -> list[str]:
         padded = f" {word} " if n > 1 else word
         return [padded[i:i + n] for i in range(len(padded) - n + 1)]
 
+    @staticmethod
+    def all_ngrams(word: str, orders: int) -> list[str]:
+        return [gram for n in range(1, orders + 1) for gram in Model.ngrams(word, n)]
+
     @staticmethod
     def logs(table: np.ndarray) -> np.ndarray:
         """Logs of the smoothed shares of the entries (rows) in each language (columns)."""
@@ -126,6 +137,22 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             .groupBy("word", "lang").agg(F.sum("n").alias("n")))
 
 
+def gram_counts(counted: DataFrame, orders: int) -> DataFrame:
+    """Character n-grams of counted words, counted by language in Spark."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for word, lang, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for gram in Model.all_ngrams(word, orders):
+                    counts[gram, lang] += n
+            grams, langs = zip(*counts) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams, pa.string()), pa.array(langs, pa.string()), pa.array(list(counts.values()), pa.int64())],
+                names=["gram", "lang", "n"])
+    return (counted.select("word", "lang", "n").mapInArrow(run, "gram string, lang string, n bigint")
+            .groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+
+
 def sample_rows(docs: DataFrame, id_col: str, max_rows: int) -> DataFrame:
     """At most about ``max_rows`` rows: those of the smallest hashes of the id."""
     h = F.xxhash64(F.col(id_col), F.lit(17))
@@ -137,10 +164,12 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, orders: int = ORDERS) -> Model:
     """Fit on labelled rows where ``train`` holds, from a bounded sample of them."""
     labelled = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counted = word_counts(sample_rows(labelled, id_col, max_rows), text_col, lang_col)
+    counted = stored(word_counts(sample_rows(labelled, id_col, max_rows), text_col, lang_col), "langid-words")
     most = counted.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(max_words).select("word")
     kept = counted.join(most, "word").toArrow()  # at most max_words words, a row a language
-    return Model(sorted(zip(*[kept.column(c).to_pylist() for c in ("word", "lang", "n")])), orders)
+    grams = gram_counts(counted, orders).toArrow()  # every n-gram of the sample, a row a language
+    cells = lambda table, entry: sorted(zip(*[table.column(c).to_pylist() for c in (entry, "lang", "n")]))
+    return Model(cells(kept, "word"), orders, cells(grams, "gram"))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,6 +98,24 @@ def test_language_backoff():
     assert langid.predict(langid.Model([]), ["haus"], {}) == (["und"], [0.0])
 
 
+def test_language_learns_every_word_of_the_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    words = langid.word_counts(langid.sample_rows(docs.filter("lang is not null and text is not null"), "doc_id", langid.MAX_ROWS), "text", "lang")
+    assert len(langid.fit(docs, F.lit(True)).words[0]) == words.select("word").distinct().count()
+
+
+def test_language_ngrams_of_every_word(spark):
+    docs = spark.createDataFrame([(0, "the the the house", "en"), (1, "the school", "en"), (2, "schule", "de")], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True), max_words=1)
+    assert list(model.words[0]) == ["the"] and model.langs == ["de", "en"]
+    assert langid.predict(model, ["schulung", "housing"], {})[0] == ["de", "en"]
+    whole = langid.fit(docs, F.lit(True))
+    plain = langid.Model([("the", "en", 4), ("house", "en", 1), ("school", "en", 1), ("schule", "de", 1)])
+    for (index, logs), (own, own_logs), (cut, cut_logs) in zip(plain.grams, whole.grams, model.grams):
+        assert index.keys() == own.keys() == cut.keys()
+        assert all(np.allclose(logs[i], own_logs[own[g]]) and np.allclose(logs[i], cut_logs[cut[g]]) for g, i in index.items())
+
+
 def test_language_edges(odd_docs, odd_texts, no_docs):
     model = langid.fit(odd_docs, F.lit(True))
     got = {r["doc_id"]: r for r in langid.identify(odd_docs, model).collect()}
