@@ -36,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tabclean.llm.common import hot_limit, look_up, no_nulls, stored
+from tabclean.llm.common import hot_limit, look_up, no_nulls, slices, stored
 
 BITS = 64
 SHINGLE = 4
@@ -98,6 +99,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprint_batches(shingle), "_id bigint, _fp bigint")
 
 
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs``, stored, with the fingerprint of each row as a last column of an unused name."""
+    name = "_fp"
+    while name in docs.columns:
+        name += "_"
+    at = docs.columns.index(text_col)
+    run = _fingerprint_batches(shingle)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            prints = next(run([pa.RecordBatch.from_arrays([batch.column(at)] * 2, names=["_id", "_text"])]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints.column(1)], names=[*batch.schema.names, name])
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+    return stored(docs.mapInArrow(add, schema), "simhash-marked")
+
+
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
     """(first bit, width) of each segment, as even as can be."""
     cuts = [i * BITS // segments for i in range(segments + 1)]
@@ -264,26 +281,38 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    distance: int = MAX_DISTANCE, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
-    """One row a document: id, fingerprint (hex), component_id (smallest id reachable)."""
-    rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
+def members(prints_of: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+    """Add component_id to rows of ``_id`` and ``_fp``."""
+    rows = stored(prints_of.select("_id", "_fp"), "simhash-prints")
     prints = stored(rows.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")), "simhash-distinct")
     roots = components(links(prints.select("_fp"), distance, segments, block))
     rooted = prints.join(roots, prints["_fp"] == roots["node"], "left").select("_fp", "_first", "_n", F.coalesce("root", "_fp").alias("_root"))
     rooted = stored(rooted, "simhash-roots")
-    members = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"), F.count(F.lit(1)).alias("_size"))
-    placed = look_up(rooted, members, "_root", "_size", hot_limit(rows.count()))
+    roots_of = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"), F.count(F.lit(1)).alias("_size"))
+    placed = look_up(rooted, roots_of, "_root", "_size", hot_limit(rows.count()))
     out = look_up(rows, placed.select("_fp", "component_id", "_n"), "_fp", "_n", hot_limit(rows.count()))
+    return out.select("_id", "_fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    distance: int = MAX_DISTANCE, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+    """One row a document: id, fingerprint (hex), component_id (smallest id reachable)."""
+    out = members(fingerprints(docs, id_col, text_col, shingle), distance, segments, block)
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                      distance: int = MAX_DISTANCE, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
-    """The documents that have the smallest id of their component; all columns kept.
+    """The rows that have the smallest id of their component; all columns kept.
 
-    Rows with a null id are kept: there is no id to tell them by.
+    A row is decided by its id and its own fingerprint, as rows of one id may
+    have different texts and so lie in different components. Rows with a null
+    id are kept: there is no id to tell them by.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, distance, segments, block)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")
+    marked = with_fingerprint(docs, text_col, shingle)
+    own = marked.columns[-1]
+    ids = F.col(f"`{id_col}`").cast("bigint")
+    found = members(marked.select(ids.alias("_id"), F.col(own).alias("_fp")), distance, segments, block)
+    gone = found.filter("_id != component_id").select(F.col("_id").alias("_gone"), F.col("_fp").alias("_gone_fp")).distinct()
+    same = (marked[f"`{id_col}`"].cast("bigint") == gone["_gone"]) & (marked[own] == gone["_gone_fp"])
+    return marked.join(gone, same, "left_anti").drop(own)

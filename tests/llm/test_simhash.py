@@ -43,6 +43,16 @@ def test_documents(odd_docs, odd_texts, no_docs):
     assert sorted({r["doc_id"] for r in kept.collect()}) == sorted(set(brute_components(prints, 4)))
 
 
+def test_one_id_with_two_texts(spark):
+    """An id that is dropped in one group stays in another of which it is the smallest."""
+    one, two = "alpha beta gamma delta epsilon", "one two three four five six seven"
+    rows = [(1, one, "a"), (5, one, "b"), (5, two, "c"), (9, two, "d"), (None, two, "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _fp string")
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["_fp"] for r in kept.collect()) == ["a", "c", "e"]
+
+
 def test_xxhash_is_sparks(spark):
     text = "the quick brown fox"
     got = spark.range(1).select(F.xxhash64(F.lit(text)).alias("h")).first()["h"]
