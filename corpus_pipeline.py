@@ -57,7 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _ready(spark)
-    return packing.pack(docs, common.vocabulary("word_bpe_49k.json"), length=2048, end_id=1)
+    return packing.pack(docs, common.vocabulary("word_bpe_49k.json"), length=2048, end_id=1, special=True)
 
 
 STAGES = [

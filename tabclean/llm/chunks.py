@@ -8,6 +8,8 @@ piece is encoded once by the library's BPE model, and the ids are put together
 again with array operations. Where a chunk holds a character beyond Latin
 Extended-B (on which two Unicode versions might disagree), or a text has other
 white space beside a space, the library encodes the chunk or the text itself.
+So it does with a text that holds the string of an added token, if that is to
+get the token's id (``special``), as in a plain call of the library.
 """
 
 from __future__ import annotations
@@ -43,14 +45,19 @@ def byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """Ids of whole texts, equal to ``encode(text, add_special_tokens=False)`` of the library.
 
-    Strings of special tokens in a text are ordinary text. Caches are dropped
-    when they reach ``MOST_CACHED`` entries.
+    Caches are dropped when they reach ``MOST_CACHED`` entries.
     """
 
-    def __init__(self, path: str, spaced: bool):
-        """``spaced``: a word's leading space is part of it (byte-level); else white space is dropped."""
+    def __init__(self, path: str, spaced: bool, special: bool = False):
+        """``spaced``: a word's leading space is part of it (byte-level); else white space is dropped.
+
+        ``special``: the string of a special token in a text gets that token's
+        id, the library's default; else it is ordinary text.
+        """
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = "|".join(regex.escape(t.content) for t in added if special or not t.special)
         self.spaced = spaced
         self.find = regex.compile(BYTE_PATTERN if spaced else WORD_PATTERN).findall
         self.letters = byte_letters()
@@ -85,7 +92,8 @@ class ChunkEncoder:
             self.pieces.clear()
         if len(self.chunks) > MOST_CACHED:
             self.chunks.clear()
-        uneven = np.flatnonzero(pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)) if self.spaced else []
+        by_library = [p for p in (UNEVEN if self.spaced else "", self.added) if p]
+        uneven = np.flatnonzero(pc.match_substring_regex(texts, "|".join(by_library)).to_numpy(zero_copy_only=False)) if by_library else []
         codes, words, bounds = split_on(texts)
         first = bounds[:-1]
         if self.spaced:  # a chunk after the first takes its space along
@@ -108,11 +116,11 @@ class ChunkEncoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> ChunkEncoder:
+def encoder(path: str, spaced: bool, special: bool = False) -> ChunkEncoder:
     """The encoder of this worker process for a vocabulary file."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = ChunkEncoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    if (path, spaced, special) not in _ENCODERS:
+        _ENCODERS[path, spaced, special] = ChunkEncoder(path, spaced, special)
+    return _ENCODERS[path, spaced, special]

@@ -83,9 +83,9 @@ def cells_of(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.minimum((0.5 + 0.5 * np.tanh(flat)) * (1 << GRID_BITS), (1 << GRID_BITS) - 1).astype(np.int64)
 
 
-def _tokenise(vocabulary: str, end_id: int):
+def _tokenise(vocabulary: str, end_id: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, spaced=False)
+        encode = encoder(vocabulary, spaced=False, special=special)
         for batch in slices(batches):
             ids, bounds = encode.encode(batch.column(2))
             keys = hilbert_keys(cells_of(ids, bounds))
@@ -117,10 +117,11 @@ def _cut(length: int):
     return run
 
 
-def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+              special: bool = False) -> DataFrame:
     """Stored ids of every document with its Hilbert key."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
-    return stored(rows.mapInArrow(_tokenise(vocabulary, end_id), "_id bigint, _row bigint, _key bigint, _n bigint, _width int, _ids binary"),
+    return stored(rows.mapInArrow(_tokenise(vocabulary, end_id, special), "_id bigint, _row bigint, _key bigint, _n bigint, _width int, _ids binary"),
                   "packing-ids")
 
 
@@ -131,8 +132,12 @@ def positions(tokens: DataFrame) -> DataFrame:
     return summed.select("_row", (F.col("_cum") - F.col("_n")).alias("_start"))
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    tokens = tokenised(docs, vocabulary, end_id, id_col, text_col)
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+         special: bool = False) -> DataFrame:
+    """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``special``: strings of special tokens in a text get those tokens' ids, as in a plain call of the library.
+    """
+    tokens = tokenised(docs, vocabulary, end_id, id_col, text_col, special)
     placed = tokens.join(positions(tokens), "_row").select("_id", "_start", "_width", "_ids")
     return placed.mapInArrow(_cut(length), PIECES).withColumnRenamed("_id", id_col)

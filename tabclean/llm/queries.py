@@ -35,7 +35,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = records.write_records(_table(spark, sf_dir, "documents"), common.vocabulary("byte_bpe_50k.json"), end_id=2)
+    manifest = records.write_records(_table(spark, sf_dir, "documents"), common.vocabulary("byte_bpe_50k.json"), end_id=2, special=True)
     return records.read_back(manifest)
 
 
@@ -59,7 +59,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), common.vocabulary("word_bpe_49k.json"), length=2048, end_id=1)
+    return packing.pack(_table(spark, sf_dir, "documents"), common.vocabulary("word_bpe_49k.json"), length=2048, end_id=1, special=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -70,12 +70,12 @@ def unframe(data: memoryview, at: int) -> memoryview:
     return payload
 
 
-def _writer(folder: str, vocabulary: str, end_id: int, width: int):
+def _writer(folder: str, vocabulary: str, end_id: int, width: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         fs, root = file_system(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        encode, kind = encoder(vocabulary, spaced=True), np.dtype(f"<u{width}")
+        encode, kind = encoder(vocabulary, spaced=True, special=special), np.dtype(f"<u{width}")
         entries, tokens, offset, out = [], 0, 0, None
         for batch in slices(batches):
             if out is None:
@@ -102,18 +102,19 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int):
 
 
 def write_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id",
-                  text_col: str = "text", files: int | None = None, width: int = 2) -> DataFrame:
+                  text_col: str = "text", files: int | None = None, width: int = 2, special: bool = False) -> DataFrame:
     """Write every document in ascending id order; returns the manifest (a row a file).
 
     ``folder`` must be one that all executors share; by default a fresh one
-    beside the checkpoints.
+    beside the checkpoints. ``special``: strings of special tokens in a text
+    get those tokens' ids, as in a plain call of the library.
     """
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark, "records")
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     ordered = rows.repartitionByRange(files, "_id").sortWithinPartitions("_id")
-    return stored(ordered.mapInArrow(_writer(folder, vocabulary, end_id, width), MANIFEST), "records-manifest")
+    return stored(ordered.mapInArrow(_writer(folder, vocabulary, end_id, width, special), MANIFEST), "records-manifest")
 
 
 def read_index(fs, path: str) -> np.ndarray:

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tabclean.llm import chunks, common, packing, records, sp_bpe
+import corpus_pipeline
+from tabclean.llm import chunks, common, packing, queries, records, sp_bpe
 
 BYTES, WORDS, PIECES = (common.vocabulary(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 TEXTS = st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("ab e1.,'\n\t▁é日🎉́ ​İΣ")), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=8)
@@ -46,6 +47,32 @@ def test_chunk_encoder_any_text(path, spaced):
     check()
 
 
+def plain(path, texts):
+    """By the library as it is, with no switch set."""
+    return [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|> <|endoftext |>", "a\n<|endoftext|><|endoftext|>é 日", "none"]
+
+
+@pytest.mark.parametrize("path, spaced", [(BYTES, True), (WORDS, False)])
+def test_special_tokens_as_the_plain_library(odd_texts, path, spaced):
+    texts = [*SPECIAL, *odd_texts]
+    ids, bounds = chunks.ChunkEncoder(path, spaced, special=True).encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == plain(path, texts)
+
+
+def test_queries_encode_special_tokens_as_the_plain_library(spark, tmp_dir):
+    spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op5_token_records(spark, tmp_dir).collect()}
+    assert got == {i: (len(ids) + 1, crc([*ids, 2])) for i, ids in enumerate(plain(BYTES, SPECIAL))}
+    want = {i: (len(ids) + 1, crc([*ids, 1])) for i, ids in enumerate(plain(WORDS, SPECIAL))}
+    docs = spark.read.parquet(f"{tmp_dir}/documents.parquet")
+    for packed in (queries.op10_packing(spark, tmp_dir), corpus_pipeline.pack(spark, docs, tmp_dir)):
+        assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packed.collect()} == want
+
+
 def test_agenda_any_text():
     own, lib = sp_bpe.AgendaCodec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
 
