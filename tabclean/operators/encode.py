@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabclean.operators.kinds import q
+from tabclean.operators.kinds import fresh, q
 from tabclean.operators.rank import dense_ranks
 from tabclean.plans.steps import detail
 
@@ -117,19 +117,20 @@ def label_encode(df: DataFrame, columns: list[str], distinct: dict | None = None
         distinct = {c: sizes[i]["k"] if i in sizes else 0 for i, c in enumerate(columns)}
         rows = max([r["n"] for r in sizes.values()], default=0)
     out = df
+    key, code, first = fresh(df.columns, "_k", "_label", "_hot")
     for i, c in enumerate(columns):
-        labels = ranks.filter(F.col("idx") == i).drop("idx")
-        out = out.withColumn("_k", _digest(F.col(q(c)).cast("string")))
+        labels = ranks.filter(F.col("idx") == i).select(F.col("_d").alias(key), F.col("_code").alias(code), "n")
+        out = out.withColumn(key, _digest(F.col(q(c)).cast("string")))
         if distinct.get(c, 0) <= broadcast_max:
-            out = out.join(F.broadcast(labels.select(F.col("_d").alias("_k"), "_code")), "_k", "left")
+            out = out.join(F.broadcast(labels.drop("n")), key, "left")
         else:
             hot = labels.filter(F.col("n") > max(1, rows // partitions))
-            out = out.join(F.broadcast(hot.select(F.col("_d").alias("_k"), F.col("_code").alias("_hot"))), "_k", "left")
+            out = out.join(F.broadcast(hot.select(key, F.col(code).alias(first))), key, "left")
             alone = F.concat(F.lit(b"-"), F.unhex(F.md5(F.monotonically_increasing_id().cast("string").cast("binary"))))  # 17 bytes
-            out = out.withColumn("_k", F.when(F.col("_k").isNull() | F.col("_hot").isNotNull(), alone).otherwise(F.col("_k")))
-            out = out.join(labels.select(F.col("_d").alias("_k"), "_code"), "_k", "left")
-            out = out.withColumn("_code", F.coalesce("_hot", "_code"))
-        out = out.withColumn(c, F.coalesce(F.col("_code"), F.lit(-1))).select(*[F.col(q(x)) for x in df.columns])
+            out = out.withColumn(key, F.when(F.col(key).isNull() | F.col(first).isNotNull(), alone).otherwise(F.col(key)))
+            out = out.join(labels.drop("n"), key, "left")
+            out = out.withColumn(code, F.coalesce(first, code))
+        out = out.withColumn(c, F.coalesce(F.col(code), F.lit(-1))).select(*[F.col(q(x)) for x in df.columns])
     return out
 
 

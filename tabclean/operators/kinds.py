@@ -33,6 +33,16 @@ def columns_of(df: DataFrame, kind: str) -> list[str]:
     return [f.name for f in df.schema.fields if kind_of(f.dataType) == kind]
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``taken`` has."""
+    out = []
+    for name in names:
+        while name in taken or name in out:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def q(name: str) -> str:
     """Backtick-quote a column name (names may hold dots or spaces)."""
     return "`" + name.replace("`", "``") + "`"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 from dataclasses import dataclass
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,25 +72,59 @@ def drop_sparse_rows(df: DataFrame, threshold: float) -> DataFrame:
     k = min_non_missing(len(df.columns), threshold)
     if k <= 0:
         return df
-    return df.na.drop(thresh=k)
+    return df.na.drop(thresh=k, subset=[q(c) for c in df.columns])
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """O-53."""
     if not df.columns:
         return df
-    return df.na.drop(how="all")
+    return df.na.drop(how="all", subset=[q(c) for c in df.columns])
 
 
-def _number_value(value: str):
-    """The reference coerces the rule value with to_numeric; NaN when it is not a number."""
-    import re
+def _number_value(value: str) -> Decimal | None:
+    """The rule value as a number with all its digits; None when it is not a finite one."""
     text = str(value).strip()
-    if re.match(NUMBER_PATTERN, text):
-        v = float(text)
-        if not math.isinf(v):
-            return v
-    return None
+    return Decimal(text) if re.match(NUMBER_PATTERN, text) and not math.isinf(float(text)) else None
+
+
+_LEAST_LONG, _MOST_LONG = -(2**63), 2**63 - 1
+
+
+def _fits_decimal(v: Decimal) -> bool:
+    """Can the value be a decimal literal of 38 digits?"""
+    _, digits, exponent = v.as_tuple()
+    return -38 <= exponent and len(digits) + max(exponent, 0) <= 38
+
+
+def _equals_number(c, dtype, v: Decimal):
+    """``col == v``, exactly: no integer goes through a double, and none outside the column's range is equal."""
+    if _is_integral(dtype):
+        if not _LEAST_LONG <= v <= _MOST_LONG or v != v.to_integral_value():
+            return F.lit(False)
+        return (c.cast("int") if kind_of(dtype) == BOOLEAN else c) == F.lit(int(v))
+    if isinstance(dtype, T.DecimalType):
+        return c == F.lit(v) if _fits_decimal(v) else F.lit(False)
+    return c == F.lit(float(v))
+
+
+def _compares_number(c, dtype, v: Decimal, gt: bool):
+    """``col > v`` or ``col < v`` on a number column, exactly."""
+    if _is_integral(dtype):
+        if not _LEAST_LONG <= v <= _MOST_LONG:
+            return c.isNotNull() if (v < 0) == gt else F.lit(False)
+        target = c.cast("int") if kind_of(dtype) == BOOLEAN else c
+        bound = int(v.to_integral_value(ROUND_FLOOR if gt else ROUND_CEILING))
+        if bound > _MOST_LONG:  # the next whole number above the column's range
+            return c.isNotNull()
+        return (target > F.lit(bound)) if gt else (target < F.lit(bound))
+    if isinstance(dtype, T.DecimalType):
+        if not _fits_decimal(v):
+            if abs(v) >= Decimal(10) ** 38:
+                return c.isNotNull() if (v < 0) == gt else F.lit(False)
+            v = v.quantize(Decimal(1).scaleb(-dtype.scale), ROUND_FLOOR if gt else ROUND_CEILING)
+        return (c > F.lit(v)) if gt else (c < F.lit(v))
+    return (c > F.lit(float(v))) if gt else (c < F.lit(float(v)))
 
 
 def _datetime_layout(df: DataFrame, name: str) -> tuple[bool, bool]:
@@ -106,6 +142,14 @@ def _is_integral(data_type) -> bool:
                                               and not isinstance(data_type, T.DecimalType))
 
 
+def _exact(value: str) -> Decimal:
+    """A number that ``float`` has read, with all its digits."""
+    try:
+        return Decimal(str(value).strip())
+    except InvalidOperation:  # a form that only float reads
+        return Decimal(float(value))
+
+
 def filter_condition(df: DataFrame, rule: FilterRule):
     """Condition of one rule, or None when the column is unknown (rule skipped).
 
@@ -122,11 +166,7 @@ def filter_condition(df: DataFrame, rule: FilterRule):
     op = rule.operator
     if op in ("equals", "not_equals") and kind in (NUMERIC, BOOLEAN):
         v = _number_value(rule.value)
-        if v is not None and _is_integral(dtype):
-            target = c.cast("int") if kind == BOOLEAN else c
-            hit = (target == F.lit(int(v))) if float(v).is_integer() else F.lit(False)
-        elif v is not None:
-            hit = c == F.lit(v)
+        hit = None if v is None else _equals_number(c, dtype, v)
         if op == "equals":
             return F.lit(False) if v is None else hit
         return F.lit(True) if v is None else (c.isNull() | ~hit)
@@ -145,10 +185,9 @@ def filter_condition(df: DataFrame, rule: FilterRule):
         if kind == TEXT:
             x = to_number(c)
             return (x > F.lit(v)) if gt else (x < F.lit(v))
-        if _is_integral(dtype) and not math.isinf(v):
-            target = c.cast("int") if kind == BOOLEAN else c
-            return (target > F.lit(math.floor(v))) if gt else (target < F.lit(math.ceil(v)))
-        return (c > F.lit(v)) if gt else (c < F.lit(v))
+        if kind not in (NUMERIC, BOOLEAN) or math.isinf(v):
+            return (c > F.lit(v)) if gt else (c < F.lit(v))
+        return _compares_number(c, dtype, _exact(rule.value), gt)
     if kind == TEXT and op in ("equals", "not_equals"):
         v = str(rule.value)
         hit = (c.isNull() | (c == F.lit(v))) if v == "nan" else (c == F.lit(v))

@@ -24,7 +24,7 @@ from tabclean.operators.normalize import normalize_raw
 from tabclean.operators.outliers import remove_outliers
 from tabclean.operators.profile import profile
 from tabclean.operators.rows import (apply_filters, auto_drop_candidates, drop_columns,
-                                     drop_sparse_rows, min_non_missing)
+                                     drop_empty_rows, drop_sparse_rows, min_non_missing)
 from tabclean.operators.scale import scale_columns, scale_numeric
 from tabclean.operators.types import bool_to_int, coerce_numeric, convert_datetimes
 from tabclean.plans.request import CleanRequest
@@ -183,7 +183,7 @@ def finalize(run: _Run) -> None:
             marks = ", ".join(f"if({q(c)} is not null, 1, null)" for c in cols)
             nonempty = fit(run.df, {"n": F.expr(f"count(coalesce({marks}))")})["n"] if len(cols) > 1 else stats[(cols[0], "nn")]
         if nonempty != rows:
-            run.set(run.df.na.drop(how="all"), nonempty)
+            run.set(drop_empty_rows(run.df), nonempty)
             run.log("drop_empty_rows", detail("drop_empty_rows", n=rows - nonempty))
         empty = [c for c in cols if stats[(c, "nn")] == 0] if nonempty > 0 else []
         if empty:

@@ -14,7 +14,7 @@ from tabclean.plans.suggest import (FLAG_WORDS, REASON_DATE, REASON_DEFAULT, REA
                                     REASON_MISSING, REASON_OUTLIER, REASON_SCALE)
 from tabclean.operators import profile as P
 from tabclean.sources.csv import REASON_SUFFIX
-from tabclean.sources.tables import (BIG_ORDERS_SQL, BOOLEAN_ORDERS_SQL, EXACT_ORDERS_SQL, INF_EVENTS_SQL, NAMED_ORDERS_SQL,
+from tabclean.sources.tables import (BIG_ORDERS_SQL, BOOLEAN_ORDERS_SQL, DOTTED_PART_SQL, EXACT_ORDERS_SQL, ODD_NAMES_SQL, INF_EVENTS_SQL, NAMED_ORDERS_SQL,
                                      ODD_ORDERS_SQL, SKEWED_ORDERS_SQL, WIDE_COLUMNS, WIDE_PART_SQL, duckdb_sql_of, duckdb_text)
 
 DUCK_DATE_FORMATS = ("%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%d %H:%M:%S",
@@ -520,6 +520,13 @@ def oracle_queries() -> dict[str, str]:
                          "(dense_rank() over (order by p_brand) - 1)::int as p_brand, "
                          f"{_one_hot_cols('p_type', ['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'])} "
                          "from part"),
+        "filter_eq_big": (f"with b as ({duckdb_text(BIG_ORDERS_SQL)}), c as (select o_orderkey, big::bigint as big, u64 from b) "
+                          "select * from c where big = 9007199254740994 union all "
+                          "select * from c where big <> 9007199254740993 and u64::decimal(20,0) > 18446744073709000001"),
+        "label_encode_names": (f"select o_orderkey, (dense_rank() over (order by _k) - 1)::int as _k, _code, (dense_rank() over (order by cust) - 1)::int as cust "
+                               f"from ({duckdb_text(ODD_NAMES_SQL)})"),
+        "dotted_names": (f"""select "p.key", coalesce("p.name", 'none') as "p.name", coalesce("a.b", 'none') as "a.b", coalesce("a b", 0)::double as "a b", 'none' as "none.at.all" """
+                         f"""from ({duckdb_text(DOTTED_PART_SQL)}) where "p.name" is not null"""),
         "label_encode_text": "select doc_id, (dense_rank() over (order by text) - 1)::int as text, lang, source, n_chars from documents",
         "scale_part": f"select p_partkey, p_name, p_brand, p_type, {_scale('p_size', 'part')}, {_scale('p_retailprice', 'part')} from part",
         "scale_lineitem": (f"select l_orderkey, l_returnflag, l_linestatus, {ts('l_shipdate')} as l_shipdate, " + ", ".join(_scale(c, "lineitem") for c in (

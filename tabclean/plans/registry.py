@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabclean.operators.dedupe import deduplicate
 from tabclean.operators.encode import encode_categoricals, label_encode
 from tabclean.operators.impute import missing_cleanup
 from tabclean.operators.kinds import DATETIME, is_fractional, kind_of, q
 from tabclean.operators.normalize import normalize_raw
 from tabclean.operators.outliers import remove_outliers
 from tabclean.operators.profile import _profile_view, display_value, profile, top_values, value_counts
-from tabclean.operators.rows import FilterRule, apply_filters, drop_sparse_rows
+from tabclean.operators.rows import FilterRule, apply_filters, drop_empty_rows, drop_sparse_rows
 from tabclean.operators.scale import scale_columns, scale_numeric
 from tabclean.operators.types import bool_to_int, coerce_numeric, convert_datetimes, infer_types
 from tabclean.plans.cleaning import _Run, clean, finalize
@@ -27,7 +28,7 @@ from tabclean.sources.batch import clean_files
 from tabclean.sources.csv import dedupe_sources, detect_encodings, read_csv, source_manifest, write_csv
 from tabclean.sources.presets import list_presets, load_request, save_preset
 from tabclean.sources.preview import page_count, preview
-from tabclean.sources.tables import (BIG_ORDERS_SQL, BOOLEAN_ORDERS_SQL, EXACT_ORDERS_SQL, INF_EVENTS_SQL, NAMED_ORDERS_SQL,
+from tabclean.sources.tables import (BIG_ORDERS_SQL, BOOLEAN_ORDERS_SQL, DOTTED_PART_SQL, EXACT_ORDERS_SQL, ODD_NAMES_SQL, INF_EVENTS_SQL, NAMED_ORDERS_SQL,
                                      ODD_ORDERS_SQL, SKEWED_ORDERS_SQL, WIDE_DATES_SQL, WIDE_PART_SQL, dirty, register,
                                      spark_text, table)
 
@@ -227,7 +228,35 @@ def _filter_query(name):
 
 
 def dedupe(spark, sf):
-    return render(_orders_clean_input(spark, sf).dropDuplicates())
+    return render(deduplicate(_orders_clean_input(spark, sf)))
+
+
+# Two neighbours above 2^53, and bounds beyond any 64-bit number.
+BIG_RULES = [FilterRule("big", "not_equals", "9007199254740993"), FilterRule("big", "less_than", "1e300"),
+             FilterRule("u64", "greater_than", "18446744073709000001.5"), FilterRule("o_orderkey", "not_equals", "1e300")]
+
+
+def filter_eq_big(spark, sf):
+    """Integers beyond 2^53 and 64 bits are compared digit by digit."""
+    register(spark, sf, ("orders",))
+    df = coerce_numeric(spark.sql(spark_text(BIG_ORDERS_SQL))).df
+    some = apply_filters(df, [FilterRule("big", "equals", "9007199254740994")]).unionByName(apply_filters(df, BIG_RULES))
+    return some.select("o_orderkey", F.col("big").cast("bigint").alias("big"), F.col("u64").cast("string").alias("u64"))
+
+
+def label_encode_names(spark, sf):
+    """Columns called ``_k`` and ``_code``, one encoded and one carried."""
+    register(spark, sf, ("orders",))
+    df = spark.sql(spark_text(ODD_NAMES_SQL))
+    return label_encode(label_encode(df, ["_k"], broadcast_max=0), ["cust"])
+
+
+def dotted_names(spark, sf):
+    """Sparse rows, empty rows and empty columns of a table whose names have dots."""
+    register(spark, sf, ("part",))
+    req = CleanRequest(mode="manual", manual=ManualOptions(
+        remove_duplicates=True, drop_missing_rows_threshold=0.6, fill_numeric_strategy="zero", fill_text_strategy="constant", text_constant="none"))
+    return render(clean(drop_empty_rows(spark.sql(spark_text(DOTTED_PART_SQL))), req).df)
 
 
 # -- fills, outliers -----------------------------------------------------------
@@ -502,6 +531,7 @@ QUERIES = {
     "drop_sparse": drop_sparse,
     "drop_empty": drop_empty,
     **{name: _filter_query(name) for name in FILTER_RULES},
+    "filter_eq_big": filter_eq_big,
     "dedupe": dedupe,
     "fill_mean": _fill("mean", "none"),
     "fill_median": _fill("median", "none"),
@@ -517,6 +547,8 @@ QUERIES = {
     "one_hot_collision": one_hot_collision,
     "label_encode": label_encode_part,
     "label_encode_skewed": label_encode_skewed,
+    "label_encode_names": label_encode_names,
+    "dotted_names": dotted_names,
     "label_encode_text": label_encode_text,
     "scale_part": scale_part,
     "scale_lineitem": scale_lineitem,

@@ -79,6 +79,15 @@ select o_orderkey, case when o_orderkey % 10 > 0 then o_totalprice end as price,
   case when o_orderkey % 7 > 0 then o_orderpriority end as prio from orders
 """
 
+# Names that helper columns might take, and names with dots.
+ODD_NAMES_SQL = """
+select o_orderkey, o_orderstatus as "_k", o_custkey as "_code", cast(o_custkey as {S}) as cust from orders
+"""
+DOTTED_PART_SQL = """
+select p_partkey as "p.key", case when p_partkey % 4 > 0 then p_name end as "p.name", case when p_partkey % 4 > 1 then p_brand end as "a.b",
+  case when p_partkey % 4 > 2 then p_size end as "a b", cast(null as {S}) as "none.at.all" from part
+"""
+
 EXACT_ORDERS_SQL = """
 select o_orderkey, o_totalprice / 7e6 as small, o_totalprice * 1.1 as mid, o_totalprice * 7e9 / 3 as large from orders
 """
@@ -111,7 +120,7 @@ def spark_sql_of(name: str) -> str:
 
 
 def spark_text(sql: str) -> str:
-    return sql.replace("{S}", "string")
+    return sql.replace("{S}", "string").replace('"', "`")
 
 
 def duckdb_text(sql: str) -> str:

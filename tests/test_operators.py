@@ -287,3 +287,40 @@ def test_count_by_column_wide_text_table(spark):
     expect = [c for i, c in enumerate(cols)
               if (vals := [r[i] for r in data if r[i] is not None]) and sum(v != "x" for v in vals) / len(vals) >= 0.9]
     assert conv.converted == expect
+
+
+def test_filters_compare_whole_numbers_exactly(spark):
+    from tabclean.operators.rows import FilterRule, apply_filters
+    top = 2**63 - 1
+    df = spark.createDataFrame([(2**53,), (2**53 + 1,), (top,), (-top - 1,), (None,)], "x bigint")
+
+    def kept(op, value):
+        return sorted(r[0] for r in apply_filters(df, [FilterRule("x", op, value)]).collect() if r[0] is not None)
+
+    assert kept("equals", str(2**53 + 1)) == [2**53 + 1]
+    assert kept("not_equals", str(2**53 + 1)) == [-top - 1, 2**53, top]
+    for value in ("1e300", "9223372036854775808", "99999999999999999999"):
+        assert kept("equals", value) == [] and kept("greater_than", value) == []
+        assert len(kept("less_than", value)) == 4 and len(kept("not_equals", value)) == 4
+    assert kept("greater_than", "-1e300") == [-top - 1, 2**53, 2**53 + 1, top]
+    assert kept("greater_than", "9007199254740992.5") == [2**53 + 1, top]
+    assert kept("greater_than", "9223372036854775806.5") == [top]
+    assert len(kept("less_than", "9223372036854775807.5")) == 0 or kept("less_than", "9223372036854775807.5") == [-top - 1, 2**53, 2**53 + 1, top]
+    dec = spark.createDataFrame([("12345678901234567890",), ("12345678901234567891",)], "s string").selectExpr("cast(s as decimal(20,0)) as x")
+    assert [str(r[0]) for r in apply_filters(dec, [FilterRule("x", "equals", "12345678901234567891")]).collect()] == ["12345678901234567891"]
+    assert apply_filters(dec, [FilterRule("x", "less_than", "1e300")]).count() == 2
+
+
+def test_label_encode_keeps_columns_of_any_name(spark):
+    from tabclean.operators.encode import label_encode
+    df = spark.createDataFrame([("a", "b", 1, "x"), ("c", None, 2, "y")], "`_k` string, `_label` string, `_hot` int, v string")
+    for most in (0, 10):
+        got = label_encode(df, ["v", "_label"], broadcast_max=most)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == [("a", 0, 1, 0), ("c", -1, 2, 1)]
+
+
+def test_dotted_names_through_row_drops(spark):
+    from tabclean.operators.rows import drop_empty_rows, drop_sparse_rows
+    df = spark.createDataFrame([("x", None, 1), (None, None, None)], "`a.b` string, `c``d` string, e int")
+    assert drop_empty_rows(df).count() == 1 and drop_sparse_rows(df, 0.5).count() == 1
