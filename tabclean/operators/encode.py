@@ -30,34 +30,48 @@ class EncodingPlan:
     rows: int = 0
 
 
-def _long_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+def _long_counts(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
     structs = [F.struct(F.lit(i).alias("idx"), F.col(q(c)).cast("string").alias("v")) for i, c in enumerate(columns)]
-    return (df.select(F.inline(F.array(*structs)))
-            .groupBy("idx", "v").agg(F.count(F.lit(1)).alias("n")))
+    key = [] if by is None else [F.col(q(by)).alias("by")]
+    return (df.select(*key, F.inline(F.array(*structs)))
+            .groupBy(*[k for k in ("by",) if by is not None], "idx", "v").agg(F.count(F.lit(1)).alias("n")))
 
 
 def choose_encoding(df: DataFrame, columns: list[str]) -> EncodingPlan:
     """O-72: one-hot when distinct <= 20 and distinct / rows <= 0.2, else label."""
     if not columns:
         return EncodingPlan()
-    counts = _long_counts(df, columns)
-    per_col = counts.groupBy("idx").agg(
+    return _encoding_plans(_long_counts(df, columns).withColumn("by", F.lit(0)), columns).get(0) or _decided(EncodingPlan(), columns, {})
+
+
+def choose_encoding_by(df: DataFrame, columns: list[str], by: str) -> dict:
+    """O-72 for each value of ``by`` alone (at most 22 rows a key and column come back)."""
+    return _encoding_plans(_long_counts(df, columns, by), columns) if columns else {}
+
+
+def _encoding_plans(counts: DataFrame, columns: list[str]) -> dict:
+    per_col = counts.groupBy("by", "idx").agg(
         F.count("v").alias("distinct"), F.sum("n").alias("rows"))
-    w = Window.partitionBy("idx").orderBy("v")
+    w = Window.partitionBy("by", "idx").orderBy("v")
     first = (counts.filter(F.col("v").isNotNull())
              .withColumn("r", F.row_number().over(w)).filter(F.col("r") <= ONE_HOT_MAX_VALUES + 1))
-    stats = per_col.select("idx", "distinct", "rows", F.lit(None).cast("string").alias("v"),
+    stats = per_col.select("by", "idx", "distinct", "rows", F.lit(None).cast("string").alias("v"),
                            F.lit(0).alias("r"))
-    both = stats.unionByName(first.select("idx", F.lit(None).cast("bigint").alias("distinct"),
+    both = stats.unionByName(first.select("by", "idx", F.lit(None).cast("bigint").alias("distinct"),
                                           F.lit(None).cast("bigint").alias("rows"), "v", "r"))
-    plan = EncodingPlan()
-    values: dict[int, list] = {}
+    plans: dict = {}
+    values: dict = {}
     for r in both.collect():
+        plan = plans.setdefault(r["by"], EncodingPlan())
         if r["r"] == 0:
             plan.distinct[columns[r["idx"]]] = int(r["distinct"])
             plan.rows = max(plan.rows, int(r["rows"]))
         else:
-            values.setdefault(r["idx"], []).append((r["r"], r["v"]))
+            values.setdefault(r["by"], {}).setdefault(r["idx"], []).append((r["r"], r["v"]))
+    return {key: _decided(plan, columns, values.get(key, {})) for key, plan in plans.items()}
+
+
+def _decided(plan: EncodingPlan, columns: list[str], values: dict) -> EncodingPlan:
     for i, c in enumerate(columns):
         d = plan.distinct.get(c, 0)
         if d <= ONE_HOT_MAX_VALUES and d / max(plan.rows, 1) <= ONE_HOT_MAX_RATIO:
@@ -95,7 +109,7 @@ def _digest(v):
 
 def label_encode(df: DataFrame, columns: list[str], distinct: dict | None = None,
                  rows: int | None = None, counts: DataFrame | None = None,
-                 broadcast_max: int = BROADCAST_LABELS_MAX) -> DataFrame:
+                 broadcast_max: int = BROADCAST_LABELS_MAX, by: str | None = None) -> DataFrame:
     """O-74: code = position among the sorted distinct values, missing = -1.
 
     The values are ranked once and then stood for by 16-byte digests. Each
@@ -105,13 +119,17 @@ def label_encode(df: DataFrame, columns: list[str], distinct: dict | None = None
     values that alone exceed an average partition (at most one a partition) are
     broadcast; the rows they and the missing values leave without a key get
     keys of their own that match nothing, so no key is hot in the join of the rest.
+
+    With ``by`` (a whole-number column) the codes count from 0 within each of its values.
     """
     if not columns:
         return df
     partitions = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = (_long_counts(df, columns) if counts is None else counts).filter(F.col("v").isNotNull())
-    ranks = dense_ranks(counts, "idx", "v")  # keeps n: the count of every value
-    ranks = ranks.select("idx", _digest(F.col("v")).alias("_d"), F.col("rank").cast("int").alias("_code"), "n")
+    counts = (_long_counts(df, columns, by) if counts is None else counts).filter(F.col("v").isNotNull())
+    group = F.col("idx") if by is None else F.col("by").cast("bigint") * len(columns) + F.col("idx")
+    said = (lambda v: v) if by is None else (lambda v: F.concat(F.col("by").cast("string"), F.lit(":"), v))
+    ranks = dense_ranks(counts.withColumn("_group", group), "_group", "v")  # keeps n: the count of every value
+    ranks = ranks.select("idx", _digest(said(F.col("v"))).alias("_d"), F.col("rank").cast("int").alias("_code"), "n")
     if distinct is None or rows is None:
         sizes = {r["idx"]: r for r in ranks.groupBy("idx").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()}
         distinct = {c: sizes[i]["k"] if i in sizes else 0 for i, c in enumerate(columns)}
@@ -120,7 +138,8 @@ def label_encode(df: DataFrame, columns: list[str], distinct: dict | None = None
     key, code, first = fresh(df.columns, "_k", "_label", "_hot")
     for i, c in enumerate(columns):
         labels = ranks.filter(F.col("idx") == i).select(F.col("_d").alias(key), F.col("_code").alias(code), "n")
-        out = out.withColumn(key, _digest(F.col(q(c)).cast("string")))
+        value = F.col(q(c)).cast("string")
+        out = out.withColumn(key, _digest(value if by is None else F.concat(F.col(q(by)).cast("string"), F.lit(":"), value)))
         if distinct.get(c, 0) <= broadcast_max:
             out = out.join(F.broadcast(labels.drop("n")), key, "left")
         else:

@@ -40,8 +40,24 @@ def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]
     return {c: medians.get(i) for i, c in enumerate(columns)}
 
 
+def medians_by(df: DataFrame, columns: list[str], by: str) -> dict:
+    """``{key: {column: exact median}}`` by the values of ``by``, a column of whole numbers from 0."""
+    structs = [F.struct(F.lit(i).alias("idx"), F.col(q(c)).cast("double").alias("v")) for i, c in enumerate(columns)]
+    long = df.select(F.col(q(by)).cast("bigint").alias("by"), F.inline(F.array(*structs)))
+    medians = exact_medians(long.select((F.col("by") * len(columns) + F.col("idx")).alias("g"), "v"), "g", "v")
+    out: dict = {}
+    for g, v in medians.items():
+        out.setdefault(g // len(columns), {})[columns[g % len(columns)]] = v
+    return out
+
+
 def column_modes(df: DataFrame, text_cols: list[str], datetime_cols: list[str]) -> dict:
     """Most frequent value of each column, the smallest one on ties."""
+    return modes_by(df, text_cols, datetime_cols, None).get(0, {})
+
+
+def modes_by(df: DataFrame, text_cols: list[str], datetime_cols: list[str], by: str | None) -> dict:
+    """``{key: {column: most frequent value}}`` by the values of ``by`` (None: one key, 0), the smallest one on ties."""
     structs = []
     names = list(text_cols) + list(datetime_cols)
     for i, c in enumerate(names):
@@ -51,17 +67,28 @@ def column_modes(df: DataFrame, text_cols: list[str], datetime_cols: list[str])
         structs.append(F.struct(F.lit(i).alias("idx"), s.alias("s"), t.alias("t")))
     if not structs:
         return {}
-    long = df.select(F.inline(F.array(*structs))).filter(F.col("s").isNotNull() | F.col("t").isNotNull())
-    counts = long.groupBy("idx", "s", "t").agg(F.count(F.lit(1)).alias("n"))
-    modes = counts.groupBy("idx").agg(
+    key = F.lit(0) if by is None else F.col(q(by))
+    long = df.select(key.alias("by"), F.inline(F.array(*structs))).filter(F.col("s").isNotNull() | F.col("t").isNotNull())
+    counts = long.groupBy("by", "idx", "s", "t").agg(F.count(F.lit(1)).alias("n"))
+    modes = counts.groupBy("by", "idx").agg(
         F.min_by(F.struct("s", "t"), F.struct((-F.col("n")).alias("m"), F.col("s"), F.col("t"))).alias("mode"))
-    out = {}
+    out: dict = {}
     for r in modes.collect():
         name = names[r["idx"]]
-        out[name] = r["mode"]["s"] if name in text_cols else r["mode"]["t"]
+        out.setdefault(r["by"], {})[name] = r["mode"]["s"] if name in text_cols else r["mode"]["t"]
     return out
 
 
+def fill_gaps(df: DataFrame, names: dict[str, str], numbers: set[str]) -> DataFrame:
+    """Gaps of each column in ``names`` take the value of the column named beside it; ``numbers`` become doubles."""
+    def filled(c, v):
+        dtype = df.schema[c].dataType
+        own = F.col(q(c)).cast("double") if c in numbers else F.col(q(c))
+        return F.coalesce(own, F.col(q(v)) if c in numbers else F.col(q(v)).cast(dtype))
+
+    return df.withColumns({c: filled(c, v) for c, v in names.items()})
+
+
 def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strategy: str = "mode",
                     text_constant: str = "unknown", step_prefix: str = "missing_cleanup") -> FillResult:
     """O-70: numeric fill, then datetime fill (always), then text fill; logged per kind."""

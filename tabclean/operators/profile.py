@@ -5,13 +5,14 @@ Three data passes, each one job (submitted together):
 * F1 - one aggregate by column index over unpivoted values: row count,
   non-missing counts, parse counts of text columns, mean / sample std / min /
   max / skewness of number values (code size independent of the width).
-* F2 - long value counts: every column cast to a string key, exploded to
-  ``(idx, key)`` and counted in ONE shuffle for all columns; distinct counts
-  and the top 5 values per column come from that table. The top-5 window is
-  ``row_number() <= 5``, which Spark plans with a partial group limit before
-  the shuffle, so each column's final task sees at most 5 rows per input
-  partition (a hot value is one row after partial aggregation).
-* F3 - whole-row duplicates: one ``groupBy`` over all columns.
+* F2 - long value counts: every column exploded to ``(idx, typed key)`` and
+  counted in ONE shuffle for all columns; distinct counts and the top 5 values
+  per column come from that table. A text of over 32 bytes goes by its first
+  16 characters and its digest, so a row of the shuffle has tens of bytes however
+  long the texts are; the few winners' texts are fetched afterwards (late
+  materialisation). The top-5 window is a ``rank() <= 5``, which Spark plans with a
+  partial group limit before the shuffle.
+* F3 - whole-row duplicates: digests of 16 bytes counted in one ``groupBy``.
 
 Only per-column summaries come back to the driver (bounded by the schema).
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -169,9 +171,15 @@ def _profile_view(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# Value slots of the long value-count table: text, integral, fractional, time.
-_SLOTS = ("s", "i", "d", "t")
+# What the auto plan counts of a column beside its values.
+AUTO_PROFILE_COUNTS = {"dt": lambda s: to_datetime(s).isNotNull(), "num": lambda s: to_number(s).isNotNull()}
+
+
+# Value slots of the long value-count table: text, integral, fractional, time, digest of a long text.
+_SLOTS = ("s", "i", "d", "t", "h")
 INT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+# A text of more bytes is stood for by its first characters (which order it) and its digest.
+LONG_TEXT, LEADING = 32, 16
 
 
 def _slot_of(data_type) -> str:
@@ -187,23 +195,54 @@ def _slot_of(data_type) -> str:
 
 def _slot_values(c, data_type) -> dict:
     """Typed value of a column in its slot: numbers and times are grouped as
-    numbers and times (no text conversion per row); -0.0 counts as 0.0."""
+    numbers and times (no text conversion per row); -0.0 counts as 0.0. A decimal keeps
+    its digits as text, and its double beside it for the order."""
     slot = _slot_of(data_type)
     vals = {"s": F.lit(None).cast("string"), "i": F.lit(None).cast("bigint"),
-            "d": F.lit(None).cast("double"), "t": F.lit(None).cast("timestamp_ntz")}
+            "d": F.lit(None).cast("double"), "t": F.lit(None).cast("timestamp_ntz"), "h": F.lit(None).cast("binary")}
     if slot == "i":
         vals["i"] = c.cast("bigint")
     elif slot == "d":
         vals["d"] = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
     elif slot == "t":
         vals["t"] = c.cast("timestamp_ntz")
+    elif isinstance(data_type, T.DecimalType):
+        vals["s"], vals["d"] = c.cast("string"), c.cast("double")
     else:
-        vals["s"] = c.cast("string")
+        text = c.cast("string")
+        long = F.octet_length(text) > LONG_TEXT
+        vals["s"] = F.when(long, F.substring(text, 1, LEADING)).otherwise(text)
+        vals["h"] = F.when(long, _digest(text))
     return vals
 
 
+def _digest(text):
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def distinct_by(view: DataFrame, by: str) -> dict:
+    """``{key: {column: distinct non-missing values}}`` by the values of ``by``, from digests of 16 bytes."""
+    fields = [f for f in view.schema.fields if f.name != by]
+    structs = []
+    for i, f in enumerate(fields):
+        values = _slot_values(F.col(q(f.name)), f.dataType)
+        value = values[_slot_of(f.dataType)].cast("string")
+        structs.append(F.struct(F.lit(i).alias("idx"), F.coalesce(values["h"], _digest(value)).alias("d")))
+    long = view.select(F.col(q(by)).alias("by"), F.inline(F.array(*structs))).filter("d is not null").distinct()
+    out: dict = {}
+    for r in long.groupBy("by", "idx").agg(F.count(F.lit(1)).alias("k")).collect():
+        out.setdefault(r["by"], {})[fields[r["idx"]].name] = int(r["k"])
+    return out
+
+
+def is_possible_id(distinct: int, rows: int, missing: int, inferred: str) -> bool:
+    """O-37, from unrounded ratios."""
+    missing_ratio = float(missing / rows) if rows else 0.0
+    return distinct / max(rows, 1) > ID_UNIQUE_RATIO and missing_ratio < ID_MISSING_RATIO and inferred in ("numeric", "text")
+
+
 def value_counts(df: DataFrame) -> DataFrame:
-    """Long value counts ``(idx, s, i, d, t, n)`` of every column, ONE shuffle.
+    """Long value counts ``(idx, s, i, d, t, h, n)`` of every column, ONE shuffle.
 
     Map-side partial aggregation collapses repeated values before the
     exchange, so a value holding a third of the rows is one row per task.
@@ -220,12 +259,6 @@ def _present():
     return F.col("s").isNotNull() | F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull()
 
 
-def top_values(counts: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Top k values per column: count descending, then value ascending, missing last."""
-    w = Window.partitionBy("idx").orderBy(F.desc("n"), *[F.asc_nulls_last(x) for x in ("i", "d", "t", "s")])
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def distinct_stats(counts: DataFrame) -> DataFrame:
     """Per column: distinct non-missing values and whether a missing value occurs."""
     return counts.groupBy("idx").agg(
@@ -249,28 +282,89 @@ def display_value(schema: T.StructType):
             .otherwise(F.col("s")))
 
 
-def column_value_summary(view: DataFrame, with_top: bool = True) -> DataFrame:
-    """Distinct counts and (optionally) top values of all columns in one action:
-    both branches read the same value-count exchange, which Spark reuses."""
+MOST_TIED = 200  # candidates a column may send to the driver
+
+
+def _candidates(counts: DataFrame, schema: T.StructType, k: int) -> DataFrame:
+    """Values that may be among the top ``k`` of their column: those whose count and leading characters
+    (or number) are, ties included; at most one more than ``MOST_TIED`` a column."""
+    decimals = [i for i, f in enumerate(schema.fields) if isinstance(f.dataType, T.DecimalType)]
+    lead = F.substring("s", 1, LEADING)
+    if decimals:
+        lead = F.when(F.col("idx").isin(decimals), F.when(F.col("s").isNotNull(), F.lit(""))).otherwise(lead)
+    order = [F.desc("n"), *[F.asc_nulls_last(x) for x in ("i", "d", "t")], F.asc_nulls_last("lead")]
+    near = counts.withColumn("lead", lead).withColumn("place", F.rank().over(Window.partitionBy("idx").orderBy(*order)))
+    near = near.filter(F.col("place") <= k)
+    nth = F.row_number().over(Window.partitionBy("idx").orderBy("place", "s", "h"))
+    return near.withColumn("nth", nth).filter(F.col("nth") <= MOST_TIED + 1)
+
+
+def _whole_texts(view: DataFrame, columns: list[int], wanted: list[tuple]) -> dict:
+    """``{(idx, digest): text}`` of long texts: one scan of their columns, one text a task and digest out."""
+    fields = view.schema.fields
+    table = view.sparkSession.createDataFrame(wanted, "idx int, h binary")  # at most MOST_TIED a column
+    structs = [F.struct(F.lit(i).alias("idx"), F.col(q(fields[i].name)).cast("string").alias("v")) for i in columns]
+    long = view.select(F.inline(F.array(*structs))).filter(F.octet_length("v") > LONG_TEXT).withColumn("h", _digest(F.col("v")))
+    found = long.join(F.broadcast(table), ["idx", "h"]).groupBy("idx", "h").agg(F.first("v").alias("v"))
+    return {(r["idx"], bytes(r["h"])): r["v"] for r in found.collect()}
+
+
+def _top_by_whole_text(view: DataFrame, name: str, k: int) -> list[tuple]:
+    """The top ``k`` of one text column counted by whole texts: for more ties than digests and leading characters resolve."""
+    text = F.col(q(name)).cast("string")
+    counts = view.groupBy(text.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return [(r["v"], int(r["n"])) for r in counts.orderBy(F.desc("n"), F.asc_nulls_last("v")).limit(k).collect()]
+
+
+def column_value_summary(view: DataFrame, with_top: bool = True, k: int = TOP_K) -> tuple[dict, dict]:
+    """``{idx: (distinct, has missing)}`` and ``{idx: [(value, count)]}`` of all columns.
+
+    Both come from the same value-count exchange, which Spark reuses. Top
+    values go by count descending, then value ascending, missing last.
+    """
+    fields = view.schema.fields
     counts = value_counts(view)
-    dist = distinct_stats(counts).select(
-        "idx", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("value"),
-        F.col("rows").alias("n"), "distinct", "has_missing")
-    if not with_top:
-        return dist
-    top = top_values(counts).select(
-        "idx", "rank", display_value(view.schema).alias("value"), "n",
-        F.lit(None).cast("bigint").alias("distinct"), F.lit(None).cast("int").alias("has_missing"))
-    return dist.unionByName(top)
+    dist = distinct_stats(counts).select("idx", F.lit(0).alias("place"), "distinct", "has_missing", F.col("rows").alias("n"),
+                                         *[F.lit(None).cast(t).alias(c) for c, t in _CANDIDATE.items()])
+    rows = dist
+    if with_top:
+        near = _candidates(counts, view.schema, k).withColumn("value", display_value(view.schema))
+        rows = dist.unionByName(near.select("idx", "place", F.lit(None).cast("bigint").alias("distinct"),
+                                            F.lit(None).cast("int").alias("has_missing"), "n", *_CANDIDATE))
+    distinct, near = {}, {}
+    for r in rows.collect():
+        if r["place"] == 0:
+            distinct[r["idx"]] = (int(r["distinct"]), bool(r["has_missing"]))
+        else:
+            near.setdefault(r["idx"], []).append(r)
+    many = {i for i, found in near.items() if len(found) > MOST_TIED}
+    wanted = [(i, bytes(r["h"])) for i, found in near.items() if i not in many for r in found if r["h"] is not None]
+    texts = _whole_texts(view, sorted({i for i, _ in wanted}), wanted) if wanted else {}
+    tops = {}
+    for i, found in near.items():
+        if i in many:
+            tops[i] = _top_by_whole_text(view, fields[i].name, k)
+            continue
+        each = []
+        for r in found:
+            value = texts[(i, bytes(r["h"]))] if r["h"] is not None else r["value"]
+            typed = [r["i"], r["d"], r["t"]]
+            if isinstance(fields[i].dataType, T.DecimalType) and r["s"] is not None:
+                typed = [Decimal(r["s"])]
+            order = [(v is None, v) for v in typed if v is not None] or [(r["value"] is None, (value or "").encode())]
+            each.append((-int(r["n"]), value is None, order, value))
+        each.sort(key=lambda x: x[:3])
+        tops[i] = [(value, -n) for n, _, _, value in each[:k]]
+    return distinct, tops
+
+
+_CANDIDATE = {"i": "bigint", "d": "double", "t": "timestamp_ntz", "s": "string", "h": "binary", "value": "string"}
 
 
 def duplicate_rows(df: DataFrame) -> int:
-    """O-32: rows beyond the first of each identical row; NULL equals NULL."""
-    if not df.columns:
-        return 0
-    grouped = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    row = grouped.agg(F.sum(F.col("_n") - 1).alias("d")).collect()[0]
-    return int(row["d"] or 0)
+    """O-32: rows beyond the first of each identical row; NULL equals NULL. Digests alone are shuffled."""
+    from tabclean.operators.dedupe import repeated
+    return repeated(df).extra
 
 
 def _adjusted_skew(g1, n):
@@ -293,20 +387,13 @@ def profile(df: DataFrame, file_name: str = "dataset", light: bool = False) -> D
     # (each job's partitioning, and so its result, is the same as alone).
     with ThreadPoolExecutor(max_workers=3) as pool:
         f1 = pool.submit(column_stats, view, light)
-        f2 = pool.submit(lambda: column_value_summary(view, with_top=not light).collect())
+        f2 = pool.submit(column_value_summary, view, not light)
         f3 = pool.submit(lambda: 0 if light else duplicate_rows(view))
-        stats, summary, dups = f1.result(), f2.result(), f3.result()
+        stats, (dist, tops), dups = f1.result(), f2.result(), f3.result()
     if not fields:
         stats[("", "rows")] = view.count()
     rows = int(stats[("", "rows")] or 0)
 
-    dist, tops = {}, {}
-    for r in summary:
-        if r["rank"] == 0:
-            dist[r["idx"]] = (int(r["distinct"]), bool(r["has_missing"]))
-        else:
-            tops.setdefault(r["idx"], []).append((r["rank"], r["value"], int(r["n"])))
-
     columns = []
     missing_cells = 0
     for i, f in enumerate(fields):
@@ -321,8 +408,8 @@ def profile(df: DataFrame, file_name: str = "dataset", light: bool = False) -> D
         missing_ratio = float((rows - nn) / rows) if rows else 0.0
         unique_ratio = distinct / max(rows, 1)
         duplicate_count = rows - distinct - (1 if has_missing else 0)
-        possible_id = unique_ratio > ID_UNIQUE_RATIO and missing_ratio < ID_MISSING_RATIO and inferred in ("numeric", "text")
-        top = [(v, n) for _, v, n in sorted(tops.get(i, []), key=lambda x: x[0])]
+        possible_id = is_possible_id(distinct, rows, rows - nn, inferred)
+        top = tops.get(i, [])
         summary = None
         hint = HINT_LIMITED
         if inferred == "numeric":

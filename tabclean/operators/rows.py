@@ -130,13 +130,21 @@ def _compares_number(c, dtype, v: Decimal, gt: bool):
 def _datetime_layout(df: DataFrame, name: str) -> tuple[bool, bool]:
     """Does the column print as dates only / with microseconds (one aggregate)."""
     c = F.col(q(name))
-    stats = fit(df, {
-        "not_midnight": F.count_if(F.date_format(c, "HH:mm:ss.SSSSSS") != "00:00:00.000000"),
-        "fraction": F.count_if(F.date_format(c, "SSSSSS") != "000000"),
-    })
+    stats = fit(df, _layout_counts(c))
     return stats["not_midnight"] == 0, stats["fraction"] > 0
 
 
+def _layout_counts(c) -> dict:
+    return {"not_midnight": F.count_if(F.date_format(c, "HH:mm:ss.SSSSSS") != "00:00:00.000000"),
+            "fraction": F.count_if(F.date_format(c, "SSSSSS") != "000000")}
+
+
+def datetime_layouts_by(df: DataFrame, name: str, by: str) -> dict:
+    """``{key: (dates only, with microseconds)}`` of a datetime column by the values of ``by``."""
+    rows = df.groupBy(F.col(q(by)).alias("by")).agg(*[e.alias(k) for k, e in _layout_counts(F.col(q(name))).items()]).collect()
+    return {r["by"]: (r["not_midnight"] == 0, r["fraction"] > 0) for r in rows}
+
+
 def _is_integral(data_type) -> bool:
     return kind_of(data_type) == BOOLEAN or (kind_of(data_type) == NUMERIC and not is_fractional(data_type)
                                               and not isinstance(data_type, T.DecimalType))
@@ -150,7 +158,13 @@ def _exact(value: str) -> Decimal:
         return Decimal(float(value))
 
 
-def filter_condition(df: DataFrame, rule: FilterRule):
+def compares_layout(df: DataFrame, rule: FilterRule) -> bool:
+    """Does the rule compare a datetime as text, in the layout of the column's values?"""
+    return (rule.column in df.columns and rule.operator in ("equals", "not_equals", "contains")
+            and kind_of(df.schema[rule.column].dataType) == DATETIME)
+
+
+def filter_condition(df: DataFrame, rule: FilterRule, layout: tuple[bool, bool] | None = None):
     """Condition of one rule, or None when the column is unknown (rule skipped).
 
     The rule value is a literal, so the driver picks an equivalent form on the
@@ -194,7 +208,7 @@ def filter_condition(df: DataFrame, rule: FilterRule):
         if op == "equals":
             return hit
         return (c.isNotNull() & (c != F.lit(v))) if v == "nan" else (c.isNull() | (c != F.lit(v)))
-    dates_only, with_fraction = _datetime_layout(df, rule.column) if kind == DATETIME else (False, False)
+    dates_only, with_fraction = (layout or _datetime_layout(df, rule.column)) if kind == DATETIME else (False, False)
     text = text_form(c, dtype, dates_only, with_fraction)
     if op == "equals":
         return text == F.lit(str(rule.value))

@@ -17,6 +17,12 @@ DATETIME_CONVERT_RATIO = 0.8    # cleaner and profiler: share that parses, >
 NUMERIC_INFER_RATIO = 0.9       # profiler: share that parses, >
 
 
+COERCE_COUNTS = {
+    "num": lambda s: to_number(s).isNotNull(), "int": lambda s: to_integer(s, "bigint").isNotNull(),
+    "u64": lambda s: to_integer(s, UNSIGNED_64).between(0, F.lit(str(2**64 - 1)).cast(UNSIGNED_64))}
+DATE_COUNTS = {"dt": lambda s: to_datetime(s).isNotNull()}
+
+
 @dataclass
 class Conversion:
     df: DataFrame
@@ -37,30 +43,30 @@ def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> Conversio
     bool_cols = [c for c in columns_of(df, BOOLEAN) if c in given]
     if not text_cols + bool_cols:
         return Conversion(df, [])
-    stats = count_by_column(df, text_cols + bool_cols, {
-        "num": lambda s: to_number(s).isNotNull(), "int": lambda s: to_integer(s, "bigint").isNotNull(),
-        "u64": lambda s: to_integer(s, UNSIGNED_64).between(0, F.lit(str(2**64 - 1)).cast(UNSIGNED_64))})
-    rows = stats[("", "rows")]
-    converted, targets = [], {}
-    for name in df.columns:
+    plan = coercion_plan(count_by_column(df, text_cols + bool_cols, COERCE_COUNTS), df.columns, text_cols, bool_cols)
+    return Conversion(coerced(df, plan), list(plan))
+
+
+def coercion_plan(stats: dict, columns: list[str], text_cols: list[str], bool_cols: list[str]) -> dict[str, str]:
+    """Which columns become numbers, and of which type."""
+    rows, plan = stats[("", "rows")], {}
+    for name in columns:
         if name in bool_cols and 0 < stats[(name, "nn")] < rows:
-            targets[name] = F.col(q(name)).cast("int").cast("double")
-            converted.append(name)
+            plan[name] = "flag"
         if name not in text_cols:
             continue
         nn, num = stats[(name, "nn")], stats[(name, "num")]
         if nn == 0 or num / nn < NUMERIC_COERCE_RATIO:
             continue
-        if stats[(name, "int")] == rows:
-            targets[name] = to_integer(F.col(q(name)), "bigint")
-        elif stats[(name, "u64")] == rows:
-            targets[name] = to_integer(F.col(q(name)), UNSIGNED_64)
-        else:
-            targets[name] = to_number(F.col(q(name)))
-        converted.append(name)
-    if not converted:
-        return Conversion(df, [])
-    return Conversion(df.withColumns({n: e for n, e in targets.items()}), converted)
+        plan[name] = "bigint" if stats[(name, "int")] == rows else UNSIGNED_64 if stats[(name, "u64")] == rows else "double"
+    return plan
+
+
+def coerced(df: DataFrame, plan: dict[str, str]) -> DataFrame:
+    if not plan:
+        return df
+    made = {"flag": lambda c: c.cast("int").cast("double"), "double": to_number}
+    return df.withColumns({n: made[t](F.col(q(n))) if t in made else to_integer(F.col(q(n)), t) for n, t in plan.items()})
 
 
 def convert_datetimes(df: DataFrame, columns: list[str] | None = None) -> Conversion:
@@ -68,14 +74,17 @@ def convert_datetimes(df: DataFrame, columns: list[str] | None = None) -> Conver
     text_cols = columns if columns is not None else columns_of(df, TEXT)
     if not text_cols:
         return Conversion(df, [])
-    stats = count_by_column(df, text_cols, {"dt": lambda s: to_datetime(s).isNotNull()})
-    converted = [
-        n for n in text_cols
-        if stats[(n, "nn")] > 0 and stats[(n, "dt")] / stats[(n, "nn")] > DATETIME_CONVERT_RATIO
-    ]
-    if not converted:
-        return Conversion(df, [])
-    return Conversion(df.withColumns({n: to_datetime(F.col(q(n))) for n in converted}), converted)
+    converted = dates_plan(count_by_column(df, text_cols, DATE_COUNTS), text_cols)
+    return Conversion(dates_converted(df, converted), converted)
+
+
+def dates_plan(stats: dict, text_cols: list[str]) -> list[str]:
+    """Which text columns become timestamps."""
+    return [n for n in text_cols if stats[(n, "nn")] > 0 and stats[(n, "dt")] / stats[(n, "nn")] > DATETIME_CONVERT_RATIO]
+
+
+def dates_converted(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({n: to_datetime(F.col(q(n))) for n in names}) if names else df
 
 
 def bool_to_int(df: DataFrame) -> Conversion:

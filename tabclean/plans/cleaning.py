@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabclean.operators.dedupe import deduplicate
+from tabclean.operators.dedupe import repeated, without_copies
 from tabclean.operators.encode import encode_categoricals
 from tabclean.operators.fit import count_by_column, fit
 from tabclean.operators.impute import missing_cleanup
@@ -86,13 +86,13 @@ class _Run:
                      detail("coerce_numeric_like_columns", conv.converted))
 
     def dedupe(self, step_name: str) -> None:
-        before = self.count()
-        self.set(deduplicate(self.df))
+        found = repeated(self.df)
+        self.set(without_copies(self.df, found), found.rows - found.extra)
         self.persist()
-        removed = before - self.count()
+        self.df.count()
         self.release_earlier()
-        if removed:
-            self.log(step_name, detail("remove_duplicates", n=removed))
+        if found.extra:
+            self.log(step_name, detail("remove_duplicates", n=found.extra))
 
     def fill(self, numeric: str, text: str, constant: str, prefix: str) -> None:
         res = missing_cleanup(self.df, numeric, text, constant, prefix)

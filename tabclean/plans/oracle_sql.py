@@ -9,7 +9,7 @@ written out for the given data; every statistic is computed by the SQL.
 from __future__ import annotations
 
 from tabclean.functions.text import MISSING_MARKERS
-from tabclean.plans.registry import FILTER_RULES
+from tabclean.plans.registry import FILE_ROWS, FILTER_RULES
 from tabclean.plans.suggest import (FLAG_WORDS, REASON_DATE, REASON_DEFAULT, REASON_DUPLICATE, REASON_ENCODE,
                                     REASON_MISSING, REASON_OUTLIER, REASON_SCALE)
 from tabclean.operators import profile as P
@@ -285,27 +285,32 @@ def manual_label_sql() -> str:
             f"select distinct {sig('price')} as price, * exclude (price) from m3")
 
 
-def half_sql(query: str) -> str:
-    """The halves of dirty_orders by o_orderkey, each cleaned by the manual recipe of HALF_OPTIONS on its own.
+def files_of(table: str) -> str:
+    return f"(select greatest(2, ceil(count(*) / {FILE_ROWS}.0))::bigint from {table})"
+
+
+def files_sql(query: str) -> str:
+    """The files of dirty_orders by o_orderkey, each cleaned by the manual recipe of FILE_OPTIONS on its own.
 
     A CSV file holds the dates as text, so a missing one first becomes the
     constant, which is no date, then the mode.
     """
-    by = lambda c: f"(select mode_{c} from st where st.half = h1.half)"
-    return (f"with {DIRTY_ORDERS}, {DN}, h1 as (select distinct o_orderkey % 2 as half, o_orderkey, price, prio, odate, cust_txt from dn), "
-            f"md as (select half, odate as mode_odate from (select half, odate, row_number() over (partition by half order by count(*) desc, odate) as r "
-            f"from h1 where odate is not null group by half, odate) where r = 1), "
-            f"av as (select half, avg(price) as mode_price, avg(cust_txt) as mode_cust_txt from h1 group by half), "
-            f"st as (select * from md join av using (half)), "
-            f"h2 as (select half, o_orderkey, coalesce(price, {by('price')}) as price, coalesce(prio, 'unknown') as prio, "
+    files = files_of("d")
+    by = lambda c: f"(select mode_{c} from st where st.file_no = h1.file_no)"
+    return (f"with {DIRTY_ORDERS}, {DN}, h1 as (select distinct o_orderkey % {files} as file_no, o_orderkey, price, prio, odate, cust_txt from dn), "
+            f"md as (select file_no, odate as mode_odate from (select file_no, odate, row_number() over (partition by file_no order by count(*) desc, odate) as r "
+            f"from h1 where odate is not null group by file_no, odate) where r = 1), "
+            f"av as (select file_no, avg(price) as mode_price, avg(cust_txt) as mode_cust_txt from h1 group by file_no), "
+            f"st as (select * from md join av using (file_no)), "
+            f"h2 as (select file_no, o_orderkey, coalesce(price, {by('price')}) as price, coalesce(prio, 'unknown') as prio, "
             f"coalesce(odate, {by('odate')}) as odate, coalesce(cust_txt, {by('cust_txt')}) as cust_txt from h1), "
             f"h3 as (select distinct * from h2), "
             # steps: coercion (where a marker made the column text), copies, numeric fill (where there are
             # gaps), then text fill, date conversion and date fill
-            f"n0 as (select o_orderkey % 2 as half, count(*) as n, (count(cust_txt) < count(*))::int as marked, "
+            f"n0 as (select o_orderkey % {files} as file_no, count(*) as n, (count(cust_txt) < count(*))::int as marked, "
             f"(count(price) < count(*) or count(cust_txt) < count(*))::int as gaps from dn group by 1), "
-            f"n1 as (select half, count(*) as n from h1 group by 1), "
-            f"steps as (select half, 3 + n0.marked + n0.gaps + (n0.n > n1.n)::int as steps from n0 join n1 using (half)) {query}")
+            f"n1 as (select file_no, count(*) as n from h1 group by 1), "
+            f"steps as (select file_no, 3 + n0.marked + n0.gaps + (n0.n > n1.n)::int as steps from n0 join n1 using (file_no)) {query}")
 
 
 def compare_sql() -> str:
@@ -465,11 +470,11 @@ def oracle_queries() -> dict[str, str]:
         "dedupe_sources": ("with f as (select 'in/' || lpad(event_id::varchar, 12, '0') as path, event_type as name, user_id % 50 as length, "
                            "date_trunc('day', ts) as t from events) select min(path) as path, name, length, "
                            f"{ts('t')} as {qi('modificationTime')} from f group by name, length, t"),
-        "manifest": ("select '.csv' as suffix, true as accepted, null::varchar as reason, count(distinct o_orderpriority) as files from orders "
-                     f"union all select '.txt', false, {lit(REASON_SUFFIX)}, count(distinct o_orderstatus) from orders"),
-        "clean_each": half_sql("select true as accepted, null::varchar as reason, s.steps::int as steps, count(*) as rows "
-                               "from h3 join steps s using (half) group by half, s.steps"),
-        "replay": half_sql(f"select o_orderkey, {sig('price')} as price, prio, {ts('odate')} as odate, {sig('cust_txt')} as cust_txt from h3"),
+        "manifest": (f"select '.csv' as suffix, true as accepted, null::varchar as reason, count(distinct (o_orderpriority, o_orderkey % {files_of('orders')})) as files from orders "
+                     f"union all select '.txt', false, {lit(REASON_SUFFIX)}, count(distinct (o_orderstatus, o_orderkey % {files_of('orders')})) from orders"),
+        "clean_each": files_sql("select true as accepted, null::varchar as reason, s.steps::int as steps, count(*) as rows "
+                               "from h3 join steps s using (file_no) group by file_no, s.steps"),
+        "replay": files_sql(f"select o_orderkey, {sig('price')} as price, prio, {ts('odate')} as odate, {sig('cust_txt')} as cust_txt from h3"),
         "convert_dates": (f"with {dates}, n as (select o_orderkey, {norm('d_txt')} as d_txt from d), "
                           f"r as (select count({date('d_txt')})::double / count(d_txt) as ratio from n) "
                           f"select o_orderkey, case when r.ratio > 0.8 then {ts(date('d_txt'))} else d_txt end as d_txt "

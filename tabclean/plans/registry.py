@@ -16,7 +16,7 @@ from tabclean.operators.impute import missing_cleanup
 from tabclean.operators.kinds import DATETIME, is_fractional, kind_of, q
 from tabclean.operators.normalize import normalize_raw
 from tabclean.operators.outliers import remove_outliers
-from tabclean.operators.profile import _profile_view, display_value, profile, top_values, value_counts
+from tabclean.operators.profile import _profile_view, column_value_summary, profile
 from tabclean.operators.rows import FilterRule, apply_filters, drop_empty_rows, drop_sparse_rows
 from tabclean.operators.scale import scale_columns, scale_numeric
 from tabclean.operators.types import bool_to_int, coerce_numeric, convert_datetimes, infer_types
@@ -156,10 +156,9 @@ def profile_lineitem(spark, sf):
 
 def _top_values(df):
     view = _profile_view(df)
-    names = F.array(*[F.lit(f.name) for f in view.schema.fields])
-    top = top_values(value_counts(view))
-    return top.select(F.element_at(names, F.col("idx") + 1).alias("name"), F.col("rank").cast("int").alias("rank"),
-                      display_value(view.schema).alias("value"), F.col("n").alias("count"))
+    _, tops = column_value_summary(view)
+    rows = [(view.columns[i], k + 1, v, n) for i, found in tops.items() for k, (v, n) in enumerate(found)]
+    return df.sparkSession.createDataFrame(rows, "name string, rank int, value string, count bigint")
 
 
 def profile_documents(spark, sf):
@@ -454,12 +453,13 @@ def trim_header_orders(spark, sf):
 
 
 def manifest(spark, sf):
-    """Files by suffix and reason: a CSV file a priority, a text file a status."""
+    """Files by suffix and reason: CSV files by priority and text files by status, more of them the larger the table."""
     out = scratch_dir(spark, "manifest")
     orders = table(spark, sf, "orders")
-    orders.repartition("o_orderpriority").write.partitionBy("o_orderpriority").option("header", True).csv(f"{out}/csv")
-    (orders.select("o_orderstatus", F.col("o_orderkey").cast("string").alias("value")).repartition("o_orderstatus")
-     .write.partitionBy("o_orderstatus").text(f"{out}/txt"))
+    orders = orders.withColumn("part", F.col("o_orderkey") % _files_of(orders))
+    orders.repartition("o_orderpriority", "part").write.partitionBy("o_orderpriority", "part").option("header", True).csv(f"{out}/csv")
+    (orders.select("o_orderstatus", "part", F.col("o_orderkey").cast("string").alias("value")).repartition("o_orderstatus", "part")
+     .write.partitionBy("o_orderstatus", "part").text(f"{out}/txt"))
     return source_manifest(spark, out).groupBy("suffix", "accepted", "reason").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -471,30 +471,38 @@ def dedupe_sources_events(spark, sf):
     return render(dedupe_sources(files))
 
 
-# Each half of the table as one CSV file, as a user uploads it.
-HALF_OPTIONS = ManualOptions(fill_numeric_strategy="mean", fill_text_strategy="constant", text_constant="unknown")
+# The table as CSV files of about so many rows, as users upload them: their number grows with the table.
+FILE_OPTIONS = ManualOptions(fill_numeric_strategy="mean", fill_text_strategy="constant", text_constant="unknown")
+FILE_ROWS = 5000
 
 
-def _write_halves(spark, sf, folder):
-    for half in (0, 1):
-        write_csv(dirty(spark, sf, "dirty_orders").filter(F.col("o_orderkey") % 2 == half).coalesce(1), f"{folder}/half{half}")
+def _files_of(df):
+    return max(2, -(-df.count() // FILE_ROWS))
+
+
+def _write_files(spark, sf, folder):
+    df = dirty(spark, sf, "dirty_orders")
+    files = _files_of(df)
+    part = df.withColumn("part", F.col("o_orderkey") % files).repartition("part")
+    write_csv(part.select("part", *df.columns), folder, by="part")
 
 
 def clean_each(spark, sf):
     src, out = scratch_dir(spark, "each-in"), scratch_dir(spark, "each-out")
-    _write_halves(spark, sf, src)
-    done = clean_files(spark, src, CleanRequest(mode="manual", manual=HALF_OPTIONS), out).collect()
-    rows = [(r["accepted"], r["reason"], r["steps"], spark.read.option("header", True).csv(r["output"]).count()) for r in done]
-    return spark.createDataFrame(rows, "accepted boolean, reason string, steps int, rows bigint")
+    _write_files(spark, sf, src)
+    done = clean_files(spark, src, CleanRequest(mode="manual", manual=FILE_OPTIONS), out)
+    rows = spark.read.option("header", True).csv(out).groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
+    name = F.regexp_extract("output", "source=(.*)$", 1)
+    return done.withColumn("source", name).join(rows, "source", "left").select("accepted", "reason", "steps", "rows")
 
 
 def replay(spark, sf):
-    """A saved preset, listed, loaded and replayed on two new files."""
+    """A saved preset, listed, loaded and replayed on new files."""
     from tabclean.streaming.replay import replay_stream
     src, out, store = (scratch_dir(spark, f"replay-{x}") for x in ("in", "out", "presets"))
-    save_preset(spark, store, "halves", CleanRequest(mode="manual", manual=HALF_OPTIONS))
-    preset = list_presets(spark, store).filter("name = 'halves'").first()
-    _write_halves(spark, sf, src)
+    save_preset(spark, store, "files", CleanRequest(mode="manual", manual=FILE_OPTIONS))
+    preset = list_presets(spark, store).filter("name = 'files'").first()
+    _write_files(spark, sf, src)
     replay_stream(spark, src, load_request(preset), out)
     rows = spark.read.option("header", True).csv(f"{out}/rows/*")
     return render(rows.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("price").cast("double").alias("price"), "prio",
