@@ -7,16 +7,22 @@ the mean over its known n-grams of that order; then shorter orders, down to
 single characters. A word of which nothing is known says nothing. The scores
 of the words add up, and a softmax over the languages gives the result.
 
-The model is fit on a bounded sample of labelled rows (``max_rows``, the
-smallest hashes of the ids, so it does not depend on the order of the rows) and
-keeps its ``max_words`` most frequent words. The n-grams are counted in Spark
-from every word of the sample, so a word beyond ``max_words`` backs off to n-grams
-that training has seen. The broadcast is bounded by ``max_words`` and by the
-distinct n-grams of the sampled rows. Every text is scored whole.
+The model is fit on a bounded sample of labelled rows: about ``max_rows`` of each
+language (those of the smallest hashes of the ids, so it does not depend on the order
+of the rows), all of a language that has fewer, so a rare one is learned too. It keeps
+every word of the sample (or the ``max_words`` most frequent, where that is given); n-grams
+are counted in Spark from every word. The broadcast is bounded by the sampled
+rows. Every text is scored whole.
+
+Summed scores grow with a text's length, so they say which learned language fits best
+and not whether one fits. ``keep_identified`` therefore also asks for the share of a text's
+words that training has seen, which does not grow with length: of a text in no learned language, or of
+random letters, few are.
 
 Edge cases: a null text, or one without a letter, gets ``und`` and score 0.
 Without any labelled row every text gets ``und``. Ties go to the language
-that sorts first. Rows with a null language are never learned from.
+that sorts first. Rows with a null language are never learned from. Repeated rows are
+scored alike, each for itself; the sample takes all or none of the rows of one id.
 """
 
 from __future__ import annotations
@@ -32,8 +38,8 @@ from pyspark.sql import functions as F
 
 from tabclean.llm.common import no_nulls, slices, stored
 
-MAX_ROWS = 4000
-MAX_WORDS = 200_000
+MAX_ROWS = 1500  # of each language
+LEAST_KNOWN, JUDGED_WORDS = 0.2, 10  # share of seen words, and the words from which it is asked for
 MOST_CACHED = 100_000
 ORDERS = 4
 UNKNOWN = "und"
@@ -97,9 +103,16 @@ class Model:
 
 def predict(model: Model, texts: list[str], seen: dict[str, tuple]) -> tuple[list[str], list[float]]:
     """Language and posterior of each text; ``seen`` keeps word scores between calls."""
-    langs, scores = [], []
+    return judged(model, texts, seen)[:2]
+
+
+def judged(model: Model, texts: list[str], seen: dict[str, tuple]) -> tuple[list[str], list[float], list[int], list[int]]:
+    """Language, posterior, words and words that training has seen of each text."""
+    langs, scores, sizes, known = [], [], [], []
     for text in texts:
         words = Counter(_WORD.findall(text.lower()))
+        sizes.append(sum(words.values()))
+        known.append(sum([n for word, n in words.items() if word in model.words[0]]))
         if not words or not model.langs:
             langs.append(UNKNOWN)
             scores.append(0.0)
@@ -118,7 +131,7 @@ def predict(model: Model, texts: list[str], seen: dict[str, tuple]) -> tuple[lis
         best = int(np.argmax(share))
         langs.append(model.langs[best])
         scores.append(float(share[best] / share.sum()))
-    return langs, scores
+    return langs, scores, sizes, known
 
 
 def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -153,20 +166,24 @@ def gram_counts(counted: DataFrame, orders: int) -> DataFrame:
             .groupBy("gram", "lang").agg(F.sum("n").alias("n")))
 
 
-def sample_rows(docs: DataFrame, id_col: str, max_rows: int) -> DataFrame:
-    """At most about ``max_rows`` rows: those of the smallest hashes of the id."""
-    h = F.xxhash64(F.col(id_col), F.lit(17))
-    ids = docs.select(h.alias("_h")).orderBy("_h").limit(max_rows).agg(F.max("_h").alias("cut"), F.count(F.lit(1)).alias("n")).first()
-    return docs if ids["n"] < max_rows else docs.filter(h <= F.lit(ids["cut"]))
+def sample_by_language(docs: DataFrame, id_col: str, lang_col: str, max_rows: int) -> DataFrame:
+    """About ``max_rows`` rows of each language, or all it has: those whose id's hash lies under the language's share."""
+    counts = docs.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))  # a row a language
+    h = F.xxhash64(F.col(id_col), F.lit(17)).cast("double") / F.lit(2.0**64) + F.lit(0.5)  # from 0 to 1
+    return (docs.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang"))
+            .filter(h * F.col("_n") <= F.lit(float(max_rows))).drop("_lang", "_n"))
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, orders: int = ORDERS) -> Model:
+        max_rows: int = MAX_ROWS, max_words: int | None = None, orders: int = ORDERS) -> Model:
     """Fit on labelled rows where ``train`` holds, from a bounded sample of them."""
-    labelled = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counted = stored(word_counts(sample_rows(labelled, id_col, max_rows), text_col, lang_col), "langid-words")
-    most = counted.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(max_words).select("word")
-    kept = counted.join(most, "word").toArrow()  # at most max_words words, a row a language
+    labelled = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col)
+    counted = stored(word_counts(sample_by_language(labelled, id_col, lang_col, max_rows), text_col, lang_col), "langid-words")
+    kept = counted
+    if max_words is not None:
+        most = counted.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(max_words).select("word")
+        kept = counted.join(most, "word")
+    kept = kept.toArrow()  # the words of the sample, a row a language
     grams = gram_counts(counted, orders).toArrow()  # every n-gram of the sample, a row a language
     cells = lambda table, entry: sorted(zip(*[table.column(c).to_pylist() for c in (entry, "lang", "n")]))
     return Model(cells(kept, "word"), orders, cells(grams, "gram"))
@@ -188,8 +205,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "_id bigint, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose language is found with a score of ``least`` or more; all columns kept."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5,
+                    least_known: float = LEAST_KNOWN, judged_words: int = JUDGED_WORDS) -> DataFrame:
+    """The rows whose language is found with a score of ``least`` or more; all columns kept.
+
+    A text of ``judged_words`` words or more must also have ``least_known`` of them in common with what was learned.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -198,6 +219,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
         for batch in slices(batches):
             if len(seen) > MOST_CACHED:
                 seen.clear()
-            langs, scores = predict(shared.value, no_nulls(batch.column(at)).to_pylist(), seen)
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in zip(langs, scores)], pa.bool_()))
+            found = zip(*judged(shared.value, no_nulls(batch.column(at)).to_pylist(), seen))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least and (words < judged_words or known >= least_known * words)
+                                         for lang, score, words, known in found], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)

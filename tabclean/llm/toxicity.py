@@ -3,8 +3,9 @@
 Labels mark documents, so tokens are labelled first: over the distinct
 sentences of labelled documents, a word or word beginning is evidence if
 nearly all sentences that hold it come from toxic documents (sentences and not
-documents, so that copies count once). Tokens of toxic documents that carry
-evidence are labelled 1, tokens of clean documents 0. A two-label chain is
+documents, so that copies count once). Words of any length can be evidence, beginnings from
+four letters on. Tokens of toxic documents that carry evidence are labelled 1, tokens of clean
+documents 0, also those that look like evidence. A two-label chain is
 fitted to them: weights of the word, its beginnings, its end and its kind of
 characters, and weights of the label changes. For a text, forward and
 backward messages give every token's marginal; the spans are the runs of
@@ -15,7 +16,9 @@ largest marginal (as log odds) and of the expected number of toxic tokens.
 With two labels a message is one number, the log odds of label 1, and all
 sentences of a batch advance together. Every text is scored whole; only the
 fit is on a bounded sample (``max_rows`` labelled documents of each class,
-those of the smallest hashes; ``max_sentences`` of each kind).
+those of the smallest hashes; ``max_sentences`` sentences of toxic documents with evidence, as many of clean
+documents with and without; ``max_evidence`` words and beginnings, the most frequent). For training a sentence of
+over ``LONGEST_TRAINING`` words counts as several of that many, so a text without sentence ends teaches like any other.
 
 Edge cases: a null or empty text has no tokens and gets the score of a text
 without any evidence. Without labels of both classes every score is the
@@ -40,9 +43,11 @@ MAX_ROWS = 8000
 MAX_SENTENCES = 6000
 LEAST_SUPPORT = 6
 LEAST_SHARE = 0.9
+MAX_EVIDENCE = 6000
 LONGEST_TRAINING = 200
 MOST_CACHED = 150_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_BREAKS = re.compile(r"[\t-\r]")
 _ENDS = (".", "!", "?", ".\"", ".)")
 BIAS = "bias"
 
@@ -62,7 +67,7 @@ def features(word: str) -> list[str]:
 
 
 def evidence_of(word: str) -> list[str]:
-    return [f for f in features(word) if f[1:2] == ":" and f[0] in "wp" and len(f) > 5]
+    return [f for f in features(word) if f.startswith("w:") or f.startswith("p:") and len(f) > 5]
 
 
 def sentences(words: list[str], ends: list[bool]) -> Iterator[list[str]]:
@@ -267,10 +272,12 @@ def _cut_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         texts, toxic = [], []
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            chunks = text.split()
+            chunks = _BREAKS.sub(" ", text).split(" ")  # at ASCII white space, as in scoring
+            chunks = [c for c in chunks if c]
             for part in sentences(chunks, [c.endswith(_ENDS) for c in chunks]):
-                texts.append(" ".join(word_of(c) for c in part))
-                toxic.append(y)
+                for at in range(0, len(part), LONGEST_TRAINING):
+                    texts.append(" ".join([word_of(c) for c in part[at:at + LONGEST_TRAINING]]))
+                    toxic.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(toxic, pa.bool_())], names=["s", "toxic"])
 
 
@@ -286,7 +293,7 @@ def _count_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_rows: int = MAX_ROWS, max_sentences: int = MAX_SENTENCES) -> Scorer:
+        max_rows: int = MAX_ROWS, max_sentences: int = MAX_SENTENCES, max_evidence: int = MAX_EVIDENCE) -> Scorer:
     """Fit chain and document score on a bounded sample of labelled rows where ``train`` (on the id) holds."""
     sample, counts = labelled_sample(docs, labels, train, id_col, text_col, label_col, max_rows)
     n0, n1 = counts.get(False, 0), counts.get(True, 0)
@@ -297,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     distinct = stored(cut.groupBy("s").agg(F.min("toxic").alias("toxic")), "toxic-sentences")
     counted = distinct.mapInArrow(_count_evidence, "f string, clean bigint, toxic bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     strong = counted.filter((F.col("toxic") >= LEAST_SUPPORT) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
-    evidence = frozenset(r["f"] for r in strong.orderBy(F.desc("toxic"), "f").limit(max_sentences).collect())
+    evidence = frozenset(r["f"] for r in strong.orderBy(F.desc("toxic"), "f").limit(max_evidence).collect())
     if not evidence:
         return flat
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
@@ -307,10 +314,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
             held = [any(f in shared.value for w in s.split(" ") for f in evidence_of(w)) for s in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.bool_())], names=["s", "toxic", "held"])
 
-    marked = distinct.filter(F.size(F.split("s", " ")) <= LONGEST_TRAINING).mapInArrow(mark, "s string, toxic boolean, held boolean")
+    marked = distinct.mapInArrow(mark, "s string, toxic boolean, held boolean")
     texts, tags = [], []
-    for toxic in (True, False):  # of a toxic document, sentences without evidence are in doubt
-        part = marked.filter((F.col("toxic") == toxic) & (F.col("held") == toxic))
+    for toxic, with_evidence in ((True, True), (False, True), (False, False)):  # of a toxic document, sentences without evidence are in doubt
+        part = marked.filter((F.col("toxic") == toxic) & (F.col("held") == with_evidence))
         for r in part.orderBy(F.xxhash64("s"), "s").limit(max_sentences).collect():
             texts.append(r["s"].split(" "))
             tags.append([int(toxic and any(f in evidence for f in evidence_of(w))) for w in texts[-1]])

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def test_language_backoff():
 
 def test_language_learns_every_word_of_the_sample(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    words = langid.word_counts(langid.sample_rows(docs.filter("lang is not null and text is not null"), "doc_id", langid.MAX_ROWS), "text", "lang")
+    words = langid.word_counts(langid.sample_by_language(docs.filter("lang is not null and text is not null"), "doc_id", "lang", langid.MAX_ROWS), "text", "lang")
     assert len(langid.fit(docs, F.lit(True)).words[0]) == words.select("word").distinct().count()
 
 
@@ -126,8 +127,10 @@ def test_language_edges(odd_docs, odd_texts, no_docs):
 
 
 def test_sample_is_bounded(spark):
-    rows = spark.range(1000).select(F.col("id").alias("doc_id"))
-    assert langid.sample_rows(rows, "doc_id", 100).count() == 100 and langid.sample_rows(rows, "doc_id", 2000).count() == 1000
+    rows = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 50, "fi").otherwise("en").alias("lang"))
+    got = {r["lang"]: r["count"] for r in langid.sample_by_language(rows, "doc_id", "lang", 1000).groupBy("lang").count().collect()}
+    assert got["fi"] == 50 and 900 < got["en"] < 1100
+    assert langid.sample_by_language(rows, "doc_id", "lang", 20_000).count() == 10_000
 
 
 def brute_marginals(emission, moves, begin):
@@ -193,5 +196,40 @@ def test_toxicity_edges(spark, odd_docs, no_docs):
 
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{SF_ORACLE}/labels.parquet")
-    got = queries.op8_toxicity(spark, SF_ORACLE).join(labels, "doc_id").filter("toxic = 0")
-    assert got.filter("predicted = 1").count() == 0
+    got = queries.op8_toxicity(spark, SF_ORACLE).join(labels, "doc_id")
+    assert got.filter("toxic = 0 and predicted = 1").count() == 0
+
+
+def test_toxicity_recall_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"  # at sf0.01 the rarer languages have too few labelled sentences
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in
+              queries.op8_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] >= 0.9 * (counts[1, 1] + counts.get((1, 0), 0)) and counts.get((0, 1), 0) <= 0.005 * counts[0, 0]
+
+
+@pytest.mark.parametrize("bad", ["bad ass", "vile scum", "xq"])
+def test_toxicity_words_of_any_length(spark, bad):
+    rnd = np.random.default_rng(5)
+    plain = ["".join(rnd.choice(list("abcdefgh"), 5)) for _ in range(80)]
+    # One of the words in a few clean documents as well, and long sentences without an end.
+    rows = [(i, " ".join([*rnd.choice(plain, 15), *([bad] if i % 4 == 0 else []), *([bad.split()[-1]] if i == 1 else []),
+                          *rnd.choice(plain, 400 if i % 8 == 0 else 15)])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    held = common.remainder_of_id("doc_id", 5) == 0
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, toxicity.fit(docs, labels, ~held)).collect()}
+    assert sum(got[i] for i in range(0, 400, 4)) >= 95 and sum(got[i] for i in range(400) if i % 4) <= 2
+
+
+def test_rare_languages_are_learned_and_strange_texts_rejected(spark):
+    rnd = np.random.default_rng(7)
+    words = {"en": ["the", "house", "and", "school", "water", "with", "people", "never"], "fi": ["talo", "koulu", "vesi", "ja", "kanssa", "ihmiset"]}
+    rows = [(i, " ".join(rnd.choice(words["fi" if i < 4 else "en"], 30)), "fi" if i < 4 else "en") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True), max_rows=100)
+    assert model.langs == ["en", "fi"]
+    assert langid.predict(model, ["talo ja vesi", "the school"], {})[0] == ["fi", "en"]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    strange = [" ".join("".join(rnd.choice(letters, 7)) for _ in range(n)) for n in (10, 50, 500)] + ["kahdeksan omenaa oli pudonnut puusta kun poika tuli kotiin illalla myöhään"]
+    odd = spark.createDataFrame([(i, t, None) for i, t in enumerate(strange)] + [(9, rows[0][1], "x"), (10, rows[9][1], "x")], docs.schema)
+    assert {r["doc_id"] for r in langid.keep_identified(odd, model).collect()} == {9, 10}
