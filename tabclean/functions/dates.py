@@ -12,13 +12,18 @@ from tabclean.functions.text import strip_text
 # parse costs an exception inside the parser, so the shape test keeps text
 # that cannot be a date (most text) away from it. With both readings possible
 # the month comes first; a first number above 12 can only be a day.
-_CLOCK = "[ HH:mm[:ss[.SSSSSS]]]"
-_CLOCK_SHAPE = r"( \d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+_CLOCK = "[ HH:mm[:ss[.SSSSSSSSS]]]"
+_CLOCK_SHAPE = r"( \d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
+_HALF_DAY = " h:mm[:ss] a"
+_HALF_DAY_SHAPE = r" \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$"
 DATE_FORMATS = (
     ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
-    ("yyyy-MM-dd'T'HH:mm[:ss[.SSSSSS]][XXX]", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"),
-    ("yyyy-MM-dd HH:mm[:ss[.SSSSSS]][XXX]", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}"),
+    ("yyyy-MM-dd'T'HH:mm[:ss[.SSSSSSSSS]][XXX]", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"),
+    ("yyyy-MM-dd HH:mm[:ss[.SSSSSSSSS]][XXX]", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}(?!.*[AaPp][Mm]$)"),
+    ("yyyy-MM-dd" + _HALF_DAY, r"^\d{4}-\d{2}-\d{2}" + _HALF_DAY_SHAPE),
     ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("M/d/yyyy" + _HALF_DAY, r"^\d{1,2}/\d{1,2}/\d{4}" + _HALF_DAY_SHAPE),
+    ("d/M/yyyy" + _HALF_DAY, r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}" + _HALF_DAY_SHAPE),
     (f"M/d/yyyy{_CLOCK}", r"^\d{1,2}/\d{1,2}/\d{4}" + _CLOCK_SHAPE),
     (f"d/M/yyyy{_CLOCK}", r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}" + _CLOCK_SHAPE),
     (f"M-d-yyyy{_CLOCK}", r"^\d{1,2}-\d{1,2}-\d{4}" + _CLOCK_SHAPE),
@@ -26,18 +31,31 @@ DATE_FORMATS = (
     (f"yyyy/M/d{_CLOCK}", r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK_SHAPE),
     (f"yyyy.M.d{_CLOCK}", r"^\d{4}\.\d{1,2}\.\d{1,2}" + _CLOCK_SHAPE),
     ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
-    ("MMMM d, yyyy", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"),
-    ("MMM d yyyy", r"^[A-Za-z]{3} \d{1,2} \d{4}$"),
-    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
-    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]{3,9} \d{4}$"),
+    (f"MMM d, yyyy{_CLOCK}", r"^[A-Za-z]{3} \d{1,2}, \d{4}" + _CLOCK_SHAPE),
+    (f"MMMM d, yyyy{_CLOCK}", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}" + _CLOCK_SHAPE),
+    (f"MMM d yyyy{_CLOCK}", r"^[A-Za-z]{3} \d{1,2} \d{4}" + _CLOCK_SHAPE),
+    (f"MMMM d yyyy{_CLOCK}", r"^[A-Za-z]{3,9} \d{1,2} \d{4}" + _CLOCK_SHAPE),
+    (f"d MMM yyyy{_CLOCK}", r"^\d{1,2} [A-Za-z]{3} \d{4}" + _CLOCK_SHAPE),
+    (f"d MMMM yyyy{_CLOCK}", r"^\d{1,2} [A-Za-z]{3,9} \d{4}" + _CLOCK_SHAPE),
+    (f"d-MMM-yyyy{_CLOCK}", r"^\d{1,2}-[A-Za-z]{3}-\d{4}" + _CLOCK_SHAPE),
     ("yyyyMMdd", r"^\d{8}$"),
+    ("yyyyMMddHHmmss", r"^\d{14}$"),
 )
 
 
+def _whole_year(text: Column) -> Column:
+    """``1/5/24`` with four digits of the year: from 69 on the last century's."""
+    head = r"^\d{1,2}[/-](?:\d{1,2}|[A-Za-z]{3})[/-]"
+    short = text.rlike(head + r"\d{2}( |$)")
+    before = F.regexp_extract(text, f"({head})", 1)
+    after = F.substr(text, F.length(before) + 1)
+    century = F.when(after.substr(1, 2) >= "69", F.lit("19")).otherwise(F.lit("20"))
+    return F.when(short, F.concat(before, century, after)).otherwise(text)
+
+
 def to_datetime(c: Column) -> Column:
     """First layout that parses the stripped text, else NULL (a zone-less timestamp)."""
-    stripped = strip_text(c)
+    stripped = _whole_year(strip_text(c))
     parsed = F.coalesce(*[F.when(stripped.rlike(shape), F.try_to_timestamp(stripped, F.lit(fmt)))
                           for fmt, shape in DATE_FORMATS])
     return parsed.cast("timestamp_ntz")

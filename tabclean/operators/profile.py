@@ -167,6 +167,8 @@ def _profile_view(df: DataFrame) -> DataFrame:
             c = F.nanvl(c, F.lit(None).cast(f.dataType))
         elif isinstance(f.dataType, T.MapType):
             c = F.to_json(c)
+        elif isinstance(f.dataType, T.VariantType):
+            c = F.try_variant_get(c, "$", "string")  # a JSON null is missing
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -255,6 +257,14 @@ def value_counts(df: DataFrame) -> DataFrame:
     return long.groupBy("idx", *_SLOTS).agg(F.count(F.lit(1)).alias("n"))
 
 
+def variant_kinds(df: DataFrame) -> dict[str, list[str]]:
+    """The kinds of value in each VARIANT column (number widths and object fields aside), in one aggregate."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.VariantType)]
+    kind = {c: F.regexp_extract(F.schema_of_variant(F.col(q(c))), "^[A-Z_]+", 0) for c in names}
+    found = fit(df, {c: F.array_sort(F.collect_set(F.when(~F.is_variant_null(F.col(q(c))), kind[c]))) for c in names})
+    return {c: list(found[c]) for c in names}
+
+
 def _present():
     return F.col("s").isNotNull() | F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull()
 
@@ -381,6 +391,7 @@ def profile(df: DataFrame, file_name: str = "dataset", light: bool = False) -> D
     """
     view = _profile_view(df)
     fields = view.schema.fields
+    mixed = {c for c, kinds in variant_kinds(df).items() if len(kinds) > 1}
 
     # F1, F2 and F3 do not depend on each other: they are submitted together
     # from driver threads, so the scheduler can run their stages side by side
@@ -404,6 +415,8 @@ def profile(df: DataFrame, file_name: str = "dataset", light: bool = False) -> D
                               stats.get((f.name, "num"), 0) or 0)
         if kind == OTHER and inferred != "unknown":
             inferred = "text"
+        if f.name in mixed and inferred == "text":
+            inferred = "mixed"
         distinct, has_missing = dist.get(i, (0, rows > 0))
         missing_ratio = float((rows - nn) / rows) if rows else 0.0
         unique_ratio = distinct / max(rows, 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ DATE_COUNTS = {"dt": lambda s: to_datetime(s).isNotNull()}
 class Conversion:
     df: DataFrame
     converted: list[str]
+    lost: dict[str, int] = field(default_factory=dict)  # values of converted columns that did not parse
 
 
 def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> Conversion:
@@ -43,8 +44,9 @@ def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> Conversio
     bool_cols = [c for c in columns_of(df, BOOLEAN) if c in given]
     if not text_cols + bool_cols:
         return Conversion(df, [])
-    plan = coercion_plan(count_by_column(df, text_cols + bool_cols, COERCE_COUNTS), df.columns, text_cols, bool_cols)
-    return Conversion(coerced(df, plan), list(plan))
+    stats = count_by_column(df, text_cols + bool_cols, COERCE_COUNTS)
+    plan = coercion_plan(stats, df.columns, text_cols, bool_cols)
+    return Conversion(coerced(df, plan), list(plan), {n: stats[(n, "nn")] - stats[(n, "num")] for n in plan if n in text_cols})
 
 
 def coercion_plan(stats: dict, columns: list[str], text_cols: list[str], bool_cols: list[str]) -> dict[str, str]:
@@ -74,8 +76,9 @@ def convert_datetimes(df: DataFrame, columns: list[str] | None = None) -> Conver
     text_cols = columns if columns is not None else columns_of(df, TEXT)
     if not text_cols:
         return Conversion(df, [])
-    converted = dates_plan(count_by_column(df, text_cols, DATE_COUNTS), text_cols)
-    return Conversion(dates_converted(df, converted), converted)
+    stats = count_by_column(df, text_cols, DATE_COUNTS)
+    converted = dates_plan(stats, text_cols)
+    return Conversion(dates_converted(df, converted), converted, {n: stats[(n, "nn")] - stats[(n, "dt")] for n in converted})
 
 
 def dates_plan(stats: dict, text_cols: list[str]) -> list[str]:

@@ -38,10 +38,16 @@ class CleanResult:
     df: DataFrame
     steps: list = field(default_factory=list)
     persisted: list = field(default_factory=list)
+    lost: dict = field(default_factory=dict)  # step -> {column: values that did not convert and became missing}
 
     def log_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i + 1, n, d) for i, (n, d) in enumerate(self.steps)], LOG_SCHEMA)
 
+    def lost_df(self, spark: SparkSession) -> DataFrame:
+        """How many values each conversion could not read (they became missing)."""
+        rows = [(step, c, n) for step, found in self.lost.items() for c, n in found.items()]
+        return spark.createDataFrame(rows, "step string, column string, values bigint")
+
     def release(self) -> None:
         for d in self.persisted:
             d.unpersist()
@@ -56,6 +62,7 @@ class _Run:
         self.rows: int | None = None
         self.steps: list = []
         self.persisted: list = []
+        self.lost: dict = {}
 
     def log(self, name: str, details: str) -> None:
         self.steps.append((name, details))
@@ -82,6 +89,7 @@ class _Run:
         conv = coerce_numeric(self.df)
         self.df = conv.df
         if conv.converted:
+            self.lost["coerce_numeric_like_columns"] = conv.lost
             self.log("coerce_numeric_like_columns",
                      detail("coerce_numeric_like_columns", conv.converted))
 
@@ -103,6 +111,7 @@ class _Run:
         conv = convert_datetimes(self.df)
         self.df = conv.df
         if conv.converted:
+            self.lost["convert_datetimes"] = conv.lost
             self.log("convert_datetimes", detail("convert_datetimes", conv.converted))
 
 
@@ -204,4 +213,4 @@ def clean(df: DataFrame, request: CleanRequest | None = None) -> CleanResult:
     else:
         manual_clean(run, request)
     finalize(run)
-    return CleanResult(run.df, run.steps, run.persisted)
+    return CleanResult(run.df, run.steps, run.persisted, run.lost)

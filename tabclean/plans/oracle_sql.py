@@ -313,11 +313,22 @@ def files_sql(query: str) -> str:
             f"steps as (select file_no, 3 + n0.marked + n0.gaps + (n0.n > n1.n)::int as steps from n0 join n1 using (file_no)) {query}")
 
 
+def variant_sql() -> str:
+    v = ("case o_orderkey % 5 when 0 then o_orderkey::varchar when 1 then o_orderpriority when 2 then 'true' "
+         "when 4 then 'p' || o_totalprice::varchar end")
+    ratio = lambda x: pyround(f"count(distinct {x})::double / count(*)")
+    return (f"with o as (select {v} as v, o_custkey as n, o_orderstatus as s from orders) "
+            f"select 'v' as name, 'mixed' as inferred_type, {pyround('(count(*) - count(v))::double / count(*)')} as missing_ratio, {ratio('v')} as unique_ratio, "
+            f"{lit(P.SUGGEST_MIXED.format(name='v'))} as suggestion from o "
+            f"union all select 'n', 'numeric', 0.0, {ratio('n')}, null from o union all select 's', 'text', 0.0, {ratio('s')}, null from o")
+
+
 def compare_sql() -> str:
     cnt = "count(*) * 5 - count(o_orderkey) - count(price) - count(prio) - count(odate) - count(cust_txt)"
     return (f"with {auto_clean_ctes()} "
             f"select 'rows' as metric, (select count(*) from d)::bigint as before, (select count(*) from a2)::bigint as after "
             f"union all select 'columns', 5::bigint, 4::bigint "
+            f"union all select 'steps', 0::bigint, (select count(*) from ({execution_log_sql()})) "
             f"union all select 'missing_cells', (select {cnt} from d)::bigint, "
             f"(select count(*) * 4 - count(price) - count(prio) - count(odate) - count(cust_txt) from a2)::bigint "
             f"union all select 'duplicate_rows', ((select count(*) from d) - (select count(*) from (select distinct * from d)))::bigint, "
@@ -544,6 +555,9 @@ def oracle_queries() -> dict[str, str]:
         "report": report_sql(),
         "preview": ("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, user_id, event_type, value, props "
                     "from events order by event_id limit 100 offset 100"),
+        "preview_deep": ("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, user_id, event_type, value, props from events "
+                         "order by ts, event_id limit 100 offset (select (greatest(1, ceil(count(*) / 100.0)) // 2 - 1) * 100 from events)::bigint"),
+        "profile_variant": variant_sql(),
         "prompt_flags": prompt_flags_sql(),
         "suggest_plan": suggest_plan_sql(),
         "csv_roundtrip": (f"with {DIRTY_ORDERS} select o_orderkey, {sig('price')} as price, prio, "

@@ -29,7 +29,7 @@ from tabclean.sources.csv import dedupe_sources, detect_encodings, read_csv, sou
 from tabclean.sources.presets import list_presets, load_request, save_preset
 from tabclean.sources.preview import page_count, preview
 from tabclean.sources.tables import (BIG_ORDERS_SQL, BOOLEAN_ORDERS_SQL, DOTTED_PART_SQL, EXACT_ORDERS_SQL, ODD_NAMES_SQL, INF_EVENTS_SQL, NAMED_ORDERS_SQL,
-                                     ODD_ORDERS_SQL, SKEWED_ORDERS_SQL, WIDE_DATES_SQL, WIDE_PART_SQL, dirty, register,
+                                     ODD_ORDERS_SQL, SKEWED_ORDERS_SQL, VARIANT_ORDERS_SQL, WIDE_DATES_SQL, WIDE_PART_SQL, dirty, register,
                                      spark_text, table)
 
 SIG_FORMAT = "%.9e"   # compared doubles keep 10 significant digits
@@ -154,6 +154,15 @@ def profile_lineitem(spark, sf):
     return _profile_columns(spark, table(spark, sf, "lineitem"), "lineitem")
 
 
+def profile_variant(spark, sf):
+    """VARIANT columns: one that mixes kinds of value, and what is suggested for it."""
+    register(spark, sf, ("orders",))
+    p = profile(spark.sql(VARIANT_ORDERS_SQL).drop("o_orderkey"), "variant", light=True)
+    advice = p.suggestions(None)
+    rows = [(c.name, c.inferred_type, c.missing_ratio, c.unique_ratio, next((a for a in advice if f"'{c.name}'" in a or f" {c.name} " in f" {a} "), None)) for c in p.columns]
+    return spark.createDataFrame(rows, "name string, inferred_type string, missing_ratio double, unique_ratio double, suggestion string")
+
+
 def _top_values(df):
     view = _profile_view(df)
     _, tops = column_value_summary(view)
@@ -360,8 +369,10 @@ def compare(spark, sf):
     from tabclean.plans.compare import compare_summaries
     raw = dirty(spark, sf, "dirty_orders")
     before = profile(raw, "dirty_orders")
-    after = profile(clean(raw).df, "cleaned_dirty_orders")
-    return compare_summaries(spark, before, after)
+    done = clean(raw)
+    out = compare_summaries(spark, before, profile(done.df, "cleaned_dirty_orders"), done.steps)
+    done.release()
+    return out
 
 
 def compare_columns_query(spark, sf):
@@ -381,6 +392,13 @@ def preview_events(spark, sf):
     return page.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+def preview_deep(spark, sf):
+    """A page in the middle of events by time and id, located by counts of key ranges."""
+    events = table(spark, sf, "events")
+    page = preview(events, ["ts", "event_id"], page=page_count(events) // 2, size=100, most=1000)
+    return page.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def pages(spark, sf):
     """The number of preview pages of each table."""
     rows = [(name, page_count(table(spark, sf, name))) for name in ("events", "documents", "orders")]
@@ -528,6 +546,7 @@ QUERIES = {
     "profile_orders": profile_orders,
     "profile_lineitem": profile_lineitem,
     "profile_documents": profile_documents,
+    "profile_variant": profile_variant,
     "top_values_orders": top_values_orders,
     "top_values_documents": top_values_documents,
     "top_values_events": top_values_events,
@@ -569,6 +588,7 @@ QUERIES = {
     "compare_columns": compare_columns_query,
     "execution_log": execution_log,
     "preview": preview_events,
+    "preview_deep": preview_deep,
     "pages": pages,
     "prompt_flags": prompt_flags_conversations,
     "suggest_plan": suggest_plan,

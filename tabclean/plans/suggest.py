@@ -84,9 +84,10 @@ def suggest_plans(df: DataFrame, text_col: str, profile) -> DataFrame:
     return out.drop(*FLAG_WORDS)
 
 
-def request_of(row) -> CleanRequest:
-    """The manual request that a row of ``suggest_plans`` asks for."""
-    return CleanRequest(mode="manual", manual=ManualOptions(
+def request_of(row, text_col: str = "text") -> CleanRequest:
+    """The manual request that a row of ``suggest_plans`` asks for, with its prompt (where the row has it)."""
+    prompt = row[text_col] if text_col in row.__fields__ else None
+    return CleanRequest(mode="manual", ai_instructions=prompt, manual=ManualOptions(
         drop_columns=list(row["drop_columns"]), remove_duplicates=row["remove_duplicates"],
         fill_numeric_strategy=row["fill_numeric_strategy"], fill_text_strategy=row["fill_text_strategy"],
         remove_outliers=row["remove_outliers"], encode_categoricals=row["encode_categoricals"],

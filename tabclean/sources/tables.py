@@ -88,6 +88,13 @@ select p_partkey as "p.key", case when p_partkey % 4 > 0 then p_name end as "p.n
   case when p_partkey % 4 > 2 then p_size end as "a b", cast(null as {S}) as "none.at.all" from part
 """
 
+# Spark only: a VARIANT column with numbers, texts, flags and JSON nulls, one of numbers alone, one of texts alone.
+VARIANT_ORDERS_SQL = """
+select o_orderkey, parse_json(case o_orderkey % 5 when 0 then cast(o_orderkey as string) when 1 then '"' || o_orderpriority || '"' when 2 then 'true'
+    when 3 then 'null' else cast(o_totalprice as string) end) as v,
+  parse_json(cast(o_custkey as string)) as n, parse_json('"' || o_orderstatus || '"') as s from orders
+"""
+
 EXACT_ORDERS_SQL = """
 select o_orderkey, o_totalprice / 7e6 as small, o_totalprice * 1.1 as mid, o_totalprice * 7e9 / 3 as large from orders
 """

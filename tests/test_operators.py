@@ -324,3 +324,100 @@ def test_dotted_names_through_row_drops(spark):
     from tabclean.operators.rows import drop_empty_rows, drop_sparse_rows
     df = spark.createDataFrame([("x", None, 1), (None, None, None)], "`a.b` string, `c``d` string, e int")
     assert drop_empty_rows(df).count() == 1 and drop_sparse_rows(df, 0.5).count() == 1
+
+
+def test_deep_pages(spark):
+    import random
+    from pyspark.sql import functions as F
+    from tabclean.sources.preview import _located, preview
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, "a", "b", "c" * rnd.randint(1, 9)]), rnd.choice([None, rnd.gauss(0, 5)]), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "`k.1` string, x double, id int").repartition(5)
+    by = ["k.1", "x", "id"]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0.0, r[2]))
+    for page in (1, 2, 37, 50, 51, 400):
+        assert [tuple(r) for r in preview(df, by, page, 100, most=300).collect()] == want[(page - 1) * 100:page * 100]
+    left, before = _located(df, by, 2500, 100, 300)
+    assert before <= 2500 and left.count() + before >= 2600 and left.count() < 2500
+    same = spark.range(3000).select(F.lit(1).alias("k"))
+    assert preview(same, ["k"], 20, 100, most=300).count() == 100
+
+
+def test_mixed_kinds_of_a_variant(spark):
+    from tabclean.operators.dedupe import deduplicate
+    from tabclean.operators.profile import profile, variant_kinds
+    df = spark.sql("""select parse_json(v) as v, parse_json(w) as w, map('a', 1) as m from values
+        ('1', '1'), ('"x"', '2.5'), ('null', '3'), ('{"a": 1}', '4'), ('"x"', '2.5') as t(v, w)""")
+    assert variant_kinds(df)["v"] == ["BIGINT", "OBJECT", "STRING"]
+    p = profile(df, "t")
+    assert [c.inferred_type for c in p.columns[:2]] == ["mixed", "numeric"] and p.duplicate_rows == 1
+    assert any("v" in s for s in p.suggestions())
+    assert deduplicate(df).count() == 4
+
+
+def test_top_values_of_long_texts_and_decimals(spark):
+    from tabclean.operators.profile import profile
+    long = "the same beginning of a text, "
+    rows = [(long + str(i % 7), float(i)) for i in range(20)] + [(None, None)]
+    df = spark.createDataFrame(rows, "t string, d double").selectExpr("t", "cast(d as decimal(12,2)) as d")
+    top = {c.name: c.top_values for c in profile(df, "x").columns}
+    assert top["t"] == [(long + str(i), 3) for i in range(5)]
+    assert [v for v, _ in top["d"]] == ["0.00", "1.00", "2.00", "3.00", "4.00"]
+    many = spark.range(1000).selectExpr(f"concat('{long}{long}', lpad(id, 6, '0')) as t")
+    assert [v[-6:] for v, _ in profile(many, "y").columns[0].top_values] == [f"{i:06d}" for i in range(5)]
+    c = profile(many, "y").columns[0]
+    assert c.distinct == 1000 and c.possible_id
+
+
+def test_duplicates_by_candidates(spark):
+    from tabclean.operators import dedupe
+    rows = [(i % 50, None if i % 3 else "x", -0.0 if i % 2 else 0.0, [1, None]) for i in range(300)]
+    df = spark.createDataFrame(rows, "_a int, _b string, z double, l array<int>")
+    want = df.distinct().count()
+    for most in (0, 1000):
+        dedupe.MOST_REPEATED, kept = most, dedupe.MOST_REPEATED
+        try:
+            found = dedupe.repeated(df)
+            assert (found.rows, found.extra) == (300, 300 - want)
+            assert dedupe.without_copies(df, found).count() == want and dedupe.deduplicate(df).columns == df.columns
+        finally:
+            dedupe.MOST_REPEATED = kept
+    alone = spark.range(100)
+    assert dedupe.deduplicate(alone) is alone
+
+
+def test_medians_by_selection(spark):
+    import random
+    import statistics
+    from tabclean.operators.rank import exact_medians
+    rnd = random.Random(1)
+    groups = {0: [rnd.gauss(0, 1) for _ in range(5001)], 1: [10 ** rnd.uniform(-300, 300) * rnd.choice([1, -1]) for _ in range(4000)], 2: [1.0] * 3000,
+              3: [0.0] * 1500 + [1.0] * 1500, 4: [7.5], 5: [1.0, 2.0], 6: [float(rnd.randint(0, 3)) for _ in range(4001)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [(0, None), (9, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(4)
+    for most in (7, 700, 100_000):
+        assert exact_medians(df, "g", "v", most=most) == {g: statistics.median(vs) for g, vs in groups.items()}
+    assert exact_medians(df.limit(0), "g", "v") == {}
+
+
+def test_lost_values_steps_and_prompt(spark):
+    from tabclean.plans.cleaning import clean
+    from tabclean.plans.suggest import request_of, suggest_plans
+    from tabclean.operators.profile import profile
+    df = spark.createDataFrame([(f"2024-01-{i + 1:02d}" if i else "soon", str(i) if i != 3 else "x", i % 3) for i in range(12)], "d string, n string, k int")
+    res = clean(df)
+    assert {r["column"]: r["values"] for r in res.lost_df(spark).collect()}.items() >= {"n": 1}.items()
+    row = suggest_plans(spark.createDataFrame([("drop duplicates",)], "text string"), "text", profile(df, "x", light=True)).first()
+    assert request_of(row).ai_instructions == "drop duplicates"
+
+
+def test_more_date_layouts(spark):
+    from pyspark.sql import functions as F
+    from tabclean.functions import to_datetime
+    texts = {"Jan 5 2024 10:00": "2024-01-05 10:00:00", "5-Jan-2024": "2024-01-05 00:00:00", "20240105101112": "2024-01-05 10:11:12",
+             "2024-01-05 10:11:12.123456789": "2024-01-05 10:11:12.123456", "2024-01-05 10:11:12 PM": "2024-01-05 22:11:12",
+             "1/5/24": "2024-01-05 00:00:00", "1/5/99": "1999-01-05 00:00:00", "13/5/24": "2024-05-13 00:00:00", "1/5/2024 9:05 am": "2024-01-05 09:05:00",
+             "5-Jan-69": "1969-01-05 00:00:00", "99/99/99": None, "1/5": None, "12345678901234": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.select("t", to_datetime(F.col("t")).cast("string")).collect()} == {
+        t: None if v is None else v.removesuffix(".000000") for t, v in texts.items()}
