@@ -145,3 +145,16 @@ def test_corrupt_preset_file(spark, tmp_dir):
     _write(f"{store}/part-bad.parquet", b"not parquet")
     rows = list_presets(spark, store).collect()
     assert [r["name"] for r in rows] == ["mine"] and load_request(rows[0]).keep_columns == ["k"]
+
+
+def test_listing_of_many_files(spark, tmp_dir):
+    """Nested, empty, hidden and oddly named files, without a call a file."""
+    from tabclean.sources.csv import list_files
+    for i in range(300):
+        _write(f"{tmp_dir}/many/d{i % 40}/f {i}+;.csv", b"" if i % 10 == 0 else b"a\n1\n")
+    _write(f"{tmp_dir}/many/_hidden.csv", b"x")
+    _write(f"{tmp_dir}/many/d0/.dot.csv", b"x")
+    got = list_files(spark, f"{tmp_dir}/many").collect()
+    assert len(got) == 300 and sum(r["length"] == 0 for r in got) == 30 and all(r["modificationTime"] is not None for r in got)
+    assert {r["path"].rsplit("/", 1)[1] for r in got} == {f"f {i}+;.csv" for i in range(300)}
+    assert source_manifest(spark, [f"{tmp_dir}/many/d0", f"{tmp_dir}/many/d1"]).count() == 16
