@@ -1,29 +1,30 @@
 """Language-model scores from a weighted backoff automaton over all of the corpus.
 
 The states of the automaton are the contexts seen in training: the empty one
-and every word (the start of a text is one too). An arc leaves state h with
-word w where training has the pair; its weight is the interpolated
-probability l(h) c(hw)/c(h) + (1 - l(h)) p(w). Every state has a failure arc of
-weight 1 - l(h) to the empty state, whose arcs are the smoothed unigrams
-p(w) = (c(w)+1)/(N+V+1). With l(h) = TOP c(h)/(c(h)+HALF) the weights of the words
-after any state add up to one (counting one share for all unseen words). A
-text is read left to right: the state is carried along, failure arcs are
-taken where no arc matches, and the log-probabilities are added.
+and every run of up to ``ORDER`` - 1 words (the start of a text counts as one, at its place). An
+arc leaves state h with word w where training has hw; its weight is the interpolated
+probability l(h) c(hw)/c(h) + (1 - l(h)) p(w after h without its first word). Every state has a
+failure arc of weight 1 - l(h) to the state without its first word, down to the
+empty state, whose arcs are the smoothed unigrams p(w) = (c(w)+1)/(N+V+1). With l(h) =
+TOP c(h)/(c(h)+HALF) the weights of the words after any state add up to one (counting one
+share for all unseen words). A text is read left to right: its state is carried along, failure
+arcs are followed from state to state where no arc matches, their weights included, and the
+log-probabilities are added. An arc leads to the longest context that ends in its word.
 
 The automaton grows with the corpus and is never gathered in one place. The
 texts are stored as blocks of word codes. The distinct words of each block go
 to buckets by hash, are counted there over all blocks, and only the counts
-that a block needs return to it; then the same with the distinct pairs of
-words. A bucket holds at most one entry a block for any word or pair, however
+that a block needs return to it; so do its distinct pairs, triples and so on.
+A bucket holds at most one entry a block for any of them, however
 frequent, so no word is a hot key. Each block thus receives the part of
 the automaton that its texts can reach, and traverses it alone.
 
-Words and pairs are told apart by 64-bit hashes in the buckets of pairs, and as
+Words and runs of words are told apart by 64-bit hashes in the buckets of runs, and as
 strings in the buckets of words. All counts cover all training documents.
 
-Edge cases: a null or empty text is the end token alone. Without training
-rows every count is zero. Rows repeated with one id are scored (and learned
-from) each. A null id counts as empty text in the split.
+Edge cases: a null or empty text is the end token alone; a very long one is read whole (a block
+holds at least one batch of texts). Without training rows every count is zero. Rows repeated with one
+id are scored (and learned from) each. A null id counts as empty text in the split.
 """
 
 from __future__ import annotations
@@ -40,13 +41,15 @@ from pyspark.taskcontext import TaskContext
 
 from tabclean.llm.common import ascii_words, no_nulls, stored
 
+ORDER = 3
 TOP, HALF = 0.8, 1.0
-BLOCK_CHARS = 12 << 20
+FEW_LIVE = 16  # texts that go on; so few advance one by one
+BLOCK_CHARS = 8 << 20
 BUCKET_WORDS = 1 << 20
 # Fixed: codes of the end of a text and of its start in every block.
 END, START = 0, 1
 BLOCKS = "block bigint, ids array<bigint>, held binary, bounds binary, words binary, codes binary, n_tokens bigint, n_texts bigint"
-SENT = "bucket int, block bigint, data binary"
+SENT = "kind int, bucket int, block bigint, data binary"
 COUNTED = SENT + ", v bigint, n bigint"
 
 
@@ -96,20 +99,25 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array([hashed(b"\n", END), hashed(b"\n", START), *[hashed(w.encode()) for w in words]], np.uint64)
 
 
-def pair_keys(hashes: np.ndarray, before: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each pair (previous code, code)."""
-    x = hashes[before] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
-    x = (x ^ (x >> np.uint64(32))) + hashes[codes]
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def gram_keys(hashes: np.ndarray, codes: np.ndarray, bounds: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of n = 2.. ``order`` words: n, the 64-bit key of the run that ends at each token, and where there is one.
 
-
-def previous(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The code before each; START at the beginning of a text."""
-    before = np.empty_like(codes)
-    before[1:] = codes[:-1]
-    before[bounds[:-1]] = START
-    return before
+    The key of a run is made of that of the run before its last word. The start of a text
+    is the word before the first.
+    """
+    own = hashes[codes]
+    place = np.arange(len(codes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    key = own
+    for n in range(2, order + 1):
+        x = np.empty_like(key)
+        x[1:] = key[:-1]
+        if n == 2:
+            x[place == 0] = hashes[START]
+        x = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+        x = (x ^ (x >> np.uint64(32))) + own
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        key = x ^ (x >> np.uint64(32))
+        yield n, key, place >= n - 2
 
 
 def _block(texts: list[pa.Array], ids: list, held: list, number: int) -> tuple:
@@ -166,9 +174,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    bucket, block, data = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())],
-                                      names=["bucket", "block", "data"])
+    kind, bucket, block, data = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())],
+                                      names=["kind", "bucket", "block", "data"])
 
 
 def _bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +200,7 @@ def _send_words(buckets: int):
                 part = order[cuts[b]:cuts[b + 1]]
                 if len(part):
                     text = pack_words([words[i] for i in part])
-                    out.append((b, row["block"], len(text).to_bytes(8, "little") + text + pack(_small(counts[part]))))
+                    out.append((1, b, row["block"], len(text).to_bytes(8, "little") + text + pack(_small(counts[part]))))
             yield _sent(out)
     return run
 
@@ -210,7 +218,7 @@ def _count_words(key: tuple, group: pa.Table) -> pa.Table:
     codes = pa.array(words, pa.string()).dictionary_encode().indices.to_numpy()
     total = np.bincount(codes, weights=np.concatenate(counts)).astype(np.int64)
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    out = [(bucket, block, pack(_small(total[codes[a:b]])))
+    out = [(1, bucket, block, pack(_small(total[codes[a:b]])))
            for block, a, b in zip(group.column("block").to_pylist(), cuts, cuts[1:])]
     table = pa.Table.from_batches([_sent(out)])
     for name, value in (("v", (total > 0).sum()), ("n", total.sum())):
@@ -218,31 +226,28 @@ def _count_words(key: tuple, group: pa.Table) -> pa.Table:
     return table
 
 
-def _send_pairs(buckets: int):
-    """Each block's distinct pairs and their training counts, by bucket, sorted by key."""
+def _send_grams(buckets: int, order: int):
+    """Each block's distinct runs of two words and more and their training counts, by length and bucket, sorted by key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            keys, inverse, train = _pairs(row)
-            counts = np.bincount(inverse[train], minlength=len(keys))
-            _, cuts = _bucket_order(keys, buckets)
-            out = []
-            for b in range(buckets):
-                a, z = cuts[b], cuts[b + 1]
-                if a < z:
-                    out.append((b, row["block"], pack(np.diff(keys[a:z], prepend=np.uint64(0)), _small(counts[a:z]))))
-            yield _sent(out)
+            _, held, bounds, words, codes = _read(row)
+            train = np.repeat(~held, np.diff(bounds))
+            for n, key, there in gram_keys(word_hashes(words), codes, bounds, order):
+                keys, inverse = np.unique(key[there], return_inverse=True)
+                counts = np.bincount(inverse[train[there]], minlength=len(keys))
+                del inverse
+                _, cuts = _bucket_order(keys, buckets)
+                out = []
+                for b in range(buckets):
+                    a, z = cuts[b], cuts[b + 1]
+                    if a < z:
+                        out.append((n, b, row["block"], pack(np.diff(keys[a:z], prepend=np.uint64(0)), _small(counts[a:z]))))
+                yield _sent(out)
     return run
 
 
-def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pair keys in order, which of them each token ends, and which tokens train."""
-    _, held, bounds, words, codes = _read(row)
-    keys, inverse = np.unique(pair_keys(word_hashes(words), previous(codes, bounds), codes), return_inverse=True)
-    return keys, inverse, np.repeat(~held, np.diff(bounds))
-
-
-def _count_pairs(key: tuple, group: pa.Table) -> pa.Table:
-    bucket = key[0].as_py()
+def _count_grams(key: tuple, group: pa.Table) -> pa.Table:
+    kind, bucket = (k.as_py() for k in key)
     keys, counts = [], []
     for blob in group.column("data").to_pylist():
         step, n = unpack(blob)
@@ -255,76 +260,117 @@ def _count_pairs(key: tuple, group: pa.Table) -> pa.Table:
     run = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
     total = np.empty(len(flat), np.int64)
     total[order] = np.bincount(run, weights=n[order])[run].astype(np.int64)
-    return pa.Table.from_batches([_sent([(bucket, block, pack(_small(total[a:b])))
+    return pa.Table.from_batches([_sent([(kind, bucket, block, pack(_small(total[a:b])))
                                          for block, a, b in zip(group.column("block").to_pylist(), cuts, cuts[1:])])])
 
 
 class BackoffAutomaton:
     """The part of the automaton that the texts of one block can reach.
 
-    ``count``: training count of every word code; ``arcs``: training count of
-    every pair; N and V of the corpus; ``starts``: training texts.
+    ``count``: training count of every word code; ``grams``: for each length from two on, the training
+    count of the run that ends at each token (0 where there is none); N and V of the corpus; ``starts``:
+    training texts. What belongs to a token's longest and shorter contexts is kept by token:
+    ``arc[d]`` whether the context of d words before it has an arc with it, ``read[d]`` the arc's log10
+    weight, ``fail[d]`` that of the context's failure arc.
     """
 
-    def __init__(self, count: np.ndarray, arcs: np.ndarray, n: int, v: int, starts: int, top: float = TOP, half: float = HALF):
-        visits = count.astype(float)
-        visits[START], visits[END] = starts, 0  # the start is a state; nothing follows the end
-        self.arcs = arcs
+    def __init__(self, count: np.ndarray, grams: list[np.ndarray], codes: np.ndarray, bounds: np.ndarray,
+                 n: int, v: int, starts: int, top: float = TOP, half: float = HALF):
+        self.codes, self.bounds, self.order = codes, bounds, len(grams) + 1
         self.empty = (count + 1.0) / (n + v + 1.0)  # arcs of the empty state
-        share = top * visits / (visits + half)
-        self.fail = 1.0 - share  # weight of each state's failure arc
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.arc_share = np.where(visits > 0, share / visits, 0.0)
-
-    def weights(self, state: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Log10 weight of reading ``word`` in ``state``: the arc of the pair, or the failure arc and on."""
-        backed_off = self.fail[state] * self.empty[word]
-        return np.log10(np.where(self.arcs[pair] > 0, self.arc_share[state] * self.arcs[pair] + backed_off, backed_off))
-
-    def traverse(self, codes: np.ndarray, bounds: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text, read left to right.
-
-        All texts advance together; ``state`` is carried from token to token.
-        After a word the state is that word's (or the empty one, which has the
-        weights of an unvisited word).
+        self.known = count[codes] > 0
+        place = np.arange(len(codes)) - np.repeat(bounds[:-1], np.diff(bounds))
+        weight = self.empty[codes]
+        self.arc, self.read, self.fail = [self.known], [np.log10(weight)], [np.zeros(0)]
+        runs = [count[codes].astype(np.int64), *grams]
+        for d in range(1, self.order):
+            visits = np.zeros(len(codes))
+            visits[1:] = runs[d - 1][:-1]  # the run of d words that ends before the token
+            visits[place < d - 1] = 0  # with the start of the text as a word, a token has place + 1 before it
+            if d == 1:
+                visits[place == 0] = starts
+            share = top * visits / (visits + half)
+            weight = np.divide(share * grams[d - 1], visits, out=np.zeros(len(codes)), where=visits > 0) + (1 - share) * weight
+            self.arc.append(grams[d - 1] > 0)
+            self.read.append(np.log10(weight))
+            self.fail.append(np.log10(1 - share))
+
+    def traverse(self) -> np.ndarray:
+        """Log10 probability of each text, read left to right with the state carried from token to token.
+
+        The state is the number of words of the context before the token. Texts advance
+        together; the last few long ones go on alone.
         """
-        length = np.diff(bounds)
+        length = np.diff(self.bounds)
         order = np.argsort(-length, kind="stable")
-        begin, longest = bounds[:-1][order], length[order]
-        total, state = np.zeros(len(length)), np.full(len(length), START)
-        for t in range(int(longest[0]) if len(longest) else 0):
+        begin, longest = self.bounds[:-1][order], length[order]
+        total, state = np.zeros(len(length)), np.full(len(length), min(1, self.order - 1))
+        steps = int(longest[FEW_LIVE - 1]) if len(longest) >= FEW_LIVE else 0
+        for t in range(steps):
             live = int(np.searchsorted(-longest, -t, "left"))
-            at = begin[:live] + t
-            word = codes[at]
-            total[:live] += self.weights(state[:live], word, pair[at])
-            state[:live] = word
+            total[:live] += self._advance(state[:live], begin[:live] + t)
+        for i in np.flatnonzero(longest > steps):
+            total[i] += self._alone(int(begin[i]) + steps, int(begin[i] + longest[i]), int(state[i]))
         out = np.empty(len(length))
         out[order] = total
         return out
 
-
-def _score(totals: tuple[int, int, int, int]):
+    def _advance(self, state: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log weights of the next tokens; ``state`` becomes the states behind them."""
+        got = np.zeros(len(at))
+        depth, open_ = state.copy(), np.ones(len(at), bool)
+        for d in range(self.order - 1, 0, -1):
+            here = np.flatnonzero(open_ & (depth == d))
+            hit = self.arc[d][at[here]]
+            reads, fails = here[hit], here[~hit]
+            got[reads] += self.read[d][at[reads]]
+            state[reads] = min(d + 1, self.order - 1)
+            open_[reads] = False
+            got[fails] += self.fail[d][at[fails]]
+            depth[fails] = d - 1
+        left = np.flatnonzero(open_)
+        got[left] += self.read[0][at[left]]
+        state[left] = np.minimum(self.known[at[left]], self.order - 1)
+        return got
+
+    def _alone(self, begin: int, end: int, state: int) -> float:
+        arc, read, fail = ([x[begin:end].tolist() for x in kind] for kind in (self.arc, self.read, self.fail))
+        total, most = 0.0, self.order - 1
+        for t in range(end - begin):
+            d = state
+            while d and not arc[d][t]:
+                total += fail[d][t]
+                d -= 1
+            total += read[d][t]
+            state = min(d + 1, most) if arc[d][t] else 0
+        return total
+
+
+def _score(totals: tuple[int, int, int, int], order: int):
     n, v, starts, ends = totals
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        sent: dict[int, list] = {0: [], 1: []}
+        sent: dict[int, list] = {kind: [] for kind in range(1, order + 1)}
         for kind, bucket, data in zip(*[right.column(c).to_pylist() for c in ("kind", "bucket", "data")]):
             sent[kind].append((bucket, data))
-        words_in, pairs_in = (np.concatenate([np.empty(0, np.int64), *[unpack(d)[0].astype(np.int64) for _, d in sorted(sent[k])]]) for k in (0, 1))
+        counts_in = {k: np.concatenate([np.empty(0, np.int64), *[unpack(d)[0].astype(np.int64) for _, d in sorted(parts)]]) for k, parts in sent.items()}
         for row in left.to_pylist():
             ids, held, bounds, words, codes = _read(row)
-            order, _ = _bucket_order(word_hashes(words)[2:], 1)
+            hashes = word_hashes(words)
+            place, _ = _bucket_order(hashes[2:], 1)
             count = np.zeros(len(words) + 2, np.int64)
-            count[2 + order] = words_in
+            count[2 + place] = counts_in[1]
             count[END] = ends
-            _, pair, _ = _pairs(row)
-            machine = BackoffAutomaton(count, pairs_in, n, v, starts)
-            known = np.add.reduceat((count[codes] > 0).astype(np.int64), bounds[:-1])
-            base = np.add.reduceat(np.log10(machine.empty)[codes], bounds[:-1])
+            grams = []
+            for k, keys, there in gram_keys(hashes, codes, bounds, order):
+                grams.append(np.zeros(len(codes), np.int64))
+                grams[-1][there] = counts_in[k][np.unique(keys[there], return_inverse=True)[1]]
+            machine = BackoffAutomaton(count, grams, codes, bounds, n, v, starts)
+            known = np.add.reduceat(machine.known.astype(np.int64), bounds[:-1])
+            base = np.add.reduceat(machine.read[0], bounds[:-1])
             out.append(pa.table({"_id": pa.array(ids, pa.int64()), "held_out": held, "n_tokens": np.diff(bounds), "n_known": known,
-                                 "train_tokens": np.full(len(ids), n, np.int64), "base_score": base,
-                                 "score": machine.traverse(codes, bounds, pair)}))
+                                 "train_tokens": np.full(len(ids), n, np.int64), "base_score": base, "score": machine.traverse()}))
         schema = pa.schema([("_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                             ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out) if out else schema.empty_table()
@@ -335,7 +381,7 @@ SCORES = "_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_t
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text",
-          block_chars: int = BLOCK_CHARS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+          block_chars: int = BLOCK_CHARS, bucket_words: int = BUCKET_WORDS, order: int = ORDER) -> DataFrame:
     """Score every text with the automaton of the texts that are not ``held_out``."""
     blocks = blocks_of(docs, held_out, id_col, text_col, block_chars)
     size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_texts").alias("texts")).first()
@@ -348,9 +394,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     ends = size["texts"] or 0
     n, v = (seen["n"] or 0) + ends, (seen["v"] or 0) + (ends > 0)  # the end is a token too
 
-    sent = blocks.select(columns).mapInArrow(_send_pairs(buckets), SENT)
-    pairs = sent.groupBy("bucket").applyInArrow(_count_pairs, SENT)
-    back = words.drop("v", "n").withColumn("kind", F.lit(0)).unionByName(pairs.withColumn("kind", F.lit(1)))
+    sent = blocks.select(columns).mapInArrow(_send_grams(buckets, order), SENT)
+    back = words.drop("v", "n").unionByName(sent.groupBy("kind", "bucket").applyInArrow(_count_grams, SENT))
     scored = (blocks.select(columns).groupBy("block").cogroup(back.groupBy("block"))
-              .applyInArrow(_score((n, v, ends, ends)), SCORES))
+              .applyInArrow(_score((n, v, ends, ends), order), SCORES))
     return scored.withColumnRenamed("_id", id_col)

@@ -14,23 +14,27 @@ from tabclean.llm import common, langid, ngram_lm, queries, toxicity
 from conftest import SF_ORACLE
 
 
-def brute_lm(texts, held):
-    tokens = [(t or "").encode().lower().split() + [b"\n"] for t in texts]
-    one, two = Counter(), Counter()
+def brute_lm(texts, held, order=ngram_lm.ORDER):
+    tokens = [[None, *(t or "").encode().lower().split(), b"\n"] for t in texts]  # None: the start of a text
+    count = Counter()
     for words, out in zip(tokens, held):
-        if not out:
-            one.update(words)
-            two.update(zip([None, *words], words))  # None: the start of a text
-    n, v, starts = sum(one.values()), len(one), sum(not h for h in held)
+        for k in range(1, order + 1):
+            count.update(tuple(words[i:i + k]) for i in range(len(words) - k + 1) if not out)
+    n = sum(c for g, c in count.items() if len(g) == 1 and g != (None,))
+    v = sum(len(g) == 1 and g != (None,) for g in count)
+
+    def p(context, w):
+        if not context:
+            return (count[w,] + 1) / (n + v + 1)
+        visits = count[context]
+        share = ngram_lm.TOP * visits / (visits + ngram_lm.HALF)
+        return (1 - share) * p(context[1:], w) + (share * count[*context, w] / visits if visits else 0)
+
     rows = []
     for words, out in zip(tokens, held):
-        base = [(one[w] + 1) / (n + v + 1) for w in words]
-        score = 0.0
-        for before, w, p in zip([None, *words], words, base):
-            visits = starts if before is None else one[before]
-            share = ngram_lm.TOP * visits / (visits + ngram_lm.HALF)
-            score += math.log10((1 - share) * p + (share * two[before, w] / visits if visits else 0))
-        rows.append((out, len(words), sum(one[w] > 0 for w in words), n, sum(map(math.log10, base)), score))
+        base = [math.log10(p((), w)) for w in words[1:]]
+        score = [math.log10(p(tuple(words[max(0, i - order + 1):i]), words[i])) for i in range(1, len(words))]
+        rows.append((out, len(words) - 1, sum(count[w,] > 0 for w in words[1:]), n, sum(base), sum(score)))
     return rows
 
 
@@ -43,11 +47,11 @@ def check_lm(got, want):
 def test_lm_scores(odd_docs, odd_texts, no_docs):
     rule = common.remainder_of_id("doc_id", 7) == 2
     ids = sorted([*range(len(odd_texts)), 7])
-    want = brute_lm([odd_texts[i] for i in ids], [zlib.crc32(str(i).encode()) % 7 == 2 for i in ids])
-    for sizes in ({}, {"block_chars": 300, "bucket_words": 50}):  # many blocks and buckets must not matter
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
+    for sizes in ({}, {"block_chars": 300, "bucket_words": 50}, {"order": 2}, {"order": 5}, {"order": 1}):  # many blocks and buckets must not matter
         got = sorted(ngram_lm.score(odd_docs, rule, **sizes).collect(), key=lambda r: r["doc_id"])
         assert [r["doc_id"] for r in got] == ids
-        check_lm(got, want)
+        check_lm(got, brute_lm([odd_texts[i] for i in ids], held, sizes.get("order", ngram_lm.ORDER)))
     assert ngram_lm.score(no_docs, rule).count() == 0
 
 
@@ -58,27 +62,34 @@ def test_lm_without_training_rows(odd_docs):
 
 def test_lm_weights_add_up():
     """The words after any state, with one share for all unseen words, have probability one."""
-    texts = ["a b a c", "a a b", "c"]
+    texts = ["a b a c", "a a b", "c", "a b a b a c"]
     tokens = [t.split() + ["\n"] for t in texts]
     words = sorted({w for t in tokens for w in t} - {"\n"})
     code = {"\n": ngram_lm.END, **{w: i + 2 for i, w in enumerate(words)}, "unseen": len(words) + 2}
-    one, two = Counter(), Counter()
-    for t in tokens:
-        one.update(t)
-        two.update(zip(["<s>", *t], t))
+    runs = Counter(tuple(["<s>", *t][i:i + k]) for t in tokens for k in (1, 2, 3, 4) for i in range(len(t) + 2 - k))
     count = np.zeros(len(code) + 1, np.int64)
-    for w, n in one.items():
-        count[code[w]] = n
-    for before in ["<s>", *words, "unseen"]:
-        arcs = np.array([two[before, w] for w in code])
-        machine = ngram_lm.BackoffAutomaton(count, arcs, sum(one.values()), len(one), len(texts))
-        state = np.full(len(code), ngram_lm.START if before == "<s>" else code[before])
-        assert np.isclose((10 ** machine.weights(state, np.array(list(code.values())), np.arange(len(code)))).sum(), 1)
+    for w in code:
+        count[code[w]] = runs[w,]
+    contexts = [(a, b, c) for a in ("a", "b", "c", "unseen") for b in ("a", "b", "unseen") for c in ("a", "b", "c")]
+    for context in [(), ("a",), ("b", "a"), *contexts]:
+        read = [[*context, w] for w in code]  # a text for each word that may follow
+        whole = [["<s>", *t] for t in read]
+        bounds = np.arange(len(read) + 1) * (len(context) + 1)
+        grams = [np.array([runs[tuple(t[i + 1 - k + 1:i + 2])] if i + 2 >= k else 0 for t in whole for i in range(len(t) - 1)]) for k in (2, 3, 4)]
+        machine = ngram_lm.BackoffAutomaton(count, grams, np.array([code[w] for t in read for w in t]), bounds, sum(map(len, tokens)), len(words) + 1, len(texts))
+        assert np.isclose((10 ** machine.read[3][bounds[1:] - 1]).sum(), 1)
+        for few in (0, 100):  # together and alone
+            ngram_lm.FEW_LIVE, kept = max(1, few), ngram_lm.FEW_LIVE
+            score = machine.traverse()
+            ngram_lm.FEW_LIVE = kept
+            assert np.allclose(score, np.add.reduceat(machine.read[3], bounds[:-1]))
 
 
 def test_lm_beats_base_on_held_out(spark):
     got = queries.op2_lm_scoring(spark, SF_ORACLE).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
+    pairs = ngram_lm.score(docs, common.remainder_of_id("doc_id", 7) == 2, order=2).filter("held_out").agg(F.sum("score")).first()
+    assert got[0] > pairs[0] > got[1]
 
 
 def test_pack_round_trip():
