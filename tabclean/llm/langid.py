@@ -101,36 +101,58 @@ class Model:
         return None
 
 
-def predict(model: Model, texts: list[str], seen: dict[str, tuple]) -> tuple[list[str], list[float]]:
-    """Language and posterior of each text; ``seen`` keeps word scores between calls."""
+class Seen(dict):
+    """Rows of words in one table of scores: those that training has seen come first, the others as they are met."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, (self.index, table) = model, model.words
+        self.first = len(table)
+        self.table = np.concatenate([table - table.max(axis=1, keepdims=True) if table.size else table, np.zeros((1024, table.shape[1]))])
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = self.first + len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(1024, len(self)), self.table.shape[1]))])
+        row = self.model.score(word)
+        self.table[n] = 0.0 if row is None else row - row.max()
+        return n
+
+    def rows(self, words: Iterable[str]) -> np.ndarray:
+        find = self.index.get
+        return np.array([self[w] if (n := find(w)) is None else n for w in words], np.int64)
+
+    def trim(self) -> None:
+        if len(self) > MOST_CACHED:
+            self.clear()
+
+
+def predict(model: Model, texts: list[str], seen: dict) -> tuple[list[str], list[float]]:
+    """Language and posterior of each text; ``seen`` (a ``Seen``) keeps word scores between calls."""
     return judged(model, texts, seen)[:2]
 
 
-def judged(model: Model, texts: list[str], seen: dict[str, tuple]) -> tuple[list[str], list[float], list[int], list[int]]:
+def judged(model: Model, texts: list[str], seen: dict) -> tuple[list[str], list[float], list[int], list[int]]:
     """Language, posterior, words and words that training has seen of each text."""
+    seen = seen if isinstance(seen, Seen) else Seen(model)
     langs, scores, sizes, known = [], [], [], []
     for text in texts:
         words = Counter(_WORD.findall(text.lower()))
-        sizes.append(sum(words.values()))
-        known.append(sum([n for word, n in words.items() if word in model.words[0]]))
         if not words or not model.langs:
             langs.append(UNKNOWN)
             scores.append(0.0)
+            sizes.append(sum(words.values()))
+            known.append(0)
             continue
-        total = np.zeros(len(model.langs))
-        rows, weights = [], []
-        for word, n in words.items():
-            row = seen.get(word)
-            if row is None:
-                row = model.score(word)
-                row = seen[word] = total if row is None else row - row.max()
-            rows.append(row)
-            weights.append(n)
-        total = np.array(weights, float) @ np.array(rows)
+        rows = seen.rows(words)
+        counts = np.fromiter(words.values(), float, len(words))
+        total = counts @ seen.table[rows]
         share = np.exp(total - total.max())
         best = int(np.argmax(share))
         langs.append(model.langs[best])
         scores.append(float(share[best] / share.sum()))
+        sizes.append(int(counts.sum()))
+        known.append(int(counts[rows < seen.first].sum()))
     return langs, scores, sizes, known
 
 
@@ -194,10 +216,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
+        seen = Seen(shared.value)
         for batch in slices(batches):
-            if len(seen) > MOST_CACHED:
-                seen.clear()
+            seen.trim()
             langs, scores = predict(shared.value, no_nulls(batch.column(1)).to_pylist(), seen)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=["_id", "lang_pred", "score"])
@@ -215,10 +236,9 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
+        seen = Seen(shared.value)
         for batch in slices(batches):
-            if len(seen) > MOST_CACHED:
-                seen.clear()
+            seen.trim()
             found = zip(*judged(shared.value, no_nulls(batch.column(at)).to_pylist(), seen))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least and (words < judged_words or known >= least_known * words)
                                          for lang, score, words, known in found], pa.bool_()))
