@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -63,6 +64,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As ``stored``, bucketed by ``key``: grouping by it later moves no row.
+
+    The table's name is dropped from the catalog again; the plan that comes back keeps
+    the files and their bucketing.
+    """
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", scratch_dir(spark, label)).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # analysed while the name exists
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -17,7 +17,10 @@ to buckets by hash, are counted there over all blocks, and only the counts
 that a block needs return to it; so do its distinct pairs, triples and so on.
 A bucket holds at most one entry a block for any of them, however
 frequent, so no word is a hot key. Each block thus receives the part of
-the automaton that its texts can reach, and traverses it alone.
+the automaton that its texts can reach, and traverses it alone. A block sends a row to
+each bucket that holds any of its runs, so never more rows than it has distinct runs: what is
+sent grows with the input, though rows get smaller with the number of buckets. The blocks
+are stored bucketed by number and do not move to where their counts return.
 
 Words and runs of words are told apart by 64-bit hashes in the buckets of runs, and as
 strings in the buckets of words. All counts cover all training documents.
@@ -29,7 +32,6 @@ id are scored (and learned from) each. A null id counts as empty text in the spl
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from tabclean.llm.common import ascii_words, no_nulls, stored
+from tabclean.llm.common import ascii_words, no_nulls, stored, stored_by
 
 ORDER = 3
 TOP, HALF = 0.8, 1.0
@@ -80,11 +82,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def pack_words(words: list[str]) -> bytes:
-    return zlib.compress("\n".join(words).encode(), 1)
+    return pack(np.frombuffer("\n".join(words).encode(), np.uint8))
 
 
 def unpack_words(blob: bytes) -> list[str]:
-    text = zlib.decompress(blob).decode()
+    text = unpack(blob)[0].tobytes().decode()
     return text.split("\n") if text else []
 
 
@@ -126,11 +128,12 @@ def _block(texts: list[pa.Array], ids: list, held: list, number: int) -> tuple:
     bounds = np.concatenate([[0], np.cumsum(n + 1)])
     out = np.full(bounds[-1], END, np.int32)
     out[np.arange(len(codes)) + np.repeat(np.arange(len(n)), n)] = codes + 2
-    used = np.unique(out[out > 1]) - 2 if len(codes) else np.empty(0, np.int32)
-    if len(used) < len(words):  # the empty chunk is no word
-        place = np.zeros(len(words) + 2, np.int32)
-        place[used + 2] = np.arange(len(used)) + 2
-        out, words = place[out], [words[i] for i in used]
+    # Frequent words get small codes, which compress best; the empty chunk is no word.
+    times = np.bincount(codes, minlength=len(words)).tolist()
+    used = np.array(sorted((i for i, t in enumerate(times) if t), key=lambda i: (-times[i], words[i])), np.int64)
+    place = np.arange(len(words) + 2, dtype=np.int32)
+    place[used + 2] = np.arange(len(used)) + 2
+    out, words = place[out], [words[i] for i in used]
     return (number, ids, pack(np.array(held, np.uint8)), pack(np.diff(bounds).astype(np.uint32)), pack_words(words),
             pack(out.astype(np.uint32)), len(out), held.count(False))
 
@@ -157,7 +160,7 @@ def _to_blocks(block_chars: int):
 
 def blocks_of(docs: DataFrame, held_out, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), held_out.alias("_held"))
-    return stored(rows.mapInArrow(_to_blocks(block_chars), BLOCKS), "lm-blocks")
+    return stored_by(rows.mapInArrow(_to_blocks(block_chars), BLOCKS), "lm-blocks", "block")
 
 
 def _read(row: dict) -> tuple:
@@ -179,12 +182,12 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
                                       names=["kind", "bucket", "block", "data"])
 
 
-def _bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the hashes by value, and the bounds of the buckets in it (ranges of equal width)."""
+def _bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the hashes by value, and (bucket, begin, end) in it of every bucket (a range of values) that has any."""
     order = np.argsort(hashes, kind="stable")
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-    inner = np.searchsorted(hashes[order], edges)
-    return order, np.concatenate([[0], inner, [len(hashes)]]).astype(np.int64)
+    number = (hashes[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    used, begin = np.unique(number, return_index=True)
+    return order, list(zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), len(hashes)]))
 
 
 def _send_words(buckets: int):
@@ -194,13 +197,12 @@ def _send_words(buckets: int):
             _, held, bounds, words, codes = _read(row)
             train = np.repeat(~held, np.diff(bounds))
             counts = np.bincount(codes[train], minlength=len(words) + 2)[2:]
-            order, cuts = _bucket_order(word_hashes(words)[2:], buckets)
+            order, parts = _bucket_order(word_hashes(words)[2:], buckets)
             out = []
-            for b in range(buckets):
-                part = order[cuts[b]:cuts[b + 1]]
-                if len(part):
-                    text = pack_words([words[i] for i in part])
-                    out.append((1, b, row["block"], len(text).to_bytes(8, "little") + text + pack(_small(counts[part]))))
+            for b, a, z in parts:
+                part = order[a:z]
+                text = pack_words([words[i] for i in part])
+                out.append((1, b, row["block"], len(text).to_bytes(8, "little") + text + pack(_small(counts[part]))))
             yield _sent(out)
     return run
 
@@ -236,13 +238,8 @@ def _send_grams(buckets: int, order: int):
                 keys, inverse = np.unique(key[there], return_inverse=True)
                 counts = np.bincount(inverse[train[there]], minlength=len(keys))
                 del inverse
-                _, cuts = _bucket_order(keys, buckets)
-                out = []
-                for b in range(buckets):
-                    a, z = cuts[b], cuts[b + 1]
-                    if a < z:
-                        out.append((n, b, row["block"], pack(np.diff(keys[a:z], prepend=np.uint64(0)), _small(counts[a:z]))))
-                yield _sent(out)
+                yield _sent([(n, b, row["block"], pack(np.diff(keys[a:z], prepend=np.uint64(0)), _small(counts[a:z])))
+                             for b, a, z in _bucket_order(keys, buckets)[1]])
     return run
 
 
