@@ -179,3 +179,45 @@ from kept join totals using (lang)
 qualify rank <= 2000
 """,
 }
+
+# Sums of doubles: equal but for the last digits, which follow the order of the terms. Tests compare them within 1e-9.
+NEAR_SQL: dict[str, str] = {
+    "op2_lm_scoring": rf"""
+with d as (
+  select doc_id, ({_crc32_of_id}) % 7 = 2 as held_out,
+    list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [chr(10)]) as w
+  from documents),
+t as (select doc_id, held_out, p, w[p] as w1, case when p > 1 then w[p - 1] else '' end as w2, case when p > 2 then w[p - 2] when p = 2 then '' end as w3
+  from (select *, unnest(range(1, len(w) + 1)) as p from d)),
+ones as (select w1, count(*) as c from t where not held_out group by w1),
+twos as (select w2, w1, count(*) as c from t where not held_out group by w2, w1),
+threes as (select w3, w2, w1, count(*) as c from t where not held_out and w3 is not null group by w3, w2, w1),
+totals as (select coalesce(sum(c), 0)::bigint as n, count(*) as v, (select count(*) from d where not held_out) as texts from ones),
+counted as (
+  select t.doc_id, t.held_out, n, v, coalesce(ones.c, 0) as c1, coalesce(twos.c, 0) as c2, coalesce(threes.c, 0) as c3,
+    case when t.w2 = '' then texts else coalesce(before.c, 0) end as h1, case when t.w3 is null then 0 else coalesce(pair.c, 0) end as h2
+  from t cross join totals
+  left join ones on t.w1 = ones.w1
+  left join ones before on t.w2 = before.w1
+  left join twos on t.w2 = twos.w2 and t.w1 = twos.w1
+  left join twos pair on t.w3 = pair.w2 and t.w2 = pair.w1
+  left join threes on t.w3 = threes.w3 and t.w2 = threes.w2 and t.w1 = threes.w1),
+one as (select *, (c1 + 1.0::double) / (n + v + 1) as p1, {ngram_lm.TOP}::double * h1 / (h1 + {ngram_lm.HALF}::double) as s1, {ngram_lm.TOP}::double * h2 / (h2 + {ngram_lm.HALF}::double) as s2 from counted),
+two as (select *, case when h1 > 0 then s1 * c2 / h1 else 0 end + (1 - s1) * p1 as p2 from one),
+three as (select *, case when h2 > 0 then s2 * c3 / h2 else 0 end + (1 - s2) * p2 as p3 from two)
+select doc_id, held_out, count(*) as n_tokens, count(*) filter (where c1 > 0) as n_known, any_value(n) as train_tokens,
+  sum(log10(p1)) as base_score, sum(log10(p3)) as score
+from three group by doc_id, held_out
+""",
+    "op7_nearest": """
+with e as (
+  select vec_id, embedding::double[] as x from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0
+    and len(list_filter(embedding, lambda y: y <> 0)) > 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x) as score
+  from e q join e c on len(q.x) = len(c.x) and q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score
+from scored qualify rank <= 20
+""",
+}
