@@ -6,21 +6,22 @@ Format of a data file: records one after the other, each
     payload of that length | uint32 masked checksum of the payload
 
 all little-endian. A payload is the ids of one document as little-endian
-unsigned integers of the file's width (2 bytes if the vocabulary allows it,
-else 4). The checksum is CRC-32 (zlib), masked by rotating it right by 15 bits
+unsigned integers of the file's width (2 bytes if all ids of the vocabulary
+and the end id allow it, else 4). The checksum is CRC-32 (zlib), masked by rotating it right by 15 bits
 and adding a constant, so that a checksum over bytes that hold checksums stays
 sound. Beside each data file lies an index file: for every record the document
-id, the offset and the length of its frame (int64 each), so records can be read
-in any order.
+id, whether there is one (0 for a null id, else 1), the offset and the length of its frame (int64
+each), so records can be read in any order.
 
-Documents are range-partitioned by id; a task writes one data file and its
+Documents are range-partitioned by id and, within an id, by their place in the input, so the rows of
+an id that very many share (or of no id) are cut into ranges too. A task writes one data file and its
 index, under names of its own attempt, and only the files of attempts that
 Spark commits are in the manifest. A lost executor thus costs its running
 tasks and leaves no doubtful file in use.
 
 Edge cases: a null text counts as empty, which is a record with the end id
-alone. Null ids sort first. Rows repeated with one id are records of their own.
-An empty table gives an empty manifest and no rows.
+alone; a very long one is one record, encoded whole. Null ids sort first. Rows repeated with one id are
+records of their own, in the order of the input. Other columns are not read. An empty table gives an empty manifest and no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
+from tokenizers import Tokenizer
 
 from tabclean.llm.chunks import encoder
 from tabclean.llm.common import file_system, running_totals, slices, stored
@@ -87,7 +89,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int, special: bool
             frames = []
             for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 frames.append(frame(ids[a:b].tobytes() + end))
-                entries.append((-1 if doc is None else doc, offset, len(frames[-1])))
+                entries.append((doc or 0, int(doc is not None), offset, len(frames[-1])))
                 offset += len(frames[-1])
                 tokens += b - a + 1
             out.write(b"".join(frames))
@@ -101,8 +103,13 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int, special: bool
     return run
 
 
+def width_of(vocabulary: str, end_id: int) -> int:
+    """Bytes of an id: 2 if every id of the vocabulary and the end id fit, else 4."""
+    return 2 if max(end_id, *Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+
+
 def write_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id",
-                  text_col: str = "text", files: int | None = None, width: int = 2, special: bool = False) -> DataFrame:
+                  text_col: str = "text", files: int | None = None, special: bool = False) -> DataFrame:
     """Write every document in ascending id order; returns the manifest (a row a file).
 
     ``folder`` must be one that all executors share; by default a fresh one
@@ -112,31 +119,31 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str | N
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark, "records")
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    ordered = rows.repartitionByRange(files, "_id").sortWithinPartitions("_id")
-    return stored(ordered.mapInArrow(_writer(folder, vocabulary, end_id, width, special), MANIFEST), "records-manifest")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    ordered = rows.repartitionByRange(files, "_id", "_row").sortWithinPartitions("_id", "_row").select("_id", "_text")
+    return stored(ordered.mapInArrow(_writer(folder, vocabulary, end_id, width_of(vocabulary, end_id), special), MANIFEST), "records-manifest")
 
 
 def read_index(fs, path: str) -> np.ndarray:
-    """(id, offset, length) of every record of a file."""
+    """(id, whether there is one, offset, length) of every record of a file."""
     with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), "<i8").reshape(-1, 3)
+        return np.frombuffer(f.read(), "<i8").reshape(-1, 4)
 
 
-def read_records(fs, path: str, entries: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+def read_records(fs, path: str, entries: np.ndarray, width: int) -> Iterator[tuple[int | None, np.ndarray]]:
     """(id, ids) of the given index entries, in the order given; neighbours are read together."""
     with fs.open_input_file(path) as f:
         at = 0
         while at < len(entries):
-            last, begin = at, int(entries[at, 1])
-            while (last + 1 < len(entries) and entries[last + 1, 1] == entries[last, 1] + entries[last, 2]
-                   and entries[last + 1, 1] + entries[last + 1, 2] - begin <= READ_BYTES):
+            last, begin = at, int(entries[at, 2])
+            while (last + 1 < len(entries) and entries[last + 1, 2] == entries[last, 2] + entries[last, 3]
+                   and entries[last + 1, 2] + entries[last + 1, 3] - begin <= READ_BYTES):
                 last += 1
-            size = int(entries[last, 1] + entries[last, 2]) - begin
+            size = int(entries[last, 2] + entries[last, 3]) - begin
             f.seek(begin)
             data = memoryview(f.read(size))
-            for doc, offset, _ in entries[at:last + 1].tolist():
-                yield doc, np.frombuffer(unframe(data, offset - begin), f"<u{width}")
+            for doc, there, offset, _ in entries[at:last + 1].tolist():
+                yield doc if there else None, np.frombuffer(unframe(data, offset - begin), f"<u{width}")
             at = last + 1
 
 
@@ -148,7 +155,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entries = read_index(fs, f"{name}.index")
             start, out = row["before"], []
             for doc, ids in read_records(fs, f"{name}.records", entries, row["width"]):
-                out.append((None if doc == -1 else doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 start += len(ids)
                 if len(out) == 10_000:
                     yield _found(out)

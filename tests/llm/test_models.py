@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import pyarrow as pa
@@ -55,6 +56,25 @@ def test_lm_scores(odd_docs, odd_texts, no_docs):
     assert ngram_lm.score(no_docs, rule).count() == 0
 
 
+def test_lm_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF_ORACLE}/documents.parquet')")
+    found = con.execute(queries.NEAR_SQL["op2_lm_scoring"])
+    names = [c[0] for c in found.description]
+    want = sorted((dict(zip(names, r)) for r in found.fetchall()), key=lambda r: r["doc_id"])
+    got = sorted((r.asDict() for r in queries.op2_lm_scoring(spark, SF_ORACLE).collect()), key=lambda r: r["doc_id"])
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w, rel=1e-9)
+
+
+def test_lm_sends_a_row_to_buckets_that_hold_something():
+    hashes = np.random.default_rng(0).integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2)
+    for buckets in (1, 7, 1 << 20):
+        order, parts = ngram_lm._bucket_order(hashes, buckets)
+        assert len(parts) <= min(buckets, 50) and [a for _, a, _ in parts] + [50] == [0] + [z for _, _, z in parts]
+        assert all((int(h) >> 32) * buckets >> 32 == b for b, a, z in parts for h in hashes[order[a:z]])
+
+
 def test_lm_without_training_rows(odd_docs):
     got = ngram_lm.score(odd_docs, F.lit(True)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] == r["base_score"] == 0 for r in got)

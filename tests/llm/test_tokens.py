@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tabclean.llm import chunks, common, packing, queries, records, sp_bpe
 
+from conftest import SF_SMALL
+
 BYTES, WORDS, PIECES = (common.vocabulary(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 TEXTS = st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("ab e1.,'\n\t▁é日🎉́ ​İΣ")), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=8)
 
@@ -122,6 +124,32 @@ def test_records_round_trip(spark, odd_docs, odd_texts, no_docs):
     assert records.read_back(records.write_records(no_docs, BYTES, 2)).count() == 0
 
 
+def test_records_ids_order_and_width(spark, tmp_dir):
+    rows = [(-1, "minus"), (None, "none"), (None, "none two"), (0, "zero"), (-2, "b"), (-2, "a"), (-2, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = records.read_back(records.write_records(docs, BYTES, 2, files=3)).orderBy("start").collect()
+    library = Tokenizer.from_file(BYTES)
+    want = [(i, t) for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert [r["doc_id"] for r in got] == [i for i, _ in want]
+    ids = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for _, t in want]
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(x.tobytes()) for x in ids]
+    wide = records.write_records(docs, BYTES, 70_000, files=1)  # an end id that 2 bytes can't hold
+    assert wide.first()["width"] == 4 and records.width_of(BYTES, 2) == 2
+    found = {r["doc_id"]: r["ids_crc32"] for r in records.read_back(wide).collect()}
+    assert found[0] == zlib.crc32(np.array([*library.encode("zero", add_special_tokens=False).ids, 70_000], "<u4").tobytes())
+
+
+@pytest.mark.parametrize("text", ["a  b", " a", "a ", "▁", "a▁b  ▁", "x" * 1000, "  "])
+def test_uneven_and_long_texts_are_checked_and_not_kept(text):
+    encoder = sp_bpe.AgendaCodec(PIECES)
+    checked = []
+    plain = encoder.check
+    encoder.check = lambda words, found: (checked.extend(words), plain(words, found))
+    (n, joined, _), = encoder.batch(pa.array([text]))
+    assert checked and joined == ",".join(map(str, encoder.library.encode(text))) and n == len(encoder.library.encode(text))
+    assert all(len(w) <= sp_bpe.LONGEST_CACHED for w in encoder.words)
+
+
 def test_records_are_read_in_any_order_and_guarded(odd_docs, tmp_dir):
     row = records.write_records(odd_docs, BYTES, 2, folder=f"file:{tmp_dir}/r", files=1).first()
     fs, root = common.file_system(row["folder"])
@@ -156,6 +184,15 @@ def test_packing(odd_docs, odd_texts, no_docs):
     assert packing.pack(no_docs, WORDS).count() == 0
 
 
+def test_documents_lie_along_the_curve(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    laid = sorted((r["sequence_id"], r["offset"], r["doc_id"]) for r in packing.pack(docs, WORDS).filter("start = 0").collect())
+    texts = docs.select("doc_id", "text").collect()
+    ids = whole(WORDS, [r["text"] for r in texts])
+    keys = packing.hilbert_keys(packing.cells_of(np.concatenate([np.array(i, np.uint32) for i in ids]), np.concatenate([[0], np.cumsum([len(i) for i in ids])])))
+    assert [d for _, _, d in laid] == [d for _, d in sorted(zip(keys.tolist(), [r["doc_id"] for r in texts]))]
+
+
 def test_hilbert_is_a_curve():
     """Every cell once, and one step between neighbours on the curve."""
     for dims, bits in ((2, 4), (3, 3)):
