@@ -39,6 +39,7 @@ from tabclean.llm.common import no_nulls, split_on
 
 MARK = "▁"
 MOST_CACHED = 600_000
+LONGEST_CACHED = 64
 # Two spaces in a row, one at an end, or the mark itself: such texts are cut as a whole.
 UNEVEN = f"  |^ | $|{MARK}"
 
@@ -171,12 +172,18 @@ class AgendaCodec:
         self.words.update((w, (",".join(map(str, ids)), self.spell(ids), len(ids))) for w, ids in zip(new, found))
         self.words.setdefault("", ("", "", 0))
         entries = [self.words[w] for w in words]
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del self.words[w]
         lengths = np.array([e[2] for e in entries], np.int64)
+        apart = {i: texts[i].as_py() for i in np.flatnonzero(uneven).tolist()}
+        whole = {i: self.encode(text) for i, text in apart.items()}
+        self.check(list(apart.values()), list(whole.values()))
         codes = codes.tolist()
         joined, spelt = [e[0] for e in entries], [e[1] for e in entries]
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            if uneven[i]:
-                ids = self.encode(texts[i].as_py())
+            if i in whole:
+                ids = whole[i]
                 yield len(ids), ",".join(map(str, ids)), self.decode(ids)
             else:
                 own = codes[a:b]
