@@ -25,6 +25,7 @@ from tokenizers import Tokenizer
 from tabclean.llm.common import WIDE_SPACE, no_nulls, ragged_take, split_on
 
 MOST_CACHED = 250_000
+LONGEST_CACHED = 64
 SIMPLE = "ɐ"  # characters below are the same in every Unicode version in use
 
 # Fixed: the patterns of the two vocabularies.
@@ -45,7 +46,7 @@ def byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """Ids of whole texts, equal to ``encode(text, add_special_tokens=False)`` of the library.
 
-    Caches are dropped when they reach ``MOST_CACHED`` entries.
+    Caches are dropped when they reach ``MOST_CACHED`` entries, of at most ``LONGEST_CACHED`` characters each.
     """
 
     def __init__(self, path: str, spaced: bool, special: bool = False):
@@ -70,7 +71,8 @@ class ChunkEncoder:
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(self.letters)
         found = array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
-        self.pieces[piece] = found
+        if len(piece) <= LONGEST_CACHED:
+            self.pieces[piece] = found
         return found
 
     def chunk(self, chunk: str) -> bytes:
@@ -82,7 +84,8 @@ class ChunkEncoder:
             else:
                 pieces = self.pieces
                 found = b"".join([pieces.get(p) or self._piece(p) for p in self.find(chunk if self.spaced else chunk.lower())])
-            self.chunks[chunk] = found
+            if len(chunk) <= LONGEST_CACHED:
+                self.chunks[chunk] = found
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
