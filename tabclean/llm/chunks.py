@@ -69,7 +69,10 @@ class ChunkEncoder:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.isprintable():  # only the space has another letter
+            letters = piece.replace(" ", self.letters[32])
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
         found = array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
         if len(piece) <= LONGEST_CACHED:
             self.pieces[piece] = found
@@ -82,8 +85,11 @@ class ChunkEncoder:
             if not chunk.isascii() and max(chunk) >= SIMPLE:
                 found = self._whole(chunk)
             else:
-                pieces = self.pieces
-                found = b"".join([pieces.get(p) or self._piece(p) for p in self.find(chunk if self.spaced else chunk.lower())])
+                pieces, plain = self.pieces, chunk if self.spaced else chunk.lower()
+                if chunk.isascii() and chunk.lstrip(" ").isalpha():  # letters alone, with at most the space before them, are one piece
+                    found = pieces.get(plain) or self._piece(plain)
+                else:
+                    found = b"".join([pieces.get(p) or self._piece(p) for p in self.find(plain)])
             if len(chunk) <= LONGEST_CACHED:
                 self.chunks[chunk] = found
         return found
