@@ -102,7 +102,9 @@ def _write(run: KeyedRun, paths: list[str], out_dir: str) -> None:
                 write_csv(run.df.filter(F.col(q(run.key)) == f).drop(run.key), output_folder(out_dir, paths[f]), mode="overwrite")
         else:
             names = spark.createDataFrame([(f, output_name(paths[f])) for f in run.files], f"{q(run.key)} int, {part} string")
-            write_csv(run.df.join(F.broadcast(names), run.key).drop(run.key), out_dir, mode="overwrite", by=part)
+            # A file's rows come together (a large file's are split again), so that not every task writes to every folder.
+            rows_of = run.df.join(F.broadcast(names), run.key).drop(run.key).hint("rebalance", F.col(part))
+            write_csv(rows_of, out_dir, mode="overwrite", by=part)
     for f in run.files:
         if f not in full:
             write_csv(spark.createDataFrame([], run.df.drop(run.key).schema).coalesce(1), output_folder(out_dir, paths[f]), mode="overwrite")

@@ -23,10 +23,12 @@ from tabclean.sources.batch import clean_batch
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 LOG_SCHEMA = "batch_id bigint, path string, step_no int, name string, details string"
 DEAD_SCHEMA = "batch_id bigint, path string, reason string"
+# A batch costs about the same jobs for one file or thousands; its paths, reasons and logs are a few rows a file on the driver.
+FILES_PER_BATCH = 10_000
 
 
 def replay_stream(spark: SparkSession, in_dir: str, request: CleanRequest, out_dir: str,
-                  checkpoint: str | None = None, files_per_batch: int = 16) -> dict:
+                  checkpoint: str | None = None, files_per_batch: int = FILES_PER_BATCH) -> dict:
     """Clean every CSV file under ``in_dir`` (available now) with ``request``.
 
     Rows go to ``rows/source=<file>``, the step log to ``log/batch=<id>`` and files that failed to

@@ -120,6 +120,23 @@ def test_dead_letters(spark, tmp_path):
     assert again["batches"] >= 1 and spark.read.parquet(f"{out}/dead_letter").count() == 1
 
 
+def test_replay_takes_many_files_in_one_batch(spark, tmp_path):
+    from tabclean.streaming.replay import replay_stream
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    for i in range(20):
+        _file(src, f"f{i}.csv", [f"{k},v{i}" for k in range(i + 1)], header="k,v")
+    request = CleanRequest(mode="manual", manual=ManualOptions(fill_numeric_strategy="mean", fill_text_strategy="none", convert_datetimes=False))
+    replay_stream(spark, str(src), request, out, checkpoint=str(tmp_path / "ck"))
+    folders = [f for f in os.listdir(f"{out}/rows") if f.startswith("source=")]
+    assert len(folders) == 20
+    rows = spark.read.option("header", True).csv(f"{out}/rows").groupBy("v").count().collect()
+    assert sorted((r["v"], r["count"]) for r in rows) == sorted((f"v{i}", i + 1) for i in range(20))
+    # one batch, and a small file's rows are written by one task
+    assert len([f for f in os.listdir(tmp_path / "ck" / "commits") if f.isdigit()]) == 1
+    assert all(len([p for p in os.listdir(f"{out}/rows/{f}") if p.endswith(".csv")]) == 1 for f in folders)
+
+
 def test_large_files_are_read_by_records(spark, tmp_path):
     rnd = random.Random(2)
     for kind, text in (("records", lambda i: '"v\n""{}"" , x\n"'.format(i)), ("split", lambda i: f'"a ""b"" {i}"'), ("whole", lambda i: f'5" pipe {i}' if i % 50 == 3 else f'"a\n{i}"')):
