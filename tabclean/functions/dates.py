@@ -43,6 +43,11 @@ DATE_FORMATS = (
 )
 
 
+# What every shape above and every text that ``_whole_year`` completes has: digits alone, or three words in which the day and
+# the year are digits. One cheap test keeps most text away from the two dozen others.
+_LIKE_A_DATE = r"^(?:\d{8}|\d{14})$|^\d{1,4}[-/. ](?:\d{1,2}|[A-Za-z]{3,9})[-/. ]\d|^[A-Za-z]{3,9} \d{1,2},? \d"
+
+
 def _whole_year(text: Column) -> Column:
     """``1/5/24`` with four digits of the year: from 69 on the last century's."""
     head = r"^\d{1,2}[/-](?:\d{1,2}|[A-Za-z]{3})[/-]"
@@ -55,7 +60,9 @@ def _whole_year(text: Column) -> Column:
 
 def to_datetime(c: Column) -> Column:
     """First layout that parses the stripped text, else NULL (a zone-less timestamp)."""
-    stripped = _whole_year(strip_text(c))
+    text = strip_text(c)
+    stripped = _whole_year(text)
     parsed = F.coalesce(*[F.when(stripped.rlike(shape), F.try_to_timestamp(stripped, F.lit(fmt)))
                           for fmt, shape in DATE_FORMATS])
-    return parsed.cast("timestamp_ntz")
+    first, shape = DATE_FORMATS[0]  # of its shape nothing else parses
+    return F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(first))).when(text.rlike(_LIKE_A_DATE), parsed).cast("timestamp_ntz")
