@@ -29,6 +29,7 @@ class FillResult:
     df: DataFrame
     steps: list = field(default_factory=list)
     values: dict = field(default_factory=dict)
+    stats: dict = field(default_factory=dict)  # rows and present values of each column of ``df``, as ``count_by_column`` gives them
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -90,12 +91,17 @@ def fill_gaps(df: DataFrame, names: dict[str, str], numbers: set[str]) -> DataFr
 
 
 def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strategy: str = "mode",
-                    text_constant: str = "unknown", step_prefix: str = "missing_cleanup") -> FillResult:
-    """O-70: numeric fill, then datetime fill (always), then text fill; logged per kind."""
+                    text_constant: str = "unknown", step_prefix: str = "missing_cleanup", stats: dict | None = None) -> FillResult:
+    """O-70: numeric fill, then datetime fill (always), then text fill; logged per kind.
+
+    ``stats`` are the counts of ``df`` where they are known already; else they are counted.
+    """
     numeric_cols = columns_of(df, NUMERIC)
     datetime_cols = columns_of(df, DATETIME)
     text_cols = columns_of(df, TEXT)
-    stats = count_by_column(df, numeric_cols + datetime_cols + text_cols, {})
+    counted = numeric_cols + datetime_cols + text_cols
+    if stats is None or any((c, "nn") not in stats for c in counted):
+        stats = count_by_column(df, counted, {})
     rows = stats[("", "rows")]
 
     def gaps(c):
@@ -152,4 +158,4 @@ def missing_cleanup(df: DataFrame, numeric_strategy: str = "median", text_strate
         steps.append((step_prefix + "_text", detail("fill_text", text_gaps, strategy=text_strategy)))
 
     out = df.withColumns(updates) if updates else df
-    return FillResult(out, steps, values)
+    return FillResult(out, steps, values, stats | {(c, "nn"): rows for c, v in values.items() if v is not None})

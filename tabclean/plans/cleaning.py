@@ -63,6 +63,10 @@ class _Run:
         self.steps: list = []
         self.persisted: list = []
         self.lost: dict = {}
+        self.stats: tuple[DataFrame, dict] | None = None  # a frame and its counts; they hold while it is the run's frame
+
+    def known(self) -> dict | None:
+        return self.stats[1] if self.stats and self.stats[0] is self.df else None
 
     def log(self, name: str, details: str) -> None:
         self.steps.append((name, details))
@@ -103,13 +107,15 @@ class _Run:
             self.log(step_name, detail("remove_duplicates", n=found.extra))
 
     def fill(self, numeric: str, text: str, constant: str, prefix: str) -> None:
-        res = missing_cleanup(self.df, numeric, text, constant, prefix)
-        self.df = res.df
+        res = missing_cleanup(self.df, numeric, text, constant, prefix, self.known())
+        self.df, self.stats = res.df, (res.df, res.stats)
         self.steps.extend(res.steps)
 
     def convert_dates(self) -> None:
-        conv = convert_datetimes(self.df)
+        conv, stats = convert_datetimes(self.df), self.known()
         self.df = conv.df
+        if stats is not None:
+            self.stats = conv.df, stats | {(c, "nn"): stats[(c, "nn")] - n for c, n in conv.lost.items()}
         if conv.converted:
             self.lost["convert_datetimes"] = conv.lost
             self.log("convert_datetimes", detail("convert_datetimes", conv.converted))
@@ -180,13 +186,15 @@ def manual_clean(run: _Run, request: CleanRequest) -> None:
 def finalize(run: _Run) -> None:
     """O-79: drop fully empty rows, then empty columns, then booleans to 0/1.
 
-    One aggregate by column index gives each column's value count; the rows
-    that hold any value are counted only where every column has gaps. With no
+    One aggregate by column index gives each column's value count (none where the last fill left
+    the counts of this frame); the rows that hold any value are counted only where every column has gaps. With no
     row left the schema is kept (D-10).
     """
     cols = run.df.columns
     if cols:
-        stats = count_by_column(run.df, cols, {})
+        stats = run.known()
+        if stats is None or any((c, "nn") not in stats for c in cols):
+            stats = count_by_column(run.df, cols, {})
         rows = nonempty = stats[("", "rows")]
         if all(stats[(c, "nn")] < rows for c in cols):  # a full column leaves no empty row
             marks = ", ".join(f"if({q(c)} is not null, 1, null)" for c in cols)

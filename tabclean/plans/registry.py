@@ -30,7 +30,7 @@ from tabclean.sources.presets import list_presets, load_request, save_preset
 from tabclean.sources.preview import page_count, preview
 from tabclean.sources.tables import (BIG_ORDERS_SQL, BOOLEAN_ORDERS_SQL, DOTTED_PART_SQL, EXACT_ORDERS_SQL, ODD_NAMES_SQL, INF_EVENTS_SQL, NAMED_ORDERS_SQL,
                                      ODD_ORDERS_SQL, SKEWED_ORDERS_SQL, VARIANT_ORDERS_SQL, WIDE_DATES_SQL, WIDE_PART_SQL, dirty, register,
-                                     spark_text, table)
+                                     spark_text, table, widen)
 
 SIG_FORMAT = "%.9e"   # compared doubles keep 10 significant digits
 
@@ -59,8 +59,13 @@ FILTER_RULES = {
 }
 
 def sig(c):
-    """A double to 9 decimals, then 10 significant digits (summation order does not show)."""
-    return F.when(c.isNotNull(), F.format_string(SIG_FORMAT, F.round(c, 9) + F.lit(0.0)).cast("double"))
+    """A double to 9 decimals, then 10 significant digits (summation order does not show).
+
+    One of at most two decimals and ten digits, as whole numbers and prices are, is that already: no text is made of it.
+    """
+    hundreds = F.rint(c * F.lit(100.0))
+    short = (F.abs(hundreds) < F.lit(1e10)) & (hundreds / F.lit(100.0) == c)
+    return F.when(short, c + F.lit(0.0)).when(c.isNotNull(), F.format_string(SIG_FORMAT, F.round(c, 9) + F.lit(0.0)).cast("double"))
 
 
 def py_sig(v):
@@ -334,7 +339,7 @@ def scale_lineitem(spark, sf):
 
 def wide_clean(spark, sf):
     """A table of 300 columns through the manual recipe."""
-    register(spark, sf, ("part",))
+    widen(table(spark, sf, "part")).createOrReplaceTempView("part")  # a small file makes much work here
     req = CleanRequest(mode="manual", manual=ManualOptions(
         remove_duplicates=False, fill_numeric_strategy="mean", fill_text_strategy="none", convert_datetimes=False))
     return render(clean(spark.sql(WIDE_PART_SQL), req).df)

@@ -156,3 +156,41 @@ def test_report_is_written(spark, tmp_dir):
     assert spark.read.json(f"{tmp_dir}/json").count() == rows.count()
     assert any(r["value"] == "- a: b" for r in spark.read.text(f"{tmp_dir}/text").collect())
     assert len(prof.suggestions(None)) >= len(prof.suggestions(0)) == 0
+
+
+def test_known_counts_are_not_counted_again(spark, monkeypatch):
+    """After a fill the counts of its frame are known: a second fill and the end of the recipe read nothing for them."""
+    from tabclean.operators import impute
+    from tabclean.plans import cleaning
+    calls = []
+    for module in (impute, cleaning):
+        counted = module.count_by_column
+        monkeypatch.setattr(module, "count_by_column", lambda df, columns, *a, _f=counted, **k: calls.append(list(columns)) or _f(df, columns, *a, **k))
+    df = spark.createDataFrame([(1, 1.0, "x", None), (2, None, None, None), (3, 4.0, "y", None), (None, None, None, None)], "k int, p double, t string, e double")
+    request = CleanRequest(mode="manual", manual=ManualOptions(
+        remove_duplicates=False, fill_numeric_strategy="mean", fill_text_strategy="none", convert_datetimes=False))
+    done = clean(df, request)
+    assert len(calls) == 1
+    assert _rows(done.df) == sorted([(1.0, 1.0, "x"), (2.0, 2.5, None), (3.0, 4.0, "y"), (2.0, 2.5, None)], key=repr)
+    assert ("drop_empty_columns", "Dropped empty columns: e") in done.steps
+    # dates that do not parse become missing, and are filled: their counts follow from the conversion
+    dates = spark.createDataFrame([(f"2024-01-{i:02d}",) for i in range(1, 20)] + [("soon",), (None,)], "d string")
+    assert [r["d"].day for r in clean(dates, CleanRequest(mode="manual", manual=ManualOptions(
+        remove_duplicates=False, fill_numeric_strategy="none", fill_text_strategy="mode", convert_datetimes=True))).df.collect()].count(1) == 3
+
+
+def test_short_numbers_are_shown_without_text(spark):
+    import random
+    from tabclean.plans.registry import SIG_FORMAT, sig
+    rnd = random.Random(1)
+    values = [0.0, -0.0, float("nan"), float("inf"), None, 0.005, 1.005, 2.675, 99999999.99, 99999999.994, 1e8, 1e10, 0.1 + 0.2, 1e-12]
+    values += [round(rnd.uniform(-1e9, 1e9), rnd.randint(0, 5)) for _ in range(2000)] + [rnd.gauss(0, 1) * 10 ** rnd.randint(-8, 12) for _ in range(2000)]
+    c = F.col("c")
+    by_text = F.when(c.isNotNull(), F.format_string(SIG_FORMAT, F.round(c, 9) + F.lit(0.0)).cast("double"))
+    both = spark.createDataFrame([(v,) for v in values], "c double").select(sig(c).cast("string").alias("a"), by_text.cast("string").alias("b"))
+    assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
+def test_wide_clean_uses_every_core(spark):
+    from tabclean.plans.registry import wide_clean
+    assert wide_clean(spark, SF_SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
