@@ -49,6 +49,26 @@ def test_chunk_encoder_any_text(path, spaced):
     check()
 
 
+def test_plain_words_need_no_pattern(monkeypatch):
+    """Marks, digits, lines and capitals are cut off over a batch; each distinct piece meets the model once, dropped ones too."""
+    monkeypatch.setattr(chunks, "MOST_CACHED", 3)
+    own, searched, met = chunks.ChunkEncoder(WORDS, spaced=False), [], []
+    find, modelled = own.find, own._modelled
+    own.find = lambda t: searched.append(t) or find(t)
+    own._modelled = lambda p: met.append(p) or modelled(p)
+    for texts in (["Über, über; ÜBER.\nNiño 12 1.2...", "", " über\t "], ["niño!"], ["the niño"]):
+        ids, bounds = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == whole(WORDS, texts)
+    assert not searched and sorted(met) == sorted(["über", ",", ";", ".", "niño", "1", "2", "...", "!", "the"])
+
+
+@pytest.mark.parametrize("odd", ["don't", "a\x85", "\x85", "É\u0323É", "x\x1cY\n1", "'S", "İ", "Ⱥ", "ǅ\u0300", "日A", "\x00", "²½", "n×÷N", "e\n\u0301E"])
+def test_odd_chunks_between_plain_words(odd):
+    texts = [f"{a}{odd}{b}" for a in ("", "The ", "Été\n", "7", "!") for b in ("", " Ends", "\tE", "2", ".")]
+    ids, bounds = chunks.ChunkEncoder(WORDS, spaced=False).encode(pa.array(["cut off", *texts, None, ""]).slice(1))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == whole(WORDS, [*texts, "", ""])
+
+
 def plain(path, texts):
     """By the library as it is, with no switch set."""
     return [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
